@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_frequency, source_mix
+from . import language_fusion, length_histogram, license_scan, line_frequency, piece_lattice, source_mix, url_rules, vector_approx
 
 _QUERIES = {
+    "op1_url_rules": url_rules,
+    "op2_exact_top_k": vector_approx,
+    "op4_license_scan": license_scan,
+    "op5_length_histogram": length_histogram,
+    "op6_language_fusion": language_fusion,
+    "op7_piece_lattice": piece_lattice,
     "op8_quality_rules": line_frequency,
     "op9_source_mix": source_mix,
 }
