@@ -2,10 +2,284 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from turnlake.functions import vectors
+from turnlake.functions.text import sentences, token_count
+from turnlake.operators import chunking, judging, metrics, prompting, replay, retrieval
+from turnlake.plans import evaluation
+from turnlake.schemas import ROLES, ChunkerConfig
+from turnlake.sources import store, transcripts
+from turnlake.streaming import ingest
+
+#: Chunk sizes that cut the given conversations, whose turns are short, often enough.
+SMALL, TINY = 40, 12
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _turns(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations")
+
+
+def transcript_all(spark, sf_dir):
+    return store.in_order(_turns(spark, sf_dir), "conv_id")
+
+
+def transcript_recent(spark, sf_dir):
+    return store.recent(_read(spark, sf_dir, "events"), 20, "ts", "event_id").select("event_id", "user_id", "event_type")
+
+
+def transcript_count(spark, sf_dir):
+    return store.counted(_turns(spark, sf_dir))
+
+
+def turn_lookup(spark, sf_dir):
+    """Every conversation's opening turn, found by its number."""
+    turns = _turns(spark, sf_dir).withColumn("turn_id", store.turn_id(F.col("conv_id"), F.col("turn")))
+    wanted = turns.select("conv_id").distinct().select(store.turn_id(F.col("conv_id"), F.lit(0)).alias("turn_id"))
+    return turns.join(wanted, "turn_id").select("turn_id", "conv_id", "role", "text")
+
+
+def role_validation(spark, sf_dir):
+    return _turns(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n_turns")).withColumn("valid", F.col("role").isin(*ROLES))
+
+
+def fk_check(spark, sf_dir):
+    """Labels with and without their document."""
+    known, unknown = store.referenced(_read(spark, sf_dir, "labels"), _read(spark, sf_dir, "documents"), "doc_id")
+    rows = known.select("doc_id", F.lit(True).alias("accepted")).unionByName(unknown.select("doc_id", F.lit(False).alias("accepted")))
+    return rows
+
+
+def _roundtrip(markdown: bool):
+    parse = transcripts.parse_md if markdown else transcripts.parse_txt
+
+    def query(spark, sf_dir):
+        exports = transcripts.rendered(_turns(spark, sf_dir), markdown)
+        return exports.select("conv_id", F.posexplode(parse(F.col("content"))).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+
+    return query
+
+
+def token_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).cast("long").alias("n_tokens"))
+
+
+def sentence_split(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def chunk_hardsplit(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(chunking.hard_split(F.col("text"), F.lit(TINY))).alias("pos", "piece"))
+
+
+def chunk_subsplit(spark, sf_dir):
+    """Sentences of documents cut at clauses or, where these are too long, between words: pieces and the longest one's tokens."""
+    parts = chunking.split_sentences(F.col("text"), F.lit(TINY))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(parts).alias("pos", "piece"))
+    return rows.withColumn("n_tokens", token_count(F.col("piece")).cast("long"))
+
+
+def chunk_merge(spark, sf_dir):
+    return chunking.chunk(_turns(spark, sf_dir), ChunkerConfig(10, SMALL)).select("conv_id", "turn", "pos", "text", "start_char", "end_char", "token_count")
+
+
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk_counts(chunking.chunk(_turns(spark, sf_dir), ChunkerConfig(10, SMALL)))
+
+
+def document_chunks(spark, sf_dir):
+    """Whole documents in chunks of the usual size."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), "text")
+    return chunking.chunk(docs).select(F.col("conv_id").alias("doc_id"), "pos", "start_char", "end_char", "token_count", F.md5("text").alias("text_md5"))
+
+
+def vector_norms(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+def _hits(spark, sf_dir, k):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.top_k(rows.where("vec_id % 100 = 0"), rows, k)
+
+
+def cosine_topk(spark, sf_dir):
+    return _hits(spark, sf_dir, 10).select("query_id", "rk", "vec_id", F.round("score", 6).alias("score"))
+
+
+def hydrate_hits(spark, sf_dir):
+    """Hits with their vectors' labels and, where there is one, the document of that number."""
+    labels = _read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("vec_id").alias("doc_id"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return retrieval.hydrated(_hits(spark, sf_dir, 5), labels, docs, "vec_id", "doc_id").select("query_id", "rk", "vec_id", "label", "source")
+
+
+def lsh_topk(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.ApproximateIndex(rows).top_k(rows.where("vec_id % 100 = 0"), 10).select("query_id", "rk", "vec_id", F.round("score", 6).alias("score"))
+
+
+def add_idempotent(spark, sf_dir):
+    """All vectors added to a store that holds those with an even label."""
+    rows = _read(spark, sf_dir, "embeddings")
+    batch = rows.unionByName(rows).withColumnRenamed("vec_id", "chunk_id")
+    return retrieval.new_chunks(batch, rows.where("label % 2 = 0").select(F.col("vec_id").alias("chunk_id"))).select("chunk_id", "label")
+
+
+def label_assignment(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("kind"))
+    held = rows.where("kind % 2 = 0").withColumn("label", F.col("vec_id"))
+    return retrieval.labelled(rows.where("kind % 2 = 1"), held, "vec_id").select("vec_id", "label")
+
+
+def scored_turns(spark, sf_dir):
+    return replay.scored_turns(_turns(spark, sf_dir))
+
+
+def replay_roles(spark, sf_dir):
+    return replay.ingested(_turns(spark, sf_dir)).groupBy("conv_id", "role").agg(F.count("*").alias("n_turns"))
+
+
+def _window(n):
+    def query(spark, sf_dir):
+        text = F.array_join(F.transform("recent", lambda r: F.concat(r["role"], F.lit(": "), r["text"])), "\n")
+        return replay.recent_window(_turns(spark, sf_dir), n).select("conv_id", "turn", F.size("recent").cast("long").alias("n_recent"), F.md5(text).alias("recent_md5"))
+
+    return query
+
+
+def prior_retrieval(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    hits = replay.prior_retrieval(replay.scored_turns(turns), replay.ingested(turns), 3)
+    return hits.select("conv_id", "turn", "rk", "m_turn", F.round("score", 6).alias("score"))
+
+
+def build_prompt(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    asked = replay.scored_turns(turns)
+    hits = replay.prior_retrieval(asked, replay.ingested(turns), 3)
+    texts = turns.select("conv_id", F.col("turn").alias("m_turn"), F.col("text").alias("hit"))
+    found = hits.join(texts, ["conv_id", "m_turn"]).groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "hit"))), lambda x: x["hit"]).alias("hits"))
+    rows = asked.join(found, ["conv_id", "turn"], "left").join(replay.recent_window(turns), ["conv_id", "turn"])
+    messages = rows.select("conv_id", "turn", prompting.prompt(F.col("user_text"), F.col("hits"), F.col("recent"), "SYSTEM").alias("m"))
+    joined = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("> "), x["content"])), "\n")
+    return messages.select("conv_id", "turn", F.size("m").cast("long").alias("n_messages"), joined.alias("prompt"))
+
+
+def _answers(turns):
+    """Judges' answers of all kinds, made of the turns."""
+    kind = F.col("turn") % 6
+    good = lambda score: F.concat(F.lit('{"score": '), score, F.lit(', "reasoning": "fine"}'))
+    answer = (
+        F.when(kind == 0, good((F.col("conv_id") % 9).cast("string")))
+        .when(kind == 1, F.lit('{"reasoning": "fine"}'))
+        .when(kind == 2, F.concat(good(F.lit("4")), F.lit(" and more")))
+        .when(kind == 3, F.lit("{'score': 4}"))
+        .when(kind == 4, F.lit('{"score": null}'))
+        .otherwise(F.substring(F.regexp_replace("text", r"[^A-Za-z .]", ""), 1, 300))
+    )
+    return turns.withColumn("answer", answer)
+
+
+def judge_parse(spark, sf_dir):
+    rows = _answers(_turns(spark, sf_dir)).withColumn("j", judging.parsed(F.col("answer")))
+    return rows.select("conv_id", "turn", "j.score", "j.reasoning")
+
+
+def _proxy(turns):
+    """Scores 1 to 5 that follow from the texts' lengths."""
+    return replay.scored_turns(turns).select("conv_id", "turn", (F.length("user_text") % 5 + 1).alias("score"))
+
+
+def conversation_scores(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    rows = metrics.conversation_scores(turns, _proxy(turns))
+    return rows.select("conv_id", "num_turns", "n_scored", F.round("mean_score", 6).alias("mean_score"), F.array_join("scores_by_position", ",").alias("scores_by_position"))
+
+
+def run_metrics(spark, sf_dir):
+    rows = metrics.run_metrics(_proxy(_turns(spark, sf_dir)))
+    return rows.select("n_scored", F.round("mean_score", 6).alias("mean_score"), F.round("recall_at_4", 6).alias("recall_at_4"))
+
+
+def _proxy_board(spark, sf_dir):
+    """The default configurations, scored as if a wider search found more."""
+    table = evaluation.config_table(spark, evaluation.sweep_configs())
+    asked = replay.scored_turns(_turns(spark, sf_dir)).select(F.length("user_text").alias("n"))
+    scores = asked.join(F.broadcast(table.select("config_idx", "k", "max_tokens"))).select("config_idx", F.least(F.lit(5), (F.col("n") + F.col("k") * F.col("max_tokens") / 100).cast("int") % 5 + 1).alias("score"))
+    return evaluation.leaderboard(table.join(metrics.run_metrics(scores, ["config_idx"]), "config_idx"))
+
+
+def sweep_leaderboard(spark, sf_dir):
+    board = _proxy_board(spark, sf_dir)
+    return board.select("place", "config_idx", "min_tokens", "max_tokens", "k", "ef_search", "n_scored", F.round("mean_score", 6).alias("mean_score"), F.round("recall_at_4", 6).alias("recall_at_4"))
+
+
+def best_config(spark, sf_dir):
+    return _proxy_board(spark, sf_dir).where("is_best").select("config_idx", "min_tokens", "max_tokens", "k", "ef_search")
+
+
+def replay_eval(spark, sf_dir):
+    """The whole evaluation with the default responder and judge."""
+    results, _, _ = evaluation.run_eval(_turns(spark, sf_dir))
+    return results.select("conv_id", "turn", "score", F.size("retrieved").cast("long").alias("n_retrieved"), "reply")
+
+
+def replay_sweep(spark, sf_dir):
+    """A grid of eight configurations over all conversations."""
+    grid = evaluation.sweep_configs(chunker_grid={"min_tokens": [10], "max_tokens": [20, SMALL]}, retrieval_grid={"k": [1, 5], "ef_search": [50, 100]})
+    board = evaluation.run_sweep(_turns(spark, sf_dir), grid)
+    return board.select("place", "config_idx", "max_tokens", "k", "ef_search", "n_scored", F.round("mean_score", 6).alias("mean_score"), F.round("recall_at_4", 6).alias("recall_at_4"), "is_best")
+
+
+def truncate_results(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents")
+    text, hits = replay.truncated(F.col("text"), sentences(F.col("text")))
+    return rows.select("doc_id", text.alias("head"), F.array_join(hits, "\n").alias("first_five"))
+
+
+def ingest_counters(spark, sf_dir):
+    """Turns and chunks of each conversation and, in a row without conv_id, of all."""
+    turns = _turns(spark, sf_dir)
+    chunks = chunking.chunk(turns, ChunkerConfig(10, SMALL)).groupBy("conv_id").agg(F.count("*").alias("n_chunks"))
+    rows = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns")).join(chunks, "conv_id", "left").fillna(0, ["n_chunks"])
+    return rows.rollup("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_chunks").alias("n_chunks"))
+
+
+def stream_chunks(spark, sf_dir):
+    """Conversations read as a stream, each turn once, chunked and landed batch by batch."""
+    path = f"{sf_dir}/conversations.parquet"
+    turns = ingest.read_turns(spark, path, spark.read.parquet(path).schema)
+    out = ingest.folder(spark, "stream")
+    ingest.chunk_stream(ingest.deduplicated(turns), f"{out}/chunks", f"{out}/state", ChunkerConfig(10, SMALL)).awaitTermination()
+    return ingest.landed(spark, f"{out}/chunks").select("conv_id", "turn", "pos", "token_count")
+
+
+def event_windows(spark, sf_dir):
+    found = ingest.activity(_read(spark, sf_dir, "events"))
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n_events", F.round("value", 4).alias("value"))
+
+
+def role_adjacency(spark, sf_dir):
+    """How often which role follows which."""
+    order = W.partitionBy("conv_id").orderBy("turn")
+    return _turns(spark, sf_dir).withColumn("next_role", F.lead("role").over(order)).groupBy("role", "next_role").agg(F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
+    plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, build_prompt, judge_parse, conversation_scores, run_metrics)
+    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
+    found = {f.__name__: f for f in plain}
+    return found | {"parse_txt_roundtrip": _roundtrip(False), "parse_md_roundtrip": _roundtrip(True), "recent_window_4": _window(4), "recent_window_all": _window(0)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from turnlake.oracles import SQL
+
+    return dict(SQL)
