@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructType, TimestampType
 
 ROLES = ("user", "assistant", "system")
-TURNS = StructType.fromDDL("conv_id LONG, turn LONG, turn_id STRING, role STRING, text STRING, created_at TIMESTAMP")
-CHUNKS = StructType.fromDDL(
-    "chunk_id STRING, turn_id STRING, conv_id LONG, turn LONG, pos INT, text STRING, start_char INT, end_char INT, token_count INT, embedding ARRAY<FLOAT>, lexical_weights MAP<STRING, DOUBLE>"
-)
+
+
+def _struct(**fields) -> StructType:
+    out = StructType()
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
+TURNS = _struct(conv_id=LongType(), turn=LongType(), turn_id=StringType(), role=StringType(), text=StringType(), created_at=TimestampType())
+CHUNKS = _struct(
+    chunk_id=StringType(), turn_id=StringType(), conv_id=LongType(), turn=LongType(), pos=IntegerType(), text=StringType(),
+    start_char=IntegerType(), end_char=IntegerType(), token_count=IntegerType(),
+    embedding=ArrayType(FloatType()), lexical_weights=MapType(StringType(), DoubleType()),
+)
 
 
 @dataclass(frozen=True)
