@@ -98,10 +98,10 @@ def _priors(docs: DataFrame, languages: list[str], declared: str, host: str) ->
     """host and prior, an array of logs in the order of languages."""
     n = lambda x: F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0))
     counts = docs.groupBy(F.col(host).alias("host"), F.col(declared).alias("l")).agg(F.count("*").alias("n"))
+    if not languages:
+        return written(counts.select("host", F.array().cast("array<double>").alias("prior")).distinct())
     hosts = counts.groupBy("host").agg(*(n(x).alias(f"n{i}") for i, x in enumerate(languages))).withColumn("suffix", suffix(F.col("host")))
     names = [f"n{i}" for i in range(len(languages))]
-    if not names:
-        return written(hosts.select("host", F.array().cast("array<double>").alias("prior")))
     hosts = written(hosts)
     every = hosts.agg(*(F.sum(x).alias(x) for x in names)).first()
     total = sum(every[x] or 0 for x in names)
