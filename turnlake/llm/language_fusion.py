@@ -59,7 +59,7 @@ CLASS = np.array([b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 e
 
 
 def _texts(batch: pd.Series) -> list[bytes]:
-    return [(x or "").encode() + b" " for x in batch]
+    return [b" " + (x or "").encode() for x in batch]
 
 
 def suffix(host: Column) -> Column:
