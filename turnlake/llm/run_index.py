@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import table, written
 from .shingles import U, mix
 
 LENGTH = 400
@@ -264,52 +264,27 @@ def _spread(docs: DataFrame, length: int) -> DataFrame:
     return written(_texts(docs).mapInPandas(spread, ROW))
 
 
-def _respread(docs: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
-    """Crowded stretches keyed by the next level's intervals."""
+def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From stretches: those repeated as a whole, and one of each different kind under keys with several, with the number of kinds."""
+    often = rows.groupBy("level", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    live = written(rows.join(often, ["level", "key"]))
+    own = [c for c in live.columns if c not in ("level", "key", "same")]
+    kinds = written(live.groupBy("level", "key", "same").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("one")))
+    whole = live.join(kinds.where("n > 1").select("level", "key", "same"), ["level", "key", "same"], "left_semi")
+    several = kinds.groupBy("level", "key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return whole, written(kinds.join(several, ["level", "key"]).select("level", "key", "kinds", "one.*"))
 
-    def respread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for id_, hash_, text, found in zip(batch["id"], batch["hash"], batch["text"], batch["found"], strict=True):
-                raw = _bytes(text)
-                for x in found:
-                    width = interval(length, x["level"] + 1)
-                    hi = x["hi"]
-                    while hi >= x["lo"]:
-                        slot = (x["at"] - hi) // width
-                        lo = max(x["lo"], x["at"] - (slot * width + width - 1))
-                        key, same = _key(raw, x["at"], slot, width, length), xxhash.xxh3_64_intdigest(raw[lo : hi + length])
-                        rows.append((id_, hash_, x["level"] + 1, key - (key >> 63 << 64), same - (same >> 63 << 64), x["at"], lo, hi))
-                        hi = lo - 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROW.split(", ")])
-
-    return written(_with_texts(docs, crowded, F.struct("level", "at", "lo", "hi")).mapInPandas(respread, ROW))
-
-
-def _with_texts(docs: DataFrame, rows: DataFrame, what) -> DataFrame:
-    """id, hash, text and found, a list of what of each row, for each text that has rows."""
-    found = written(rows.groupBy(*ID).agg(F.collect_list(what).alias("found")))
-    # broadcast only if the lists are few in all
-    few = rows.limit(200_001).count() <= 200_000
-    return _texts(docs).join(F.broadcast(found) if few else found, ID)
-
-
-def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From stretches: those repeated as a whole, and one of each different kind under keys with several: crowded ones and the others."""
-    often = written(rows.groupBy("level", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    live = written(rows.join(small(often), ["level", "key"]))
-    kinds = written(live.groupBy("level", "key", "same").agg(F.count("*").alias("n"), F.min(F.struct("id", "hash", "at", "lo", "hi")).alias("one")))
-    whole = live.join(small(written(kinds.where("n > 1").select("level", "key", "same"))), ["level", "key", "same"])
-    several = written(kinds.groupBy("level", "key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    one = written(kinds.join(small(several), ["level", "key"]).select("level", "key", "kinds", "one.*"))
-    return whole, one.where(F.col("kinds") > CROWD), one.where(F.col("kinds") <= CROWD)
-
-
-def _indexed(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """Spans (id, hash, lo, hi) repeated among the given stretches."""
-    total = rows.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // BLOCK))
-    block = F.pmod(F.xxhash64("level", "key"), F.lit(blocks)).cast("int")
+
+#: Stretches with their bytes. block: where they are searched, -1 if their key is crowded.
+PART = "block int, id long, hash long, level int, at int, lo int, hi int, part binary"
+
+
+def _block(blocks: int):
+    return F.when(F.col("kinds") > CROWD, -1).otherwise(F.pmod(F.xxhash64("level", "key"), F.lit(blocks))).cast("int")
+
+
+def _with_parts(docs: DataFrame, one: DataFrame, blocks: int, length: int) -> DataFrame:
+    """Stretches with their bytes; the only time that texts meet stretches."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -318,34 +293,69 @@ def _indexed(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 raw = _bytes(text)
                 spans = defaultdict(list)
                 for x in found:
-                    spans[x["block"]].append((x["lo"], x["hi"] + length))
-                # within a block every place of a text is there once
-                rows += [(b, id_, hash_, lo, raw[lo:hi]) for b, s in spans.items() for lo, hi in _merged(s)]
-            yield pd.DataFrame(rows, columns=["block", "id", "hash", "start", "part"])
+                    if x["block"] < 0:
+                        rows.append((-1, id_, hash_, x["level"], x["at"], x["lo"], x["hi"], raw[x["lo"] : x["hi"] + length]))
+                    else:
+                        spans[x["block"]].append((x["lo"], x["hi"] + length))
+                rows += [(b, id_, hash_, 0, 0, lo, hi - length, raw[lo:hi]) for b, s in spans.items() for lo, hi in _merged(s)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PART.split(", ")])
+
+    found = one.withColumn("block", _block(blocks)).groupBy(*ID).agg(F.collect_list(F.struct("block", "level", "at", "lo", "hi")).alias("found"))
+    return written(_texts(docs).join(found, ID).mapInPandas(cut, PART))
+
+
+def _respread(crowded: DataFrame, length: int) -> DataFrame:
+    """Crowded stretches keyed by the next level's intervals, with their bytes."""
+
+    def respread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for id_, hash_, level, at, first, last, raw in zip(*(batch[c] for c in ("id", "hash", "level", "at", "lo", "hi", "part")), strict=True):
+                width, hi = interval(length, level + 1), last
+                while hi >= first:
+                    slot = (at - hi) // width
+                    lo = max(first, at - (slot * width + width - 1))
+                    part = raw[lo - first : hi - first + length]
+                    key, same = _key(raw, at - first, slot, width, length), xxhash.xxh3_64_intdigest(part)
+                    rows.append((id_, hash_, level + 1, key - (key >> 63 << 64), same - (same >> 63 << 64), at, lo, hi, part))
+                    hi = lo - 1
+            yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in ROW.split(", ")), "part"])
+
+    return written(crowded.mapInPandas(respread, ROW + ", part binary"))
+
+
+def _indexed(parts: DataFrame, length: int) -> DataFrame:
+    """Spans (id, hash, lo, hi) repeated among the given stretches, block by block."""
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        found = RunIndex(group["part"].tolist()).repeated(length)
-        rows = [(i, h, s + lo, s + hi) for i, h, s, spans in zip(group["id"], group["hash"], group["start"], found, strict=True) for lo, hi in spans]
+        # within a block every place of a text is there once: overlapping stretches become one
+        whole: list[list] = []
+        for id_, hash_, lo, part in sorted(zip(group["id"], group["hash"], group["lo"], group["part"], strict=True), key=lambda x: x[:3]):
+            if whole and whole[-1][:2] == [id_, hash_] and lo <= (end := whole[-1][2] + len(whole[-1][3])):
+                whole[-1][3] += part[max(0, end - lo) :]
+            else:
+                whole.append([id_, hash_, lo, part])
+        found = RunIndex([x[3] for x in whole]).repeated(length)
+        rows = [(i, h, s + lo, s + hi) for (i, h, s, _), spans in zip(whole, found, strict=True) for lo, hi in spans]
         return pd.DataFrame(rows, columns=["id", "hash", "lo", "hi"]).astype("int64")
 
-    parts = _with_texts(docs, rows.withColumn("block", block), F.struct("block", "lo", "hi")).mapInPandas(cut, "block int, id long, hash long, start int, part binary")
     return parts.groupBy("block").applyInPandas(search, "id long, hash long, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, hash and spans (lo, hi) of the texts of docs (doc_id, text) in which something is repeated; a written table."""
-    whole, crowded, rest = _sorted_out(_spread(docs, length))
-    found = [whole.select(*ID, F.col("lo").cast("long").alias("lo"), (F.col("hi") + length).cast("long").alias("hi"))]
-    others = rest
+    ends = (*ID, F.col("lo").cast("long").alias("lo"), (F.col("hi") + length).cast("long").alias("hi"))
+    whole, one = _sorted_out(_spread(docs, length))
+    total = one.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // BLOCK))
+    parts = _with_parts(docs, one, blocks, length)
+    spans, searched, crowded = whole.select(*ends), parts.where("block >= 0"), parts.where("block < 0")
     while not crowded.isEmpty():  # at the last level stretches under one key are equal
-        whole, crowded, rest = _sorted_out(_respread(docs, crowded, length))
-        found.append(whole.select(*ID, F.col("lo").cast("long").alias("lo"), (F.col("hi") + length).cast("long").alias("hi")))
-        others = others.unionByName(rest)
-    found.append(_indexed(docs, written(others.select("level", "key", *ID, "lo", "hi")), length))
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
-    return written(spans.distinct().groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+        whole, one = _sorted_out(_respread(crowded, length))
+        placed = one.withColumn("block", _block(blocks)).select(*parts.columns)
+        spans, searched, crowded = spans.unionByName(whole.select(*ends)), searched.unionByName(placed.where("block >= 0")), placed.where("block < 0")
+    spans = spans.unionByName(_indexed(searched.select("block", *ID, "lo", "part"), length))
+    return written(spans.groupBy(*ID).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
 
 
 def _removed(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
@@ -371,7 +381,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("hash"), "text")
-    joined = rows.join(small(spans), ID, "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ID, "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -384,7 +394,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series([_removed(_bytes(t), s)[1].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = docs.join(small(spans), same, "left")
+    joined = docs.join(spans, same, "left")
     left = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans"))
     return joined.withColumn("text", left).select(*docs.columns)
 
