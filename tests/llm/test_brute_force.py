@@ -196,13 +196,23 @@ def test_n_best_segmentations():
     for _ in range(200):
         text = "".join(rng.choice("abé \nz") for _ in range(rng.randint(1, 8)))
         for n in (1, 2, 5):
-            ids, scores = pieces.encode(text, n, {})
+            ((ids, scores),) = pieces.encode([text], n, {})
+            assert len(text) > 5 or pieces.best(" " + text.replace("\n", ""))[1] == ways(pieces, " " + text.replace("\n", ""))[0]
             assert scores == ways(pieces, " " + text)[:n], text
             assert pieces.decode(ids) == text
     found = [s for s, _ in pieces.n_best(" abab", 50)]
     assert found == ways(pieces, " abab")[:50] and found == heapq.nlargest(len(found), found)
 
 
+def test_many_parts_at_once():
+    rng = random.Random(7)
+    pieces = Tiny({p: -float(rng.randint(1, 9)) for p in ("a", "b", "ab", "ba", "aba", "bb", "é", "abab", "bba")})
+    parts = {"".join(rng.choice("abéz" if rng.random() < 0.2 else "ab") for _ in range(rng.randint(1, 60))) for _ in range(500)}
+    known = {}
+    pieces.learn(parts, known)
+    assert known == {x: pieces.best(x) for x in parts}
+
+
 def test_round_trip(spark, docs):
     more = spark.createDataFrame([("▁ two  marks ▁▁",), ("\n\n \t\0 \U0001f600 日本語",), (" ",), (None,)], "text string")
     rows = docs.select("text").unionByName(more).select("text", piece_lattice.encoded(F.col("text")).alias("x"), piece_lattice.digests(F.col("text")).alias("d"))
