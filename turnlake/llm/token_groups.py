@@ -6,7 +6,10 @@ Partition. If two sets are similar enough, they differ in at most k shingles.
 Shingle space is cut into k + 1 parts, so the two agree wholly in one of them:
 documents that share the contents of a part come together. Parts depend on the
 size of a set, by bands; a set near the lower end of the next band is cut for
-that one too. Chains of shared parts make neighbourhoods, which no link leaves.
+that one too. Those who come together compare sketches, how many of their
+shingles fall into each of 64 classes: the differences of these counts add up to
+no more than the number of shingles in which the sets differ. Chains of possible
+links make neighbourhoods, which no link leaves.
 
 Search. Within a neighbourhood similar documents form groups. A matrix leads
 from tokens (the rarest ones of each member, as many as one of which any link
@@ -44,6 +47,8 @@ NEED, OF = 90, 100
 WORDS = 3
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.5
+#: Classes of a sketch, and documents under one part that compare sketches; more count as possible links at once.
+CLASSES, CROWD = 64, 4096
 #: Shingles in a block of a large neighbourhood, and aimed at in one search.
 BLOCK = 1_500_000
 
@@ -77,7 +82,7 @@ def signatures(shingles: np.ndarray, need: int, of: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (f, g; null for empty sets) and signatures of each row; a written table.
+    """doc_id, n_shingles, fingerprint (f, g; null for empty sets), sketch and signatures of each row; a written table.
 
     A task lists the signatures of equal sets once.
     """
@@ -89,35 +94,90 @@ def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = O
             for doc_id, hashes in zip(batch["doc_id"], shingle_hashes(batch["text"].tolist(), words), strict=True):
                 own = np.unique(hashes)
                 if not len(own):
-                    rows.append((doc_id, 0, None, None, []))
+                    rows.append((doc_id, 0, None, None, None, []))
                     continue
                 f, g = (int(mix(own ^ U(x)).sum(dtype=np.uint64).astype(np.int64)) for x in (1, 2))
-                rows.append((doc_id, len(own), f, g, [] if (f, g) in seen else signatures(own, need, of).view(np.int64)))
+                # counts beyond a byte are cut, which makes differences smaller, never larger
+                sketch = np.minimum(np.bincount((own & U(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+                rows.append((doc_id, len(own), f, g, sketch, [] if (f, g) in seen else signatures(own, need, of).view(np.int64)))
                 seen.add((f, g))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f", "g", "signatures"]).astype({"doc_id": "Int64", "f": "Int64", "g": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f", "g", "sketch", "signatures"]).astype({"doc_id": "Int64", "f": "Int64", "g": "Int64"})
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n_shingles long, f long, g long, signatures array<long>"))
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n_shingles long, f long, g long, sketch binary, signatures array<long>"))
 
 
-def _first_of_each(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows (signature, node) in order: (first node of the signature, node) for each further node."""
-    last, first = None, None
+def _shared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows (signature, node) in order those whose signature the row before or behind has too."""
+    held = pd.DataFrame({"signature": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
+    again = False  # whether the held row has the signature of the one before it
     for batch in rows:
-        signature, node = batch["signature"].to_numpy(), batch["node"].to_numpy()
-        if not len(node):
+        batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
             continue
-        new = np.concatenate(([last is None or signature[0] != last], signature[1:] != signature[:-1]))
-        starts = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
-        firsts = np.where(starts >= 0, node[starts], node[0] if first is None else first)
-        last, first = signature[-1], firsts[-1]
-        yield pd.DataFrame({"a": firsts, "b": node})[firsts != node].drop_duplicates()
+        same = batch["signature"].to_numpy()[1:] == batch["signature"].to_numpy()[:-1]
+        before = np.concatenate(([again], same))
+        keep = before[:-1] | same
+        yield batch.iloc[:-1][keep]
+        held, again = batch.iloc[-1:], bool(before[-1])
+    if again:
+        yield held
+
+
+def possible_links(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, need: int, of: int) -> list[tuple[int, int]]:
+    """Links between documents whose sizes and sketches allow one, enough to connect all that are connected."""
+    links, left = [], np.argsort(nodes, kind="stable")
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            n, m = int(sizes[at]), sizes[left]
+            far = np.abs(sketches[left] - sketches[at]).sum(1)
+            near = (of * np.minimum(n, m) >= need * np.maximum(n, m)) & ((of + need) * far <= (of - need) * (n + m))
+            links += [(int(nodes[at]), int(x)) for x in nodes[left[near]]]
+            queue += left[near].tolist()
+            left = left[~near]
+    return links
+
 
+def _possible(need: int, of: int):
+    """From rows (signature, node, n, sketch) in order of signatures: possible links among those under one signature."""
 
-def neighbourhoods(described_: DataFrame) -> DataFrame:
-    """node and component of documents that share signatures, directly or in a chain."""
+    def pairs(run: pd.DataFrame) -> list[tuple[int, int]]:
+        nodes, sizes = run["node"].to_numpy(), run["n"].to_numpy()
+        if len(nodes) > CROWD:
+            return [(int(nodes[0]), int(x)) for x in nodes[1:]]
+        sketches = np.frombuffer(b"".join(run["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        return possible_links(nodes, sizes, sketches, need, of)
+
+    def find(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in rows:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            signature = batch["signature"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                out += pairs(batch.iloc[lo:hi])
+            held = batch.iloc[starts[-1] :]
+            if len(held) > 4 * CROWD:  # an endless run: what is known of it goes, its first row stays
+                out += pairs(held)
+                held = held.iloc[:1]
+            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+        if held is not None and len(held):
+            yield pd.DataFrame(pairs(held), columns=["a", "b"]).astype("int64")
+
+    return find
+
+
+def neighbourhoods(described_: DataFrame, need: int = NEED, of: int = OF) -> DataFrame:
+    """node and component of documents that may be linked, directly or in a chain."""
     rows = described_.where("doc_id IS NOT NULL").select(F.explode("signatures").alias("signature"), F.col("doc_id").alias("node"))
-    pairs = rows.repartition("signature").sortWithinPartitions("signature", "node").mapInPandas(_first_of_each, "a long, b long")
-    return components(pairs)
+    shared = rows.repartition("signature").sortWithinPartitions("signature", "node").mapInPandas(_shared, "signature long, node long")
+    sketches = described_.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+    met = shared.join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
+    return components(met.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long"))
 
 
 def search_block(ids: np.ndarray, sets: list[np.ndarray], need: int = NEED, of: int = OF) -> list[tuple[int, int]]:
@@ -188,7 +248,7 @@ def search_block(ids: np.ndarray, sets: list[np.ndarray], need: int = NEED, of:
 
 def similar_links(docs: DataFrame, described_: DataFrame, words: int = WORDS, need: int = NEED, of: int = OF, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all documents whose different sets are similar enough."""
-    near = neighbourhoods(described_)
+    near = neighbourhoods(described_, need, of)
     sizes = described_.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n"))
     near = written(near.join(sizes, "node"))
     whole = near.groupBy("component").agg(F.sum("n").alias("n"))
