@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths in one range of the two-level sums.
@@ -97,4 +97,4 @@ def quantiles(limits: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return context_limits(histogram(table(spark, sf_dir, "documents")))
+    return context_limits(written(histogram(table(spark, sf_dir, "documents"))))
