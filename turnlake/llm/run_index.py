@@ -266,12 +266,13 @@ def _spread(docs: DataFrame, length: int) -> DataFrame:
 
 def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From stretches: those repeated as a whole, and one of each different kind under keys with several, with the number of kinds."""
-    often = rows.groupBy("level", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # sides of joins are tables of their own, so that a key with very many rows can be split
+    often = written(rows.groupBy("level", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     live = written(rows.join(often, ["level", "key"]))
     own = [c for c in live.columns if c not in ("level", "key", "same")]
     kinds = written(live.groupBy("level", "key", "same").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("one")))
     whole = live.join(kinds.where("n > 1").select("level", "key", "same"), ["level", "key", "same"], "left_semi")
-    several = kinds.groupBy("level", "key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = written(kinds.groupBy("level", "key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     return whole, written(kinds.join(several, ["level", "key"]).select("level", "key", "kinds", "one.*"))
 
 
