@@ -142,12 +142,21 @@ def possible_links(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, n
 def _possible(need: int, of: int):
     """From rows (signature, node, n, sketch) in order of signatures: possible links among those under one signature."""
 
-    def pairs(run: pd.DataFrame) -> list[tuple[int, int]]:
-        nodes, sizes = run["node"].to_numpy(), run["n"].to_numpy()
-        if len(nodes) > CROWD:
-            return [(int(nodes[0]), int(x)) for x in nodes[1:]]
-        sketches = np.frombuffer(b"".join(run["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-        return possible_links(nodes, sizes, sketches, need, of)
+    def pairs(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
+        # two documents under a signature, the usual case, are compared all at once
+        lo = starts[ends - starts == 2]
+        n, m = sizes[lo], sizes[lo + 1]
+        far = np.abs(sketches[lo] - sketches[lo + 1]).sum(1)
+        near = lo[(of * np.minimum(n, m) >= need * np.maximum(n, m)) & ((of + need) * far <= (of - need) * (n + m))]
+        out = set(zip(nodes[near].tolist(), nodes[near + 1].tolist(), strict=True))
+        seen: set[bytes] = set()  # the same documents often share several parts
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            if hi - lo > CROWD:
+                out.update((int(nodes[lo]), x) for x in nodes[lo + 1 : hi].tolist())
+            elif hi - lo > 2 and (own := nodes[lo:hi].tobytes()) not in seen:
+                seen.add(own)
+                out.update(possible_links(nodes[lo:hi], sizes[lo:hi], sketches[lo:hi], need, of))
+        return out
 
     def find(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -157,16 +166,17 @@ def _possible(need: int, of: int):
                 continue
             signature = batch["signature"].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
-            out: list[tuple[int, int]] = []
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                out += pairs(batch.iloc[lo:hi])
-            held = batch.iloc[starts[-1] :]
+            columns = (batch["node"].to_numpy(), batch["n"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16))
+            last = int(starts[-1])
+            out = pairs(*columns, starts[:-1], starts[1:])
+            held = batch.iloc[last:]
             if len(held) > 4 * CROWD:  # an endless run: what is known of it goes, its first row stays
-                out += pairs(held)
+                out |= pairs(*columns, starts[-1:], np.array([len(batch)]))
                 held = held.iloc[:1]
-            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+            yield pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
         if held is not None and len(held):
-            yield pd.DataFrame(pairs(held), columns=["a", "b"]).astype("int64")
+            columns = (held["node"].to_numpy(), held["n"].to_numpy(), np.frombuffer(b"".join(held["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16))
+            yield pd.DataFrame(sorted(pairs(*columns, np.array([0]), np.array([len(held)]))), columns=["a", "b"]).astype("int64")
 
     return find
 
