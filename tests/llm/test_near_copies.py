@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -57,3 +59,15 @@ def test_run_keeps_one_of_each_group(spark, copies, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in copies.items()], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     left = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(left) == sorted(set(least_linked(copies, 5, 80).values()))  # one language and one source: the other stages drop no row
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 21, 60])
+def test_long_runs_over_batches(monkeypatch, step):
+    monkeypatch.setattr(token_groups, "CROWD", 4)
+    rng = np.random.default_rng(step)
+    runs = [(1, 3), (2, 18), (3, 1), (4, 21), (5, 40), (6, 2), (7, 17)]
+    rows = pd.DataFrame([(s, i, 12, rng.integers(0, 200, token_groups.CLASSES).astype(np.uint8).tobytes()) for s, n in runs for i in range(100 * s, 100 * s + n)], columns=["signature", "node", "n", "sketch"])
+    batches = (rows.iloc[i : i + step].reset_index(drop=True) for i in range(0, len(rows), step))
+    found = {tuple(map(int, x)) for part in token_groups._possible(90, 100)(batches) for x in part.to_numpy()}
+    # no two sketches are near, so links come only from runs that are taken as one, and there all rows have one
+    assert found == {(100 * s, i) for s, n in runs if n > 4 for i in range(100 * s + 1, 100 * s + n)}

@@ -159,7 +159,7 @@ def _possible(need: int, of: int):
         return out
 
     def find(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, linked = None, False  # whether the held row stands for a run whose rows are linked to it already
         for batch in rows:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(batch):
@@ -167,14 +167,18 @@ def _possible(need: int, of: int):
             signature = batch["signature"].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
             columns = (batch["node"].to_numpy(), batch["n"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16))
-            last = int(starts[-1])
-            out = pairs(*columns, starts[:-1], starts[1:])
-            held = batch.iloc[last:]
-            if len(held) > 4 * CROWD:  # an endless run: what is known of it goes, its first row stays
+            last, first, out = int(starts[-1]), int(linked), set()
+            if linked:  # the rest of such a run joins its first row, however few rows they are
+                out.update((int(columns[0][0]), x) for x in columns[0][1 : starts[1] if len(starts) > 1 else len(batch)].tolist())
+            out |= pairs(*columns, starts[first:-1], starts[first + 1 :])
+            held, linked = batch.iloc[last:], linked and last == 0
+            if not linked and len(held) > 4 * CROWD:  # an endless run: its rows are linked now, its first row stays
                 out |= pairs(*columns, starts[-1:], np.array([len(batch)]))
+                linked = True
+            if linked:
                 held = held.iloc[:1]
             yield pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
-        if held is not None and len(held):
+        if held is not None and len(held) > 1:
             columns = (held["node"].to_numpy(), held["n"].to_numpy(), np.frombuffer(b"".join(held["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16))
             yield pd.DataFrame(sorted(pairs(*columns, np.array([0]), np.array([len(held)]))), columns=["a", "b"]).astype("int64")
 
