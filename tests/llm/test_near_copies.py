@@ -71,3 +71,11 @@ def test_long_runs_over_batches(monkeypatch, step):
     found = {tuple(map(int, x)) for part in token_groups._possible(90, 100)(batches) for x in part.to_numpy()}
     # no two sketches are near, so links come only from runs that are taken as one, and there all rows have one
     assert found == {(100 * s, i) for s, n in runs if n > 4 for i in range(100 * s + 1, 100 * s + n)}
+
+
+def test_copy_without_number_comes_first(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join(base[:50] + ["e"] + base[51:])
+    rows = spark.createDataFrame([(None, " ".join(base)), (2**62 + 1, " ".join(base)), (2**62 + 3, near), (None, near)], "doc_id long, text string").coalesce(1)
+    found = sorted((r["doc_id"], r["component_id"]) for r in token_groups.join(rows).collect() if r["doc_id"] is not None)
+    assert found == [(2**62 + 1, 2**62 + 1), (2**62 + 3, 2**62 + 1)]

@@ -84,7 +84,7 @@ def signatures(shingles: np.ndarray, need: int, of: int) -> np.ndarray:
 def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
     """doc_id, n_shingles, fingerprint (f, g; null for empty sets), sketch and signatures of each row; a written table.
 
-    A task lists the signatures of equal sets once.
+    A task lists the signatures of equal sets once, with the first row that has a doc_id; rows without one have none.
     """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,11 +99,16 @@ def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = O
                 f, g = (int(mix(own ^ U(x)).sum(dtype=np.uint64).astype(np.int64)) for x in (1, 2))
                 # counts beyond a byte are cut, which makes differences smaller, never larger
                 sketch = np.minimum(np.bincount((own & U(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
-                rows.append((doc_id, len(own), f, g, sketch, [] if (f, g) in seen else signatures(own, need, of).view(np.int64)))
+                if doc_id is None or (f, g) in seen:
+                    rows.append((doc_id, len(own), f, g, sketch, []))
+                    continue
+                rows.append((doc_id, len(own), f, g, sketch, signatures(own, need, of).view(np.int64)))
                 seen.add((f, g))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f", "g", "sketch", "signatures"]).astype({"doc_id": "Int64", "f": "Int64", "g": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f", "g", "sketch", "signatures"]).astype({"f": "Int64", "g": "Int64"})
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n_shingles long, f long, g long, sketch binary, signatures array<long>"))
+    # doc_id as text, since pandas has no whole numbers with nulls
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(describe, "doc_id string, n_shingles long, f long, g long, sketch binary, signatures array<long>")
+    return written(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def _shared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
