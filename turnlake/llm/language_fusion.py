@@ -5,7 +5,8 @@ Four kinds of evidence meet in one posterior for each document:
 - its text: likelihoods of hashed byte trigrams, counted over all documents with
   a declared language (the counts are sums by language and trigram, at most
   languages x 65,536 rows),
-- the language it declares, which is right with a given probability,
+- the language it declares, which is right with a given probability; the case and
+  the parts behind the first (en-US) of a declaration do not count,
 - the suffix of its host, whose languages are counted over all documents,
 - its host: counted languages, smoothed towards those of the suffix, which are
   smoothed towards those of all documents.
@@ -13,7 +14,7 @@ Four kinds of evidence meet in one posterior for each document:
 A document is rejected if no letter is in it or no language reaches the least
 posterior.
 
-Defined results: null text counts as empty and is rejected; null or unknown
+Defined results: null text counts as empty and is rejected; null or blank
 declarations say nothing; a null host takes the prior of all null hosts; ties go
 to the language that is smaller; without any declared language every document
 has none and is rejected; repeated rows are judged alike; in fuse() further
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import small, table, written
 
 GRAMS = 1 << 16
-#: At most so many languages are told apart, the most frequent ones.
-LANGUAGES = 64
+#: Languages whose counts a task holds before it hands them on, and hosts whose priors it remembers.
+HELD = 64
 #: A declaration is right with this probability.
 DECLARED = 0.9
 #: Weight of the upper level in host and suffix priors, in documents.
@@ -67,55 +68,59 @@ def suffix(host: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")).contains("."), F.lower(F.substring_index(host, ".", -1))).otherwise(F.lit(""))
 
 
-def fit(docs: DataFrame, declared: str = "lang", host: str = "source") -> tuple[list[str], np.ndarray, DataFrame]:
-    """(languages, log-likelihood of each trigram by language, host and its log priors as a written table)."""
-    named = docs.where(F.col(declared).isNotNull())
-    counted = named.groupBy(F.col(declared).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
-    languages = sorted(r["l"] for r in counted)
-    place = {language: i for i, language in enumerate(languages)}
+def language(declared: Column) -> Column:
+    """The language of a declaration: its first part in lower case, so en, EN and en-US are one; null if blank."""
+    low = F.lower(F.btrim(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^[^-_]*", 0)))
+    return F.when(low != "", low)
+
+
+def fit(docs: DataFrame, declared: str = "lang", host: str = "source") -> tuple[list[str], np.ndarray, np.ndarray, DataFrame]:
+    """(languages, log-likelihood of each trigram by language, documents of each language, _priors() of the hosts)."""
+    said = docs.withColumn("_lid_said", language(F.col(declared)))
+    counts = written(said.groupBy(F.col(host).alias("host"), F.col("_lid_said").alias("l")).agg(F.count("*").alias("n")))
+    every = {r["l"]: r["n"] for r in counts.where("l IS NOT NULL").groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(every)
+    place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(languages), GRAMS + 1), np.int64)
+        sums: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pd.DataFrame]:
+            for x, own in sums.items():
+                gram = np.flatnonzero(own[:GRAMS])
+                yield pd.DataFrame({"at": place[x], "gram": gram, "n": own[gram]})
+            sums.clear()
+
         for batch in batches:
-            for language, part in batch.groupby("l"):
-                if language in place:
-                    sums[place[language]] += np.bincount(_grams(_texts(part["text"]))[0], minlength=GRAMS + 1)
-        sums[:, GRAMS] = 0
-        at, gram = np.nonzero(sums)
-        yield pd.DataFrame({"at": at, "gram": gram, "n": sums[at, gram]})
-
-    grams = named.select(F.col(declared).alias("l"), "text").mapInPandas(count, "at int, gram int, n long").groupBy("at", "gram").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.full((len(languages), GRAMS + 1), 0.5)
-    sums[grams["at"], grams["gram"]] += grams["n"]
-    sums[:, GRAMS] = 0
-    logs = np.zeros_like(sums, np.float32)
-    if languages:
-        logs[:, :GRAMS] = np.log(sums[:, :GRAMS] / sums[:, :GRAMS].sum(1, keepdims=True))
-    return languages, logs, _priors(docs, languages, declared, host)
-
-
-def _priors(docs: DataFrame, languages: list[str], declared: str, host: str) -> DataFrame:
-    """host and prior, an array of logs in the order of languages."""
-    n = lambda x: F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0))
-    counts = docs.groupBy(F.col(host).alias("host"), F.col(declared).alias("l")).agg(F.count("*").alias("n"))
-    if not languages:
-        return written(counts.select("host", F.array().cast("array<double>").alias("prior")).distinct())
-    hosts = counts.groupBy("host").agg(*(n(x).alias(f"n{i}") for i, x in enumerate(languages))).withColumn("suffix", suffix(F.col("host")))
-    names = [f"n{i}" for i in range(len(languages))]
-    hosts = written(hosts)
-    every = hosts.agg(*(F.sum(x).alias(x) for x in names)).first()
-    total = sum(every[x] or 0 for x in names)
-    above = [((every[x] or 0) + 1) / (total + len(names)) for x in names]
-    suffixes = hosts.groupBy("suffix").agg(*(F.sum(x).alias(f"s{x}") for x in names))
-    s_total, h_total = sum(F.col(f"s{x}") for x in names), sum(F.col(x) for x in names)
-    suffixes = suffixes.select("suffix", *(((F.col(f"s{x}") + SUFFIX_PRIOR * p) / (s_total + SUFFIX_PRIOR)).alias(f"s{x}") for x, p in zip(names, above, strict=True)))
-    prior = F.array(*(F.log((F.col(x) + HOST_PRIOR * F.col(f"s{x}")) / (h_total + HOST_PRIOR)) for x in names))
-    return written(hosts.join(suffixes, "suffix").select("host", prior.alias("prior")))
+            for x, part in batch.groupby("l"):
+                if x not in sums and len(sums) == HELD:
+                    yield from counted()
+                sums[x] = sums.get(x, 0) + np.bincount(_grams(_texts(part["text"]))[0], minlength=GRAMS + 1)
+        yield from counted()
+
+    named = said.where("_lid_said IS NOT NULL").select(F.col("_lid_said").alias("l"), "text")
+    grams = named.mapInPandas(count, "at int, gram int, n long").groupBy("at", "gram").agg(F.sum("n").alias("n")).toPandas()
+    logs = np.full((len(languages), GRAMS + 1), 0.5, np.float32)
+    totals = np.full(len(languages), 0.5 * GRAMS) + np.bincount(grams["at"], grams["n"], minlength=len(languages))
+    logs[grams["at"], grams["gram"]] += grams["n"]
+    for row, total in zip(logs, totals, strict=True):
+        row[:] = np.log(row / total)
+        row[GRAMS] = 0
+    return languages, logs, np.array([every[x] for x in languages], float), _priors(counts)
+
+
+def _priors(counts: DataFrame) -> DataFrame:
+    """host, and the languages declared on it (l, n) and under its suffix (sl, sn), from counts (host, l, n); a written table."""
+    counts = counts.withColumn("suffix", suffix(F.col("host")))
+    both = F.sort_array(F.collect_list(F.when(F.col("l").isNotNull(), F.struct("l", "n"))))
+    suffixes = written(counts.groupBy("suffix", "l").agg(F.sum("n").alias("n")).groupBy("suffix").agg(both.alias("s")))
+    hosts = counts.groupBy("host", "suffix").agg(both.alias("h")).join(small(suffixes), "suffix")
+    return written(hosts.select("host", F.col("h.l").alias("l"), F.col("h.n").alias("n"), F.col("s.l").alias("sl"), F.col("s.n").alias("sn")))
 
 
 def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: float = LEAST) -> DataFrame:
     """docs with lid: struct(lang, posterior, text_lang, kept). The texts stay where they are read."""
-    languages, logs, priors = fit(docs, declared, host)
+    languages, logs, every, priors = fit(docs, declared, host)
     n = len(languages)
 
     @F.pandas_udf("array<double>")
@@ -136,23 +141,41 @@ def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: f
         return docs.withColumn("lid", nothing)
     wrong = float(np.log((1 - DECLARED) / max(1, n - 1)))
     right = float(np.log(DECLARED))
-    names = F.array(*map(F.lit, languages))
-    says = [F.when(F.col(declared) == x, right).when(F.col(declared).isin(languages), wrong).otherwise(0.0) for x in languages]
-    scored = docs.withColumn("_lid_text", likelihoods(F.col("text")))
-    priors = priors.select(F.col("host").alias("_lid_host"), F.col("prior").alias("_lid_prior"))
+    place = {x: i for i, x in enumerate(languages)}
+    above = (every + 1) / (every.sum() + n)
+
+    def smoothed(names, counts, weight: float, upper: np.ndarray) -> np.ndarray:
+        own = weight * upper
+        own[[place[x] for x in names]] += counts
+        return own / (np.sum(counts) + weight)
+
+    @F.pandas_udf("lang string, posterior double, text_lang string, kept boolean")
+    def judged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for batch in batches:
+            rows = []
+            for text, said, at, l, c, sl, sn in zip(*batch, strict=True):  # noqa: E741
+                if not text[n]:
+                    rows.append((None, 0.0, None, False))
+                    continue
+                if at not in known:
+                    if len(known) >= HELD:
+                        known.clear()
+                    known[at] = np.log(smoothed(l, c, HOST_PRIOR, smoothed(sl, sn, SUFFIX_PRIOR, above)))
+                both = text[:n] + known[at]
+                if said is not None:
+                    both = both + wrong
+                    both[place[said]] += right - wrong
+                # argmax gives the first of equal values: languages are in order
+                best = int(np.argmax(both))
+                posterior = float(1 / np.exp(both - both[best]).sum())
+                rows.append((languages[best], posterior, languages[int(np.argmax(text[:n]))], posterior >= least))
+            yield pd.DataFrame(rows, columns=["lang", "posterior", "text_lang", "kept"])
+
+    scored = docs.withColumn("_lid_text", likelihoods(F.col("text"))).withColumn("_lid_said", language(F.col(declared)))
+    priors = priors.select(*(F.col(c).alias(f"_lid_{c}") for c in priors.columns))
     joined = scored.join(small(priors), F.col(host).eqNullSafe(F.col("_lid_host")))
-    logs_ = F.array(*(F.get("_lid_text", i) + F.get("_lid_prior", i) + says[i] for i in range(n)))
-    # array_position gives the first of equal values: languages are in order
-    first = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
-    joined = joined.withColumn("_lid_logs", logs_)
-    posterior = 1 / F.aggregate("_lid_logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("_lid_logs")))
-    letters = F.get("_lid_text", n) > 0
-    lid = F.struct(
-        F.when(letters, first(F.col("_lid_logs"))).alias("lang"),
-        F.when(letters, posterior).otherwise(0.0).alias("posterior"),
-        F.when(letters, first(F.slice("_lid_text", 1, n))).alias("text_lang"),
-        (letters & (posterior >= least)).alias("kept"),
-    )
+    lid = judged(*(F.col(f"_lid_{c}") for c in ("text", "said", "host", "l", "n", "sl", "sn")))
     return joined.withColumn("lid", lid).select(*(c for c in docs.columns if c != "lid"), "lid")
 
 
