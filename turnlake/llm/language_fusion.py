@@ -23,7 +23,9 @@ columns stay, but for one named lid, which is replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ HOST_PRIOR, SUFFIX_PRIOR = 20.0, 50.0
 #: Trigrams of one text are not independent: together they weigh as so many.
 EVIDENCE = 60
 LEAST = 0.5
+#: What a page does not show.
+HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,5 +183,26 @@ def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: f
     return joined.withColumn("lid", lid).select(*(c for c in docs.columns if c != "lid"), "lid")
 
 
+def visible(html: Column) -> Column:
+    """What a page shows: its text without comments, scripts, styles and tags; null for null."""
+
+    @F.pandas_udf("string")
+    def shown(pages: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else unescape(HIDDEN.sub(" ", x)) for x in pages], dtype=object)
+
+    return shown(html)
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """page_id, text, lang (of the html tag) and source (the host of the url) of pages (page_id, url, html)."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    tag = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b([^>]*)>", 1)
+    lang = F.regexp_extract(tag, r"(?i)(?:^|\s)(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)", 1)
+    return pages.select("page_id", visible(F.col("html")).alias("text"), F.when(lang != "", lang).alias("lang"), F.when(host != "", host).alias("source"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return fuse(table(spark, sf_dir, "documents")).select("doc_id", "lid.lang", F.round("lid.posterior", 6).alias("posterior"), "lid.text_lang", "lid.kept")
+    """Documents (page_id null) and pages (doc_id null), judged together: only pages have hosts with suffixes and declare in their markup."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    both = docs.unionByName(page_rows(table(spark, sf_dir, "pages")), allowMissingColumns=True)
+    return fuse(both).select("doc_id", "page_id", "lid.lang", F.round("lid.posterior", 6).alias("posterior"), "lid.text_lang", "lid.kept")
