@@ -204,5 +204,6 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """Documents (page_id null) and pages (doc_id null), judged together: only pages have hosts with suffixes and declare in their markup."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    both = docs.unionByName(page_rows(table(spark, sf_dir, "pages")), allowMissingColumns=True)
+    # written, so that pages are stripped once and no task runs two Python workers
+    both = docs.unionByName(written(page_rows(table(spark, sf_dir, "pages"))), allowMissingColumns=True)
     return fuse(both).select("doc_id", "page_id", "lid.lang", F.round("lid.posterior", 6).alias("posterior"), "lid.text_lang", "lid.kept")
