@@ -1,7 +1,6 @@
 """Each operator against a plain version of itself."""
 
 import hashlib
-import heapq
 import random
 import re
 from collections import Counter, defaultdict
@@ -167,59 +166,85 @@ class Tiny(piece_lattice.Pieces):
         self.byte = {b: 1000 + b for b in range(256)}
         self.id = {p: i for i, p in enumerate(pieces)}
         self.score = dict(pieces)
-        self.longest = max(map(len, pieces))
-        self.unknown = min(self.score.values()) - piece_lattice.UNKNOWN
-        self.bytes = {i: bytes([b]) for b, i in self.byte.items()} | {i: p.encode() for p, i in self.id.items()}
         self.prepare()
 
 
 def ways(pieces, text):
+    """All segmentations: (score, ids)."""
     out = []
 
-    def go(at, score):
+    def go(at, score, ids):
         if at == len(text):
-            out.append(score)
+            out.append((score, ids))
         for end in range(at + 1, len(text) + 1):
             piece = text[at:end]
             if piece in pieces.id:
-                go(end, score + pieces.score[piece])
+                go(end, score + pieces.score[piece], (*ids, pieces.id[piece]))
             elif end == at + 1:
-                go(end, score + pieces.unknown)
+                go(end, score + pieces.unknown, (*ids, *(pieces.byte[b] for b in piece.encode())))
 
-    go(0, 0.0)
+    go(0, 0.0, ())
     return sorted(out, reverse=True)
 
 
 def test_n_best_segmentations():
     rng = random.Random(6)
-    pieces = Tiny({p: -float(rng.randint(1, 9)) for p in (" ", "  ", " a", "a", "b", "ab", "ba", "aba", " ab", "é", "bb", " b")})
-    for _ in range(200):
-        text = "".join(rng.choice("abé \nz") for _ in range(rng.randint(1, 8)))
-        for n in (1, 2, 5):
-            ((ids, scores),) = pieces.encode([text], n, {})
-            assert len(text) > 5 or pieces.best(" " + text.replace("\n", ""))[1] == ways(pieces, " " + text.replace("\n", ""))[0]
-            assert scores == ways(pieces, " " + text)[:n], text
-            assert pieces.decode(ids) == text
-    found = [s for s, _ in pieces.n_best(" abab", 50)]
-    assert found == ways(pieces, " abab")[:50] and found == heapq.nlargest(len(found), found)
+    for round_ in range(3):
+        pieces = Tiny({p: -float(rng.randint(1, 9 if round_ else 2)) for p in (" ", "  ", " a", "a", "b", "ab", "ba", "aba", " ab", "é", "bb", " b")})
+        for _ in range(150):
+            text = "".join(rng.choice("abé \nz") for _ in range(rng.randint(1, 8)))
+            every = ways(pieces, " " + text)
+            for n in (1, 2, 3, 5):
+                (found,) = pieces.encode([text], n, piece_lattice.Memory())
+                assert [s for s, _ in found] == [s for s, _ in every[:n]], text
+                # each is a segmentation of its own, of the score it says
+                assert len({tuple(ids.tolist()) for _, ids in found}) == len(found) and {(s, tuple(ids.tolist())) for s, ids in found} <= set(every)
+                assert all(pieces.decode(ids.tolist()) == text for _, ids in found)
+    found = pieces.n_best(" abab", 50)
+    assert [s for s, _ in found] == [s for s, _ in ways(pieces, " abab")][:50] and len(set(found)) == len(found)
 
 
 def test_many_parts_at_once():
     rng = random.Random(7)
     pieces = Tiny({p: -float(rng.randint(1, 9)) for p in ("a", "b", "ab", "ba", "aba", "bb", "é", "abab", "bba")})
     parts = {"".join(rng.choice("abéz" if rng.random() < 0.2 else "ab") for _ in range(rng.randint(1, 60))) for _ in range(500)}
-    known = {}
-    pieces.learn(parts, known)
-    assert known == {x: pieces.best(x) for x in parts}
+    memory = piece_lattice.Memory()
+    pieces.learn(parts, memory)
+    for x in parts:
+        ids, score, loss = pieces.best(x)
+        at = memory.number[x]
+        assert memory.score[at] == score and memory.loss[at] == loss
+        own = memory.ids[memory.ends[at] : memory.ends[at + 1]].tolist()
+        assert pieces.decode([0, *own]) == x and (own == ids.tolist() or loss == 0)
+        if len(x) < 9:
+            scores = [s for s, _ in ways(pieces, x)]
+            assert score == scores[0] and loss == (scores[0] - scores[1] if len(scores) > 1 else float("inf"))
+
+
+def test_long_part_without_spaces():
+    pieces = piece_lattice.Pieces(piece_lattice.MODEL)
+    text = "".join(random.Random(12).choice("abcdeé") for _ in range(200_000))
+    (found,) = pieces.encode([text], 3, piece_lattice.Memory())
+    assert len(found) == 3 and found[0][0] >= found[1][0] >= found[2][0]
+    assert all(pieces.decode(ids.tolist()) == text for _, ids in found)
 
 
 def test_round_trip(spark, docs):
-    more = spark.createDataFrame([("▁ two  marks ▁▁",), ("\n\n \t\0 \U0001f600 日本語",), (" ",), (None,)], "text string")
-    rows = docs.select("text").unionByName(more).select("text", piece_lattice.encoded(F.col("text")).alias("x"), piece_lattice.digests(F.col("text")).alias("d"))
-    rows = rows.select("text", "x", "d", piece_lattice.decoded(F.col("x.ids")).alias("back")).collect()
-    for r in rows:
-        assert r["back"] == (r["text"] or "") and r["d"]["restored"] and r["d"]["n_pieces"] == len(r["x"]["ids"]) and r["d"]["scores"] == r["x"]["scores"]
-        assert r["x"]["scores"] == sorted(r["x"]["scores"], reverse=True)
+    more = spark.createDataFrame([(None, "▁ two  marks ▁▁"), (-1, "\n\n \t\0 \U0001f600 日本語"), (-2, " "), (-3, None), (-4, "")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(more)
+    both = piece_lattice.segmented(rows, ["doc_id", "text"]).withColumn("back", piece_lattice.decoded(F.col("segmentations")[0]["ids"])).collect()
+    digest = {(r["doc_id"], r["text"]): r["ways"] for r in piece_lattice.digests(rows, ["doc_id", "text"]).collect()}
+    plain = {(r["doc_id"], r["text"]): r for r in piece_lattice.encode_rows(rows, ["doc_id", "text"]).collect()}
+    pieces = piece_lattice.Pieces(piece_lattice.MODEL)
+    assert len(both) == rows.count()
+    for r in both:
+        found, own = r["segmentations"], digest[r["doc_id"], r["text"]]
+        assert r["back"] == (r["text"] or "") and [w["score"] for w in found] == sorted((w["score"] for w in found), reverse=True)
+        assert all(w["restored"] for w in own) and [w["score"] for w in own] == [w["score"] for w in found] == plain[r["doc_id"], r["text"]]["scores"]
+        assert plain[r["doc_id"], r["text"]]["ids"] == found[0]["ids"] and len({w["ids_sha256"] for w in own}) == len(own)
+        for w, d in zip(found, own, strict=True):
+            assert pieces.decode(w["ids"]) == (r["text"] or "") and d["n_pieces"] == len(w["ids"])
+            assert d["ids_sha256"] == hashlib.sha256(np.array(w["ids"], "<i4").tobytes()).hexdigest()
 
 
 def test_frequent_lines(spark):

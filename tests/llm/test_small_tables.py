@@ -34,7 +34,7 @@ RUNS = {
     "licence": license_scan.scan,
     "lengths": lambda d: length_histogram.context_limits(length_histogram.histogram(d)),
     "language": language_fusion.fuse,
-    "pieces": lambda d: d.select("doc_id", piece_lattice.digests(F.col("text")).alias("x")),
+    "pieces": lambda d: piece_lattice.digests(d, ["doc_id"]),
     "jaccard": token_groups.join,
     "removals": run_index.removals,
     "deduplicated": run_index.deduplicated,

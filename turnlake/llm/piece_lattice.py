@@ -12,13 +12,21 @@ second best. The N best of the whole text differ from the best in few parts,
 those with the least losses; there the search gives the alternatives, which are
 combined to the exact N best.
 
+A way that leaves the best one enters some place of it, seen from the end for
+the first time, by another piece. So the runner-up of the forward pass at the
+places of the best way gives the loss of the second best, and the N - 1 least of
+these losses bound the search: what loses more never enters the queue.
+
 Characters without a piece are spelled in byte pieces. As in the model's own
 rules a text gets one space in front; decoding takes it off again, so decoding
 what was encoded gives back the text, whatever its characters.
 
-Defined results: null and empty texts have no pieces, score 0 and decode to the
-empty text; repeated rows are encoded alike; an empty table gives an empty
-result; further columns stay where they are wanted.
+Defined results: null and empty texts have one segmentation without pieces, of
+score 0, and decode to the empty text; texts with fewer than N segmentations have
+as many as there are; segmentations of equal score come in an order that is the
+same on every run; texts of any length are encoded whole, those without spaces as
+one part; repeated rows are encoded alike; an empty table gives an empty result;
+further columns stay where they are wanted.
 """
 
 from __future__ import annotations
@@ -26,12 +34,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +53,14 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 3
 #: What a character without a piece costs beside the worst piece.
 UNKNOWN = 10.0
-#: Parts whose segmentations a task remembers; beyond it, it starts afresh with the next text.
-REMEMBERED = 400_000
+#: Parts whose segmentations a task remembers; beyond it, it starts afresh with the next texts.
+REMEMBERED = 100_000
 MARK = "▁"
-#: Characters of texts that are cut up at once, and the longest part that is searched with others.
-CHUNK, AT_ONCE = 1 << 20, 48
+#: Bytes of texts that are cut up at once, parts that are searched at once, and the longest part that is searched with others.
+CHUNK, GROUP, AT_ONCE = 1 << 18, 4000, 48
 #: Hashing of pieces: table size, base of the polynomial over characters, spread of places.
 TABLE_BITS, BASE, SPREAD = 18, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+INF = float("inf")
 
 
 class Pieces:
@@ -62,50 +73,96 @@ class Pieces:
         # a piece of a single character besides the marks stands for text; marks in texts have no piece
         self.id = {m.id_to_piece(i).replace(MARK, " "): i for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
         self.score = {piece: m.get_score(i) for piece, i in self.id.items()}
-        self.longest = max(map(len, self.id))
-        self.unknown = min(s for s in self.score.values() if s > -1e8) - UNKNOWN
-        self.bytes = {i: bytes([b]) for b, i in self.byte.items()} | {i: piece.encode() for piece, i in self.id.items()}
         self.prepare()
 
     def prepare(self) -> None:
-        """A table of hashed pieces, and where texts fall apart."""
+        """A table of hashed pieces and beginnings of pieces, and where texts fall apart."""
+        self.longest = max(map(len, self.id))
+        self.unknown = min(s for s in self.score.values() if s > -1e8) - UNKNOWN
+        self.bytes = {i: bytes([b]) for b, i in self.byte.items()} | {i: piece.encode() for piece, i in self.id.items()}
+        #: Proper beginnings of pieces: a search goes on only behind these.
+        self.begins = {piece[:k] for piece in self.id for k in range(1, len(piece))}
         pieces = list(self.id)
-        self.hashed = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.number = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.ids = np.array([self.id[x] for x in pieces], np.int64)
+        number = {piece: i for i, piece in enumerate(pieces)}
+        self.ids = np.array([self.id[x] for x in pieces], np.int32)
         self.scores = np.array([self.score[x] for x in pieces])
-        for number, piece in enumerate(pieces):
+        size = 1 << TABLE_BITS
+        self.used, self.hashed = np.zeros(size, bool), np.zeros(size, np.uint64)
+        self.number, self.longer = np.full(size, -1, np.int32), np.zeros(size, bool)
+        for piece in self.begins | set(pieces):
             h = 0
             for c in piece:
                 h = (h * BASE + ord(c) + 1) % 2**64
             at = self._slot(h)
-            while self.number[at] >= 0:
-                at = (at + 1) % len(self.number)
-            self.hashed[at], self.number[at] = h, number
+            while self.used[at]:
+                at = (at + 1) % size
+            self.used[at], self.hashed[at], self.number[at], self.longer[at] = True, h, number.get(piece, -1), piece in self.begins
         if any(" " in piece.lstrip(" ") for piece in self.id):
             raise ValueError("a piece has a space after another character")
         self.parts = re.compile(r" +[^ ]*|[^ ]+" if any("\n" in piece for piece in self.id) else r" +[^ \n]*|\n|[^ \n]+")
 
-    def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place the pieces that end there: (start, score, ids)."""
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(part) + 1)]
-        for start in range(len(part)):
-            for end in range(start + 1, min(len(part), start + self.longest) + 1):
+    @staticmethod
+    def _slot(h):
+        return (h * SPREAD % 2**64) >> (64 - TABLE_BITS) if isinstance(h, int) else ((h * np.uint64(SPREAD)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash in the table, -1 without one."""
+        at = self._slot(h)
+        right = self.hashed[at] == h
+        out = np.where(right & self.used[at], at, -1)
+        open_ = np.flatnonzero(~right & self.used[at])
+        while len(open_):  # taken by another piece: the next place
+            at[open_] = (at[open_] + 1) % len(self.hashed)
+            there = at[open_]
+            right = self.used[there] & (self.hashed[there] == h[open_])
+            out[open_[right]] = there[right]
+            open_ = open_[self.used[there] & ~right]
+        return out
+
+    def forward(self, part: str) -> tuple[array, array, array]:
+        """For each place the best score up to it, where its last piece starts, and the best score with another last piece."""
+        n, find, begins = len(part), self.score.get, self.begins
+        ahead, runner, came = array("d", [-INF]) * (n + 1), array("d", [-INF]) * (n + 1), array("l", [0]) * (n + 1)
+        ahead[0] = 0.0
+        for start in range(n):
+            base = ahead[start]
+            for end in range(start + 1, min(n, start + self.longest) + 1):
                 piece = part[start:end]
-                if piece in self.id:
-                    into[end].append((start, self.score[piece], (self.id[piece],)))
-                elif end == start + 1:
-                    into[end].append((start, self.unknown, tuple(self.byte[b] for b in piece.encode())))
-        return into
+                score = self.unknown if (known := find(piece)) is None and end == start + 1 else known
+                if score is not None:
+                    total = base + score
+                    if total > ahead[end]:
+                        ahead[end], runner[end], came[end] = total, ahead[end], start
+                    elif total > runner[end]:
+                        runner[end] = total
+                if piece not in begins:
+                    break
+        return ahead, came, runner
+
+    def _spelled(self, piece: str) -> tuple[int, ...]:
+        return (self.id[piece],) if piece in self.id else tuple(self.byte[b] for b in piece.encode())
+
+    def best(self, part: str) -> tuple[np.ndarray, float, float]:
+        """(ids, score) of the best segmentation, and how much less the second best scores."""
+        ahead, came, runner = self.forward(part)
+        path, end, loss = [], len(part), INF
+        while end:
+            path.append((came[end], end))
+            loss = min(loss, ahead[end] - runner[end])
+            end = came[end]
+        return np.array([i for start, end in reversed(path) for i in self._spelled(part[start:end])], np.int32), ahead[-1], loss
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations: (score, ids), the best first."""
-        into = self.edges(part)
-        best = [0.0]
-        for place in range(1, len(part) + 1):
-            best.append(max(best[start] + score for start, score, _ in into[place]))
-        # (minus the score of the best way through, place, number, score from place on, pieces from place on)
-        queue: list[tuple[float, int, int, float, tuple]] = [(-best[-1], len(part), 0, 0.0, ())]
+        ahead, came, runner = self.forward(part)
+        losses, end = [], len(part)
+        while end:
+            losses.append(ahead[end] - runner[end])
+            end = came[end]
+        least = heapq.nsmallest(n - 1, losses)
+        most = (least[-1] if len(least) == n - 1 and least else 0.0 if n == 1 else INF) + 1e-6
+        # (loss of the best way through, place, number, score from place on, pieces from place on)
+        queue: list[tuple[float, int, int, float, tuple]] = [(0.0, len(part), 0, 0.0, ())]
         found: list[tuple[float, tuple[int, ...]]] = []
         number = 0
         while queue and len(found) < n:
@@ -113,132 +170,76 @@ class Pieces:
             if not place:
                 ids: list[int] = []
                 while rest:
-                    ids += rest[0]
+                    ids += self._spelled(rest[0])
                     rest = rest[1]
                 found.append((behind, tuple(ids)))
                 continue
-            for start, score, ids in into[place]:
-                number += 1
-                heapq.heappush(queue, (-(best[start] + score + behind), start, -number, score + behind, (ids, rest)))
+            for start in range(max(0, place - self.longest), place):
+                piece = part[start:place]
+                score = self.unknown if (known := self.score.get(piece)) is None and start == place - 1 else known
+                if score is not None and (loss := ahead[-1] - (ahead[start] + score + behind)) <= most:
+                    number += 1
+                    heapq.heappush(queue, (loss, start, number, score + behind, (piece, rest)))
         return found
 
-    @staticmethod
-    def _slot(h):
-        return (h * SPREAD % 2**64) >> (64 - TABLE_BITS) if isinstance(h, int) else ((h * np.uint64(SPREAD)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The number of the piece with each hash, -1 without one."""
-        at = self._slot(h)
-        out = np.where(self.hashed[at] == h, self.number[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.number[at] >= 0))
-        while len(open_):  # taken by another piece: the next place
-            at[open_] = (at[open_] + 1) % len(self.number)
-            out[open_] = np.where(self.hashed[at[open_]] == h[open_], self.number[at[open_]], -1)
-            open_ = open_[(out[open_] < 0) & (self.number[at[open_]] >= 0)]
-        return out
-
-    def learn(self, parts, known: dict) -> None:
-        """known with best(part) of all parts: many are searched at once, the longest apart."""
+    def learn(self, parts: Iterable[str], memory: Memory) -> None:
+        """Puts best(part) of all parts into memory: many are searched at once, the longest apart."""
         parts = sorted(parts, key=lambda x: (-len(x), x))
         first = next((i for i, x in enumerate(parts) if len(x) <= AT_ONCE), len(parts))
         for part in parts[:first]:
-            known[part] = self.best(part)
-        for start in range(first, len(parts), 20_000):
-            self._learn(parts[start : start + 20_000], known)
+            memory.add([part], *([x] for x in self.best(part)))
+        for start in range(first, len(parts), GROUP):
+            self._learn(parts[start : start + GROUP], memory)
 
-    def _learn(self, parts: list[str], known: dict) -> None:
+    def _learn(self, parts: list[str], memory: Memory) -> None:
         """The same as best(), place by place over all parts, which come with falling lengths."""
         size = np.array([len(x) for x in parts])
         rows, most = len(parts), int(size[0])
         text = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         begin = np.cumsum(size) - size
         reach = [int(np.searchsorted(-size, -i, "right")) for i in range(most + 1)]  # rows with at least so many characters
-        ahead = np.full((most + 1, rows), -np.inf)
+        ahead, runner = np.full((most + 1, rows), -np.inf), np.full((most + 1, rows), -np.inf)
         ahead[0] = 0
         came, piece = np.zeros((most + 1, rows), np.int16), np.full((most + 1, rows), -1, np.int32)
-        edges = []
         for start in range(most):
-            h = np.zeros(reach[start + 1], np.uint64)
+            row, h = np.arange(reach[start + 1]), np.zeros(reach[start + 1], np.uint64)
             for end in range(start + 1, min(most, start + self.longest) + 1):
-                n = reach[end]
-                h = h[:n] * np.uint64(BASE) + text[begin[:n] + end - 1]
-                number = self.numbers(h)
-                score = np.where(number >= 0, self.scores[number], self.unknown if end == start + 1 else -np.inf)
-                total = ahead[start, :n] + score
-                better = total > ahead[end, :n]
-                ahead[end, :n][better] = total[better]
-                came[end, :n][better] = start
-                piece[end, :n][better] = number[better]
-                edges.append((start, end, n, score))
-        best = ahead[size, np.arange(rows)]
-        after = np.zeros((most + 1, rows), np.int16)  # where the best way goes on
-        taken = np.full((most + 1, rows), -2, np.int32)  # by which piece
+                n = int(np.searchsorted(row, reach[end]))  # shorter parts drop out
+                row = row[:n]
+                if not n:
+                    break
+                h = h[:n] * np.uint64(BASE) + text[begin[row] + end - 1]
+                slot = self.lookup(h)
+                number = np.where(slot >= 0, self.number[slot], -1)
+                on, taken = row, number
+                if end > start + 1:
+                    on, taken = row[number >= 0], number[number >= 0]
+                if len(on):
+                    total = ahead[start, on] + np.where(taken >= 0, self.scores[taken], self.unknown)
+                    now = ahead[end, on]
+                    better = total > now
+                    runner[end, on] = np.where(better, now, np.maximum(runner[end, on], total))
+                    won = on[better]
+                    ahead[end, won], came[end, won], piece[end, won] = total[better], start, taken[better]
+                longer = (slot >= 0) & self.longer[slot]
+                row, h = row[longer], h[longer]
+        loss, way = np.full(rows, np.inf), np.full((most + 1, rows), -2, np.int32)  # the pieces of the best way, by their starts
         at, row = size.copy(), np.arange(rows)
         while len(row):
-            before = came[at, row]
-            after[before, row], taken[before, row] = at, piece[at, row]
+            np.minimum.at(loss, row, ahead[at, row] - runner[at, row])
+            before = came[at, row].astype(np.int64)
+            way[before, row] = piece[at, row]
             more = before > 0
-            at, row = before[more].astype(np.int64), row[more]
-        behind, second = np.full((most + 1, rows), -np.inf), np.full(rows, -np.inf)
-        behind[size, np.arange(rows)] = 0
-        for start, end, n, score in reversed(edges):
-            through = score + behind[end, :n]
-            np.maximum(behind[start, :n], through, out=behind[start, :n])
-            other = after[start, :n] != end
-            second[:n][other] = np.maximum(second[:n], ahead[start, :n] + through)[other]
-        row, at = np.nonzero(taken.T > -2)
-        found = taken[at, row]
-        spelled = set(row[found < 0].tolist())  # characters without a piece
-        ids, ends = self.ids[found].tolist(), np.cumsum(np.bincount(row, minlength=rows)).tolist()
-        lo = 0
-        for i, (part, hi, score, loss) in enumerate(zip(parts, ends, best.tolist(), (best - second).tolist(), strict=True)):
-            known[part] = self.best(part) if i in spelled else (tuple(ids[lo:hi]), score, loss)
-            lo = hi
-
-    def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        """(ids, score) of the best segmentation, and how much less the second best scores.
-
-        The second best holds a piece that the best one lacks; the best way
-        through such a piece is the forward score before it, the piece, and the
-        backward score behind it.
-        """
-        n, find = len(part), self.score.get
-        ahead, came = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        edges = []
-        for start in range(n):
-            base = ahead[start]
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                score = find(part[start:end])
-                if score is None:
-                    if end > start + 1:
-                        continue
-                    score = self.unknown
-                edges.append((start, end, score))
-                if base + score > ahead[end]:
-                    ahead[end], came[end] = base + score, start
-        path, end = [], n
-        while end:
-            path.append((came[end], end))
-            end = came[end]
-        behind, on_it = [float("-inf")] * n + [0.0], set(path)
-        total, second = ahead[n], float("-inf")
-        for start, end, score in reversed(edges):
-            through = score + behind[end]
-            if through > behind[start]:
-                behind[start] = through
-            if ahead[start] + through > second and (start, end) not in on_it:
-                second = ahead[start] + through
-        ids: list[int] = []
-        for start, end in reversed(path):
-            piece = part[start:end]
-            if piece in self.id:
-                ids.append(self.id[piece])
-            else:
-                ids += (self.byte[x] for x in piece.encode())
-        return tuple(ids), total, total - second
-
-    def encode(self, texts: list[str | None], n: int, known: dict) -> Iterator[tuple[list[int], list[float]]]:
-        """For each text the ids of the best segmentation and the scores of the n best; known remembers parts."""
+            at, row = before[more], row[more]
+        row, at = np.nonzero(way.T > -2)
+        found = way[at, row]
+        ids = np.split(self.ids[found], np.cumsum(np.bincount(row, minlength=rows))[:-1])
+        for i in set(row[found < 0].tolist()):  # characters without a piece
+            ids[i] = self.best(parts[i])[0]
+        memory.add(parts, ids, ahead[size, np.arange(rows)], loss)
+
+    def encode(self, texts: list[str | None], n: int, memory: Memory) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """For each text the n best segmentations: (score, ids), the best first."""
         at = 0
         while at < len(texts):
             cut, total = [], 0
@@ -246,64 +247,135 @@ class Pieces:
                 cut.append(self.parts.findall(f" {texts[at]}") if texts[at] else [])
                 total += len(texts[at] or "")
                 at += 1
-            if len(known) > REMEMBERED:
-                known.clear()
-            self.learn(set().union(*cut).difference(known), known)
+            if len(memory.number) > REMEMBERED:
+                memory.clear()
+            self.learn(set().union(*cut).difference(memory.number), memory)
             for parts in cut:
-                yield self._joined(parts, n, known)
+                yield self._joined(parts, n, memory)
 
-    def _joined(self, parts: list[str], n: int, known: dict) -> tuple[list[int], list[float]]:
+    def _joined(self, parts: list[str], n: int, memory: Memory) -> list[tuple[float, np.ndarray]]:
         if not parts:
-            return [], [0.0]
-        found = list(map(known.__getitem__, parts))
-        ids = list(chain.from_iterable([x[0] for x in found]))
-        score = sum([x[1] for x in found])
+            return [(0.0, np.zeros(0, np.int32))]
+        number = np.fromiter(map(memory.number.__getitem__, parts), np.int64, len(parts))
+        ids, ends = memory.joined(number)
+        score = float(memory.score[number].sum())
+        if n == 1:
+            return [(score, ids)]
         # the n best of all differ from the best in few parts: those where an alternative costs least
-        losses = [0.0]
-        if n > 1:
-            for _, part in heapq.nsmallest(n - 1, [(known[part][2], part) for part in set(parts)]):
-                ways = self.n_best(part, n)
-                lost = [ways[0][0] - s for s, _ in ways]
-                for _ in range(min(n - 1, parts.count(part))):
-                    losses = heapq.nsmallest(n, [a + b for a in losses for b in lost])
-        return ids, [score - x for x in losses]
+        own, places = np.unique(number, return_index=True)
+        losses = memory.loss[own]
+        at = np.flatnonzero(losses <= np.partition(losses, min(n - 2, len(own) - 1))[min(n - 2, len(own) - 1)])
+        ways: list[tuple[float, tuple]] = [(0.0, ())]  # (loss, what is changed where)
+        for _, place in sorted((losses[i], places[i]) for i in at)[: n - 1]:
+            others = memory.ways(parts[place], n, self)
+            for where in np.flatnonzero(number == number[place])[: n - 1].tolist():
+                ways = heapq.nsmallest(n, [(loss + others[0][0] - s, (*changed, (where, k)) if k else changed) for loss, changed in ways for k, (s, _) in enumerate(others)])
+        out = [(score, ids)]
+        for loss, changed in ways[1:]:
+            pieces, done = [], 0
+            for where, k in sorted(changed):
+                pieces += [ids[done : ends[where]], np.array(memory.ways(parts[where], n, self)[k][1], np.int32)]
+                done = ends[where + 1]
+            out.append((score - loss, np.concatenate([*pieces, ids[done:]])))
+        return out
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
 
-def encoded(text: Column, model: str = MODEL, n: int = N_BEST) -> Column:
-    """struct(ids, scores): pieces of the best segmentation of the whole text and the scores of the n best."""
+class Memory:
+    """Best segmentations of parts in flat arrays, and the n best of those that were asked for."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.score, self.loss = np.zeros(0), np.zeros(0)
+        self._ways: dict[tuple[str, int], list] = {}
+
+    def add(self, parts: list[str], ids: list[np.ndarray], scores, losses) -> None:
+        for part in parts:
+            self.number[part] = len(self.number)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.score, self.loss = np.append(self.score, scores), np.append(self.loss, losses)
+
+    def joined(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these parts one after another, and where each part's begin, with the end of all."""
+        start, size = self.ends[number], self.ends[number + 1] - self.ends[number]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], ends
 
-    @F.pandas_udf("ids array<int>, scores array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces, known = Pieces(model), {}
+    def ways(self, part: str, n: int, pieces: Pieces) -> list[tuple[float, tuple[int, ...]]]:
+        if (part, n) not in self._ways:
+            if len(self._ways) >= REMEMBERED // 10:
+                self._ways.clear()
+            at = self.number[part]
+            first = tuple(self.ids[self.ends[at] : self.ends[at + 1]].tolist())
+            # of equally good ones the search may meet another first
+            others = [way for way in pieces.n_best(part, n) if way[1] != first]
+            self._ways[part, n] = [(float(self.score[at]), first), *others[: n - 1]]
+        return self._ways[part, n]
+
+
+def _slices(text: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about CHUNK bytes of text, one row at least."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(total // CHUNK, prepend=0)) if len(total) else []
+    bounds = sorted({0, *(int(c) + 1 for c in cuts), len(total)})
+    return zip(bounds, bounds[1:], strict=False)
+
+
+def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *values]).astype(kind)))
+
+
+def _each(docs: DataFrame, keep: list[str], model: str, n: int, fields: T.StructType, made: Callable) -> DataFrame:
+    """The columns keep of docs and what made(pieces, texts, their segmentations) gives; a slice of texts at a time is held as strings."""
+    rows = docs.select(*keep, F.col("text").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, memory = Pieces(model), Memory()
         for batch in batches:
-            both = list(pieces.encode(batch.tolist(), n, known))
-            yield pd.DataFrame({"ids": [np.array(i, np.int32) for i, _ in both], "scores": [s for _, s in both]})
+            for lo, hi in _slices(batch.column(len(keep))):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(len(keep)).to_pylist()
+                columns = made(pieces, texts, pieces.encode(texts, n, memory))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=[*keep, *fields.names])
 
-    return encode(text)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], *fields]))
+
+
+def segmented(docs: DataFrame, keep: list[str], model: str = MODEL, n: int = N_BEST) -> DataFrame:
+    """The columns keep of docs with segmentations: array of the n best (score, ids) of the whole text, the best first."""
+    kind = T.ArrayType(T.StructType().add("score", T.DoubleType()).add("ids", T.ArrayType(T.IntegerType())))
+
+    def made(pieces: Pieces, texts: list, found: Iterator) -> list[pa.Array]:
+        all_ = list(found)
+        flat = [way for ways in all_ for way in ways]
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in all_])]).astype(np.int32)
+        both = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), _lists([i for _, i in flat], np.int32)], ["score", "ids"])
+        return [pa.ListArray.from_arrays(pa.array(ends), both)]
+
+    return _each(docs, keep, model, n, T.StructType().add("segmentations", kind), made)
 
 
 def encode_rows(docs: DataFrame, keep: list[str], model: str = MODEL, n: int = N_BEST) -> DataFrame:
-    """The columns keep of docs with ids and scores as encoded() makes them, some rows at a time: a task holds few arrays of pieces."""
-    made = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("scores", T.ArrayType(T.DoubleType()))
-    # as text, since pandas has no whole numbers with nulls
-    rows = docs.select(*(F.col(c).cast("string").alias(c) for c in keep), "text")
+    """The columns keep of docs with ids of the best segmentation and scores of the n best."""
+    fields = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("scores", T.ArrayType(T.DoubleType()))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, known = Pieces(model), {}
-        for batch in batches:
-            start, held, total = 0, [], 0
-            for at, (ids, scores) in enumerate(pieces.encode(batch["text"].tolist(), n, known), 1):
-                held.append((np.array(ids, np.int32), scores))
-                total += len(ids)
-                if total >= CHUNK // 2 or at == len(batch):
-                    yield batch[keep].iloc[start:at].assign(ids=[i for i, _ in held], scores=[s for _, s in held])
-                    start, held, total = at, [], 0
+    def made(pieces: Pieces, texts: list, found: Iterator) -> list[pa.Array]:
+        ids, scores = [], []
+        for ways in found:
+            ids.append(ways[0][1])
+            scores.append(np.array([s for s, _ in ways]))
+        return [_lists(ids, np.int32), _lists(scores, np.float64)]
 
-    out = rows.mapInPandas(encode, T.StructType([*(rows.schema[c] for c in keep), *made]))
-    return out.select(*(F.col(c).cast(docs.schema[c].dataType).alias(c) for c in keep), "ids", "scores")
+    return _each(docs, keep, model, n, fields, made)
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
@@ -318,21 +390,30 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     return decode(ids)
 
 
-def digests(text: Column, model: str = MODEL, n: int = N_BEST) -> Column:
-    """struct(n_pieces, scores, ids_sha256, restored): encoded() and decoded() in one go, without their arrays."""
+def digests(docs: DataFrame, keep: list[str], model: str = MODEL, n: int = N_BEST) -> DataFrame:
+    """The columns keep of docs with ways: of each segmentation in segmented() its score, number of pieces, digest, and whether it decodes to the text."""
+    way = T.StructType().add("score", T.DoubleType()).add("n_pieces", T.LongType()).add("ids_sha256", T.StringType()).add("restored", T.BooleanType())
 
-    @F.pandas_udf("n_pieces long, scores array<double>, ids_sha256 string, restored boolean")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces, known = Pieces(model), {}
-        for batch in batches:
-            rows = []
-            for x, (ids, scores) in zip(batch, pieces.encode(batch.tolist(), n, known), strict=True):
-                rows.append((len(ids), scores, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), pieces.decode(ids) == (x or "")))
-            yield pd.DataFrame(rows, columns=["n_pieces", "scores", "ids_sha256", "restored"])
+    def made(pieces: Pieces, texts: list, found: Iterator) -> list[pa.Array]:
+        rows = [
+            [{"score": s, "n_pieces": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "restored": pieces.decode(ids.tolist()) == (text or "")} for s, ids in ways]
+            for text, ways in zip(texts, found, strict=True)
+        ]
+        kind = pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("restored", pa.bool_())])
+        return [pa.array(rows, pa.list_(kind))]
 
-    return digest(text)
+    return _each(docs, keep, model, n, T.StructType().add("ways", T.ArrayType(way)), made)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", digests(F.col("text")).alias("x"))
-    return rows.select("doc_id", "x.n_pieces", F.get("x.scores", 0).alias("best_score"), F.get("x.scores", 1).alias("second_score"), F.get("x.scores", 2).alias("third_score"), "x.ids_sha256", "x.restored")
+    rows = digests(table(spark, sf_dir, "documents"), ["doc_id"])
+    ways = [F.get("ways", k) for k in range(N_BEST)]
+    named = [("best", ways[0]), ("second", ways[1]), ("third", ways[2])]
+    return rows.select(
+        "doc_id",
+        F.size("ways").cast("long").alias("n_ways"),
+        ways[0]["n_pieces"].alias("n_pieces"),
+        *(w["score"].alias(f"{name}_score") for name, w in named),
+        *(w["ids_sha256"].alias(f"{name}_sha256") for name, w in named),
+        F.forall("ways", lambda w: w["restored"]).alias("restored"),
+    )
