@@ -80,10 +80,15 @@ def test_run_index():
             assert own == cover
 
 
-@pytest.mark.parametrize("crowd", [1000, 2])
-def test_repeats(spark, monkeypatch, crowd):
+def runs_of(cover):
+    edges = [i for i in range(len(cover) + 1) if (i > 0 and cover[i - 1]) != (i < len(cover) and cover[i])]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
+@pytest.mark.parametrize("crowd,block", [(1000, 20_000), (2, 800)])
+def test_repeats(spark, monkeypatch, crowd, block):
     monkeypatch.setattr(run_index, "CROWD", crowd)  # 2: nearly all keys are keyed anew
-    monkeypatch.setattr(run_index, "BLOCK", 20_000)
+    monkeypatch.setattr(run_index, "BLOCK", block)  # 800: many keys have blocks of their own
     rng = random.Random(4)
     passage = "".join(rng.choice("abcdé ") for _ in range(150))
     texts = [None, "", "x" * 500, passage, passage]
@@ -91,15 +96,46 @@ def test_repeats(spark, monkeypatch, crowd):
         head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 300))) for _ in range(2))
         texts.append(head + passage[rng.randint(0, 60) : rng.randint(90, 150)] + tail)
     texts += texts[10:14]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: r for r in run_index.removals(rows, 64).collect()}
+    ids = [*range(len(texts) - 3), 7, None, None]  # a number twice, two rows without one
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     raw = [(t or "").encode() for t in texts]
-    for i, (text, cover) in enumerate(zip(raw, covered(raw, 64), strict=True)):
-        runs = sum(c and (not j or not cover[j - 1]) for j, c in enumerate(cover))
+    long, short = covered(raw, 64), covered(raw, 40)
+    want = Counter()
+    for doc_id, text, cover, inner in zip(ids, raw, long, short, strict=True):
         kept = bytes(b for b, c in zip(text, cover, strict=True) if not c)
-        assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"], found[i]["kept_sha256"]) == (len(text), sum(cover), runs, hashlib.sha256(kept).hexdigest()), i
-    left = {r["doc_id"]: r["text"] for r in run_index.deduplicated(rows, 64).collect()}
-    assert left[0] is None and left[3] == "" and set(left) == set(found)
+        marked = []
+        for lo, hi in runs_of(inner):
+            words = re.findall(rb"[^\x20\x09-\x0D]+", text[lo:hi])
+            whole = len(words) - (lo > 0 and not text[lo - 1 : lo].isspace() and not text[lo : lo + 1].isspace()) - (hi < len(text) and not text[hi - 1 : hi].isspace() and not text[hi : hi + 1].isspace())
+            if whole > 5:
+                marked.append(hi - lo)
+        want[(doc_id, len(text), sum(cover), len(runs_of(cover)), hashlib.sha256(kept).hexdigest(), len(marked), sum(marked))] += 1
+    assert any(k[5] for k in want) and Counter(map(tuple, run_index.removals(rows, 64, 40, 5).collect())) == want
+    left = run_index.deduplicated(rows, 64).collect()
+    assert len(left) == len(texts)
+    left = {r["doc_id"]: r["text"] for r in left}
+    assert left[0] is None and left[3] == ""
+
+
+def test_repeats_of_contract_length(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows.collect()}
+    first, again = {}, set()
+    for doc_id, text in texts.items():
+        for i in range(len(text) - 399):
+            if first.setdefault(text[i : i + 400], (doc_id, i)) != (doc_id, i):
+                again |= {first[text[i : i + 400]], (doc_id, i)}
+    starts = defaultdict(list)
+    for doc_id, i in again:
+        starts[doc_id].append(i)
+    found = run_index.removals(rows).collect()
+    assert len(found) == len(texts) and any(r["n_removed"] for r in found)
+    for r in found:
+        cover = [False] * len(texts[r["doc_id"]])
+        for i in starts[r["doc_id"]]:
+            cover[i : i + 400] = [True] * 400
+        kept = bytes(b for b, c in zip(texts[r["doc_id"]], cover, strict=True) if not c)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(cover), sum(cover), len(runs_of(cover)), hashlib.sha256(kept).hexdigest())
 
 
 def words_of(text):

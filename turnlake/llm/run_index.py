@@ -1,7 +1,10 @@
 """Suffix-array deduplication with run-length indexes.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts
-somewhere else, in any document. Two steps find all such strings.
+somewhere else, in any document. Three steps find all such strings.
+
+Copies. Texts that are there more than once are repeated as a whole; a task hands
+on the stretches of only one of them, so that groups of copies do not grow.
 
 Routing. In each window of LENGTH bytes the k-gram with the least hash is the
 anchor (the first of equal ones). Equal windows have the same anchor at the same
@@ -13,21 +16,27 @@ different stretches are keyed anew by shorter intervals and longer shared bytes,
 until at last the interval is one offset and the shared bytes are the window.
 
 Index. The different stretches are dealt into blocks of bounded size by their
-keys. A block sorts its suffixes, builds the run-compressed Burrows-Wheeler
-transform and keeps, for the first and last suffix of each run, its position and
-how far it agrees with the neighbour outside the run. Everything else follows
-from these samples: streaming over the block, the matching statistics at a
-position are those of the sample before it less the distance. Positions with
-LENGTH or more are marked.
+keys, large keys alone. A block sorts its suffixes, builds the run-compressed
+Burrows-Wheeler transform and keeps, for the first and last suffix of each run,
+its position and how far it agrees with the neighbour outside the run. Everything
+else follows from these samples: streaming over the block, the matching
+statistics at a position are those of the sample before it less the distance.
+Positions with LENGTH or more are marked.
+
+Passages are the second thing that is found: maximal runs of bytes that strings
+of PASSAGE bytes cover, with more than WORDS whole words. Longer strings that
+repeat lie within such runs, so the search for LENGTH goes over these runs alone.
 
 Defined results: null text counts as empty; texts shorter than LENGTH keep all;
 repeated rows repeat each other, so all of their bytes go if they are that long;
-null ids are allowed; an empty table gives an empty result; in deduplicated()
-further columns stay, and characters of which only some bytes stay are dropped.
+null ids are allowed; texts of any length are searched whole, in overlapping
+pieces; an empty table gives an empty result; in deduplicated() further columns
+stay, and characters of which only some bytes stay are dropped.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,22 +44,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop, table, unused, written
 from .shingles import U, mix
 
 LENGTH = 400
+#: A passage is a run covered by repeated strings of so many bytes that has more than so many words.
+PASSAGE, WORDS = 250, 50
 #: Bytes of an anchor.
-GRAM = 32
+GRAM = 16
 #: Bytes read at once, and at most (positions in a piece take the lower bits of a number).
 CHUNK, PIECE_BITS = 1 << 20, 24
 #: Bytes in a block of the index.
 BLOCK = 1_500_000
 #: A key with more different stretches is keyed anew.
 CROWD = 1000
-_MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+#: Two polynomials over bytes: their bases, and a random number for each byte.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_RANDOM = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**64, (2, 256), dtype=np.uint64)
 
 
 def _words(data: np.ndarray, order: str) -> np.ndarray:
@@ -89,9 +103,28 @@ def _key(text: bytes, at: int, slot: int, width: int, length: int) -> int:
     return xxhash.xxh3_64_intdigest(text[at - least : at - most + length], seed=slot * 1024 + width)
 
 
-def stretches(texts: list[bytes], length: int, level: int) -> tuple[list[int], dict[str, np.ndarray]]:
-    """For each text how many stretches, and of all: key, same (hash of its bytes), at (anchor), lo and hi (first and last window)."""
-    width = interval(length, level)
+@functools.cache
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(CHUNK + (1 << PIECE_BITS), base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+class _Hashes:
+    """Polynomial hashes of any ranges of some bytes, from prefix sums."""
+
+    def __init__(self, data: np.ndarray, number: int):
+        base = _BASES[number]
+        self.inverse = _powers(pow(base, -1, 2**64))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_RANDOM[number][data] * _powers(base)[: len(data)])))
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+
+
+def stretches(texts: list[bytes], length: int) -> tuple[list[int], dict[str, np.ndarray]]:
+    """The first level. For each text how many stretches, and of all: key, same (hash of its bytes), at (anchor), lo and hi (first and last window)."""
+    width = interval(length, 1)
     counts = [0] * len(texts)
     out: dict[str, list] = {k: [] for k in ("key", "same", "at", "lo", "hi")}
     pieces = []  # (text, offset, bytes)
@@ -109,16 +142,19 @@ def stretches(texts: list[bytes], length: int, level: int) -> tuple[list[int], d
         at = at[start]
         slot = (at - start) // width
         new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (slot[1:] != slot[:-1]) | (piece[1:] != piece[:-1]))))
-        last = np.append(new[1:], len(at)) - 1
-        for p, a, s, lo, hi in zip(piece[new].tolist(), at[new].tolist(), slot[new].tolist(), start[new].tolist(), start[last].tolist(), strict=True):
-            text, offset, raw = pieces[p]
-            b = int(begins[p])
-            counts[text] += 1
-            out["key"].append(_key(raw, a - b, s, width, length))
-            out["same"].append(xxhash.xxh3_64_intdigest(raw[lo - b : hi - b + length]))
-            out["at"].append(a - b + offset)
-            out["lo"].append(lo - b + offset)
-            out["hi"].append(hi - b + offset)
+        lo, hi = start[new], start[np.append(new[1:], len(at)) - 1]
+        at, slot, piece = at[new], slot[new], piece[new]
+        least = slot * width
+        most = np.minimum(length - GRAM, least + width - 1)
+        first, second = (_Hashes(data, k) for k in (0, 1))
+        shift = np.array([offset for _, offset, _ in pieces])[piece] - begins[piece]
+        out["key"].append(mix(first(at - least, at - most + length) + mix((slot * 1024 + width).astype(np.uint64))))
+        out["same"].append(first(lo, hi + length) ^ mix(second(lo, hi + length)))
+        out["at"].append(at + shift)
+        out["lo"].append(lo + shift)
+        out["hi"].append(hi + shift)
+        for text, n in zip((p[0] for p in pieces), np.bincount(piece, minlength=len(pieces)).tolist(), strict=True):
+            counts[text] += n
         pieces.clear()
 
     total = 0
@@ -131,7 +167,7 @@ def stretches(texts: list[bytes], length: int, level: int) -> tuple[list[int], d
             pieces.append((i, offset, raw))
             total += len(raw)
     flush()
-    return counts, {k: np.array(v, np.uint64).view(np.int64) if k in ("key", "same") else np.array(v, np.int32) for k, v in out.items()}
+    return counts, {k: np.concatenate([np.zeros(0, np.uint64), *v]).view(np.int64) if k in ("key", "same") else np.concatenate([np.zeros(0, np.int32), *v]).astype(np.int32) for k, v in out.items()}
 
 
 def suffix_order(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,69 +276,110 @@ def _merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-#: What names a text: its number and the hash of its bytes.
+BLANKS = b" \t\n\x0b\x0c\r"
+#: What names a text: its number and a hash.
 ID = ["id", "hash"]
 ROW = "id long, hash long, level int, key long, same long, at int, lo int, hi int"
+#: Texts that a task knows by their hashes; beyond it, it forgets them, and copies come twice, which changes nothing.
+KNOWN = 1_000_000
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("hash"), "text")
+def _texts(docs: DataFrame, *more: str) -> DataFrame:
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(raw).alias("hash"), raw.alias("raw"))
 
 
-def _spread(docs: DataFrame, length: int) -> DataFrame:
-    """All stretches at the first level."""
+def _spread(texts: DataFrame, length: int) -> DataFrame:
+    """All stretches at the first level; of equal texts in a task, those of one."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
         for batch in batches:
-            counts, columns = stretches([_bytes(t) for t in batch["text"]], length, 1)
+            fresh = []
+            for raw in batch["raw"]:
+                name = xxhash.xxh3_128_digest(raw)
+                fresh.append(name not in seen)
+                seen.add(name)
+            if len(seen) > KNOWN:
+                seen.clear()
+            batch = batch[np.array(fresh, bool)]
+            counts, columns = stretches(batch["raw"].tolist(), length)
             yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), counts), "hash": np.repeat(batch["hash"].to_numpy(), counts), "level": np.int32(1), **columns})
 
-    return written(_texts(docs).mapInPandas(spread, ROW))
+    return written(texts.select(*ID, "raw").mapInPandas(spread, ROW))
+
+
+def _copies(texts: DataFrame, length: int) -> DataFrame:
+    """Spans (id, hash, lo, hi) of texts that are there more than once: all of them; written."""
+    names = written(texts.select(*ID, F.xxhash64("raw").alias("one"), F.xxhash64(F.lit(1), "raw").alias("two"), F.octet_length("raw").cast("long").alias("n")).where(F.col("n") >= length))
+    often = written(names.groupBy("one", "two", "n").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    out = written(names.join(often, ["one", "two", "n"], "left_semi").select(*ID, F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
+    drop(names, often)
+    return out
 
 
-def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From stretches: those repeated as a whole, and one of each different kind under keys with several, with the number of kinds."""
+def _sorted_out(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """From stretches, a written table that goes: those repeated as a whole, and one of each different kind under keys with several, with the key's kinds and bytes; both written."""
     # sides of joins are tables of their own, so that a key with very many rows can be split
     often = written(rows.groupBy("level", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     live = written(rows.join(often, ["level", "key"]))
+    drop(rows, often)
     own = [c for c in live.columns if c not in ("level", "key", "same")]
     kinds = written(live.groupBy("level", "key", "same").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("one")))
-    whole = live.join(kinds.where("n > 1").select("level", "key", "same"), ["level", "key", "same"], "left_semi")
-    several = written(kinds.groupBy("level", "key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    return whole, written(kinds.join(several, ["level", "key"]).select("level", "key", "kinds", "one.*"))
+    whole = written(live.join(kinds.where("n > 1").select("level", "key", "same"), ["level", "key", "same"], "left_semi").select(*ID, "lo", "hi"))
+    size = F.col("one.hi") - F.col("one.lo") + length
+    several = written(kinds.groupBy("level", "key").agg(F.count("*").alias("kinds"), F.sum(size.cast("long")).alias("bytes")).where("kinds > 1"))
+    one = written(kinds.join(several, ["level", "key"]).select("level", "key", "kinds", "bytes", "one.*"))
+    drop(live, kinds, several)
+    return whole, one
+
+
+def _blocks(stretches_: DataFrame) -> int:
+    """How many blocks the small keys of these stretches need."""
+    total = stretches_.where(~_large()).agg(F.coalesce(F.sum(F.col("bytes") / F.col("kinds")), F.lit(0.0))).first()[0]
+    return max(1, -(-int(total) // BLOCK))
+
+
+def _large() -> Column:
+    """Whether a key has a block of its own: many small keys even out, few large ones do not."""
+    return F.col("bytes") > BLOCK // 8
 
 
-#: Stretches with their bytes. block: where they are searched, -1 if their key is crowded.
-PART = "block int, id long, hash long, level int, at int, lo int, hi int, part binary"
+def _block(first: int, blocks: int) -> Column:
+    """The block of a stretch by its key; null if the key is crowded."""
+    number = F.xxhash64("level", "key")
+    return F.when(F.col("kinds") <= CROWD, F.when(_large(), number).otherwise(first + F.pmod(number, F.lit(blocks))))
 
 
-def _block(blocks: int):
-    return F.when(F.col("kinds") > CROWD, -1).otherwise(F.pmod(F.xxhash64("level", "key"), F.lit(blocks))).cast("int")
+#: Stretches with their bytes. block: where they are searched, null if their key is crowded.
+PART = "block long, id long, hash long, level int, at int, lo int, hi int, part binary"
+NAMES = [c.split()[0] for c in PART.split(", ")]
 
 
-def _with_parts(docs: DataFrame, one: DataFrame, blocks: int, length: int) -> DataFrame:
-    """Stretches with their bytes; the only time that texts meet stretches."""
+def _with_parts(texts: DataFrame, one: DataFrame, blocks: int, length: int) -> DataFrame:
+    """Stretches of the first level with their bytes; the only time that texts meet stretches."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
-            for id_, hash_, text, found in zip(batch["id"], batch["hash"], batch["text"], batch["found"], strict=True):
-                raw = _bytes(text)
+            for id_, hash_, raw, found in zip(batch["id"], batch["hash"], batch["raw"], batch["found"], strict=True):
+                if (id_, hash_) in seen:  # a repeated row
+                    continue
+                seen.add((id_, hash_))
                 spans = defaultdict(list)
                 for x in found:
-                    if x["block"] < 0:
-                        rows.append((-1, id_, hash_, x["level"], x["at"], x["lo"], x["hi"], raw[x["lo"] : x["hi"] + length]))
+                    if x["block"] is None:
+                        rows.append((None, id_, hash_, x["level"], x["at"], x["lo"], x["hi"], raw[x["lo"] : x["hi"] + length]))
                     else:
                         spans[x["block"]].append((x["lo"], x["hi"] + length))
                 rows += [(b, id_, hash_, 0, 0, lo, hi - length, raw[lo:hi]) for b, s in spans.items() for lo, hi in _merged(s)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PART.split(", ")])
+            if len(seen) > KNOWN:
+                seen.clear()
+            yield pd.DataFrame(rows, columns=NAMES).astype({"block": "Int64"})
 
-    found = one.withColumn("block", _block(blocks)).groupBy(*ID).agg(F.collect_list(F.struct("block", "level", "at", "lo", "hi")).alias("found"))
-    return written(_texts(docs).join(found, ID).mapInPandas(cut, PART))
+    found = one.withColumn("block", _block(0, blocks)).groupBy(*ID).agg(F.collect_list(F.struct("block", "level", "at", "lo", "hi")).alias("found"))
+    return written(texts.select(*ID, "raw").join(found, ID).mapInPandas(cut, PART))
 
 
 def _respread(crowded: DataFrame, length: int) -> DataFrame:
@@ -343,61 +420,113 @@ def _indexed(parts: DataFrame, length: int) -> DataFrame:
     return parts.groupBy("block").applyInPandas(search, "id long, hash long, lo long, hi long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """id, hash and spans (lo, hi) of the texts of docs (doc_id, text) in which something is repeated; a written table."""
+def repeated(texts: DataFrame, length: int) -> DataFrame:
+    """id, hash and spans (lo, hi) of the texts (id, hash, raw) in which something is repeated; a written table."""
     ends = (*ID, F.col("lo").cast("long").alias("lo"), (F.col("hi") + length).cast("long").alias("hi"))
-    whole, one = _sorted_out(_spread(docs, length))
-    total = one.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // BLOCK))
-    parts = _with_parts(docs, one, blocks, length)
-    spans, searched, crowded = whole.select(*ends), parts.where("block >= 0"), parts.where("block < 0")
+    whole, one = _sorted_out(_spread(texts, length), length)
+    first = _blocks(one.where(F.col("kinds") <= CROWD))
+    parts = _with_parts(texts, one, first, length)
+    copies = _copies(texts, length)
+    spans, crowded = copies.unionByName(whole.select(*ends)), parts.where("block IS NULL").drop("block")
+    later, made = None, [copies, whole, one, parts]
     while not crowded.isEmpty():  # at the last level stretches under one key are equal
-        whole, one = _sorted_out(_respread(crowded, length))
-        placed = one.withColumn("block", _block(blocks)).select(*parts.columns)
-        spans, searched, crowded = spans.unionByName(whole.select(*ends)), searched.unionByName(placed.where("block >= 0")), placed.where("block < 0")
-    spans = spans.unionByName(_indexed(searched.select("block", *ID, "lo", "part"), length))
-    return written(spans.groupBy(*ID).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+        whole, one = _sorted_out(_respread(crowded, length), length)
+        later = one if later is None else later.unionByName(one)
+        spans, crowded = spans.unionByName(whole.select(*ends)), one.where(F.col("kinds") > CROWD).select(*NAMES[1:])
+        made += [whole, one]
+    searched = parts.where("block IS NOT NULL").select("block", *ID, "lo", "part")
+    if later is not None:
+        placed = later.where(F.col("kinds") <= CROWD)
+        searched = searched.unionByName(placed.select(_block(first, _blocks(placed)).alias("block"), *ID, "lo", "part"))
+    out = written(spans.unionByName(_indexed(searched, length)).groupBy(*ID).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    drop(*made)
+    return out
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """id, hash and spans of the texts of docs (doc_id, text) in which something is repeated; a written table."""
+    return repeated(_texts(docs), length)
+
+
+def passages(docs: DataFrame, passage: int = PASSAGE, length: int = LENGTH) -> DataFrame:
+    """id, hash, spans covered by repeated strings of passage bytes, and long, those covered by strings of length, which is no less."""
+    found = repeated_spans(docs, passage)
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (id_, hash_, lo, raw[lo:hi])
+                for id_, hash_, raw, spans in zip(batch["id"], batch["hash"], batch["raw"], batch["spans"], strict=True)
+                for lo, hi in _runs(spans) if hi - lo >= length
+            ]
+            yield pd.DataFrame(rows, columns=["id", "text_hash", "start", "raw"])
+
+    enough = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"]) >= length
+    cut = written(_texts(docs).join(found.where(enough), ID).mapInPandas(runs, "id long, text_hash long, start long, raw binary").withColumn("hash", F.xxhash64("text_hash", "start")))
+    inner = repeated(cut.select(*ID, "raw"), length)
+    inner = inner.join(cut.select(*ID, "text_hash", "start").distinct(), ID).select("id", F.col("text_hash").alias("hash"), F.transform("spans", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), (x["hi"] + F.col("start")).alias("hi"))).alias("spans"))
+    inner = inner.groupBy(*ID).agg(F.flatten(F.collect_list("spans")).alias("long"))
+    out = written(found.join(inner, ID, "left"))
+    drop(found, cut)
+    return out
+
+
+def _runs(spans) -> list[tuple[int, int]]:
+    """Spans of a row, null without any, as maximal runs."""
+    return _merged((x["lo"], x["hi"]) for x in spans) if spans is not None else []
 
 
-def _removed(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
-    gone = _merged((x["lo"], x["hi"]) for x in spans) if spans is not None else []
+def _without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for lo, hi in gone:
         out.append(raw[at:lo])
         at = hi
-    return gone, b"".join([*out, raw[at:]])
+    return b"".join([*out, raw[at:]])
+
+
+def _wordy(raw: bytes, spans, words: int) -> list[tuple[int, int]]:
+    """The maximal runs of the spans that hold more than so many whole words."""
+    out = []
+    for lo, hi in _runs(spans):
+        # a word that goes on beyond an end of the run is not whole
+        parts = sum(0 < edge < len(raw) and len(raw[edge - 1 : edge + 1].translate(None, BLANKS)) == 2 for edge in (lo, hi))
+        if len(raw[lo:hi].split()) - parts > words:
+            out.append((lo, hi))
+    return out
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs (doc_id, text)."""
-    spans = repeated_spans(docs, length)
+def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs (doc_id, text), and its passages: n_passages and n_passage_bytes."""
+    spans = passages(docs, passage, length)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                raw = _bytes(text)
-                gone, kept = _removed(raw, found)
-                rows.append((doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+            for doc_id, raw, long, found in zip(batch["doc_id"], batch["raw"], batch["long"], batch["spans"], strict=True):
+                gone = _runs(long)
+                kept = _without(raw, gone)
+                marked = _wordy(raw, found, words)
+                rows.append((doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(marked), sum(hi - lo for lo, hi in marked)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("hash"), "text")
-    joined = rows.join(spans, ID, "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    joined = rows.join(spans, ID, "left").select("doc_id", "raw", "long", "spans")
+    return joined.mapInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with text less its repeated bytes; all other columns as they are."""
-    spans = repeated_spans(docs, length).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("spans").alias("_spans"))
+def deduplicated(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """docs with text less its repeated bytes, or of these only runs of more than so many words; all other columns as they are."""
+    own = unused(docs, "id", "hash", "spans")
+    spans = repeated_spans(docs.select("doc_id", "text"), length).select(*(F.col(c).alias(name) for c, name in zip(("id", "hash", "spans"), own, strict=True)))
 
     @F.pandas_udf("string")
-    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_removed(_bytes(t), s)[1].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
+    def kept(raws: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_without(raw, _wordy(raw, s, words) if words else _runs(s)).decode("utf-8", "ignore") for raw, s in zip(raws, spans, strict=True)], dtype=object)
 
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = docs.join(spans, same, "left")
-    left = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans"))
-    return joined.withColumn("text", left).select(*docs.columns)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(own[0])) & (F.xxhash64(raw) == F.col(own[1]))
+    left = F.when(F.col(own[2]).isNull(), F.col("text")).otherwise(kept(raw, own[2]))
+    return docs.join(spans, same, "left").withColumn("text", left).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
