@@ -283,12 +283,50 @@ def test_round_trip(spark, docs):
             assert d["ids_sha256"] == hashlib.sha256(np.array(w["ids"], "<i4").tobytes()).hexdigest()
 
 
-def test_frequent_lines(spark):
-    rows = spark.createDataFrame([(i, f"Menu  {i}\nshared line\n{'own text of ' + str(i) + ' ' + chr(97 + i) * 40 if i % 2 else ''}", "en", "h") for i in range(10)] + [(99, "Menu 1\nshared line", "en", "other")], DOCS)
-    found = {r["doc_id"]: r["removed_share"] for r in line_frequency.depleted(rows, line_frequency.frequent_lines(rows, max_docs=5)).collect()}
-    assert set(found) == {0, 2, 4, 6, 8} and all(x == 1.0 for x in found.values())
-    left = {r["doc_id"]: r["text"] for r in line_frequency.without_frequent_lines(rows, max_docs=5).collect()}
-    assert left[99] == "Menu 1\nshared line" and left[1].startswith("own text of 1") and left[0] == ""
+def plain_quality(rows, max_docs, max_share):
+    """(doc_id, removed characters, all characters, base_failed) of each row (doc_id, text, lang, source), with rows as documents."""
+    even = lambda x: re.sub(r"[ \t\x0b-\r]+", " ", re.sub(r"[0-9]+", "0", "".join(c.lower() if "A" <= c <= "Z" else c for c in x))).strip(" ")
+    lines = [[y for x in (text or "").split("\n") if (y := even(x))] for _, text, _, _ in rows]
+    docs, held = Counter(r[3] for r in rows), Counter((r[3], x) for r, own in zip(rows, lines, strict=True) for x in set(own))
+    often = {k for k, n in held.items() if n > max_docs and n > max_share * docs[k[0]]}
+    out = []
+    for (doc_id, text, _, source), own in zip(rows, lines, strict=True):
+        words = (text or "").split()
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        twice = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
+        out.append((doc_id, sum(len(x) for x in own if (source, x) in often), sum(map(len, own)), len(words) < 10 or 100 * len(twice) > 20 * len(words)))
+    return out
+
+
+def test_quality(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        own = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6):x}" for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 5))]
+        for k in range(rng.choice([0, 0, 1, 3, 6])):
+            own.insert(rng.randint(0, len(own)), f"Menu\t {rng.randrange(99)} of our  House line {'x' * k}")
+        rows.append((i, rng.choice(["\n", "\n\n"]).join(own), "en", rng.choice(["h", "g", None])))
+    rows += [rows[1]] * 2 + [(3, *rows[5][1:]), (None, *rows[7][1:]), (None, *rows[9][1:]), (None, None, "en", "h"), (61, "", "en", "h")]
+    rows += [(70, "word " * 200_000, "en", "h"), (71, "x" * 1_000_000, "en", "h")]
+    frame = spark.createDataFrame(rows, DOCS)
+    want = Counter((i, bad, not bad and gone <= 0.5 * total, round(gone / total, 9) if total else 0.0) for i, gone, total, bad in plain_quality(rows, 3, 0.1))
+    found = Counter((r["doc_id"], r["base_failed"], r["kept"], round(r["removed_share"], 9)) for r in line_frequency.quality(frame, max_docs=3, max_share=0.1).collect())
+    assert found == want and any(not k[1] and not k[2] for k in want)
+
+
+def test_equal_rows_are_judged_alike(spark):
+    """A quarter of a text is frequent, however often its row is there."""
+    text = "frequent line\n" + "own words of this one document alone and nothing else"
+    for times in (1, 2, 3):
+        rows = [(5, text, "en", "h")] * times + [(i, "frequent line", "en", "h") for i in range(10, 20)]
+        kept = [r for r in line_frequency.quality(spark.createDataFrame(rows, DOCS), max_docs=5).collect() if r["doc_id"] == 5]
+        assert len(kept) == times and all(r["kept"] and round(r["removed_share"], 3) == 0.197 for r in kept)
+
+
+def test_lines_that_stay(spark):
+    rows = [(i, f"Menu  {i}\nshared line\n{'own text of ' + str(i) + ' ' + chr(97 + i) * 40 if i % 2 else ''}", "en", "h") for i in range(10)] + [(99, "Menu 1\nshared line", "en", "other"), (None, None, None, None)]
+    left = {r["doc_id"]: r["text"] for r in line_frequency.without_frequent_lines(spark.createDataFrame(rows, DOCS), max_docs=5).collect()}
+    assert len(left) == 12 and left[99] == "Menu 1\nshared line" and left[1].startswith("own text of 1") and left[0] == "" and left[None] == ""
 
 
 def test_repeated_windows(spark):

@@ -5,9 +5,15 @@ back. The method looks across documents: lines are normalised and hashed, the
 documents that hold a line are counted for each host, lines above the limits
 count as removed, and a document of which too little is left is rejected.
 
+Each text is read once, into a narrow table of its figures and hashed lines; what
+follows is joined by a number that each row gets there, so rows of equal or null
+doc_id never meet.
+
 Defined results: null text counts as empty; a null host is a host of its own;
-rows of equal doc_id count as documents of their own; blank lines are never
-counted; empty input gives an empty result; further columns are ignored.
+repeated rows and rows of equal or null doc_id count as documents of their own and
+are judged each by its own text; blank lines are never counted; texts and lines of
+any length are read whole; empty input gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -54,62 +60,65 @@ def repeated_words(words_: Column) -> Column:
     return let(let(F.transform(words_, lambda w: F.xxhash64(w)), _windows), count).cast("long")
 
 
-def text_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
+def text_rules(docs: DataFrame, keep: list) -> DataFrame:
     """The base rules' figures for each row of docs, after the columns keep."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x))
     both = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     ruled = docs.select(
-        *keep,
+        F.struct(*keep).alias("_kept"),
         both.alias("_of_words"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    ruled = ruled.select(*keep, F.col("_of_words.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_of_words.r").alias("n_repeat_words"))
+    ruled = ruled.select("_kept.*", F.col("_of_words.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_of_words.r").alias("n_repeat_words"))
     return ruled.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 
 
-def normal_lines(text: Column) -> Column:
-    """Lines with A-Z lower-cased, digits as 0 and single spaces; blank ones dropped."""
-    even = F.translate(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " "), UPPER, LOWER)
-    return F.filter(F.transform(F.split(even, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+def normal(line: Column) -> Column:
+    """A line, or lines, with A-Z lower-cased, digits as 0 and single spaces."""
+    return F.translate(F.regexp_replace(F.regexp_replace(line, r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " "), UPPER, LOWER)
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host and line hash of the lines that more documents of the host hold than the limits allow."""
-    lines = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("line"))
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    sizes = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("docs"))
-    return written(counted.join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > max_share * F.col("docs")).select("host", "line"))
+def hashed_lines(text: Column) -> Column:
+    """(line, n): hash and length of each normalised line that is not blank."""
+    lines = F.filter(F.transform(F.split(normal(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("n")))
 
 
-def depleted(docs: DataFrame, frequent: DataFrame, host: str = "source", max_removed: float = MAX_REMOVED) -> DataFrame:
-    """doc_id of the documents that the removal of frequent lines depletes, and the share removed."""
-    lines = docs.select("doc_id", F.col(host).alias("host"), F.transform(normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("n"))).alias("lines"))
-    lines = lines.select("doc_id", "host", let(F.col("lines"), lambda x: F.struct(F.aggregate(x, F.lit(0), lambda a, y: a + y["n"]).alias("total"), x.alias("lines"))).alias("x"))
-    lines = lines.select("doc_id", "host", "x.total", F.explode("x.lines").alias("y")).select("doc_id", "host", "total", "y.*")
-    frequent = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
-    gone = lines.join(small(frequent), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).groupBy("doc_id", "total").agg(F.sum("n").alias("removed"))
-    # rows of equal doc_id and length share a group; a share stays within 1 as long as they hold the same text
-    shares = gone.groupBy("doc_id").agg(F.max(F.least(F.lit(1.0), F.col("removed") / F.col("total"))).alias("removed_share"))
-    return shares.where(F.col("removed_share") > max_removed)
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """h and l, host and line hash of the lines that more rows (host, lines) of the host hold than the limits allow; a written table."""
+    lines = rows.select("host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    sizes = rows.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("docs"))
+    often = counted.join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > max_share * F.col("docs"))
+    return written(often.select("h", F.col("line").alias("l")))
 
 
-def without_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """doc_id and the original lines that stay, in order; documents of which none stays are left out."""
-    frequent = frequent_lines(docs, host, max_docs, max_share).select(F.col("host").alias("h"), F.col("line").alias("l"))
-    even = lambda x: F.btrim(F.translate(F.regexp_replace(F.regexp_replace(x, r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " "), UPPER, LOWER))
-    lines = docs.select("doc_id", F.col(host).alias("host"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    stays = lines.join(small(frequent), (F.xxhash64(even(F.col("line"))) == F.col("l")) & F.col("host").eqNullSafe(F.col("h")), "left_anti")
-    return stays.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x")).select("doc_id", F.array_join(F.col("x.line"), "\n").alias("text"))
+def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """doc_id, the base figures, base_failed, removed_share and kept for each row of docs (doc_id, text, host)."""
+    rows = docs.select("doc_id", F.col(host).alias("host"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = written(text_rules(rows, ["row", "doc_id", "host", hashed_lines(F.col("text")).alias("lines")]))
+    lines = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*")
+    met = lines.join(small(frequent_lines(rows, max_docs, max_share)), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
+    gone = written(met.groupBy("row").agg(F.sum("n").alias("removed")))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    removed = F.coalesce("removed", F.lit(0))
+    judged = rows.join(small(gone), "row", "left").withColumn("removed_share", F.when(total > 0, removed / total).otherwise(0.0))
+    return judged.withColumn("kept", ~F.col("base_failed") & (removed <= max_removed * total)).drop("row", "host", "lines", "removed")
 
 
-def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """The base figures, base_failed, removed_share (null unless depleted) and kept for each row of docs."""
-    bad = depleted(docs, frequent_lines(docs, host, max_docs, max_share), host, max_removed).withColumnRenamed("doc_id", "_id")
-    ruled = text_rules(docs, ["doc_id"])
-    return ruled.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("kept", ~F.col("base_failed") & F.col("removed_share").isNull())
+def without_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """doc_id and the text of the original lines that stay, in order, for each row of docs; empty if none stays."""
+    rows = docs.select("doc_id", F.col(host).alias("host"), "text", hashed_lines(F.col("text")).alias("lines"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows)
+    lines = rows.select("row", "host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+    met = lines.join(small(frequent_lines(rows, max_docs, max_share)), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
+    gone = written(met.groupBy("row").agg(F.collect_set("line").alias("gone")))
+    stays = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(F.btrim(normal(x)))))
+    left = rows.join(gone, "row", "left")
+    return left.select("doc_id", F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n")).alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
