@@ -43,17 +43,28 @@ def test_mined_rules_match_by_subset(spark):
     assert all((r["verdict"] == "block") == any(x <= held[r["url"]] for x, _ in rules) for r in verdicts)
 
 
-@pytest.mark.parametrize("bits,scale", [(1, 3), (3, 100), (6, 256), (8, 5)])
-def test_vector_blocks(bits, scale):
+@pytest.mark.parametrize("bits,scale,block", [(1, 3, 100), (3, 100, 1000), (6, 256, 64), (8, 256, 1000), (8, 2**40, 1000)])
+def test_exact_top_k(spark, bits, scale, block):
     rng = np.random.default_rng(bits)
-    vectors = np.floor(rng.normal(size=(400, 9)) * scale).astype(np.int64)
-    vectors[100:200] = vectors[0]
-    ids = rng.permutation(400)
-    for i, rows, scores in vector_approx.best_of_block(ids[:60], vectors[:60], ids, vectors, 5, bits):
-        exact = sorted((-int(vectors[i] @ v), int(n)) for v, n in zip(vectors, ids, strict=True) if n != ids[i])[:5]
-        assert [(-s, int(ids[r])) for r, s in zip(rows, scores, strict=True)] == exact
-    huge = np.array([[2**40, 1], [-(2**40), 1], [3, 3]])
-    assert next(iter(vector_approx.best_of_block([9], huge[:1], np.arange(3), huge, 2)))[2] == [2**63 - 1, 3 * 2**40 + 3]
+    vectors = np.floor(rng.normal(size=(300, 9)) * scale).astype(np.int64)
+    vectors[100:200] = vectors[0]  # a third of all rows
+    ids = rng.permutation(300).tolist()
+    ids[7] = ids[8] = ids[150]  # a number more than once
+    frame = spark.createDataFrame(list(zip(ids, vectors.tolist(), strict=True)), "vec_id long, vec array<long>")
+    first, more, found = vector_approx.search(frame.where("vec_id % 5 = 0"), frame, 5, bits, block, 20)
+    asked = {}
+    for i, v in zip(ids, vectors.tolist(), strict=True):
+        if i % 5 == 0:
+            asked[i] = min(v, asked.get(i, v))
+    want = set()
+    for i, q in asked.items():
+        scores = sorted((-min(max(sum(a * b for a, b in zip(q, v, strict=True)), -(2**63)), 2**63 - 1), n) for n, v in zip(ids, vectors.tolist(), strict=True) if n != i)
+        want |= {(i, rank, n, -s) for rank, (s, n) in enumerate(scores[:5], 1)}
+    got = vector_approx.top_k(frame.where("vec_id % 5 = 0"), frame, 5, bits, block, 20).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
+    if (bits, scale) == (6, 256):  # exact vectors are read for few of all pairs
+        read = first.count() + more.count()
+        assert 5 * len(asked) <= read <= found.count() and read < 0.1 * len(asked) * 300
 
 
 def covered(texts, length):

@@ -1,37 +1,47 @@
 """Exact top-k search over vector-approximation files.
 
-Vectors and queries are dealt into blocks of bounded size, and each pair of a
-query block and a vector block is one group. Within a group every component is
-quantised to a cell; a scan of the cells alone bounds each inner product from
-above and below; then exact vectors are read in the order of their bounds until
-no vector that is left can enter the best k. The best of all groups are ranked
-once more for each query.
+The file of approximations holds a cell of one byte for each component: its place
+in a grid of equal steps between the least and greatest value of the dimension.
+A scan of these cells alone bounds every inner product with a query from above
+and below. What the scan hands on for a query are the vectors of a block that
+reach the kth lower bound there. Exact vectors are then read in the order of their
+bounds: first those with the k best ones; their kth exact score closes the search
+for all whose upper bound does not reach it, and only the others are read too.
+
+The grid is one row for each dimension and is all that comes to the driver. Cells
+and queries are dealt into blocks of bounded size, and each pair of blocks is one
+group. Of vectors that are there very often, k + 1 numbers are enough, as equal
+scores go to the smaller one.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
 and rows without vec_id take no part; vectors of unequal length are padded with
 zeros; a query whose vec_id is there more than once is asked once, with its
 smallest vector, and meets none of those rows; such rows are candidates of their
-own for other queries; a query without candidates has no rows; scores beyond a
-long are held at its ends; further columns are ignored.
+own for other queries; equal scores go to the smaller vec_id; a query without
+candidates has no rows; an empty table gives an empty result; scores beyond a long
+are held at its ends; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, small, table, written
 
-#: Rows in a block of vectors and of queries; what a task holds at once.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 4096
-#: Bits of a cell.
-BITS = 6
-#: Exact vectors read in one step, and queries scanned in one step.
-STEP, SCAN = 64, 512
+#: Cells in a block and queries in a block; what a task holds at once.
+VECTOR_BLOCK, QUERY_BLOCK = 32_768, 8192
+#: Bits of a cell, at most 8.
+BITS = 8
+#: Queries scanned in one step.
+SCAN = 128
 LONG = np.iinfo(np.int64)
+SCORED = "query_id long, vec_id long, score long"
 
 
 def scaled(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -41,74 +51,115 @@ def scaled(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("vec"))
 
 
-def _matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
-    for row, vector in zip(out, vectors, strict=True):
-        row[: len(vector)] = vector
-    return out
-
-
-def cells(vectors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lowest value, cell width, cell of each component), by dimension."""
-    low = vectors.min(0)
-    width = np.maximum(1, -(-(vectors.max(0) - low + 1) // 2**bits))
-    return low, width, ((vectors - low) // width).astype(np.uint8 if bits <= 8 else np.int64)
-
-
-def best_of_block(query_ids, queries: np.ndarray, vector_ids, vectors: np.ndarray, k: int, bits: int = BITS):
-    """(query row, rows of its best k vectors, their scores), by falling score and rising id."""
-    top = np.abs(vectors).max(initial=0).astype(object) * np.abs(queries).max(initial=0).astype(object) * max(1, vectors.shape[1]) * 4
-    if top >= 2**53:  # beyond exact doubles: scores as Python integers, held to the range of a long
-        for i, q in enumerate(queries):
-            score = [min(max(int(s), LONG.min), LONG.max) for s in (vectors.astype(object) * q.astype(object)).sum(1)]
-            found = sorted((-s, v, j) for j, (s, v) in enumerate(zip(score, vector_ids, strict=True)) if v != query_ids[i])[:k]
-            yield i, [j for _, _, j in found], [-s for s, _, _ in found]
-        return
-    low, width, cell = cells(vectors, bits)
-    cell = cell.astype(np.float64).T
-    for start in range(0, len(queries), SCAN):
-        part = queries[start : start + SCAN]
-        upper = (part * width).astype(np.float64) @ cell + (part @ low + np.maximum(part, 0) @ (width - 1))[:, None]
-        slack = np.abs(part) @ (width - 1)  # between the bounds of any vector
-        at = max(0, len(vectors) - k - 1)  # one more than k: the query's own vector may be among them
-        least = np.partition(upper, at, axis=1)[:, at] - slack
-        for i, (bounds, floor) in enumerate(zip(upper, least, strict=True)):
-            rows = np.flatnonzero(bounds >= floor)
-            if len(rows) - np.count_nonzero(vector_ids[rows] == query_ids[start + i]) < min(k, len(vectors)):  # several rows have the query's id
-                rows = np.arange(len(vectors))
-            rows = rows[vector_ids[rows] != query_ids[start + i]]
-            rows = rows[np.lexsort((vector_ids[rows], -bounds[rows]))]
-            best: list[tuple[int, int, int]] = []
-            for step in range(0, len(rows), STEP):
-                now = rows[step : step + STEP]
-                if len(best) == k and (-bounds[now[0]], vector_ids[now[0]]) > best[-1][:2]:
-                    break
-                score = vectors[now] @ part[i]
-                best = sorted([*best, *zip((-score).tolist(), vector_ids[now].tolist(), now.tolist(), strict=True)])[:k]
-            yield start + i, [row for _, _, row in best], [-s for s, _, _ in best]
+def _padded(rows: DataFrame, width: int) -> DataFrame:
+    return rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), width - F.size("vec")))))
+
+
+def _few_equal(vectors: DataFrame, k: int) -> DataFrame:
+    """vectors less those that k others with the same components and smaller numbers stand before, whoever asks."""
+    ids = W.partitionBy("vec").orderBy("vec_id")
+    own = W.partitionBy("vec", "vec_id").orderBy("vec_id")
+    rows = vectors.withColumn("_place", F.dense_rank().over(ids)).where(F.col("_place") <= k + 1)
+    return rows.withColumn("_place", F.row_number().over(own)).where(F.col("_place") <= k).drop("_place")
+
+
+class Grid:
+    """Lowest value and step of each dimension, and whether all sums of products stay exact in doubles."""
+
+    def __init__(self, ends: list[tuple[int, int]], largest: int, bits: int):
+        self.width = len(ends)
+        most = max((max(abs(lo), abs(hi)) for lo, hi in ends), default=0) * largest * max(1, self.width) * 4
+        kind = np.int64 if most < 2**53 else object  # beyond it, whole numbers of any size
+        self.low = np.array([lo for lo, _ in ends], kind)
+        self.step = np.array([max(1, -(-(hi - lo + 1) // 2**bits)) for lo, hi in ends], kind)
+
+    def matrix(self, vectors) -> np.ndarray:
+        return np.array([np.asarray(v) for v in vectors]).reshape(len(vectors), self.width).astype(self.low.dtype)
+
+    def cells(self, vectors) -> list[bytes]:
+        return [x.tobytes() for x in ((self.matrix(vectors) - self.low) // self.step).astype(np.uint8)]
+
+    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Upper bounds (queries x cells), and how far each query's lower bounds lie below them."""
+        sums = np.float64 if self.low.dtype == np.int64 else object
+        upper = (queries * self.step).astype(sums) @ cells.astype(sums).T + (queries @ self.low + np.maximum(queries, 0) @ (self.step - 1))[:, None]
+        return upper, np.abs(queries) @ (self.step - 1)
+
+
+def _longs(values: np.ndarray) -> np.ndarray:
+    """Whole numbers held at the ends of a long."""
+    return (values if values.dtype != object else np.minimum(np.maximum(values, LONG.min), LONG.max)).astype(np.int64)
+
+
+def scanned(grid: Grid, k: int, cells: pd.DataFrame, asks: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its number, the rows of cells that reach the kth lower bound, and their upper and lower bounds."""
+    ids = cells["vec_id"].to_numpy()
+    data = np.frombuffer(b"".join(cells["cell"]), np.uint8).reshape(len(cells), grid.width)
+    own, queries = asks["vec_id"].to_numpy(), grid.matrix(asks["vec"].tolist())
+    for start in range(0, len(asks), SCAN):
+        uppers, slacks = grid.bounds(queries[start : start + SCAN], data)
+        for query, upper, slack in zip(own[start : start + SCAN], uppers, slacks, strict=True):
+            rows = np.flatnonzero(ids != query)
+            upper, lower = _longs(upper[rows]), _longs(upper[rows] - slack)
+            near = np.flatnonzero(upper >= np.partition(lower, -k)[-k]) if len(rows) > k else np.arange(len(rows))
+            yield int(query), rows[near], upper[near], lower[near]
+
+
+def candidates(queries: DataFrame, cells: DataFrame, grid: Grid, k: int, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, row, upper, lower and place (by falling upper bound) of all vectors that the scan of cells cannot rule out; a written table."""
+    rows, cols = max(1, -(-cells.count() // vector_block)), max(1, -(-queries.count() // query_block))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = cells.select("vec_id", "row", "cell", F.pmod(F.xxhash64("row"), F.lit(rows)).alias("v"), each(cols).alias("q"))
+    asked = queries.select("vec_id", "vec", each(rows).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(cols)).alias("q"))
+
+    def scan(cells: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": query, "vec_id": cells["vec_id"].to_numpy()[at], "row": cells["row"].to_numpy()[at], "upper": upper, "lower": lower}) for query, at, upper, lower in scanned(grid, k, cells, asks)] if len(cells) and len(asks) else []
+        return pd.concat(parts).astype("int64") if parts else pd.DataFrame(columns=["query_id", "vec_id", "row", "upper", "lower"]).astype("int64")
+
+    found = dealt.groupBy("v", "q").cogroup(asked.groupBy("v", "q")).applyInPandas(scan, "query_id long, vec_id long, row long, upper long, lower long")
+    return written(found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "row"))))
+
+
+def _scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, grid: Grid) -> DataFrame:
+    """query_id, vec_id and score of pairs (query_id, row), a written table; reads the exact vectors of these rows alone."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            products = (grid.matrix(batch["vec"].tolist()) * grid.matrix(batch["asked"].tolist())).sum(1)
+            yield batch[["query_id", "vec_id"]].assign(score=_longs(products))
+
+    met = vectors.join(small(pairs.select("query_id", "row")), "row").join(small(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("asked")), 10_000), "query_id")
+    return written(met.select("query_id", "vec_id", "vec", "asked").mapInPandas(score, SCORED))
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int, bits: int = BITS, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(exact scores of the k vectors with the best bounds, exact scores of the others that may still enter, all candidates); vectors and queries hold vec_id and vec."""
+    width = vectors.select(F.size("vec").alias("n")).unionByName(queries.select(F.size("vec").alias("n"))).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    asked = written(_padded(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")), width))
+    # the number of a row has to stay the same from here on
+    held = written(_padded(_few_equal(vectors, k), width).withColumn("row", F.monotonically_increasing_id()))
+    ends = {r["at"]: (r["lo"], r["hi"]) for r in held.select(F.posexplode("vec").alias("at", "x")).groupBy("at").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    largest = asked.agg(F.max(F.greatest(F.abs(F.array_max("vec").cast("decimal(20)")), F.abs(F.array_min("vec").cast("decimal(20)"))))).first()[0]
+    grid = Grid([ends.get(i, (0, 0)) for i in range(width)], int(largest or 0), bits)
+
+    def approximate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["vec_id", "row"]].assign(cell=grid.cells(batch["vec"].tolist()))
+
+    cells = written(held.mapInPandas(approximate, "vec_id long, row long, cell binary"))
+    found = candidates(asked, cells, grid, k, vector_block, query_block)
+    drop(cells)
+    first = _scores(written(found.where(F.col("place") <= k)), asked, held, grid)
+    sure = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+    open_ = written(found.where(F.col("place") > k).join(sure.select("query_id", "least"), "query_id").where(F.col("upper") >= F.col("least")))
+    return first, _scores(open_, asked, held, grid), found
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, bits: int = BITS, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k vectors with the highest inner products; both tables hold vec_id and vec."""
-    queries = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    n_vectors, n_queries = vectors.count(), queries.count()
-    rows, cols = max(1, -(-n_vectors // vector_block)), max(1, -(-n_queries // query_block))
-    dealt = vectors.select("vec_id", "vec", F.lit(False).alias("asks"), F.pmod(F.monotonically_increasing_id(), F.lit(rows)).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("q"))
-    asked = queries.select("vec_id", "vec", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(cols)).cast("int").alias("q"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, group["vec"]))
-        asks, vectors = group[group["asks"]], group[~group["asks"]]
-        out: list[tuple[int, int, int]] = []
-        if len(asks) and len(vectors):
-            ids, own = vectors["vec_id"].to_numpy(), asks["vec_id"].to_numpy()
-            for i, found, scores in best_of_block(own, _matrix(asks["vec"], width), ids, _matrix(vectors["vec"], width), k, bits):
-                out += [(int(own[i]), int(ids[row]), s) for row, s in zip(found, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = dealt.unionByName(asked).groupBy("v", "q").applyInPandas(search, "query_id long, vec_id long, score long")
+    first, more, _ = search(queries, vectors, k, bits, vector_block, query_block)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
