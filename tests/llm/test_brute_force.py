@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnlake.llm import language_fusion, length_histogram, license_scan, line_frequency, piece_lattice, run_index, shingles, source_mix, token_groups, url_rules, vector_approx
+from turnlake.llm import language_fusion, length_histogram, license_rules, license_scan, line_frequency, piece_lattice, run_index, shingles, source_mix, token_groups, url_rules, vector_approx
 from turnlake.llm.links import components
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -155,8 +155,8 @@ def words_of(text):
 
 
 def test_licences(spark, docs):
-    rules = [(n, label, word, re.compile(pattern), p, w) for n, label, word, pattern, p, w in license_scan.rules()]
-    assert len(rules) > 200
+    rules = [(n, label, word, re.compile(pattern), p, w) for n, label, word, pattern, p, w in license_rules.rules()]
+    assert len(rules) > 300
     more = ["MIT  License, MIT-license", "GNU\nGeneral Public-License v3.0 apache license", "under the terms of the Mozilla Public License 2.0", "submit license, cc byte, cc by; CC-BY-SA 4.0", "This work is licensed under the GNU General Public License, version 3."]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
     found = {r["doc_id"]: r for r in license_scan.scan(rows).collect()}
@@ -176,6 +176,49 @@ def test_licences(spark, docs):
         assert sorted(tuple(d) for d in mine["detections"]) == hits, r["doc_id"]
 
 
+HEADERS = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
+    "# SPDX-License-Identifier: Apache-2.0\nimport os": "Apache-2.0",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": "MIT",
+    "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met": "BSD",
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-3-Clause",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "GPL-2.0-or-later",
+    "Released under GPLv3.": "GPL-3.0",
+    "GNU GPL v2": "GPL-2.0",
+    "CC Attribution-ShareAlike 4.0 International": "CC-BY-SA",
+    "See https://creativecommons.org/licenses/by-nc/4.0/": "CC-BY-NC",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "Apache-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "licensed under the MIT": "MIT",
+    "he worked in the MIT building with a general public that talks of apache tribes and public houses": None,
+    "ein Text mit vielen W\u00f6rtern und dem Zug nach Ulm, replay, simple": None,
+}
+
+
+def test_known_headers(spark):
+    rows = spark.createDataFrame([(i, f"Some words. {text}\nMore words.") for i, text in enumerate(HEADERS)], "doc_id long, text string")
+    found = {r["doc_id"]: [d["label"] for d in r["detections"]] for r in license_scan.scan(rows).collect()}
+    for i, label in enumerate(HEADERS.values()):
+        assert found[i] == [] if label is None else label in found[i], (i, found[i])
+
+
+def test_gates_open():
+    """Each pattern without its optional parts, first choices taken, passes the gates."""
+    gates = license_rules.gates(list(license_scan.BASE))
+    for _, label, keyword, pattern, _, _ in license_rules.rules():
+        sample = pattern.removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+        while (at := re.search(r"\(\?:([^()]*)\)", sample)) is not None:
+            optional = sample[at.end() : at.end() + 1] == "?"
+            sample = sample[: at.start()] + ("" if optional else at[1].split("|")[0]) + sample[at.end() + optional :]
+        sample = re.sub(r"\[([^^\]])[^\]]*\]", r"\1", re.sub(r"\[\^ \]\+|\.\{\d+,\d+\}", "x", re.sub(r"\{\d+,\d+\}", "", sample)))
+        sample = re.sub(r".\?", "", sample)
+        assert any(g in sample for g in gates), (label, keyword, sample)
+
+
 def test_lengths(spark, docs):
     encode = length_histogram.encoding(length_histogram.VOCABULARY).encode_ordinary
     sizes = sorted(len(encode(r["text"] or "")) for r in docs.select("text").collect())

@@ -1,8 +1,8 @@
 """Licence scan by ordered signature rules; built-in functions only.
 
-A text is reduced to its lower-case words with one space between. Each rule has
-a label, a keyword, a pattern over whole words, a priority and a weight. A rule
-runs only where its keyword stands. A detection is dropped when another one
+A text is reduced to its lower-case words with one space between. Each rule of
+license_rules has a label, a keyword, a pattern over whole words, a priority and a
+weight. A rule runs only where its keyword stands. A detection is dropped when another one
 covers all of its words and either has the better priority, or the same
 priority and more words, or the same of both and a smaller rule number.
 
@@ -10,16 +10,20 @@ Beside the rules, the base phrases are found by their words.
 
 Defined results: null text counts as empty; a text without detections has empty
 labels, score 0 and null positions; rows are judged one by one, so repeated rows
-and null ids need no care; further columns are ignored. Everything happens
-within a row: no shuffle.
+and null ids need no care; texts of any length are scanned whole; an empty table
+gives an empty result; further columns are ignored. Everything happens within a
+row: no shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, let, table
+from .license_rules import gates, rules
 
 #: Fixed values of the contract: phrases and their labels.
 BASE = {
@@ -31,91 +35,10 @@ BASE = {
 #: What stands between words in lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: label: (keyword, name as a pattern over words)
-FAMILIES = {
-    "gpl-1.0": ("general public", "gnu general public license (?:version |v )?1(?: 0)?"),
-    "gpl-2.0": ("general public", "gnu general public license (?:version |v )?2(?: 0)?"),
-    "gpl-3.0": ("general public", "gnu general public license (?:version |v )?3(?: 0)?"),
-    "gpl": ("general public", "(?:gnu )?general public licen[cs]e"),
-    "lgpl-2.1": ("general public", "gnu (?:lesser|library) general public license (?:version |v )?2(?: [01])?"),
-    "lgpl-3.0": ("general public", "gnu lesser general public license (?:version |v )?3(?: 0)?"),
-    "lgpl": ("general public", "(?:gnu )?(?:lesser|library) general public licen[cs]e"),
-    "agpl-3.0": ("affero", "(?:gnu )?affero general public license(?: (?:version |v )?3(?: 0)?)?"),
-    "gfdl": ("free documentation", "(?:gnu )?free documentation licen[cs]e(?: version 1 [123])?"),
-    "apache-1.1": ("apache", "apache (?:software )?license (?:version |v )?1 1"),
-    "apache-2.0": ("apache", "apache (?:software )?license (?:version |v )?2(?: 0)?"),
-    "apache": ("apache", "apache (?:software )?licen[cs]e"),
-    "mit": ("mit", "mit (?:x11 )?licen[cs]e"),
-    "x11": ("x11", "x11 licen[cs]e"),
-    "isc": ("isc", "isc licen[cs]e"),
-    "bsd-2-clause": ("bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?"),
-    "bsd-3-clause": ("bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?"),
-    "bsd-4-clause": ("bsd", "(?:original bsd|old bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?"),
-    "bsd": ("bsd", "bsd (?:style )?licen[cs]e"),
-    "0bsd": ("bsd", "(?:0bsd|zero clause bsd|bsd zero clause)(?: licen[cs]e)?"),
-    "mpl-1.1": ("mozilla", "mozilla public licen[cs]e (?:version |v )?1 [01]"),
-    "mpl-2.0": ("mozilla", "mozilla public licen[cs]e (?:version |v )?2(?: 0)?"),
-    "mpl": ("mozilla", "mozilla public licen[cs]e"),
-    "epl-1.0": ("eclipse", "eclipse public licen[cs]e (?:version |v )?1(?: 0)?"),
-    "epl-2.0": ("eclipse", "eclipse public licen[cs]e (?:version |v )?2(?: 0)?"),
-    "cddl": ("development and distribution", "common development and distribution licen[cs]e(?: (?:version |v )?1 [01])?"),
-    "cpl-1.0": ("common public", "common public licen[cs]e(?: (?:version |v )?1(?: 0)?)?"),
-    "eupl": ("european union public", "european union public licen[cs]e(?: (?:version |v )?1 [012])?"),
-    "artistic": ("artistic", "artistic licen[cs]e(?: (?:version )?[12](?: 0)?)?"),
-    "boost": ("boost", "boost software licen[cs]e(?: (?:version )?1(?: 0)?)?"),
-    "zlib": ("zlib", "zlib(?: libpng)? licen[cs]e"),
-    "unlicense": ("unlicense", "(?:the )?unlicense"),
-    "wtfpl": ("fuck", "do what the fuck you want to public licen[cs]e"),
-    "cc0": ("cc0", "cc0(?: 1 0)?(?: universal)?"),
-    "cc-by": ("cc", "(?:cc by|creative commons attribution)(?: [1234] [05])?(?: international| unported)?"),
-    "cc-by-sa": ("cc", "cc by sa(?: [1234] [05])?(?: international| unported)?"),
-    "cc-by-nc": ("cc", "cc by nc(?: [1234] [05])?(?: international| unported)?"),
-    "cc-by-nd": ("cc", "cc by nd(?: [1234] [05])?(?: international| unported)?"),
-    "cc-by-nc-sa": ("cc", "cc by nc sa(?: [1234] [05])?(?: international| unported)?"),
-    "cc-by-nc-nd": ("cc", "cc by nc nd(?: [1234] [05])?(?: international| unported)?"),
-    "creative-commons": ("creative commons", "creative commons(?: (?:attribution|noncommercial|non commercial|sharealike|share alike|noderivatives|no derivatives))*(?: licen[cs]e)?"),
-    "openssl": ("openssl", "openssl licen[cs]e"),
-    "python": ("python", "(?:python software foundation|psf) licen[cs]e"),
-    "php": ("php", "php licen[cs]e(?: (?:version )?3 0[01]?)?"),
-    "ruby": ("ruby", "ruby licen[cs]e"),
-    "ofl": ("open font", "(?:sil )?open font licen[cs]e(?: (?:version )?1 [01])?"),
-    "odbl": ("open database", "open database licen[cs]e"),
-    "ms-pl": ("microsoft public", "microsoft public licen[cs]e"),
-    "public-domain": ("public domain", "(?:released|placed|dedicated|in) (?:in |into |to )?the public domain"),
-    "proprietary": ("all rights reserved", "all rights reserved"),
-}
-
-#: Forms around a name: (pattern with the name as N, priority, weight); the lower priority wins.
-FORMS = (
-    (r"(?:this )?(?:work|software|program|library|file|code|document|project|material|content|data|package|site|article) is (?:also )?(?:dual )?(?:licensed|released|distributed|published|available|provided|covered|governed) (?:only )?(?:under|by|with) (?:the )?(?:terms of )?(?:the )?N", 1, 1.0),
-    (r"(?:licensed|released|distributed|published|redistributed|sublicensed|available|made available) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?N", 2, 0.95),
-    (r"spdx license identifier N", 2, 0.95),
-    (r"(?:see|read|refer to|subject to|according to|in accordance with|compliance with|terms of|conditions of|copy of|text of) (?:the )?N", 3, 0.9),
-    (r"N", 4, 0.8),
-)
-
-
-def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(number, label, keyword, pattern over whole words, priority, weight)."""
-    made = []
-    for label, (keyword, name) in FAMILIES.items():
-        for form, priority, weight in FORMS:
-            pattern = form.replace("N", f"(?:{name})")
-            made.append((len(made), label, keyword, f"(?<![^ ])(?:{pattern})(?![^ ])", priority, weight))
-    return made
-
-
-#: One of these stands in any text, lower-cased, that has a base phrase or a rule's keyword.
-GATES = ("licen", "cc", "bsd", "creative", "domain", "reserved")
-
-
 def _gate(text: Column) -> Column:
     """Whether words of the text may meet a rule; decides nothing but what is looked at closely."""
-    low = F.lower(text)
-    found = low.contains(GATES[0])
-    for word in GATES[1:]:
-        found = found | low.contains(word)
-    return found
+    words_ = gates(list(BASE))
+    return let(F.lower(text), lambda low: functools.reduce(lambda a, b: a | b, (low.contains(word) for word in words_)))
 
 
 def _starts_of(words: Column, starts: Column, phrase: list[str], label: str) -> Column:
