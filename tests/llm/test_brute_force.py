@@ -24,23 +24,50 @@ def prose(rng, n, words=400):
     return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
 
 
-def test_mined_rules_match_by_subset(spark):
-    rng = random.Random(1)
-    urls = [(f"http://{rng.choice('abc')}.{rng.choice(['com', 'org'])}/{rng.choice(['x', 'y'])}/{rng.randrange(50)}?{rng.choice('pq')}=1",) for _ in range(400)]
-    rows = spark.createDataFrame([(u, "a.org/x" in u or ("b." in u and "q=" in u)) for (u,) in urls], "url string, blocked boolean")
-    mined = url_rules.mine(rows, 0.01, 0.8, 1.2)
-    rules = [(set(r["items"]), r["confidence"]) for r in mined.collect()]
-    assert rules
-    for items, confidence in rules:  # none is made needless by a part of it
-        assert not any(other < items and c >= confidence for other, c in rules)
-    held = {r["url"]: set(r["t"]) for r in rows.select("url", url_rules.tokens(F.col("url")).alias("t")).collect()}
-    for url, tokens in held.items():
-        items = [1 for r, _ in rules if r <= tokens]
-        wrong = rows.where(F.col("url") == url).first()["blocked"]
-        assert bool(items) == wrong, url
-    pages = rows.select(F.monotonically_increasing_id().alias("page_id"), "url")
-    verdicts = url_rules.judge(pages, mined, rules=()).join(pages, "page_id").select("url", "verdict").collect()
-    assert all((r["verdict"] == "block") == any(x <= held[r["url"]] for x, _ in rules) for r in verdicts)
+def plain_rules(rows, least_support, least_confidence, least_lift):
+    """All rules (items, confidence, support) of rows (tokens, blocked) by trying every set of tokens."""
+    rows = [(set(t), b) for t, b in rows if t]
+    n, bad = len(rows), sum(b for _, b in rows)
+    where = defaultdict(set)
+    for i, (t, _) in enumerate(rows):
+        for x in t:
+            where[x].add(i)
+    stands = {}
+    for x in sorted(where):
+        stands.setdefault(frozenset(where[x]), x)
+    blocked = {i for i, (_, b) in enumerate(rows) if b}
+    level, sets = {frozenset([x]): set(r) for r, x in stands.items()}, {}
+    while level := {x: r for x, r in level.items() if len(r & blocked) >= least_support * n}:
+        sets |= level
+        level = {x | y: r & s for x, r in level.items() for y, s in sets.items() if len(y) == 1 and not y <= x}
+    found = {x: (len(r & blocked) / len(r), len(r & blocked) / n) for x, r in sets.items()}
+    found = {x: (c, s) for x, (c, s) in found.items() if c >= least_confidence and c * n / bad >= least_lift}
+    return {x: v for x, v in found.items() if not any(y < x and w[0] >= v[0] for y, w in found.items())}
+
+
+def test_rules_equal_enumeration(spark):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        urls = [f"http{rng.choice(['', 's'])}://{rng.choice('abc')}.{rng.choice(['com', 'org'])}/{rng.choice(['x', 'y'])}/{rng.randrange(50)}{rng.choice(['', '.html'])}?{rng.choice('pq')}=1" for _ in range(300)]
+        blocked = [("a.org/x" in u or ("b." in u and "q=" in u)) != (rng.random() < (0.1 if seed == 2 else 0)) for u in urls]
+        rows = spark.createDataFrame([*zip(urls, blocked, strict=True), (None, True), ("nothing", None)], "url string, blocked boolean")
+        held = [(r["t"], bool(r["blocked"])) for r in rows.select(url_rules.tokens(F.col("url")).alias("t"), "blocked").collect()]
+        mined = url_rules.mine(rows, 0.01, 0.6, 1.2)
+        found = {frozenset(r["items"]): (r["confidence"], r["support"]) for r in mined.collect()}
+        want = plain_rules(held, 0.01, 0.6, 1.2)
+        assert set(found) == set(want) and all(found[x] == pytest.approx(want[x]) for x in want) and len(want) > 2
+        pages = rows.select(F.monotonically_increasing_id().alias("page_id"), "url")
+        own = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+        verdicts = url_rules.judge(pages, mined, rules=()).select("page_id", "verdict").collect()
+        assert len(verdicts) == 302 and all((r["verdict"] == "block") == any(x <= own[r["page_id"]] for x in want) for r in verdicts)
+
+
+def test_many_tokens(spark):
+    """Thirty tokens that come together do not make a combination for each of their subsets."""
+    path = "/".join(f"part{chr(97 + i % 26)}{'z' * (i // 26)}" for i in range(30))
+    urls = [(f"http://deep.site.example.com/{path}/{i}.html", i % 3 == 0) for i in range(300)] + [(f"http://other.org/{i}/spam", True) for i in range(30)]
+    found = {tuple(r["items"]) for r in url_rules.mine(spark.createDataFrame(urls, "url string, blocked boolean")).collect()}
+    assert found == {("host:org",)}
 
 
 @pytest.mark.parametrize("bits,scale,block", [(1, 3, 100), (3, 100, 1000), (6, 256, 64), (8, 256, 1000), (8, 2**40, 1000)])

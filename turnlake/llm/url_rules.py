@@ -1,22 +1,30 @@
 """URL filters: given host and path rules first, mined association rules for the rest.
 
-Spark's FP-growth mines token combinations of labelled URLs. Of its rules those
-stay that conclude "block" with enough support, confidence and lift, and that no
-more general rule with at least their confidence makes needless. Each rule is
+Tokens of labelled URLs that exactly the same rows hold count as one. Spark's
+FP-growth mines the token combinations of the blocked URLs; each is then counted
+over all labelled URLs, and as rules those stay that conclude "block" with enough
+support, confidence and lift, and that no more general rule with at least their
+confidence makes needless. A token whose URLs are all blocked is a rule by itself,
+and as nothing that holds it can be surer, it is not mined further. Each rule is
 filed in an inverted index under its rarest token; a URL meets the rules filed
 under its tokens and is blocked if it holds all tokens of one of them.
 
-A page is labelled by the row of ``labels`` with its number: toxic or of quality
-0 means block.
+The query labels a page by the row of ``labels`` with its number: toxic or of
+quality 0 means block.
 
 Defined results: a null URL or one without "://" has an empty host and path and
 no tokens, so it is allowed; null labels count as not toxic and of quality 1;
-repeated rows are judged alike; without labels nothing is mined and all URLs
-that no given rule blocks are allowed; further columns are ignored.
+repeated rows are judged alike, and count each when they are labelled; URLs of any
+length are read whole; of tokens that the same rows hold the smallest stands for
+all; of equally sure rules the first in order of their tokens is named; without
+labels nothing is mined and all URLs that no given rule blocks are allowed; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +40,6 @@ RULES = (
     ("block", "org/es/"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.5
-BLOCK = "verdict:block"
 
 
 def host(url: Column) -> Column:
@@ -67,15 +74,48 @@ def tokens(url: Column) -> Column:
     return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(F.concat(parents, parts, keys, more), lambda x: x.isNotNull())))
 
 
+RULE = "items array<string>, confidence double, support double, anchor string"
+
+
+def _filed(items: DataFrame, frequent: DataFrame) -> DataFrame:
+    """items with anchor, their token that is held least often; frequent: token, n, a table of bounded size."""
+    each = items.select("items", F.explode("items").alias("token")).join(F.broadcast(frequent.select("token", "n")), "token")
+    return each.groupBy("items").agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
+
+
+def _counted(items: DataFrame, baskets: DataFrame) -> DataFrame:
+    """items and anchor with total, how many baskets hold all of them."""
+    met = baskets.select("tokens", F.explode("tokens").alias("anchor")).join(small(items), "anchor").where(F.size(F.array_except("items", "tokens")) == 0)
+    return met.groupBy("items", "anchor").agg(F.count("*").alias("total"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules (items, confidence, support, anchor) from rows (url, blocked); a written table."""
-    items = tokens(F.col("url"))
-    baskets = written(labelled.select(F.when(F.col("blocked"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items")).where(F.size("items") > 0))
-    if baskets.isEmpty():
-        return baskets.select("items", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"), F.lit("").alias("anchor"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).where(F.col("lift") >= min_lift)
-    found = written(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
+    spark = labelled.sparkSession
+    rows = labelled.select(tokens(F.col("url")).alias("tokens"), F.coalesce("blocked", F.lit(False)).alias("blocked")).where(F.size("tokens") > 0)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    n, bad = rows.agg(F.count("*"), F.count_if("blocked")).first()
+    least = max(1, math.ceil(min_support * n - 1e-9))
+    if bad < least:
+        return spark.createDataFrame([], RULE)
+    # each row holds a limited number of tokens on average, so those held by so many of the blocked rows are few
+    held = rows.select("row", "blocked", F.explode("tokens").alias("token"))
+    same = (F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64(F.lit(1), "row")))
+    frequent = held.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad"), same[0].alias("one"), same[1].alias("two")).where(F.col("bad") >= least)
+    frequent = written(frequent.groupBy("n", "bad", "one", "two").agg(F.min("token").alias("token")))
+    sure = frequent.where("bad = n").select(F.array("token").alias("items"), "bad", F.col("n").alias("total"), F.col("token").alias("anchor"))
+    open_ = frequent.where("bad < n").select("token", "n")
+    baskets = written(held.join(F.broadcast(open_.select("token")), "token").groupBy("row", "blocked").agg(F.collect_set("token").alias("tokens")))
+    blocked = baskets.where("blocked").select(F.col("tokens").alias("items"))
+    found = sure
+    if not blocked.isEmpty():
+        mined = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / blocked.count()).fit(blocked).freqItemsets
+        mined = written(mined.where(F.col("freq") >= least).select(F.array_sort("items").alias("items"), F.col("freq").alias("bad")))
+        filed = written(_filed(mined, open_))
+        found = found.unionByName(mined.join(_counted(filed, baskets), "items").select(*found.columns))
+    confidence = F.col("bad") / F.col("total")
+    found = found.where((confidence >= min_confidence) & (confidence * n / bad >= min_lift))
+    found = written(found.select("items", confidence.alias("confidence"), (F.col("bad") / n).alias("support"), "anchor"))
     # a rule is needless if a part of it concludes the same as surely; such a part has its first item among the rule's
     part = found.select(F.col("items").alias("p_items"), F.col("confidence").alias("p_confidence"), F.get("items", 0).alias("item"))
     needless = (
@@ -84,9 +124,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         .where((F.size("p_items") < F.size("items")) & (F.size(F.array_except("p_items", "items")) == 0) & (F.col("p_confidence") >= F.col("confidence")))
         .select("items").distinct()
     )
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.get("items", 0).alias("item"), "freq")
-    anchors = found.select("items", F.explode("items").alias("item")).join(single, "item").groupBy("items").agg(F.min(F.struct("freq", "item")).alias("x")).select("items", F.col("x.item").alias("anchor"))
-    return written(found.join(needless, "items", "left_anti").join(anchors, "items"))
+    return written(found.join(needless, "items", "left_anti"))
 
 
 def judge(urls: DataFrame, mined: DataFrame, rules=RULES) -> DataFrame:
