@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -278,6 +279,46 @@ def test_language_evidence(spark, docs):
     assert found[("q", "y.de")][0] == "de" and found[("q", "x.uk")][0] == "en"  # the host decides
 
 
+def plain_languages(rows, names):
+    """(language, posterior) of each row (text, declared, host), each judged by all the others and its own declaration."""
+    grams = [language_fusion._grams([b" " + (t or "").encode()])[0] for t, _, _ in rows]
+    grams = [Counter(g[g < language_fusion.GRAMS].tolist()) for g in grams]
+    suffix = lambda h: h.rpartition(".")[2].lower() if h and "." in h else ""
+    out = []
+    for i, (_, said, host) in enumerate(rows):
+        others = [k for k in range(len(rows)) if k != i and rows[k][1]]
+        size = sum(grams[i].values())
+        if not size:
+            out.append((None, 0.0))
+            continue
+        logs = []
+        for name in names:
+            counts = sum((grams[k] for k in others if rows[k][1] == name), Counter())
+            total = sum(counts.values()) + 0.5 * language_fusion.GRAMS
+            value = sum(n * math.log((counts[g] + 0.5) / total) for g, n in grams[i].items()) * min(size, language_fusion.EVIDENCE) / size
+            share = (sum(rows[k][1] == name for k in others) + 1) / (len(others) + len(names))
+            for weight, near in ((language_fusion.SUFFIX_PRIOR, [k for k in others if suffix(rows[k][2]) == suffix(host)]), (language_fusion.HOST_PRIOR, [k for k in others if rows[k][2] == host])):
+                share = (sum(rows[k][1] == name for k in near) + weight * share) / (len(near) + weight)
+            value += math.log(share)
+            if said:
+                value += math.log(language_fusion.DECLARED if said == name else (1 - language_fusion.DECLARED) / (len(names) - 1))
+            logs.append(value)
+        best = max(logs)
+        out.append((names[logs.index(best)], 1 / sum(math.exp(x - best) for x in logs)))
+    return out
+
+
+def test_posterior(spark, docs):
+    rng = random.Random(14)
+    rows = [((r["text"] or "")[: rng.choice([0, 5, 12, 40, 300])], r["lang"] if rng.random() < 0.6 else None, rng.choice(["a.de", "b.de", "c.fr", "src", None])) for r in docs.orderBy("doc_id").limit(120).collect()]
+    rows += [rows[3]] * 3 + [(None, "en", "a.de"), ("12 34", "de", None)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r["lid"] for r in language_fusion.fuse(frame).collect()}
+    for i, (name, posterior) in enumerate(plain_languages(rows, sorted({r[1] for r in rows if r[1]}))):
+        assert found[i]["lang"] == name and found[i]["posterior"] == pytest.approx(posterior, abs=1e-4), (i, rows[i])
+        assert found[i]["kept"] == (posterior >= language_fusion.LEAST) or abs(posterior - language_fusion.LEAST) < 1e-4
+
+
 class Tiny(piece_lattice.Pieces):
     def __init__(self, pieces):
         self.byte = {b: 1000 + b for b in range(256)}

@@ -31,7 +31,7 @@ def test_pages_bring_declarations_and_suffixes(spark, tmp_path):
     pages = [(i, f"http://h{i % 9}.de/{i}", f'<html lang="de"><p>{words["de"] * 20}</p></html>') for i in range(60)]
     pages += [(i, f"http://g{i}.uk/", f'<html lang="en-GB"><p>{words["en"] * 20}</p></html>') for i in range(60, 90)]
     # one letter, no declaration, a host that no page has: only its suffix can tell
-    pages += [(99, "http://new.de/", "<p>q</p>"), (98, "http://new.uk/", "<p>q</p>"), (97, "http://other/", '<html lang="de"><p>z</p></html>')]
+    pages += [(99, "http://new.de/", "<p>q</p>"), (98, "http://new.uk/", "<p>q</p>"), (97, "http://other.xx/", '<html lang="de"><p>z</p></html>')]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     rows = language_fusion.query(spark, str(tmp_path)).collect()
     found = {r["page_id"]: r["lang"] for r in rows if r["page_id"] is not None}

@@ -11,6 +11,10 @@ Four kinds of evidence meet in one posterior for each document:
 - its host: counted languages, smoothed towards those of the suffix, which are
   smoothed towards those of all documents.
 
+A document's own declaration counts as declaration alone: its text is left out of
+the trigram counts of its language, and the document itself out of the counts of
+its host, its suffix and of all, when it is judged.
+
 A document is rejected if no letter is in it or no language reaches the least
 posterior.
 
@@ -32,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import BROADCAST_ROWS, small, table, unused, written
 
 GRAMS = 1 << 16
 #: Languages whose counts a task holds before it hands them on, and hosts whose priors it remembers.
@@ -43,6 +47,8 @@ DECLARED = 0.9
 HOST_PRIOR, SUFFIX_PRIOR = 20.0, 50.0
 #: Trigrams of one text are not independent: together they weigh as so many.
 EVIDENCE = 60
+#: Count that every trigram has besides.
+EXTRA = 0.5
 LEAST = 0.5
 #: What a page does not show.
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -79,9 +85,9 @@ def language(declared: Column) -> Column:
 
 
 def fit(docs: DataFrame, declared: str = "lang", host: str = "source") -> tuple[list[str], np.ndarray, np.ndarray, DataFrame]:
-    """(languages, log-likelihood of each trigram by language, documents of each language, _priors() of the hosts)."""
-    said = docs.withColumn("_lid_said", language(F.col(declared)))
-    counts = written(said.groupBy(F.col(host).alias("host"), F.col("_lid_said").alias("l")).agg(F.count("*").alias("n")))
+    """(languages, counts of each trigram by language, documents of each language, _priors() of the hosts)."""
+    said = docs.select(F.col(host).alias("host"), language(F.col(declared)).alias("l"), "text")
+    counts = written(said.groupBy("host", "l").agg(F.count("*").alias("n")))
     every = {r["l"]: r["n"] for r in counts.where("l IS NOT NULL").groupBy("l").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(every)
     place = {x: i for i, x in enumerate(languages)}
@@ -102,15 +108,11 @@ def fit(docs: DataFrame, declared: str = "lang", host: str = "source") -> tuple[
                 sums[x] = sums.get(x, 0) + np.bincount(_grams(_texts(part["text"]))[0], minlength=GRAMS + 1)
         yield from counted()
 
-    named = said.where("_lid_said IS NOT NULL").select(F.col("_lid_said").alias("l"), "text")
+    named = said.where("l IS NOT NULL").select("l", "text")
     grams = named.mapInPandas(count, "at int, gram int, n long").groupBy("at", "gram").agg(F.sum("n").alias("n")).toPandas()
-    logs = np.full((len(languages), GRAMS + 1), 0.5, np.float32)
-    totals = np.full(len(languages), 0.5 * GRAMS) + np.bincount(grams["at"], grams["n"], minlength=len(languages))
-    logs[grams["at"], grams["gram"]] += grams["n"]
-    for row, total in zip(logs, totals, strict=True):
-        row[:] = np.log(row / total)
-        row[GRAMS] = 0
-    return languages, logs, np.array([every[x] for x in languages], float), _priors(counts)
+    whole = np.zeros((len(languages), GRAMS + 1), np.float32)
+    whole[grams["at"], grams["gram"]] = grams["n"]
+    return languages, whole, np.array([every[x] for x in languages], float), _priors(counts)
 
 
 def _priors(counts: DataFrame) -> DataFrame:
@@ -123,21 +125,31 @@ def _priors(counts: DataFrame) -> DataFrame:
 
 
 def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: float = LEAST) -> DataFrame:
-    """docs with lid: struct(lang, posterior, text_lang, kept). The texts stay where they are read."""
-    languages, logs, every, priors = fit(docs, declared, host)
+    """docs with lid: struct(lang, posterior, text_lang, kept). The texts stay where they are read, unless there are very many hosts."""
+    languages, counts, every, priors = fit(docs, declared, host)
     n = len(languages)
+    place = {x: i for i, x in enumerate(languages)}
 
     @F.pandas_udf("array<double>")
-    def likelihoods(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+    def likelihoods(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        totals = counts[:, :GRAMS].sum(1, dtype=np.float64) + EXTRA * GRAMS
+        logs = np.log(counts + np.float32(EXTRA)) - np.log(totals).astype(np.float32)[:, None]
+        logs[:, GRAMS] = 0
+        for texts, said in batches:
             out = []
-            for start in range(0, len(batch), 256):  # bounds what is in memory beside the texts
-                grams, begins = _grams(_texts(batch.iloc[start : start + 256]))
+            for start in range(0, len(texts), 256):  # bounds what is in memory beside the texts
+                grams, begins = _grams(_texts(texts.iloc[start : start + 256]))
                 real = np.add.reduceat((grams < GRAMS).astype(np.int64), begins)
-                sums = [np.add.reduceat(logs[i][grams], begins, dtype=np.float64) for i in range(n)]
+                sums = np.column_stack([np.add.reduceat(logs[i][grams], begins, dtype=np.float64) for i in range(n)])
+                for row, (lo, hi, name) in enumerate(zip(begins, [*begins[1:], len(grams)], said.iloc[start : start + 256], strict=True)):
+                    if name is not None:  # the text itself is in the counts of its language
+                        own, times = np.unique(grams[lo:hi], return_counts=True)
+                        own, times = own[own < GRAMS], times[own < GRAMS]
+                        at = place[name]
+                        sums[row, at] = times @ np.log(np.maximum(counts[at, own] - times, 0) + EXTRA) - real[row] * np.log(totals[at] - real[row])
                 scale = np.where(real > 0, np.minimum(real, EVIDENCE) / np.maximum(real, 1), 0.0)
                 # the last number says whether there is a letter at all
-                out += np.column_stack([*(s * scale for s in sums), real > 0]).astype(np.float64).tolist()
+                out += np.column_stack([sums * scale[:, None], real > 0]).astype(np.float64).tolist()
             yield pd.Series(out)
 
     if not n:
@@ -145,42 +157,54 @@ def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: f
         return docs.withColumn("lid", nothing)
     wrong = float(np.log((1 - DECLARED) / max(1, n - 1)))
     right = float(np.log(DECLARED))
-    place = {x: i for i, x in enumerate(languages)}
-    above = (every + 1) / (every.sum() + n)
 
-    def smoothed(names, counts, weight: float, upper: np.ndarray) -> np.ndarray:
-        own = weight * upper
-        own[[place[x] for x in names]] += counts
-        return own / (np.sum(counts) + weight)
+    def levels(own: int | None, names, counted, above_names, above_counted) -> np.ndarray:
+        """Logarithms of the host's prior, without the document itself, which declares the language of that place."""
+        shares = (every - _one(n, own) + 1) / (every.sum() - (own is not None) + n)
+        for weight, names_, counted_ in ((SUFFIX_PRIOR, above_names, above_counted), (HOST_PRIOR, names, counted)):
+            held = -_one(n, own)
+            held[[place[x] for x in names_]] += counted_
+            shares = (held + weight * shares) / (held.sum() + weight)
+        return np.log(shares)
 
     @F.pandas_udf("lang string, posterior double, text_lang string, kept boolean")
     def judged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for batch in batches:
             rows = []
-            for text, said, at, l, c, sl, sn in zip(*batch, strict=True):  # noqa: E741
+            for text, said, at, *prior in zip(*batch, strict=True):
                 if not text[n]:
                     rows.append((None, 0.0, None, False))
                     continue
-                if at not in known:
-                    if len(known) >= HELD:
+                own = None if said is None else place[said]
+                if (at, own) not in known:
+                    if len(known) >= HELD * n:
                         known.clear()
-                    known[at] = np.log(smoothed(l, c, HOST_PRIOR, smoothed(sl, sn, SUFFIX_PRIOR, above)))
-                both = text[:n] + known[at]
-                if said is not None:
+                    known[at, own] = levels(own, *prior)
+                both = text[:n] + known[at, own]
+                if own is not None:
                     both = both + wrong
-                    both[place[said]] += right - wrong
+                    both[own] += right - wrong
                 # argmax gives the first of equal values: languages are in order
                 best = int(np.argmax(both))
                 posterior = float(1 / np.exp(both - both[best]).sum())
                 rows.append((languages[best], posterior, languages[int(np.argmax(text[:n]))], posterior >= least))
             yield pd.DataFrame(rows, columns=["lang", "posterior", "text_lang", "kept"])
 
-    scored = docs.withColumn("_lid_text", likelihoods(F.col("text"))).withColumn("_lid_said", language(F.col(declared)))
-    priors = priors.select(*(F.col(c).alias(f"_lid_{c}") for c in priors.columns))
-    joined = scored.join(small(priors), F.col(host).eqNullSafe(F.col("_lid_host")))
-    lid = judged(*(F.col(f"_lid_{c}") for c in ("text", "said", "host", "l", "n", "sl", "sn")))
-    return joined.withColumn("lid", lid).select(*(c for c in docs.columns if c != "lid"), "lid")
+    text, said, *names = unused(docs, "text_", "said", "host", "l", "n", "sl", "sn")
+    scored = docs.withColumn(said, language(F.col(declared)))
+    scored = scored.withColumn(text, likelihoods(F.col("text"), F.col(said)))
+    priors = priors.select(*(F.col(c).alias(name) for c, name in zip(("host", "l", "n", "sl", "sn"), names, strict=True)))
+    joined = scored.join(small(priors, BROADCAST_ROWS // n), F.col(host).eqNullSafe(F.col(names[0])))
+    return joined.withColumn("lid", judged(*map(F.col, (text, said, *names)))).select(*(c for c in docs.columns if c != "lid"), "lid")
+
+
+def _one(n: int, at: int | None) -> np.ndarray:
+    """Zeros with a one at a place, if there is one."""
+    out = np.zeros(n)
+    if at is not None:
+        out[at] = 1
+    return out
 
 
 def visible(html: Column) -> Column:
