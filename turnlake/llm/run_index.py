@@ -56,7 +56,7 @@ PASSAGE, WORDS = 250, 50
 #: Bytes of an anchor.
 GRAM = 16
 #: Bytes read at once, and at most (positions in a piece take the lower bits of a number).
-CHUNK, PIECE_BITS = 1 << 20, 24
+CHUNK, PIECE_BITS = 1 << 19, 24
 #: Bytes in a block of the index.
 BLOCK = 1_500_000
 #: A key with more different stretches is keyed anew.
@@ -105,7 +105,7 @@ def _key(text: bytes, at: int, slot: int, width: int, length: int) -> int:
 
 @functools.cache
 def _powers(base: int) -> np.ndarray:
-    steps = np.full(CHUNK + (1 << PIECE_BITS), base, np.uint64)
+    steps = np.full(2 * CHUNK, base, np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
 
@@ -128,7 +128,6 @@ def stretches(texts: list[bytes], length: int) -> tuple[list[int], dict[str, np.
     counts = [0] * len(texts)
     out: dict[str, list] = {k: [] for k in ("key", "same", "at", "lo", "hi")}
     pieces = []  # (text, offset, bytes)
-    longest = (1 << PIECE_BITS) // 2
 
     def flush() -> None:
         if not pieces:
@@ -159,8 +158,8 @@ def stretches(texts: list[bytes], length: int) -> tuple[list[int], dict[str, np.
 
     total = 0
     for i, text in enumerate(texts):
-        for offset in range(0, len(text) - length + 1, longest):
-            raw = text[offset : offset + longest + length - 1]
+        for offset in range(0, len(text) - length + 1, CHUNK):
+            raw = text[offset : offset + CHUNK + length - 1]
             if total + len(raw) > CHUNK:
                 flush()
                 total = 0
