@@ -54,7 +54,7 @@ N_BEST = 3
 #: What a character without a piece costs beside the worst piece.
 UNKNOWN = 10.0
 #: Parts whose segmentations a task remembers; beyond it, it starts afresh with the next texts.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 MARK = "▁"
 #: Bytes of texts that are cut up at once, parts that are searched at once, and the longest part that is searched with others.
 CHUNK, GROUP, AT_ONCE = 1 << 18, 4000, 48
@@ -79,7 +79,8 @@ class Pieces:
         """A table of hashed pieces and beginnings of pieces, and where texts fall apart."""
         self.longest = max(map(len, self.id))
         self.unknown = min(s for s in self.score.values() if s > -1e8) - UNKNOWN
-        self.bytes = {i: bytes([b]) for b, i in self.byte.items()} | {i: piece.encode() for piece, i in self.id.items()}
+        bytes_ = {i: bytes([b]) for b, i in self.byte.items()} | {i: piece.encode() for piece, i in self.id.items()}
+        self.bytes = [bytes_.get(i, b"") for i in range(max(bytes_) + 1)]
         #: Proper beginnings of pieces: a search goes on only behind these.
         self.begins = {piece[:k] for piece in self.id for k in range(1, len(piece))}
         pieces = list(self.id)
@@ -184,10 +185,11 @@ class Pieces:
 
     def learn(self, parts: Iterable[str], memory: Memory) -> None:
         """Puts best(part) of all parts into memory: many are searched at once, the longest apart."""
-        parts = sorted(parts, key=lambda x: (-len(x), x))
+        parts = sorted(parts, key=len, reverse=True)
         first = next((i for i, x in enumerate(parts) if len(x) <= AT_ONCE), len(parts))
         for part in parts[:first]:
-            memory.add([part], *([x] for x in self.best(part)))
+            ids, score, loss = self.best(part)
+            memory.add([part], ids, [len(ids)], [score], [loss])
         for start in range(first, len(parts), GROUP):
             self._learn(parts[start : start + GROUP], memory)
 
@@ -233,10 +235,13 @@ class Pieces:
             at, row = before[more], row[more]
         row, at = np.nonzero(way.T > -2)
         found = way[at, row]
-        ids = np.split(self.ids[found], np.cumsum(np.bincount(row, minlength=rows))[:-1])
-        for i in set(row[found < 0].tolist()):  # characters without a piece
-            ids[i] = self.best(parts[i])[0]
-        memory.add(parts, ids, ahead[size, np.arange(rows)], loss)
+        ids, sizes = self.ids[found], np.bincount(row, minlength=rows)
+        if spelled := set(row[found < 0].tolist()):  # characters without a piece
+            each = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in spelled:
+                each[i] = self.best(parts[i])[0]
+            ids, sizes = np.concatenate(each), [len(x) for x in each]
+        memory.add(parts, ids, sizes, ahead[size, np.arange(rows)], loss)
 
     def encode(self, texts: list[str | None], n: int, memory: Memory) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text the n best segmentations: (score, ids), the best first."""
@@ -295,11 +300,10 @@ class Memory:
         self.score, self.loss = np.zeros(0), np.zeros(0)
         self._ways: dict[tuple[str, int], list] = {}
 
-    def add(self, parts: list[str], ids: list[np.ndarray], scores, losses) -> None:
-        for part in parts:
-            self.number[part] = len(self.number)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        self.ids = np.concatenate([self.ids, *ids])
+    def add(self, parts: list[str], ids: np.ndarray, sizes, scores, losses) -> None:
+        """New parts with their ids one after another."""
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.score, self.loss = np.append(self.score, scores), np.append(self.loss, losses)
 
@@ -311,7 +315,7 @@ class Memory:
 
     def ways(self, part: str, n: int, pieces: Pieces) -> list[tuple[float, tuple[int, ...]]]:
         if (part, n) not in self._ways:
-            if len(self._ways) >= REMEMBERED // 10:
+            if len(self._ways) >= REMEMBERED // 30:
                 self._ways.clear()
             at = self.number[part]
             first = tuple(self.ids[self.ends[at] : self.ends[at + 1]].tolist())
