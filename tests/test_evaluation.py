@@ -2,10 +2,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from turnlake.functions.text import term_weights
 from turnlake.operators import judging, metrics, prompting, replay
 from turnlake.plans import evaluation
 from turnlake.plans.engine import Memory
-from turnlake.schemas import ChunkerConfig, EvalConfig
+from turnlake.schemas import ChunkerConfig, EvalConfig, RetrievalConfig
 from turnlake.streaming import ingest
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -74,29 +75,77 @@ def test_first_of_equal_runs_is_best(spark):
 
 
 def test_run_and_sweep(spark, tmp_path):
-    rows = talk(spark, ("user", "I like green tea"), ("assistant", "Noted: green tea."), ("user", "Which tea do I like?"), ("assistant", "You like green tea"))
-    results, conversations, run = evaluation.run_eval(rows, EvalConfig(ChunkerConfig(1, 50)))
-    assert results.count() == 2 and conversations.first()["num_turns"] == 4 and run.first()["n_scored"] == 2
+    rows = talk(spark, ("user", "I like green tea"), ("assistant", "Noted: green tea."), ("user", "Which tea do I like?"), ("assistant", "You like green tea")).unionByName(talk(spark, ("system", "x"), conv=2))
+    config = EvalConfig(ChunkerConfig(1, 50))
+    results, conversations, run = evaluation.run_eval(rows, config)
+    assert results.count() == 2 and conversations.where("conv_id = 1").first()["num_turns"] == 4 and run.first()["n_scored"] == 2
     board = evaluation.run_sweep(rows, evaluation.sweep_configs(chunker_grid={"min_tokens": [1], "max_tokens": [20, 50]}, retrieval_grid={"k": [1, 2]}))
-    assert board.count() == 4 and "*" in evaluation.report(board)
+    text = evaluation.report(board)
+    assert board.count() == 4 and "*" in text and text.splitlines()[-1].startswith("Best: chunks of 1 to ")
     assert spark.read.json(evaluation.save_sweep(board, str(tmp_path))).count() == 4
-    assert spark.read.json(evaluation.save_run(conversations, run, EvalConfig(), str(tmp_path))).count() == 2
-    assert evaluation.report(evaluation.run_sweep(rows, [])) == "No results to display."
+    lines = [json.loads(r["value"]) for r in spark.read.text(evaluation.save_run(results, conversations, run, config, str(tmp_path))).collect()]
+    saved = {x.get("conv_id"): json.loads(x["result"]) for x in lines}
+    assert set(saved) == {None, "1", "2"} and saved[None]["n_scored"] == 2 and "run_timestamp" in saved[None]
+    assert [t["turn"] for t in saved["1"]["turn_results"]] == [0, 2] and saved["1"]["turn_results"][1]["user_text"] == "Which tea do I like?"
+    assert saved["2"]["num_turns"] == 1 and not saved["2"].get("turn_results")
+    assert json.loads(lines[0]["config"])["chunker"]["max_tokens"] == 50
+    told = list(evaluation.summary(conversations, run, config))
+    assert told[1].startswith("Mean score") and told[2].startswith("  1: ") and told[3] == "  2: 0.00 (0 of 1 turns scored)"
+    assert evaluation.report(evaluation.run_sweep(rows, [])) == "Nothing was run."
+
+
+def models():
+    """(encoder, responder, judge): stand-ins that travel to the workers by value."""
+
+    def letters():
+        return lambda texts: [[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+    def parrot():
+        """Says how many messages it got, and the first memory."""
+        return lambda messages: f"  {len(messages)} {[m['content'] for m in messages if 'Memory 1' in m['content']]}  "
+
+    def strict():
+        """Gives 4 if the reply tells of five messages, and talks nonsense of others."""
+        return lambda messages: '{"score": 4, "reasoning": "five"}' if messages[1]["content"].split("Reply to score:\n")[1].startswith("5 ") else "well"
+
+    return (letters, 26), parrot, strict
+
+
+def test_models_are_parameters(spark):
+    rows = talk(spark, ("user", "abc abc"), ("assistant", "zzz"), ("user", "abc"), ("assistant", "abc"), ("user", "zz"), ("assistant", "ok"))
+    results, conversations, run = evaluation.run_eval(rows, EvalConfig(ChunkerConfig(1, 50), RetrievalConfig(1, 50), recent_window=2), *models())
+    found = {r["turn"]: r for r in results.collect()}
+    assert found[0]["reply"] == "2 []" and found[0]["score"] == 1 and found[0]["reasoning"].startswith("Failed to parse") and found[0]["retrieved"] == []
+    assert found[2]["reply"].startswith("5 ") and found[2]["retrieved"] == ["abc abc"] and found[2]["score"] == 4 and found[2]["reasoning"] == "five"
+    assert found[4]["retrieved"] == ["zzz"]
+    assert conversations.first()["scores_by_position"] == [1, 4, 4] and run.first()["mean_score"] == 3.0
+    board = evaluation.run_sweep(rows, evaluation.sweep_configs(EvalConfig(recent_window=2), {"min_tokens": [1], "max_tokens": [50]}, {"k": [1, 2]}), *models())
+    assert [r["mean_score"] for r in board.orderBy("place").collect()] == [3.0, 3.0]
+
+
+def test_no_more_conversations_than_asked_for(spark):
+    rows = talk(spark, ("user", "a"), ("assistant", "a"), conv=3).unionByName(talk(spark, ("user", "b"), ("assistant", "b"), conv=1)).unionByName(talk(spark, ("user", "c"), ("assistant", "c"), conv=2))
+    ids = lambda n: {r["conv_id"] for r in evaluation.run_eval(rows, EvalConfig(max_conversations=n))[1].collect()}
+    assert ids(2) == {1, 2} and ids(0) == ids(None) == {1, 2, 3}
 
 
 def test_memory(spark, tmp_path):
     rows = talk(spark, ("user", "My name is Ada."), ("assistant", "Nice to meet you."), ("user", "The weather is fine."))
     asked = spark.createDataFrame([(7, "what is my name")], "query_id long, text string")
-    with Memory(spark, str(tmp_path / "m")) as memory:
+    with Memory(spark, str(tmp_path / "m"), lexical=term_weights) as memory:
         assert [x.count() for x in memory.ingest(rows)] == [3, 3]
         assert [x.count() for x in memory.ingest(rows)] == [0, 0]
-        assert "Ada" in memory.search(asked, 2).orderBy("rk").first()["text"]
-    letters = (lambda: lambda texts: [[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], 26)
-    with Memory(spark, str(tmp_path / "v"), encoder=letters) as memory:
-        assert memory.search(asked, 2).count() == 0
+        found = memory.search(asked, 2).orderBy("rk").first()
+        assert "Ada" in found["text"] and found["lexical_weights"] == {"my": 0.25, "name": 0.25, "is": 0.25, "ada": 0.25}
+    with Memory(spark, str(tmp_path / "v"), encoder=models()[0]) as memory:
+        assert memory.search(asked, 2).count() == 0 and memory.index() is None
         memory.ingest(rows)
         found = memory.search(asked, 2).orderBy("rk").collect()
         assert len(found) == 2 and found[0]["score"] >= found[1]["score"] and memory.vectors().count() == 3
+        memory.rebuild_index(width=4.0)
+    with Memory(spark, str(tmp_path / "v"), encoder=models()[0]) as memory:  # as a later session finds it
+        again = memory.search(asked, 2, memory.index()).orderBy("rk").collect()
+        assert [r["chunk_id"] for r in again] == [r["chunk_id"] for r in found]
 
 
 def test_stream(spark, tmp_path):
@@ -108,12 +157,33 @@ def test_stream(spark, tmp_path):
     assert ingest.landed(spark, str(tmp_path / "out")).count() == 3
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_late_turns_and_windows_on_streams(spark, tmp_path):
+    at = lambda minute: F.timestamp_add("MINUTE", F.lit(minute), F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    for n, (turn, minute) in enumerate([(0, 0), (0, 1), (1, 300), (1, 302), (0, 301)]):
+        rows = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), at(minute).alias("created_at"), at(minute).alias("ts"), F.lit("x").alias("event_type"), F.lit(1.0).alias("value"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/part{n}")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = ingest.read_turns(spark, f"{tmp_path}/in", rows.schema, 1)
+    ingest.deduplicated(stream, "10 minutes").writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/s1").trigger(availableNow=True).start().awaitTermination()
+    found = [(r["turn"], r["created_at"].hour) for r in spark.table("once").collect()]
+    assert sorted(t for t, _ in found) in ([0, 0, 1], [0, 1])  # turn 0 comes back only after its state has gone
+    ingest.activity(stream).writeStream.format("memory").queryName("active").outputMode("append").option("checkpointLocation", f"{tmp_path}/s2").trigger(availableNow=True).start().awaitTermination()
+    assert [r["n_events"] for r in spark.table("active").collect()] == [2]  # the later window is open still
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from turnlake import cli
 
     (tmp_path / "t").mkdir()
     assert cli.main(["--conversation-dir", str(tmp_path / "t")], spark) == 1
     (tmp_path / "t" / "a.txt").write_text("User:\nI like tea\n\nClaude:\nTea it is\n")
     assert cli.main(["--conversation-dir", str(tmp_path / "t"), "--results-dir", str(tmp_path / "r")], spark) == 0
-    assert "recall@4" in capsys.readouterr().out
-    assert json.loads(next((tmp_path / "r").glob("eval_120-250_k10_ef50_*/part-*")).read_text().splitlines()[0])
+    out = capsys.readouterr().out
+    assert "recall@4" in out and "  a.txt: " in out
+    lines = [json.loads(x) for f in (tmp_path / "r").glob("eval_120-250_k10_ef50_*/part-*") for x in f.read_text().splitlines()]
+    assert {x.get("conv_id") for x in lines} == {None, "a.txt"}
+    (tmp_path / "models.py").write_text("def talker():\n    return lambda messages: 'Tea it is'\n\n\ndef judge():\n    return lambda messages: '{\"score\": 3}'\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "models.py"))
+    assert cli.main(["--conversation-dir", str(tmp_path / "t"), "--results-dir", str(tmp_path / "r2"), "--responder-model", "models:talker", "--judge-model", "models:judge"], spark) == 0
+    assert "Mean score 3.00" in capsys.readouterr().out

@@ -31,6 +31,14 @@ def test_directory(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("a b.txt", 0, "user", "Hi �"), ("a b.txt", 1, "assistant", "Yo"), ("b.md", 0, "user", "Hello")]
 
 
+def test_one_export(spark, tmp_path):
+    (tmp_path / "my talk.log").write_bytes(b"before\nUser:\r\nOne\r\n\r\nClaude: \nTwo\nUser: no header\n")
+    (tmp_path / "c.md").write_text("User:\nplain\n**Assistant:**\nfine\n**User:**")
+    rows = lambda name: [tuple(r) for r in transcripts.load_conversation(spark, str(tmp_path / name)).orderBy("turn").collect()]
+    assert rows("my talk.log") == [("my talk.log", 0, "user", "One"), ("my talk.log", 1, "assistant", "Two\nUser: no header")]
+    assert rows("c.md") == [("c.md", 0, "assistant", "fine")]
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"))
     assert s.turns.count() == 0

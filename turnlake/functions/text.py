@@ -29,6 +29,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def term_weights(text: Column) -> Column:
+    """Lexical weights of a text: the share of each of its terms; empty without terms."""
+    words = lambda all_: F.transform(F.array_distinct(all_), lambda t: F.struct(t.alias("key"), (F.size(F.filter(all_, lambda x: x == t)) / F.size(all_)).alias("value")))
+    return let(F.coalesce(terms(text), F.array().cast("array<string>")), lambda all_: F.map_from_entries(words(all_)))
+
+
 def sentences(text: Column) -> Column:
     """Stripped non-blank pieces, cut behind . ! ? with white space and at line breaks."""
     cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n")

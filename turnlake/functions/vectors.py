@@ -18,8 +18,3 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 if a vector is zero."""
     size = norm(a) * norm(b)
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
-
-
-def packed(a: Column) -> Column:
-    """A vector as single precision floats."""
-    return F.transform(a, lambda x: x.cast("float"))

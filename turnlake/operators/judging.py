@@ -9,11 +9,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import terms
+from turnlake.operators.prompting import message
 
 #: Fixed message of an answer that cannot be read, followed by its first 200 characters.
 UNREADABLE = "Failed to parse judge response: "
 
 
+RUBRIC = """Compare a reply with the reply that was really given and score from 1 to 5 how much of its content it has; wording does not matter.
+
+5: all that matters is there. 4: most of it, a detail is missing. 3: part of it, something important is missing. 2: little, most is different. 1: nothing, or the contrary.
+
+Answer in JSON and nothing else: {"score": <1 to 5>, "reasoning": "<one or two sentences>"}"""
+
+
+def question(user_text: Column, expected: Column, reply: Column) -> Column:
+    """Messages (role, content) that ask a judge: the rubric, then the user's message, the reply given and the reply to score."""
+    parts = F.concat(F.lit("User message:\n"), user_text, F.lit("\n\nReply that was given:\n"), expected, F.lit("\n\nReply to score:\n"), reply)
+    return F.array(message("system", F.lit(RUBRIC)), message("user", parts))
+
+
 def _read(answer: str | None) -> tuple[int, str]:
     answer = answer or ""
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INSTRUCTIONS = "Answer the user. Earlier parts of the conversation may be given as memory; use what is relevant in them and do not speak of the memory itself."
@@ -37,13 +37,17 @@ def extractive_reply(hits: Column, recent: Column) -> Column:
     return F.coalesce(F.get(hits, 0), F.get(recent, F.size(recent) - 1)["text"], F.lit(""))
 
 
-def replied(prompts: DataFrame, responder: Callable[[], Callable[[list[dict]], str]], messages: str = "messages") -> DataFrame:
-    """prompts with reply: a model's answer, stripped. responder builds the model's client once for each task."""
+#: Builds a model's client, once for each task: a function from messages (role, content) to an answer.
+Client = Callable[[], Callable[[list[dict]], str]]
+
+
+def answered(messages: Column, client: Client) -> Column:
+    """A model's answers to messages, stripped. They may differ from call to call, so what is made of them should be written once."""
 
     @F.pandas_udf("string")
-    def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        answer = responder()
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ask = client()
         for batch in batches:
-            yield batch.map(lambda m: answer([dict(x) for x in m]).strip())
+            yield pd.Series([(ask([x if isinstance(x, dict) else x.asDict() for x in m]) or "").strip() for m in batch], dtype=object)
 
-    return prompts.withColumn("reply", reply(F.col(messages)))
+    return answers.asNondeterministic()(messages)

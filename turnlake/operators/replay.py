@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import terms
+from turnlake.functions.vectors import cosine
 
 
 def scored_turns(turns: DataFrame) -> DataFrame:
@@ -57,6 +58,19 @@ def prior_retrieval(queries: DataFrame, memory: DataFrame, k: int, key: tuple[st
     return scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("conv_id", "turn", "rk", *names, "score")
 
 
+def prior_vectors(queries: DataFrame, memory: DataFrame, k: int, key: tuple[str, ...] = ("turn",)) -> DataFrame:
+    """As prior_retrieval, by the cosine of vectors: queries (conv_id, turn, embedding), memory (conv_id, turn, embedding and key).
+
+    Every earlier row of a conversation is a hit, however far it is.
+    """
+    names = [f"m_{c}" for c in key]
+    theirs = memory.where("embedding IS NOT NULL").select("conv_id", F.col("embedding").alias("m_embedding"), *(F.col(c).alias(f"m_{c}") for c in key))
+    pairs = queries.where("embedding IS NOT NULL").select("conv_id", "turn", "embedding").join(theirs, "conv_id").where(F.col("m_turn") < F.col("turn"))
+    scored = pairs.select("conv_id", "turn", *names, cosine(F.col("embedding"), F.col("m_embedding")).alias("score"))
+    order = W.partitionBy("conv_id", "turn").orderBy(F.desc(F.round("score", 9)), *names)
+    return scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("conv_id", "turn", "rk", *names, "score")
+
+
 def first_conversations(turns: DataFrame, n: int | None, by: str = "conv_id") -> DataFrame:
     """The turns of the first n conversations; None and 0 mean all."""
     if not n:

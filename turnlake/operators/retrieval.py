@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.functions.vectors import norm
+from turnlake.sources.shared import written
 
 #: Rows of a block of vectors and of queries: a task holds one of each.
 VECTOR_BLOCK, QUERY_BLOCK = 20_000, 2_000
@@ -48,7 +49,8 @@ def labelled(fresh: DataFrame, stored: DataFrame, key: str, label: str = "label"
     count for each partition, so the order is never gathered in one task.
     """
     top = stored.agg((F.coalesce(F.max(label), F.lit(-1)) + 1).alias("next"))
-    ranged = fresh.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    # written, so that both uses see the same ranges
+    ranged = written(fresh.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"))
     starts = sizes.select("_p", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     rank = F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1
@@ -102,7 +104,11 @@ def hydrated(hits: DataFrame, chunks: DataFrame, turns: DataFrame | None = None,
 
 
 class ApproximateIndex:
-    """Random projections in buckets; more tables and wider buckets find more and read more."""
+    """Random projections in buckets; more tables and wider buckets find more and read more.
+
+    Vectors without a bucket in common with a query are not found, so there may be
+    fewer hits than asked for; exact search is top_k().
+    """
 
     def __init__(self, vectors: DataFrame, tables: int = 8, width: float = 1.0, seed: int = 7):
         self.rows = self._unit(vectors)
@@ -115,12 +121,21 @@ class ApproximateIndex:
         rows = vectors.where("embedding IS NOT NULL").withColumn("_size", size).where("_size > 0")
         return rows.select("vec_id", array_to_vector(unit).alias("unit"))
 
-    def top_k(self, queries: DataFrame, k: int, within: float = 1.4) -> DataFrame:
-        """query_id, rk, vec_id, score of near vectors at an Euclidean distance of unit vectors up to within."""
-        pairs = self.model.approxSimilarityJoin(self._unit(queries), self.rows, within, "distance")
+    def top_k(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rk, vec_id, score of the nearest of all vectors that share a bucket with a query."""
+        # no unit vectors are further apart than 2: sharing a bucket is all that counts
+        pairs = self.model.approxSimilarityJoin(self._unit(queries), self.rows, 2.1, "distance")
         pairs = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("query_id", "rk", "vec_id", "score")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """Writes the projections and the vectors; load() in any session reads them."""
+        self.model.write().overwrite().save(f"{path}/model")
+        self.rows.write.mode("overwrite").parquet(f"{path}/vectors")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ApproximateIndex:
+        index = cls.__new__(cls)
+        index.model, index.rows = BucketedRandomProjectionLSHModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vectors")
+        return index

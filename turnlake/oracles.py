@@ -85,7 +85,42 @@ runs AS (SELECT config_idx, min_tokens, max_tokens, k, ef_search, count(*) AS n_
   FROM (SELECT grid.*, least(5, trunc(length(user_text) + k * max_tokens / 100)::INT % 5 + 1) AS score FROM grid, asked) GROUP BY ALL),
 board AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, config_idx) AS place FROM runs)"""
 
+
+
+def _replayed(limit: int, ks: list[int]) -> str:
+    """A query of k, conv_id, turn, reply, n_retrieved and score: the default evaluation."""
+    distinct = lambda x: f"list_distinct({_TERMS.format(x)})"
+    return f"""WITH RECURSIVE {_chunks(limit, _TALK)},
+asked AS ({_SCORED}),
+qt AS (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest({_TERMS.format("user_text")}) AS term FROM asked) GROUP BY ALL),
+mt AS (SELECT conv_id, turn, pos, term, count(*) AS tf FROM (SELECT conv_id, turn, pos, unnest({_TERMS.format("text")}) AS term FROM chunks) GROUP BY ALL),
+qz AS (SELECT conv_id, turn, sqrt(sum(tf * tf)) AS size FROM qt GROUP BY ALL), mz AS (SELECT conv_id, turn, pos, sqrt(sum(tf * tf)) AS size FROM mt GROUP BY ALL),
+dot AS (SELECT qt.conv_id, qt.turn, mt.turn AS m_turn, mt.pos, sum(qt.tf * mt.tf) AS dot FROM qt JOIN mt ON qt.conv_id = mt.conv_id AND qt.term = mt.term AND mt.turn < qt.turn GROUP BY ALL),
+placed AS (SELECT d.conv_id, d.turn, d.m_turn, d.pos, row_number() OVER (PARTITION BY d.conv_id, d.turn ORDER BY round(dot / (qz.size * mz.size), 9) DESC, m_turn, d.pos) AS rk
+  FROM dot d JOIN qz ON qz.conv_id = d.conv_id AND qz.turn = d.turn JOIN mz ON mz.conv_id = d.conv_id AND mz.turn = d.m_turn AND mz.pos = d.pos),
+hit AS (SELECT p.conv_id, p.turn, list(c.text ORDER BY rk) AS hits FROM placed p JOIN chunks c ON c.conv_id = p.conv_id AND c.turn = p.m_turn AND c.pos = p.pos WHERE rk <= {max(ks)} GROUP BY ALL),
+past AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+told AS (SELECT a.conv_id, a.turn, a.reply AS expected, coalesce(hits[1], before, '') AS reply, coalesce(hits, []) AS hits FROM asked a LEFT JOIN hit h ON h.conv_id = a.conv_id AND h.turn = a.turn JOIN past p ON p.conv_id = a.conv_id AND p.turn = a.turn),
+share AS (SELECT *, CASE WHEN len({distinct("expected")}) > 0 THEN len(list_intersect({distinct("expected")}, {distinct("reply")})) / len({distinct("expected")}) ELSE 0 END AS part FROM told)
+SELECT k, conv_id, turn, substr(reply, 1, 500) AS reply, least(5, k, len(hits))::BIGINT AS n_retrieved, CASE WHEN part >= 0.8 THEN 5 WHEN part >= 0.6 THEN 4 WHEN part >= 0.4 THEN 3 WHEN part >= 0.2 THEN 2 ELSE 1 END::INTEGER AS score
+FROM share, (SELECT unnest({ks}) AS k)"""
+
+
+def _swept(min_tokens: list[int], max_tokens: list[int], ks: list[int], efs: list[int]) -> str:
+    """The leaderboard of a grid of default evaluations."""
+    runs = " UNION ALL ".join(f"SELECT {m} AS max_tokens, k, count(*) AS n_scored, avg(score) AS mean_score, avg((score >= 4)::INT) AS recall_at_4 FROM ({_replayed(m, ks)}) GROUP BY ALL" for m in max_tokens)
+    return f"""WITH grid AS (SELECT row_number() OVER (ORDER BY min_tokens, max_tokens, k, ef_search) - 1 AS config_idx, * FROM (SELECT unnest({min_tokens}) AS min_tokens), (SELECT unnest({max_tokens}) AS max_tokens), (SELECT unnest({ks}) AS k), (SELECT unnest({efs}) AS ef_search) WHERE min_tokens < max_tokens),
+runs AS ({runs}),
+board AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, config_idx) AS place FROM grid JOIN runs USING (max_tokens, k))
+SELECT place::INTEGER AS place, config_idx::INTEGER AS config_idx, min_tokens, max_tokens, k, ef_search, n_scored, round(mean_score, 6) AS mean_score, round(recall_at_4, 6) AS recall_at_4, place = 1 AS is_best FROM board"""
+
+
 SQL = {
+    "replay_eval": f"SELECT conv_id, turn, score, n_retrieved, md5(reply) AS reply_md5 FROM ({_replayed(250, [10])})",
+    "replay_sweep": f"SELECT place, config_idx, max_tokens, k, ef_search, n_scored, mean_score, recall_at_4, is_best FROM ({_swept([10], [20, 40], [1, 5], [50, 100])})",
+    "default_sweep": _swept([80, 120, 180], [200, 300, 400], [5, 10, 15], [50, 100]),
+    "first_conversations": "SELECT conv_id, turn, role FROM conversations WHERE conv_id IN (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 10)",
+    "term_weights": f"SELECT conv_id, turn, term, round(count(*) / any_value(n), 6) AS weight FROM (SELECT conv_id, turn, len(l) AS n, unnest(l) AS term FROM (SELECT conv_id, turn, {_TERMS.format('text')} AS l FROM conversations)) GROUP BY conv_id, turn, term",
     "transcript_all": "SELECT * FROM conversations",
     "transcript_recent": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
     "transcript_count": "SELECT count(*) AS n_turns FROM conversations",

@@ -15,11 +15,13 @@ class Memory:
 
     encoder: (function without arguments that builds the encoder, vector size).
     With an encoder search() compares vectors; without one it compares terms.
-    Everything is on disk when a call returns; close() has nothing left to do.
+    lexical: a text's column to a map of terms and weights, kept with each chunk.
+    Turns and chunks are on disk when a call returns; an index is derived from them
+    by rebuild_index(), which saves it, and is there again in later sessions.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: ChunkerConfig = ChunkerConfig(), encoder=None):
-        self.store, self.config, self.encoder = store.Store(spark, path), config, encoder
+    def __init__(self, spark: SparkSession, path: str, config: ChunkerConfig = ChunkerConfig(), encoder=None, lexical=None):
+        self.store, self.config, self.encoder, self.lexical = store.Store(spark, path), config, encoder, lexical
 
     def __enter__(self) -> Memory:
         return self
@@ -38,19 +40,22 @@ class Memory:
         """Stores turns (conv_id, turn, role, text) and their chunks; returns what was new of both."""
         fresh = self.store.append_turns(turns)
         chunks = chunking.chunk(fresh, self.config).withColumn("turn_id", store.turn_id(F.col("conv_id"), F.col("turn")))
-        chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("lexical_weights", F.lit(None).cast("map<string,double>"))
+        chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+        chunks = chunks.withColumn("lexical_weights", (self.lexical(F.col("text")) if self.lexical else F.lit(None)).cast("map<string,double>"))
         if self.encoder:
             chunks = retrieval.embed(chunks, *self.encoder)
         return fresh, self.store.append_chunks(chunks)
 
-    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """query_id, rk, score and the chunk's and turn's columns for queries (query_id, text); over all conversations."""
+    def search(self, queries: DataFrame, k: int = 10, index: retrieval.ApproximateIndex | None = None) -> DataFrame:
+        """query_id, rk, score and the chunk's and turn's columns for queries (query_id, text); over all conversations.
+
+        With an index, which has to be younger than the chunks it shall find, vectors are searched there.
+        """
         chunks = self.store.chunks
         turns = self.transcript.select("turn_id", "role", F.col("text").alias("turn_text"), "created_at")
         if self.encoder:
             asked = retrieval.embed(queries, *self.encoder).select(F.col("query_id").alias("vec_id"), "embedding")
-            held = chunks.where("embedding IS NOT NULL").select(F.xxhash64("chunk_id").alias("vec_id"), "embedding")
-            hits = retrieval.top_k(asked, held, k)
+            hits = index.top_k(asked, k) if index else retrieval.top_k(asked, self._held(), k)
             return retrieval.hydrated(hits, chunks.withColumn("vec_id", F.xxhash64("chunk_id")), turns).drop("vec_id")
         # terms: one scope for all, and every chunk is earlier than every query
         asked = queries.select(F.lit(0).alias("conv_id"), F.col("query_id").alias("turn"), F.col("text").alias("user_text"))
@@ -59,6 +64,24 @@ class Memory:
         hits = hits.select(F.col("turn").alias("query_id"), "rk", F.col("m_chunk_id").alias("chunk_id"), "score")
         return retrieval.hydrated(hits, chunks, turns, "chunk_id")
 
+    def _held(self) -> DataFrame:
+        return self.vectors().select(F.xxhash64("chunk_id").alias("vec_id"), "embedding")
+
     def vectors(self) -> DataFrame:
-        """All stored vectors: an index is derived state and is always rebuilt from them."""
+        """All stored vectors."""
         return self.store.chunks.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+
+    def rebuild_index(self, tables: int = 8, width: float = 1.0) -> retrieval.ApproximateIndex:
+        """An index of all stored vectors, saved with the store in place of an older one."""
+        path = self._index_path()
+        retrieval.ApproximateIndex(self._held(), tables, width).save(path)
+        return retrieval.ApproximateIndex.load(self.store.spark, path)
+
+    def index(self) -> retrieval.ApproximateIndex | None:
+        """The saved index; None if none was built."""
+        path = self.store.spark._jvm.org.apache.hadoop.fs.Path(f"{self._index_path()}/vectors/_SUCCESS")
+        files = path.getFileSystem(self.store.spark._jsparkSession.sessionState().newHadoopConf())
+        return retrieval.ApproximateIndex.load(self.store.spark, self._index_path()) if files.exists(path) else None
+
+    def _index_path(self) -> str:
+        return f"{self.store.path}/index"

@@ -3,21 +3,29 @@
 A grid shares its work: chunks depend on max_tokens alone, and a ranking to the
 greatest k contains those to smaller ones. Under exact search min_tokens and
 ef_search change nothing, so their runs repeat the results of others.
+
+Encoder, responder and judge are parameters. Without an encoder retrieval compares
+terms; without a responder the best hit is the reply; without a judge the overlap
+of terms is the score. Answers of models are written before anything is made of
+them, so that each turn is asked once.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-from dataclasses import replace
+from collections.abc import Iterator
+from dataclasses import asdict, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlake.operators import chunking, judging, metrics, prompting, replay
+from turnlake.operators import chunking, judging, metrics, prompting, replay, retrieval
+from turnlake.operators.prompting import Client
 from turnlake.schemas import ChunkerConfig, EvalConfig, RetrievalConfig
+from turnlake.sources.shared import written
 
 #: Default grids, fixed values.
 CHUNKER_GRID = {"min_tokens": [80, 120, 180], "max_tokens": [200, 300, 400]}
@@ -40,30 +48,43 @@ def config_table(spark: SparkSession, configs: list[EvalConfig]) -> DataFrame:
     return spark.createDataFrame(rows, "config_idx int, min_tokens int, max_tokens int, k int, ef_search int")
 
 
-def scored_replay(turns: DataFrame, max_tokens: int, ks: list[int], recent_window: int = 4) -> DataFrame:
-    """k, conv_id, turn, user_text, expected, reply, retrieved, score and reasoning of every scored turn for each k."""
+def scored_replay(turns: DataFrame, max_tokens: int, ks: list[int], recent_window: int = 4, encoder=None, responder: Client | None = None, judge: Client | None = None) -> DataFrame:
+    """k, conv_id, turn, user_text, expected, reply, retrieved, score and reasoning of every scored turn for each k.
+
+    encoder: (function that builds an encoder of texts, vector size), as Memory takes it.
+    """
     stored = replay.ingested(turns)
     asked = replay.scored_turns(turns)
     chunks = chunking.chunk(stored, ChunkerConfig(0, max_tokens))
-    hits = replay.prior_retrieval(asked, chunks, max(ks), ("turn", "pos"))
+    if encoder:
+        hits = replay.prior_vectors(retrieval.embed(asked, *encoder, text="user_text"), retrieval.embed(chunks, *encoder), max(ks), ("turn", "pos"))
+    else:
+        hits = replay.prior_retrieval(asked, chunks, max(ks), ("turn", "pos"))
     texts = chunks.select("conv_id", F.col("turn").alias("m_turn"), F.col("pos").alias("m_pos"), F.col("text").alias("chunk"))
     found = hits.join(texts, ["conv_id", "m_turn", "m_pos"]).groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "chunk"))), lambda x: x["chunk"]).alias("hits"))
     rows = asked.join(found, ["conv_id", "turn"], "left").join(replay.recent_window(turns, recent_window), ["conv_id", "turn"])
     rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("hits", F.slice(F.coalesce("hits", F.array().cast("array<string>")), F.lit(1), F.col("k")))
-    rows = rows.withColumn("reply_text", prompting.extractive_reply(F.col("hits"), F.col("recent")))
-    judged = rows.withColumn("j", judging.parsed(judging.overlap_answer(F.col("reply_text"), F.col("reply"))))
+    if responder:
+        rows = written(rows.withColumn("reply_text", prompting.answered(prompting.prompt(F.col("user_text"), F.col("hits"), F.col("recent")), responder)))
+    else:
+        rows = rows.withColumn("reply_text", prompting.extractive_reply(F.col("hits"), F.col("recent")))
+    if judge:
+        rows = written(rows.withColumn("answer", prompting.answered(judging.question(F.col("user_text"), F.col("reply"), F.col("reply_text")), judge)))
+    else:
+        rows = rows.withColumn("answer", judging.overlap_answer(F.col("reply_text"), F.col("reply")))
+    judged = rows.withColumn("j", judging.parsed(F.col("answer")))
     user, kept = replay.truncated(F.col("user_text"), F.col("hits"))
     return judged.select("k", "conv_id", "turn", user.alias("user_text"), F.substring("reply", 1, 500).alias("expected"), F.substring("reply_text", 1, 500).alias("reply"), kept.alias("retrieved"), "j.score", "j.reasoning")
 
 
-def run_eval(turns: DataFrame, config: EvalConfig = EvalConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(turn results, conversation results, the run's metrics) of one configuration."""
+def run_eval(turns: DataFrame, config: EvalConfig = EvalConfig(), encoder=None, responder: Client | None = None, judge: Client | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(turn results, conversation results, the run's metrics) of one configuration; the turn results are written once."""
     turns = replay.first_conversations(turns, config.max_conversations)
-    results = scored_replay(turns, config.chunker.max_tokens, [config.retrieval.k], config.recent_window).drop("k")
+    results = written(scored_replay(turns, config.chunker.max_tokens, [config.retrieval.k], config.recent_window, encoder, responder, judge).drop("k"))
     return results, metrics.conversation_scores(turns, results), metrics.run_metrics(results)
 
 
-def run_sweep(turns: DataFrame, configs: list[EvalConfig]) -> DataFrame:
+def run_sweep(turns: DataFrame, configs: list[EvalConfig], encoder=None, responder: Client | None = None, judge: Client | None = None) -> DataFrame:
     """A row for each configuration in order of its mean score; the first of equal ones is best."""
     spark = turns.sparkSession
     if configs:
@@ -74,7 +95,7 @@ def run_sweep(turns: DataFrame, configs: list[EvalConfig]) -> DataFrame:
     window = configs[0].recent_window if configs else 4
     runs = None
     for max_tokens, wanted in ks.items():
-        scores = scored_replay(turns, max_tokens, sorted(wanted), window).select(F.lit(max_tokens).alias("max_tokens"), "k", "score")
+        scores = scored_replay(turns, max_tokens, sorted(wanted), window, encoder, responder, judge).select(F.lit(max_tokens).alias("max_tokens"), "k", "score")
         runs = scores if runs is None else runs.unionByName(scores)
     table = config_table(spark, configs)
     if runs is None:
@@ -92,15 +113,22 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     return placed.withColumn("is_best", same == F.first(same).over(first))
 
 
-def save_run(conversations: DataFrame, run: DataFrame, config: EvalConfig, folder: str) -> str:
-    """Writes the run as JSON lines below a folder named by its configuration and time; returns the folder."""
+def save_run(results: DataFrame, conversations: DataFrame, run: DataFrame, config: EvalConfig, folder: str) -> str:
+    """Writes the run as JSON lines below a folder named by its configuration and time; returns the folder.
+
+    The first line has the configuration and the run's metrics; then comes a line
+    for each conversation with its scores and the results of all its scored turns.
+    """
     c, r = config.chunker, config.retrieval
-    stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-    path = f"{folder.rstrip('/')}/eval_{c.min_tokens}-{c.max_tokens}_k{r.k}_ef{r.ef_search}_{stamp}.json"
-    as_text = json.dumps({"chunker": vars(c), "retrieval": vars(r), "recent_window": config.recent_window})
-    whole = run.select(F.lit(None).cast("long").alias("conv_id"), F.lit(as_text).alias("config"), F.to_json(F.struct(*run.columns)).alias("result"))
-    each = conversations.select("conv_id", F.lit(as_text).alias("config"), F.to_json(F.struct(*conversations.columns)).alias("result"))
-    whole.unionByName(each).write.json(path)
+    now = datetime.now(timezone.utc)
+    path = f"{folder.rstrip('/')}/eval_{c.min_tokens}-{c.max_tokens}_k{r.k}_ef{r.ef_search}_{now:%Y%m%d_%H%M%S}.json"
+    settings = json.dumps(asdict(config))
+    own = [x for x in results.columns if x != "conv_id"]
+    each = results.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", *(x for x in own if x != "turn")))).alias("turn_results"))
+    each = conversations.join(each, "conv_id", "left")
+    whole = run.select(F.lit(None).cast("string").alias("conv_id"), F.lit(settings).alias("config"), F.to_json(F.struct(*run.columns, F.lit(now.isoformat()).alias("run_timestamp"))).alias("result"))
+    lines = each.select(F.col("conv_id").cast("string").alias("conv_id"), F.lit(settings).alias("config"), F.to_json(F.struct(*each.columns)).alias("result"))
+    whole.unionByName(lines).write.json(path)
     return path
 
 
@@ -111,13 +139,24 @@ def save_sweep(board: DataFrame, folder: str) -> str:
     return path
 
 
+def summary(conversations: DataFrame, run: DataFrame, config: EvalConfig, name: str = "conv_id") -> Iterator[str]:
+    """Lines on a run: its configuration and metrics, then a line for each conversation, handed on as they are read."""
+    c, r = config.chunker, config.retrieval
+    yield f"Chunks of {c.min_tokens} to {c.max_tokens} tokens, k {r.k}, ef {r.ef_search}"
+    for row in run.collect():  # one row
+        yield f"Mean score {row['mean_score']:.2f}, recall@4 {row['recall_at_4']:.1%}, {row['n_scored']} turns scored"
+    for row in conversations.orderBy(name).toLocalIterator():
+        yield f"  {row[name]}: {row['mean_score']:.2f} ({row['n_scored']} of {row['num_turns']} turns scored)"
+
+
 def report(board: DataFrame) -> str:
-    """The leaderboard as text; * marks every run that equals the best one."""
+    """The leaderboard as text; * marks every run that equals the best one, which the last line names."""
     rows = board.orderBy("place").collect()  # one row for each configuration
     if not rows:
-        return "No results to display."
+        return "Nothing was run."
     lines = ["place  chunk      k   ef  mean  recall@4"]
     for r in rows:
         star = " *" if r["is_best"] else ""
         lines.append(f"{r['place']:>5}  {r['min_tokens']}-{r['max_tokens']:<6} {r['k']:>3} {r['ef_search']:>4}  {r['mean_score']:.2f}  {r['recall_at_4']:.1%}{star}")
-    return "\n".join(lines)
+    best = rows[0]
+    return "\n".join([*lines, f"Best: chunks of {best['min_tokens']} to {best['max_tokens']} tokens, k {best['k']}, ef {best['ef_search']}"])

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnlake.functions import text as text_
 from turnlake.functions import vectors
 from turnlake.functions.text import sentences, token_count
 from turnlake.operators import chunking, judging, metrics, prompting, replay, retrieval
 from turnlake.plans import evaluation
 from turnlake.schemas import ROLES, ChunkerConfig
-from turnlake.sources import store, transcripts
+from turnlake.sources import shared, store, transcripts
 from turnlake.streaming import ingest
 
 #: Chunk sizes that cut the given conversations, whose turns are short, often enough.
@@ -227,7 +228,7 @@ def best_config(spark, sf_dir):
 def replay_eval(spark, sf_dir):
     """The whole evaluation with the default responder and judge."""
     results, _, _ = evaluation.run_eval(_turns(spark, sf_dir))
-    return results.select("conv_id", "turn", "score", F.size("retrieved").cast("long").alias("n_retrieved"), "reply")
+    return results.select("conv_id", "turn", "score", F.size("retrieved").cast("long").alias("n_retrieved"), F.md5("reply").alias("reply_md5"))
 
 
 def replay_sweep(spark, sf_dir):
@@ -237,6 +238,22 @@ def replay_sweep(spark, sf_dir):
     return board.select("place", "config_idx", "max_tokens", "k", "ef_search", "n_scored", F.round("mean_score", 6).alias("mean_score"), F.round("recall_at_4", 6).alias("recall_at_4"), "is_best")
 
 
+def default_sweep(spark, sf_dir):
+    """The default grid of 54 configurations, replayed over all conversations."""
+    board = evaluation.run_sweep(_turns(spark, sf_dir), evaluation.sweep_configs())
+    return board.select("place", "config_idx", "min_tokens", "max_tokens", "k", "ef_search", "n_scored", F.round("mean_score", 6).alias("mean_score"), F.round("recall_at_4", 6).alias("recall_at_4"), "is_best")
+
+
+def first_conversations(spark, sf_dir):
+    """The turns of the ten first conversations: a limit that is the feature."""
+    return replay.first_conversations(_turns(spark, sf_dir), 10).select("conv_id", "turn", "role")
+
+
+def term_weights(spark, sf_dir):
+    """Lexical weights of every turn, a row for each term."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.explode(text_.term_weights(F.col("text"))).alias("term", "weight")).withColumn("weight", F.round("weight", 6))
+
+
 def truncate_results(spark, sf_dir):
     rows = _read(spark, sf_dir, "documents")
     text, hits = replay.truncated(F.col("text"), sentences(F.col("text")))
@@ -255,7 +272,7 @@ def stream_chunks(spark, sf_dir):
     """Conversations read as a stream, each turn once, chunked and landed batch by batch."""
     path = f"{sf_dir}/conversations.parquet"
     turns = ingest.read_turns(spark, path, spark.read.parquet(path).schema)
-    out = ingest.folder(spark, "stream")
+    out = shared.folder(spark, "stream")
     ingest.chunk_stream(ingest.deduplicated(turns), f"{out}/chunks", f"{out}/state", ChunkerConfig(10, SMALL)).awaitTermination()
     return ingest.landed(spark, f"{out}/chunks").select("conv_id", "turn", "pos", "token_count")
 
@@ -274,7 +291,7 @@ def role_adjacency(spark, sf_dir):
 def queries() -> dict:
     plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
     plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, build_prompt, judge_parse, conversation_scores, run_metrics)
-    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
+    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
     found = {f.__name__: f for f in plain}
     return found | {"parse_txt_roundtrip": _roundtrip(False), "parse_md_roundtrip": _roundtrip(True), "recent_window_4": _window(4), "recent_window_all": _window(0)}
 

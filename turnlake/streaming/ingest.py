@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +38,3 @@ def activity(events: DataFrame, late: str = "10 minutes", width: str = "1 hour")
     """Events and users by window and type; on a stream, rows later than late are dropped."""
     found = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return found.agg(F.count("*").alias("n_events"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n_events", "value")
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp(prefix="turnlake-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
