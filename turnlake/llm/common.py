@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlake.sources.shared import drop, written
+
+__all__ = ["drop", "written", "let", "small", "table", "unused", "word_count", "words"]
+
 #: Word separators of the quality, mixing and similarity contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,38 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only on a single machine (master local) a temporary one may stand in for it,
-    kept in the session for the next call; on a cluster it has to be named.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("turnlake.shared.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="turnlake-")
-        spark.conf.set("turnlake.shared.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that written() made; what was computed from them has to be written by then."""
-    for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if re.search(r"/turnlake-[0-9a-f]{32}$", folder):
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []

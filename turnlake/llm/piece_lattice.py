@@ -57,7 +57,7 @@ UNKNOWN = 10.0
 REMEMBERED = 300_000
 MARK = "▁"
 #: Bytes of texts that are cut up at once, parts that are searched at once, and the longest part that is searched with others.
-CHUNK, GROUP, AT_ONCE = 1 << 18, 4000, 48
+CHUNK, GROUP, AT_ONCE = 1 << 18, 10_000, 48
 #: Hashing of pieces: table size, base of the polynomial over characters, spread of places.
 TABLE_BITS, BASE, SPREAD = 18, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 INF = float("inf")
