@@ -16,21 +16,29 @@ from turnlake.functions.text import let, sentences, strip, token_count
 from turnlake.schemas import ChunkerConfig
 
 Counter = Callable[[Column], Column]
+#: Characters of a text that are at hand when parts are looked for.
+NEAR = 4096
+
+
+def packed(items: Column, sizes: Column, limit: Column, body: Callable[[Column], Column]) -> Column:
+    """body of each group of neighbouring items, packed greedily while their sizes add up to no more than the limit; an item beyond it stays alone.
+
+    The fold, whose state is copied at every step, keeps only where groups begin.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+    def add(s: Column, n: Column) -> Column:
+        new = (s["i"] == 0) | (s["n"] + n > limit)
+        return F.struct(F.when(new, F.concat(s["begins"], F.array(s["i"]))).otherwise(s["begins"]).alias("begins"), F.when(new, n).otherwise(s["n"] + n).alias("n"), (s["i"] + 1).alias("i"))
+
+    begins = F.aggregate(sizes, start, add, lambda s: s["begins"])
+    return let(begins, lambda found: F.transform(found, lambda at, k: body(F.slice(items, at + 1, F.coalesce(F.get(found, k + 1), F.size(items)) - at))))
 
 
 def hard_split(text: Column, limit: Column, count: Counter = token_count) -> Column:
     """Pieces of whole words, packed greedily by their own token counts; a word beyond the limit stays whole."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    counted = F.transform(words, lambda w: F.struct(w.alias("w"), count(w).cast("int").alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-
-    def add(s: Column, x: Column) -> Column:
-        full = (s["n"] + x["n"] > limit) & (F.size(s["cur"]) > 0)
-        return F.when(full, F.struct(F.concat(s["out"], F.array(F.array_join(s["cur"], " "))).alias("out"), F.array(x["w"]).alias("cur"), x["n"].alias("n"))).otherwise(
-            F.struct(s["out"].alias("out"), F.concat(s["cur"], F.array(x["w"])).alias("cur"), (s["n"] + x["n"]).alias("n"))
-        )
-
-    return F.aggregate(counted, start, add, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["out"]))
+    return let(words, lambda all_: packed(all_, F.transform(all_, lambda w: count(w).cast("int")), limit, lambda group: F.array_join(group, " ")))
 
 
 def _clauses(text: Column, delimiter: str) -> Column:
@@ -54,35 +62,55 @@ def split_sentences(text: Column, limit: Column, count: Counter = token_count, s
 
 
 def with_offsets(text: Column, parts: Column, count: Counter = token_count) -> Column:
-    """(s, start, stop, n) of each part: found from the end of the one before on, else where its first word is, else there."""
-    start = F.struct(F.array().cast("array<struct<s:string,start:int,stop:int,n:int>>").alias("out"), F.lit(0).alias("at"))
+    """(s, start, stop, n) of each part: found from the end of the one before on, else where its first word is, else there.
+
+    The next NEAR characters of the text go along, and a part that lies within
+    them, as nearly all do, is found there: the text is walked once for each
+    NEAR / 2 characters, not once for each part.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit("").alias("near"), F.lit(0).alias("left"))
 
     def add(state: Column, s: Column) -> Column:
-        whole = F.position(s, text, state["at"] + 1)
-        word = F.position(F.regexp_extract(s, r"(?U)^\S+", 0), text, state["at"] + 1)
-        at = F.when(whole > 0, whole - 1).when(word > 0, word - 1).otherwise(state["at"])
-        one = let(at, lambda a: F.struct(s.alias("s"), a.cast("int").alias("start"), (a + F.length(s)).cast("int").alias("stop"), count(s).cast("int").alias("n")))
-        return let(one, lambda x: F.struct(F.concat(state["out"], F.array(x)).alias("out"), x["stop"].alias("at")))
+        short = state["left"] < NEAR // 2
+        near = F.when(short, F.substr(text, state["at"] + 1, F.lit(NEAR))).otherwise(state["near"])
 
-    return F.aggregate(parts, start, add, lambda s: s["out"])
+        def far(what: Column) -> Column:
+            return F.position(what, text, state["at"] + 1) - 1 - state["at"]
+
+        def one(skipped: Column, near: Column) -> Column:
+            used = skipped + F.length(s)
+            return F.struct(
+                F.concat(state["starts"], F.array((state["at"] + skipped).cast("int"))).alias("starts"),
+                (state["at"] + used).alias("at"),
+                F.substr(near, used + 1).alias("near"),
+                (F.when(short, NEAR).otherwise(state["left"]) - used).alias("left"),
+            )
+
+        def place(near: Column) -> Column:
+            word = F.regexp_extract(s, r"(?U)^\S+", 0)
+            beyond = let(far(s), lambda whole: F.when(whole >= 0, whole).otherwise(F.greatest(F.lit(0), far(word))))
+            return let(let(F.position(s, near), lambda whole: F.when(whole > 0, whole - 1).otherwise(beyond)), lambda skipped: one(skipped, near))
+
+        return let(near, place)
+
+    def placed(all_: Column) -> Column:
+        starts = F.aggregate(all_, start, add, lambda s: s["starts"])
+        return F.zip_with(all_, starts, lambda s, at: F.struct(s.alias("s"), at.alias("start"), (at + F.length(s)).cast("int").alias("stop"), count(s).cast("int").alias("n")))
+
+    return let(parts, placed)
 
 
 def merge(parts: Column, limit: Column) -> Column:
     """Greedy chunks (text, start_char, end_char, token_count) of neighbouring parts; the count is the sum of the parts' counts."""
-    kind = "struct<text:string,start_char:int,end_char:int,token_count:int>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(None).cast(kind).alias("cur"))
-
-    def add(state: Column, x: Column) -> Column:
-        cur = state["cur"]
-        alone = F.struct(x["s"].alias("text"), x["start"].alias("start_char"), x["stop"].alias("end_char"), x["n"].alias("token_count"))
-        joined = F.struct(F.concat(cur["text"], F.lit(" "), x["s"]).alias("text"), cur["start_char"].alias("start_char"), x["stop"].alias("end_char"), (cur["token_count"] + x["n"]).alias("token_count"))
-        return (
-            F.when(cur.isNull(), F.struct(state["out"].alias("out"), alone.alias("cur")))
-            .when(cur["token_count"] + x["n"] > limit, F.struct(F.concat(state["out"], F.array(cur)).alias("out"), alone.alias("cur")))
-            .otherwise(F.struct(state["out"].alias("out"), joined.alias("cur")))
-        )
-
-    return F.aggregate(parts, start, add, lambda s: F.when(s["cur"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"]))))
+
+    def chunk_(group: Column) -> Column:
+        total = F.aggregate(group, F.lit(0), lambda a, x: a + x["n"])
+        return F.struct(
+            F.array_join(F.transform(group, lambda x: x["s"]), " ").alias("text"), F.get(group, 0)["start"].alias("start_char"),
+            F.get(group, F.size(group) - 1)["stop"].alias("end_char"), total.alias("token_count"),
+        )
+
+    return let(parts, lambda all_: packed(all_, F.transform(all_, lambda x: x["n"]), limit, chunk_))
 
 
 def chunks_of(text: Column, limit: Column, count: Counter = token_count, splitter: Callable[[Column], Column] = sentences) -> Column:
