@@ -7,8 +7,8 @@ document is cut at the limit; a quantile is the first length at which enough
 documents fit. The sums run in two levels, so no task holds the whole histogram.
 
 Defined results: null and empty texts have length 0; an empty table has an empty
-histogram; repeated rows count as often as they are there; further columns are
-ignored.
+histogram; repeated rows count as often as they are there; texts of any length are
+encoded whole; ties do not arise; further columns are ignored.
 """
 
 from __future__ import annotations

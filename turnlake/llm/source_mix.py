@@ -7,8 +7,10 @@ are taken then follows from comparing keys, so a source of any size is spread
 over all tasks and no text is shuffled.
 
 Defined results: null text has size 0; null source is a source of its own and
-comes last; rows of equal doc_id share their key and are cut together; empty
-input gives an empty result; further columns are ignored.
+comes last; rows of equal doc_id share their key and are cut together, as are rows
+without doc_id that have the same text; texts of any length count whole; empty
+input gives an empty result; further columns are ignored by mix() and stay in
+mixed_documents().
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, table, word_count, written
+from .common import small, table, unused, word_count, written
 
 #: Highest number of times that a document may be taken.
 MAX_EPOCHS = 3
@@ -25,8 +27,9 @@ MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 
 
-def random_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def random_key(doc_id: Column, text: Column) -> Column:
+    """A hash of the number; without one, of the text's."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def _targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -96,29 +99,31 @@ def _range(key: Column, ranges: Column) -> Column:
     return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32))
 
 
-def _with_times(rows: DataFrame, key: Column, plan: DataFrame, max_epochs: int) -> DataFrame:
-    """rows with source_size, target and times (whole epochs, and once more inside the cut) of their source's plan."""
-    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
-    rows = rows.join(small(plan), F.col("source").eqNullSafe(F.col("_mix_source")))
-    inside = F.coalesce(key <= F.col("_mix_inside"), F.lit(False)) | F.coalesce(_range(key, F.col("_mix_ranges")) <= F.col("_mix_whole_range"), F.lit(False))
-    return rows.withColumn("_mix_times", F.least(F.lit(max_epochs), F.col("_mix_epochs") + inside.cast("int")).cast("int"))
+def _with_times(rows: DataFrame, key: Column, plan: DataFrame, max_epochs: int, size: str, target: str, times: str) -> DataFrame:
+    """rows with source_size, target and times (whole epochs, and once more inside the cut) of their source's plan, under the names given."""
+    own = dict(zip(plan.columns, unused(rows, *(f"plan_{c}" for c in plan.columns)), strict=True))
+    found = rows.join(small(plan.select(*(F.col(c).alias(name) for c, name in own.items()))), F.col("source").eqNullSafe(F.col(own["source"])))
+    inside = F.coalesce(key <= F.col(own["inside"]), F.lit(False)) | F.coalesce(_range(key, F.col(own["ranges"])) <= F.col(own["whole_range"]), F.lit(False))
+    taken = F.least(F.lit(max_epochs), F.col(own["epochs"]) + inside.cast("int")).cast("int")
+    return found.select(*rows.columns, F.col(own["source_size"]).alias(size), F.col(own["target"]).alias(target), taken.alias(times))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("key")))
+    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text")).alias("key")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, source, size, source_size, target and times for each row of docs (doc_id, text, source)."""
     sized = _sized(docs)
-    rows = _with_times(sized, F.col("key"), source_plan(sized, weights, max_epochs), max_epochs)
-    return rows.select("doc_id", "source", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_times").alias("times"))
+    rows = _with_times(sized, F.col("key"), source_plan(sized, weights, max_epochs), max_epochs, "source_size", "target", "times")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "times")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """docs itself, each row as often as the mix takes it; the texts stay where they are read."""
-    rows = _with_times(docs, random_key(F.col("doc_id")), source_plan(_sized(docs), weights, max_epochs), max_epochs)
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    size, target, times, copy = unused(docs, "size", "target", "times", "copy")
+    rows = _with_times(docs, random_key(F.col("doc_id"), F.col("text")), source_plan(_sized(docs), weights, max_epochs), max_epochs, size, target, times)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +132,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 r AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS ratio FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS pos, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
