@@ -61,16 +61,37 @@ def test_run_keeps_one_of_each_group(spark, copies, tmp_path):
     assert sorted(left) == sorted(set(least_linked(copies, 5, 80).values()))  # one language and one source: the other stages drop no row
 
 
-@pytest.mark.parametrize("step", [1, 3, 7, 21, 60])
-def test_long_runs_over_batches(monkeypatch, step):
-    monkeypatch.setattr(token_groups, "CROWD", 4)
-    rng = np.random.default_rng(step)
-    runs = [(1, 3), (2, 18), (3, 1), (4, 21), (5, 40), (6, 2), (7, 17)]
-    rows = pd.DataFrame([(s, i, 12, rng.integers(0, 200, token_groups.CLASSES).astype(np.uint8).tobytes()) for s, n in runs for i in range(100 * s, 100 * s + n)], columns=["signature", "node", "n", "sketch"])
+@pytest.mark.parametrize("step", [1, 3, 7, 60])
+def test_runs_over_batches(step):
+    sketch = np.full(token_groups.CLASSES, 3, np.uint8).tobytes()
+    runs = [(1, 3), (2, 18), (3, 1), (4, 21), (5, 2), (6, 17)]
+    rows = pd.DataFrame([(s, i, 12, sketch) for s, n in runs for i in range(100 * s, 100 * s + n)], columns=["signature", "node", "n", "sketch"])
     batches = (rows.iloc[i : i + step].reset_index(drop=True) for i in range(0, len(rows), step))
     found = {tuple(map(int, x)) for part in token_groups._possible(90, 100)(batches) for x in part.to_numpy()}
+    groups = least = {n: n for _, n in ((s, i) for s, k in runs for i in range(100 * s, 100 * s + k))}
+    for _ in range(25):
+        for a, b in found:
+            least[a] = least[b] = min(least[a], least[b])
+    assert groups == {i: 100 * s for s, n in runs for i in range(100 * s, 100 * s + n)}
+
+
+def test_crowded_signatures(spark, monkeypatch):
+    monkeypatch.setattr(token_groups, "CROWD", 4)
+    rng = np.random.default_rng(3)
+    runs = [(1, 3), (2, 18), (3, 1), (4, 5), (5, 40), (6, 2), (7, 4)]
+    rows = [(100 * s + i, 12, bytearray(rng.integers(0, 200, token_groups.CLASSES).astype(np.uint8).tobytes()), [s, 1000 + 100 * s + i]) for s, n in runs for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_shingles long, sketch binary, signatures array<long>")
+    found = {(r["node"], r["component"]) for r in token_groups.neighbourhoods(frame).collect()}
     # no two sketches are near, so links come only from runs that are taken as one, and there all rows have one
-    assert found == {(100 * s, i) for s, n in runs if n > 4 for i in range(100 * s + 1, 100 * s + n)}
+    assert found == {(100 * s + i, 100 * s) for s, n in runs if n > 4 for i in range(n)}
+
+
+def test_repeated_rows(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join(base[:50] + ["e"] + base[51:])
+    rows = [(1, " ".join(base))] * 30 + [(2, near)] * 30 + [(2, "something else of a few words")] + [(3, "something else of a few words")]
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in token_groups.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted([(1, 98, 1)] * 30 + [(2, 98, 1)] * 30 + [(2, 4, 1), (3, 4, 1)])
 
 
 def test_copy_without_number_comes_first(spark):

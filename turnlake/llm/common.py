@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.sources.shared import drop, written
 
-__all__ = ["drop", "written", "let", "small", "table", "unused", "word_count", "words"]
+__all__ = ["drop", "written", "let", "slices", "small", "table", "unused", "word_count", "words"]
 
 #: Word separators of the quality, mixing and similarity contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,6 +20,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A side with at most this many rows may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 100_000
+#: Characters or bytes of text that a task works on at once.
+SLICE = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +44,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def slices(batch: pd.DataFrame, column: str = "text", size: int = SLICE) -> Iterator[pd.DataFrame]:
+    """A batch in parts of about so many characters or bytes of a column, one row at least: what is made of a part is all that a task holds beside the batch."""
+    total = np.cumsum(np.fromiter((len(x) if x is not None else 0 for x in batch[column]), np.int64, len(batch)))
+    bounds = sorted({0, *(np.flatnonzero(np.diff(total // size, prepend=0)) + 1).tolist(), len(batch)})
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        yield batch.iloc[lo:hi]
+
+
 def words(text: Column) -> Column:
     """The words of SPACE-separated text as an array; null and blank text have none."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))

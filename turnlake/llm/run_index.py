@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, table, unused, written
+from .common import drop, slices, table, unused, written
 from .shingles import U, mix
 
 LENGTH = 400
@@ -293,7 +293,7 @@ def _spread(texts: DataFrame, length: int) -> DataFrame:
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "raw")):
             fresh = []
             for raw in batch["raw"]:
                 name = xxhash.xxh3_128_digest(raw)
@@ -360,7 +360,7 @@ def _with_parts(texts: DataFrame, one: DataFrame, blocks: int, length: int) -> D
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "raw")):
             rows = []
             for id_, hash_, raw, found in zip(batch["id"], batch["hash"], batch["raw"], batch["found"], strict=True):
                 if (id_, hash_) in seen:  # a repeated row
@@ -385,7 +385,7 @@ def _respread(crowded: DataFrame, length: int) -> DataFrame:
     """Crowded stretches keyed by the next level's intervals, with their bytes."""
 
     def respread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "part")):
             rows = []
             for id_, hash_, level, at, first, last, raw in zip(*(batch[c] for c in ("id", "hash", "level", "at", "lo", "hi", "part")), strict=True):
                 width, hi = interval(length, level + 1), last
@@ -452,7 +452,7 @@ def passages(docs: DataFrame, passage: int = PASSAGE, length: int = LENGTH) -> D
     found = repeated_spans(docs, passage)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "raw")):
             rows = [
                 (id_, hash_, lo, raw[lo:hi])
                 for id_, hash_, raw, spans in zip(batch["id"], batch["hash"], batch["raw"], batch["spans"], strict=True)
@@ -499,7 +499,7 @@ def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, word
     spans = passages(docs, passage, length)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "raw")):
             rows = []
             for doc_id, raw, long, found in zip(batch["doc_id"], batch["raw"], batch["long"], batch["spans"], strict=True):
                 gone = _runs(long)

@@ -24,8 +24,9 @@ Equal sets are linked by their fingerprints and need no search.
 
 Defined results: null, empty and blank texts have no shingles and no links;
 documents with fewer words than a shingle have one, of all their words; rows that
-share a doc_id share its links; rows without doc_id have no component; further
-columns are ignored.
+share a doc_id share its links; rows without doc_id have no component; texts of any
+length are searched whole; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import drop, slices, small, table, written
 from .links import components
 from .shingles import U, mix, shingle_hashes
 
@@ -51,6 +52,8 @@ BAND = 1.5
 CLASSES, CROWD = 64, 4096
 #: Shingles in a block of a large neighbourhood, and aimed at in one search.
 BLOCK = 1_500_000
+#: Rows that a task remembers to know repeated ones; beyond it, it forgets them, and they come twice, which changes nothing.
+KNOWN = 500_000
 
 
 def _bands(largest: int) -> list[tuple[int, int]]:
@@ -89,7 +92,7 @@ def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = O
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc_id, hashes in zip(batch["doc_id"], shingle_hashes(batch["text"].tolist(), words), strict=True):
                 own = np.unique(hashes)
@@ -111,23 +114,6 @@ def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = O
     return written(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
-def _shared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows (signature, node) in order those whose signature the row before or behind has too."""
-    held = pd.DataFrame({"signature": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
-    again = False  # whether the held row has the signature of the one before it
-    for batch in rows:
-        batch = pd.concat([held, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        same = batch["signature"].to_numpy()[1:] == batch["signature"].to_numpy()[:-1]
-        before = np.concatenate(([again], same))
-        keep = before[:-1] | same
-        yield batch.iloc[:-1][keep]
-        held, again = batch.iloc[-1:], bool(before[-1])
-    if again:
-        yield held
-
-
 def possible_links(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, need: int, of: int) -> list[tuple[int, int]]:
     """Links between documents whose sizes and sketches allow one, enough to connect all that are connected."""
     links, left = [], np.argsort(nodes, kind="stable")
@@ -145,7 +131,7 @@ def possible_links(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, n
 
 
 def _possible(need: int, of: int):
-    """From rows (signature, node, n, sketch) in order of signatures: possible links among those under one signature."""
+    """From rows (signature, node, n, sketch) in order of signatures, few for each: possible links among those under one signature."""
 
     def pairs(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         # two documents under a signature, the usual case, are compared all at once
@@ -156,47 +142,47 @@ def _possible(need: int, of: int):
         out = set(zip(nodes[near].tolist(), nodes[near + 1].tolist(), strict=True))
         seen: set[bytes] = set()  # the same documents often share several parts
         for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-            if hi - lo > CROWD:
-                out.update((int(nodes[lo]), x) for x in nodes[lo + 1 : hi].tolist())
-            elif hi - lo > 2 and (own := nodes[lo:hi].tobytes()) not in seen:
+            if hi - lo > 2 and (own := nodes[lo:hi].tobytes()) not in seen:
                 seen.add(own)
                 out.update(possible_links(nodes[lo:hi], sizes[lo:hi], sketches[lo:hi], need, of))
         return out
 
     def find(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, linked = None, False  # whether the held row stands for a run whose rows are linked to it already
+        held = None  # the rows of the last signature: more may follow
         for batch in rows:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            signature = batch["signature"].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
-            columns = (batch["node"].to_numpy(), batch["n"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16))
-            last, first, out = int(starts[-1]), int(linked), set()
-            if linked:  # the rest of such a run joins its first row, however few rows they are
-                out.update((int(columns[0][0]), x) for x in columns[0][1 : starts[1] if len(starts) > 1 else len(batch)].tolist())
-            out |= pairs(*columns, starts[first:-1], starts[first + 1 :])
-            held, linked = batch.iloc[last:], linked and last == 0
-            if not linked and len(held) > 4 * CROWD:  # an endless run: its rows are linked now, its first row stays
-                out |= pairs(*columns, starts[-1:], np.array([len(batch)]))
-                linked = True
-            if linked:
-                held = held.iloc[:1]
-            yield pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
-        if held is not None and len(held) > 1:
-            columns = (held["node"].to_numpy(), held["n"].to_numpy(), np.frombuffer(b"".join(held["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16))
-            yield pd.DataFrame(sorted(pairs(*columns, np.array([0]), np.array([len(held)]))), columns=["a", "b"]).astype("int64")
+            if len(batch):
+                signature = batch["signature"].to_numpy()
+                starts = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+                yield linked(batch, starts[:-1], starts[1:])
+                held = batch.iloc[int(starts[-1]) :]
+        if held is not None:
+            yield linked(held, np.array([0]), np.array([len(held)]))
+
+    def linked(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        sketches = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        found = pairs(batch["node"].to_numpy(), batch["n"].to_numpy(), sketches, starts, ends)
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
     return find
 
 
 def neighbourhoods(described_: DataFrame, need: int = NEED, of: int = OF) -> DataFrame:
-    """node and component of documents that may be linked, directly or in a chain."""
+    """node and component of documents that may be linked, directly or in a chain.
+
+    Signatures are counted first. Documents under a crowded one are linked to the
+    first of them by a join, whose hot keys can be split; only those under the
+    others, CROWD at most, come together in a task.
+    """
     rows = described_.where("doc_id IS NOT NULL").select(F.explode("signatures").alias("signature"), F.col("doc_id").alias("node"))
-    shared = rows.repartition("signature").sortWithinPartitions("signature", "node").mapInPandas(_shared, "signature long, node long")
-    sketches = described_.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
-    met = shared.join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
-    return components(met.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long"))
+    shared = written(rows.groupBy("signature").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1"))
+    met = written(rows.join(shared, "signature"))
+    crowded = met.where(F.col("rows") > CROWD).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    sketches = described_.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").distinct()
+    few = met.where(F.col("rows") <= CROWD).select("signature", "node").join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
+    links = written(few.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long").unionByName(crowded).distinct())
+    drop(shared, met)
+    return components(links)
 
 
 def search_block(ids: np.ndarray, sets: list[np.ndarray], need: int = NEED, of: int = OF) -> list[tuple[int, int]]:
@@ -287,7 +273,13 @@ def similar_links(docs: DataFrame, described_: DataFrame, words: int = WORDS, ne
     ))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        seen: set[tuple] = set()
+        for batch in (part for whole in batches for part in slices(whole)):
+            # a repeated row goes on once from each task
+            own = list(zip(batch["node"], batch["bundle"], batch["i"], batch["j"], map(hash, batch["text"]), strict=True))
+            batch = batch[[x not in seen and not seen.add(x) for x in own]]
+            if len(seen) > KNOWN:
+                seen.clear()
             yield batch[["node", "bundle", "i", "j"]].assign(shingles=[np.unique(h).view(np.int64) for h in shingle_hashes(batch["text"].tolist(), words)])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
