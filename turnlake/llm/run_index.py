@@ -45,6 +45,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop, slices, table, unused, written
@@ -419,6 +420,15 @@ def _indexed(parts: DataFrame, length: int) -> DataFrame:
     return parts.groupBy("block").applyInPandas(search, "id long, hash long, lo long, hi long")
 
 
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans (id, hash, lo, hi) that touch or overlap as one: a long text of one letter has as many as letters."""
+    order = W.partitionBy(*ID).orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", F.when(F.col("lo") <= before, 0).otherwise(1))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*ID, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
 def repeated(texts: DataFrame, length: int) -> DataFrame:
     """id, hash and spans (lo, hi) of the texts (id, hash, raw) in which something is repeated; a written table."""
     ends = (*ID, F.col("lo").cast("long").alias("lo"), (F.col("hi") + length).cast("long").alias("hi"))
@@ -437,7 +447,7 @@ def repeated(texts: DataFrame, length: int) -> DataFrame:
     if later is not None:
         placed = later.where(F.col("kinds") <= CROWD)
         searched = searched.unionByName(placed.select(_block(first, _blocks(placed)).alias("block"), *ID, "lo", "part"))
-    out = written(spans.unionByName(_indexed(searched, length)).groupBy(*ID).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    out = written(_joined(spans.unionByName(_indexed(searched, length))).groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     drop(*made)
     return out
 
@@ -460,7 +470,7 @@ def passages(docs: DataFrame, passage: int = PASSAGE, length: int = LENGTH) -> D
             ]
             yield pd.DataFrame(rows, columns=["id", "text_hash", "start", "raw"])
 
-    enough = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"]) >= length
+    enough = F.exists("spans", lambda x: x["hi"] - x["lo"] >= length)
     cut = written(_texts(docs).join(found.where(enough), ID).mapInPandas(runs, "id long, text_hash long, start long, raw binary").withColumn("hash", F.xxhash64("text_hash", "start")))
     inner = repeated(cut.select(*ID, "raw"), length)
     inner = inner.join(cut.select(*ID, "text_hash", "start").distinct(), ID).select("id", F.col("text_hash").alias("hash"), F.transform("spans", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), (x["hi"] + F.col("start")).alias("hi"))).alias("spans"))
