@@ -79,11 +79,27 @@ def test_crowded_signatures(spark, monkeypatch):
     monkeypatch.setattr(token_groups, "CROWD", 4)
     rng = np.random.default_rng(3)
     runs = [(1, 3), (2, 18), (3, 1), (4, 5), (5, 40), (6, 2), (7, 4)]
-    rows = [(100 * s + i, 12, bytearray(rng.integers(0, 200, token_groups.CLASSES).astype(np.uint8).tobytes()), [s, 1000 + 100 * s + i]) for s, n in runs for i in range(n)]
-    frame = spark.createDataFrame(rows, "doc_id long, n_shingles long, sketch binary, signatures array<long>")
+    rows = [(100 * s + i, 12, bytearray(rng.integers(0, 200, token_groups.CLASSES).astype(np.uint8).tobytes()), [(1, 0 if i < 30 else 1, [s, 1000 + 100 * s + i])]) for s, n in runs for i in range(n)]
+    frame = spark.createDataFrame(rows, f"doc_id long, n_shingles long, sketch binary, signatures {token_groups.SIGNATURES}")
     found = {(r["node"], r["component"]) for r in token_groups.neighbourhoods(frame).collect()}
-    # no two sketches are near, so links come only from runs that are taken as one, and there all rows have one
-    assert found == {(100 * s + i, 100 * s) for s, n in runs if n > 4 for i in range(n)}
+    # no two sketches are near: links come only from crowded runs, between those who cannot do without them
+    assert found == {(100 * s + i, 100 * s) for s, n in runs if n > 4 for i in range(min(n, 30))}
+
+
+def test_any_two_alike_share_enough_parts():
+    """Sets as different as may be agree in more parts than they can do without."""
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 75, 200, 431]:
+        for need in (80, 90):
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                gone = int(rng.integers(0, len(a) // 4 + 1))
+                b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**64, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if 100 * common < need * (len(a) + len(b) - common):
+                    continue
+                mine, theirs = ({x["band"]: x for x in token_groups.signatures(s, need, 100)} for s in (a, b))
+                assert any(len(np.intersect1d(mine[k]["parts"], theirs[k]["parts"])) > max(0, min(mine[k]["spare"], theirs[k]["spare"])) for k in mine.keys() & theirs.keys()), (n, need)
 
 
 def test_repeated_rows(spark):

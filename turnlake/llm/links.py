@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large)
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct("m", F.col("b").alias("v")), F.struct("m", F.col("a").alias("v")))).alias("x")).select(F.col("x.m").alias("a"), F.col("x.v").alias("b"))
-        now = written(small.where("a < b").distinct())
+        old, now = now, written(small.where("a < b").distinct())
         before, mark = mark, _mark(now)
+        drop(old, large)
         if mark == before:
             nodes = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
             return nodes.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -3,10 +3,13 @@
 Documents are sets of hashed word shingles. Two steps find every link.
 
 Partition. If two sets are similar enough, they differ in at most k shingles.
-Shingle space is cut into k + 1 parts, so the two agree wholly in one of them:
-documents that share the contents of a part come together. Parts depend on the
-size of a set, by bands; a set near the lower end of the next band is cut for
-that one too. Those who come together compare sketches, how many of their
+Shingle space is cut into k + 1 + spare parts, so the two agree wholly in more than
+spare of them: documents that share the contents of a part come together. Parts
+depend on the size of a set, by bands; a set near the lower end of the next band is
+cut for that one too. As long as a set has no more than spare parts that are empty
+or shared by very many, it agrees with a similar one in another part, and these
+can be left out; only sets with more of them meet there, and are linked at once.
+Those who come together compare sketches, how many of their
 shingles fall into each of 64 classes: the differences of these counts add up to
 no more than the number of shingles in which the sets differ. Chains of possible
 links make neighbourhoods, which no link leaves.
@@ -37,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop, slices, small, table, written
@@ -48,8 +52,10 @@ NEED, OF = 90, 100
 WORDS = 3
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.5
-#: Classes of a sketch, and documents under one part that compare sketches; more count as possible links at once.
-CLASSES, CROWD = 64, 4096
+#: Classes of a sketch, and documents under one part that compare sketches; a part with more is crowded.
+CLASSES, CROWD = 64, 512
+#: Of so many parts, one more is spare.
+SPARE = 4
 #: Shingles in a block of a large neighbourhood, and aimed at in one search.
 BLOCK = 1_500_000
 #: Rows that a task remembers to know repeated ones; beyond it, it forgets them, and they come twice, which changes nothing.
@@ -64,8 +70,13 @@ def _bands(largest: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(shingles: np.ndarray, need: int, of: int) -> np.ndarray:
-    """A number for the contents of each part of an ordered set of hashes, for each band in which it may have links."""
+def signatures(shingles: np.ndarray, need: int, of: int) -> list[dict]:
+    """For each band in which an ordered set of hashes may have links, a number for the contents of each part.
+
+    spare: how many of the listed parts the set can do without; empty parts are not
+    listed unless there are more of them than the set can do without, which makes it
+    negative.
+    """
     n = len(shingles)
     bands = _bands(2 * n + 2)
     own = next(i for i, (_, high) in enumerate(bands) if n <= high)
@@ -76,12 +87,19 @@ def signatures(shingles: np.ndarray, need: int, of: int) -> np.ndarray:
         if band > own and of * n < need * low:
             break
         # |A| + |B| <= 2 high, and they differ in at most (of - need) / (of + need) of that
-        parts = 2 * high * (of - need) // (of + need) + 1
+        differ = 2 * high * (of - need) // (of + need)
+        spare = differ // SPARE
+        parts = differ + 1 + spare
         part = ((shingles >> U(32)) * U(parts)) >> U(32)
         at = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
         key = (np.arange(parts).astype(np.uint64) * U(0x2545F4914F6CDD1D) + U(band + 1)) * U(0xD6E8FEB86659FD93)
-        out.append(mix(sums[at[1:]] - sums[at[:-1]] + mix(key)))
-    return np.unique(np.concatenate(out))
+        found, empty = mix(sums[at[1:]] - sums[at[:-1]] + mix(key)), at[1:] == at[:-1]
+        spare -= int(empty.sum())
+        out.append({"band": band, "spare": spare, "parts": (found[~empty] if spare >= 0 else found).view(np.int64)})
+    return out
+
+
+SIGNATURES = "array<struct<band:int,spare:int,parts:array<bigint>>>"
 
 
 def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
@@ -105,12 +123,12 @@ def described(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = O
                 if doc_id is None or (f, g) in seen:
                     rows.append((doc_id, len(own), f, g, sketch, []))
                     continue
-                rows.append((doc_id, len(own), f, g, sketch, signatures(own, need, of).view(np.int64)))
+                rows.append((doc_id, len(own), f, g, sketch, signatures(own, need, of)))
                 seen.add((f, g))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f", "g", "sketch", "signatures"]).astype({"f": "Int64", "g": "Int64"})
 
     # doc_id as text, since pandas has no whole numbers with nulls
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(describe, "doc_id string, n_shingles long, f long, g long, sketch binary, signatures array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(describe, f"doc_id string, n_shingles long, f long, g long, sketch binary, signatures {SIGNATURES}")
     return written(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -170,18 +188,24 @@ def _possible(need: int, of: int):
 def neighbourhoods(described_: DataFrame, need: int = NEED, of: int = OF) -> DataFrame:
     """node and component of documents that may be linked, directly or in a chain.
 
-    Signatures are counted first. Documents under a crowded one are linked to the
-    first of them by a join, whose hot keys can be split; only those under the
-    others, CROWD at most, come together in a task.
+    Of a signature CROWD + 1 rows are enough to know that it is crowded, so no more
+    of them travel from any task, however many documents have it.
     """
-    rows = described_.where("doc_id IS NOT NULL").select(F.explode("signatures").alias("signature"), F.col("doc_id").alias("node"))
-    shared = written(rows.groupBy("signature").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1"))
-    met = written(rows.join(shared, "signature"))
-    crowded = met.where(F.col("rows") > CROWD).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    each = described_.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.explode("signatures").alias("s"))
+    rows = each.select("node", "s.band", "s.spare", F.explode("s.parts").alias("signature"))
+    ranked = rows.select("signature", "node").withColumn("place", F.row_number().over(W.partitionBy("signature").orderBy("node"))).where(F.col("place") <= CROWD + 1)
+    shared = written(ranked.withColumn("rows", F.count("*").over(W.partitionBy("signature"))).where("rows > 1").drop("place"))
+    # documents with more crowded signatures than they can do without, under these signatures
+    crowded = written(shared.where(F.col("rows") > CROWD).select("signature").distinct())
+    met = rows.join(small(crowded), "signature")
+    bound = met.groupBy("node", "band").agg(F.count("*").alias("n"), F.max("spare").alias("spare")).where("n > spare").select("node", "band")
+    bound = written(met.join(bound, ["node", "band"]).select("signature", "node"))
+    first = bound.groupBy("signature").agg(F.min("node").alias("first"))
+    at_once = bound.join(first, "signature").select(F.col("first").alias("a"), F.col("node").alias("b"))
     sketches = described_.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").distinct()
-    few = met.where(F.col("rows") <= CROWD).select("signature", "node").join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
-    links = written(few.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long").unionByName(crowded).distinct())
-    drop(shared, met)
+    few = shared.where(F.col("rows") <= CROWD).select("signature", "node").join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
+    links = written(few.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long").unionByName(at_once).distinct())
+    drop(shared, crowded, bound)
     return components(links)
 
 
