@@ -38,14 +38,17 @@ def term_counts(rows: DataFrame, key: list[str], text: str = "text") -> DataFram
     return rows.select(*key, F.explode(terms(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
-def prior_retrieval(queries: DataFrame, memory: DataFrame, k: int, key: tuple[str, ...] = ("turn",)) -> DataFrame:
+def prior_retrieval(queries: DataFrame, memory: DataFrame, k: int, key: tuple[str, ...] = ("turn",), few: bool = False) -> DataFrame:
     """The k rows of memory from earlier turns of the same conversation that share most with each query.
 
     queries: conv_id, turn, user_text. memory: conv_id, turn, text and the other
     columns of key. Score: cosine of term counts; rows without a common term are
     no hits. Returns conv_id, turn, rk, m_<key>, score; ties go to the earlier row.
+    few: the queries have been counted to hold few terms, so they go to the memory,
+    whose terms stay where they are, however common one of them is.
     """
     mine = term_counts(queries.select("conv_id", "turn", F.col("user_text").alias("text")), ["conv_id", "turn"])
+    mine = F.broadcast(mine) if few else mine
     theirs = term_counts(memory.select("conv_id", *key, "text"), ["conv_id", *key])
     size = lambda rows, cols: rows.groupBy(*cols).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("size"))
     names = [f"m_{c}" for c in key]

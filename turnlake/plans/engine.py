@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlake.functions.text import terms
 from turnlake.operators import chunking, replay, retrieval
 from turnlake.schemas import ChunkerConfig
 from turnlake.sources import store
 
 
+#: Queries with at most so many terms together go to the chunks; those of more meet them by a shuffle on terms.
+FEW_TERMS = 100_000
+
+
 class Memory:
     """A store with its chunker and, if given, an encoder of texts.
 
@@ -60,7 +65,8 @@ class Memory:
         # terms: one scope for all, and every chunk is earlier than every query
         asked = queries.select(F.lit(0).alias("conv_id"), F.col("query_id").alias("turn"), F.col("text").alias("user_text"))
         held = chunks.select(F.lit(0).alias("conv_id"), F.lit(-(2**62)).alias("turn"), "chunk_id", "text")
-        hits = replay.prior_retrieval(asked.withColumn("turn", F.col("turn").cast("long")), held, k, ("turn", "chunk_id"))
+        few = asked.select(F.explode(terms(F.col("user_text")))).limit(FEW_TERMS + 1).count() <= FEW_TERMS
+        hits = replay.prior_retrieval(asked.withColumn("turn", F.col("turn").cast("long")), held, k, ("turn", "chunk_id"), few)
         hits = hits.select(F.col("turn").alias("query_id"), "rk", F.col("m_chunk_id").alias("chunk_id"), "score")
         return retrieval.hydrated(hits, chunks, turns, "chunk_id")
 
