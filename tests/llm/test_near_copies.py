@@ -79,7 +79,7 @@ def test_crowded_signatures(spark, monkeypatch):
     monkeypatch.setattr(token_groups, "CROWD", 4)
     rng = np.random.default_rng(3)
     runs = [(1, 3), (2, 18), (3, 1), (4, 5), (5, 40), (6, 2), (7, 4)]
-    rows = [(100 * s + i, 12, bytearray(rng.integers(0, 200, token_groups.CLASSES).astype(np.uint8).tobytes()), [(1, 0 if i < 30 else 1, [s, 1000 + 100 * s + i])]) for s, n in runs for i in range(n)]
+    rows = [(100 * s + i, 12, bytearray(rng.integers(0, 200, token_groups.CLASSES).astype(np.uint8).tobytes()), [(1, 0 if i < 30 else 1, [2 * s + 1, 2 * (1000 + 100 * s + i) + 1])]) for s, n in runs for i in range(n)]
     frame = spark.createDataFrame(rows, f"doc_id long, n_shingles long, sketch binary, signatures {token_groups.SIGNATURES}")
     found = {(r["node"], r["component"]) for r in token_groups.neighbourhoods(frame).collect()}
     # no two sketches are near: links come only from crowded runs, between those who cannot do without them

@@ -9,6 +9,7 @@ depend on the size of a set, by bands; a set near the lower end of the next band
 cut for that one too. As long as a set has no more than spare parts that are empty
 or shared by very many, it agrees with a similar one in another part, and these
 can be left out; only sets with more of them meet there, and are linked at once.
+Sets that have no more than spare parts in common with any others have no link.
 Those who come together compare sketches, how many of their
 shingles fall into each of 64 classes: the differences of these counts add up to
 no more than the number of shingles in which the sets differ. Chains of possible
@@ -94,6 +95,7 @@ def signatures(shingles: np.ndarray, need: int, of: int) -> list[dict]:
         at = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
         key = (np.arange(parts).astype(np.uint64) * U(0x2545F4914F6CDD1D) + U(band + 1)) * U(0xD6E8FEB86659FD93)
         found, empty = mix(sums[at[1:]] - sums[at[:-1]] + mix(key)), at[1:] == at[:-1]
+        found = (found & ~U(1)) | U(band & 1)  # tells the two bands of a set apart
         spare -= int(empty.sum())
         out.append({"band": band, "spare": spare, "parts": (found[~empty] if spare >= 0 else found).view(np.int64)})
     return out
@@ -191,21 +193,28 @@ def neighbourhoods(described_: DataFrame, need: int = NEED, of: int = OF) -> Dat
     Of a signature CROWD + 1 rows are enough to know that it is crowded, so no more
     of them travel from any task, however many documents have it.
     """
+    half = F.col("signature").bitwiseAND(1)
     each = described_.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.explode("signatures").alias("s"))
-    rows = each.select("node", "s.band", "s.spare", F.explode("s.parts").alias("signature"))
-    ranked = rows.select("signature", "node").withColumn("place", F.row_number().over(W.partitionBy("signature").orderBy("node"))).where(F.col("place") <= CROWD + 1)
+    rows = each.select("node", F.explode("s.parts").alias("signature"))
+    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("signature").orderBy("node"))).where(F.col("place") <= CROWD + 1)
     shared = written(ranked.withColumn("rows", F.count("*").over(W.partitionBy("signature"))).where("rows > 1").drop("place"))
-    # documents with more crowded signatures than they can do without, under these signatures
     crowded = written(shared.where(F.col("rows") > CROWD).select("signature").distinct())
-    met = rows.join(small(crowded), "signature")
-    bound = met.groupBy("node", "band").agg(F.count("*").alias("n"), F.max("spare").alias("spare")).where("n > spare").select("node", "band")
-    bound = written(met.join(bound, ["node", "band"]).select("signature", "node"))
+    met = rows.join(small(crowded), "signature").withColumn("band", half)
+    few = shared.where(F.col("rows") <= CROWD).select("signature", "node").withColumn("band", half)
+    # how many parts of each document others have too, few or very many, and how many it can do without
+    spare = each.groupBy("node", F.col("s.band").bitwiseAND(1).cast("long").alias("band")).agg(F.min("s.spare").alias("spare"))
+    counted = few.groupBy("node", "band").agg(F.count("*").alias("few"), F.lit(0).cast("long").alias("many"))
+    counted = counted.unionByName(met.groupBy("node", "band").agg(F.lit(0).cast("long").alias("few"), F.count("*").alias("many")))
+    counted = counted.groupBy("node", "band").agg(F.sum("few").alias("few"), F.sum("many").alias("many")).join(spare, ["node", "band"])
+    # with no more common parts than that, a document is like none; with more crowded ones, it may be like one under these alone
+    hopeful = written(counted.where(F.col("few") + F.col("many") > F.col("spare")))
+    bound = written(met.join(hopeful.where("many > spare").select("node", "band"), ["node", "band"]).select("signature", "node"))
     first = bound.groupBy("signature").agg(F.min("node").alias("first"))
     at_once = bound.join(first, "signature").select(F.col("first").alias("a"), F.col("node").alias("b"))
     sketches = described_.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").distinct()
-    few = shared.where(F.col("rows") <= CROWD).select("signature", "node").join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
+    few = few.join(hopeful.select("node", "band"), ["node", "band"]).select("signature", "node").join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
     links = written(few.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long").unionByName(at_once).distinct())
-    drop(shared, crowded, bound)
+    drop(shared, crowded, hopeful, bound)
     return components(links)
 
 
