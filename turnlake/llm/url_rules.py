@@ -3,7 +3,7 @@
 Tokens of labelled URLs that exactly the same rows hold count as one. Spark's
 FP-growth mines the token combinations of the blocked URLs; each is then counted
 over all labelled URLs, and as rules those stay that conclude "block" with enough
-support, confidence and lift, and that no more general rule with at least their
+support and confidence, and that no more general rule with at least their
 confidence makes needless. A token whose URLs are all blocked is a rule by itself,
 and as nothing that holds it can be surer, it is not mined further. Each rule is
 filed in an inverted index under its rarest token; a URL meets the rules filed
@@ -39,7 +39,7 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.5
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
 
 
 def host(url: Column) -> Column:
@@ -89,7 +89,7 @@ def _counted(items: DataFrame, baskets: DataFrame) -> DataFrame:
     return met.groupBy("items", "anchor").agg(F.count("*").alias("total"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (items, confidence, support, anchor) from rows (url, blocked); a written table."""
     spark = labelled.sparkSession
     rows = labelled.select(tokens(F.col("url")).alias("tokens"), F.coalesce("blocked", F.lit(False)).alias("blocked")).where(F.size("tokens") > 0)
@@ -114,7 +114,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         filed = written(_filed(mined, open_))
         found = found.unionByName(mined.join(_counted(filed, baskets), "items").select(*found.columns))
     confidence = F.col("bad") / F.col("total")
-    found = found.where((confidence >= min_confidence) & (confidence * n / bad >= min_lift))
+    found = found.where(confidence >= min_confidence)
     found = written(found.select("items", confidence.alias("confidence"), (F.col("bad") / n).alias("support"), "anchor"))
     # a rule is needless if a part of it concludes the same as surely; such a part has its first item among the rule's
     part = found.select(F.col("items").alias("p_items"), F.col("confidence").alias("p_confidence"), F.get("items", 0).alias("item"))
