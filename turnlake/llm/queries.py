@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_fusion, length_histogram, license_scan, line_frequency, piece_lattice, run_index, source_mix, token_groups, url_rules, vector_approx
+from . import (
+    centroid_heaps, code_bounds, inverted_multi_index, language_fusion, length_histogram, license_scan, line_frequency, piece_lattice, run_index, source_mix, token_groups, url_rules,
+    vector_approx,
+)
 
 _QUERIES = {
     "op1_url_rules": url_rules,
@@ -15,6 +18,9 @@ _QUERIES = {
     "op8_quality_rules": line_frequency,
     "op9_source_mix": source_mix,
     "op10_token_groups": token_groups,
+    "op11_inverted_multi_index": inverted_multi_index,
+    "op12_centroid_heaps": centroid_heaps,
+    "op13_code_bounds": code_bounds,
 }
 
 
