@@ -142,10 +142,14 @@ def test_memory(spark, tmp_path):
         memory.ingest(rows)
         found = memory.search(asked, 2).orderBy("rk").collect()
         assert len(found) == 2 and found[0]["score"] >= found[1]["score"] and memory.vectors().count() == 3
-        memory.rebuild_index(width=4.0)
+        memory.rebuild_index()
     with Memory(spark, str(tmp_path / "v"), encoder=models()[0]) as memory:  # as a later session finds it
         again = memory.search(asked, 2, memory.index()).orderBy("rk").collect()
         assert [r["chunk_id"] for r in again] == [r["chunk_id"] for r in found]
+        memory.ingest(talk(spark, ("user", "what is my name"), conv=2))  # found at once, without a new index
+        new = memory.search(asked, 1, memory.index()).first()
+        assert new["text"] == "what is my name" and new["score"] > 0.99
+        assert [x.count() for x in memory.ingest(rows)] == [0, 0] and memory.index().entries.count() == 4
 
 
 def test_stream(spark, tmp_path):

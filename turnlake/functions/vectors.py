@@ -18,3 +18,8 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 if a vector is zero."""
     size = norm(a) * norm(b)
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+def finite(a: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers; false for null."""
+    return F.coalesce(F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))

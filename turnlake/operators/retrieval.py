@@ -60,7 +60,7 @@ def labelled(fresh: DataFrame, stored: DataFrame, key: str, label: str = "label"
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rk (from 1), vec_id and score: the k nearest vectors of each query, ties to the smaller vec_id.
 
-    Both tables have vec_id and embedding, and by if the search stays within its
+    Both tables have vec_id, of any type that can be sorted, and embedding, and by if the search stays within its
     values. Queries and vectors are dealt into blocks, each pair of blocks is one
     matrix product, and the best of all blocks are ranked once more. Zero
     vectors score 0; null vectors take no part; k beyond the number of vectors
@@ -70,18 +70,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None,
     queries = queries.where("embedding IS NOT NULL AND vec_id IS NOT NULL")
     vectors = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL")
     rows, cols = max(1, -(-vectors.count() // vector_block)), max(1, -(-queries.count() // query_block))
-    dealt = vectors.select(*scope, "vec_id", "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(rows)).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("q"))
-    asked = queries.select(*scope, "vec_id", "embedding", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(cols)).alias("q"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = vectors.select(*scope, "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).alias("v"), each(cols).alias("q"))
+    asked = queries.select(*scope, "vec_id", "embedding", each(rows).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(cols)).alias("q"))
+    kinds = [df.schema["vec_id"].dataType.simpleString() for df in (queries, vectors)]
 
     def unit(arrays) -> np.ndarray:
         out = np.stack([np.asarray(a, np.float64) for a in arrays])
         size = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        asks, others = group[group["asks"]], group[~group["asks"]].sort_values("vec_id")
+    def search(others: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asks) and len(others):
+            others = others.sort_values("vec_id")
             ids = others["vec_id"].to_numpy()
             scores = unit(asks["embedding"]) @ unit(others["embedding"]).T
             for query, score in zip(asks["vec_id"], scores, strict=True):
@@ -92,7 +94,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None,
                 out += [(query, ids[i], score[i]) for i in near]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = dealt.unionByName(asked).groupBy(*scope, "v", "q").applyInPandas(search, "query_id long, vec_id long, score double")
+    groups = [df.groupBy(*scope, "v", "q") for df in (dealt, asked)]
+    found = groups[0].cogroup(groups[1]).applyInPandas(search, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("query_id", "rk", "vec_id", "score")
 

@@ -146,6 +146,7 @@ SQL = {
     "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",
     "cosine_topk": f"WITH {_cosine(10)} SELECT query_id, rk::INTEGER AS rk, vec_id, round(score, 6) AS score FROM top",
     "hydrate_hits": f"WITH {_cosine(5)} SELECT query_id, rk::INTEGER AS rk, top.vec_id, label, source FROM top JOIN embeddings USING (vec_id) LEFT JOIN documents ON doc_id = top.vec_id",
+    "ann_upkeep": f"WITH {_cosine(1)} SELECT stage, query_id, vec_id, round(score, 6) AS score FROM top CROSS JOIN (SELECT unnest(['before', 'after']) AS stage) s",
     "add_idempotent": "SELECT vec_id AS chunk_id, label FROM embeddings WHERE label % 2 = 1",
     "label_assignment": "SELECT vec_id, (SELECT max(vec_id) FROM embeddings WHERE label % 2 = 0) + row_number() OVER (ORDER BY vec_id) AS label FROM embeddings WHERE label % 2 = 1",
     "scored_turns": _SCORED,

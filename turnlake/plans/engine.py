@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.text import terms
 from turnlake.operators import chunking, replay, retrieval
+from turnlake.operators.inverted_file import InvertedFile
 from turnlake.schemas import ChunkerConfig
 from turnlake.sources import store
+from turnlake.sources.shared import exists, written
 
 
 #: Queries with at most so many terms together go to the chunks; those of more meet them by a shuffle on terms.
@@ -21,8 +23,9 @@ class Memory:
     encoder: (function without arguments that builds the encoder, vector size).
     With an encoder search() compares vectors; without one it compares terms.
     lexical: a text's column to a map of terms and weights, kept with each chunk.
-    Turns and chunks are on disk when a call returns; an index is derived from them
-    by rebuild_index(), which saves it, and is there again in later sessions.
+    Turns and chunks are on disk when a call returns. rebuild_index() derives an
+    index from them and saves it; from then on ingest() files new chunks in it, so
+    that they are found at once, and later sessions find it again.
     """
 
     def __init__(self, spark: SparkSession, path: str, config: ChunkerConfig = ChunkerConfig(), encoder=None, lexical=None):
@@ -49,19 +52,27 @@ class Memory:
         chunks = chunks.withColumn("lexical_weights", (self.lexical(F.col("text")) if self.lexical else F.lit(None)).cast("map<string,double>"))
         if self.encoder:
             chunks = retrieval.embed(chunks, *self.encoder)
-        return fresh, self.store.append_chunks(chunks)
+        added = self.store.append_chunks(chunks)
+        if index := self.index():
+            index.add(added.select("chunk_id", "embedding"))
+        return fresh, added
 
-    def search(self, queries: DataFrame, k: int = 10, index: retrieval.ApproximateIndex | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, index: InvertedFile | None = None, ef_search: int = 50) -> DataFrame:
         """query_id, rk, score and the chunk's and turn's columns for queries (query_id, text); over all conversations.
 
-        With an index, which has to be younger than the chunks it shall find, vectors are searched there.
+        With an index vectors are searched there, in the lists of the ef_search nearest centroids.
         """
         chunks = self.store.chunks
         turns = self.transcript.select("turn_id", "role", F.col("text").alias("turn_text"), "created_at")
         if self.encoder:
-            asked = retrieval.embed(queries, *self.encoder).select(F.col("query_id").alias("vec_id"), "embedding")
-            hits = index.top_k(asked, k) if index else retrieval.top_k(asked, self._held(), k)
-            return retrieval.hydrated(hits, chunks.withColumn("vec_id", F.xxhash64("chunk_id")), turns).drop("vec_id")
+            # written, so that each text is encoded once
+            asked = written(retrieval.embed(queries, *self.encoder).select("query_id", "embedding"))
+            if index:
+                hits = index.search(asked, k, ef_search)
+            else:
+                held = self.vectors().withColumnRenamed("chunk_id", "vec_id")
+                hits = retrieval.top_k(asked.withColumnRenamed("query_id", "vec_id"), held, k).withColumnRenamed("vec_id", "chunk_id")
+            return retrieval.hydrated(hits, chunks, turns, "chunk_id")
         # terms: one scope for all, and every chunk is earlier than every query
         asked = queries.select(F.lit(0).alias("conv_id"), F.col("query_id").alias("turn"), F.col("text").alias("user_text"))
         held = chunks.select(F.lit(0).alias("conv_id"), F.lit(-(2**62)).alias("turn"), "chunk_id", "text")
@@ -70,24 +81,18 @@ class Memory:
         hits = hits.select(F.col("turn").alias("query_id"), "rk", F.col("m_chunk_id").alias("chunk_id"), "score")
         return retrieval.hydrated(hits, chunks, turns, "chunk_id")
 
-    def _held(self) -> DataFrame:
-        return self.vectors().select(F.xxhash64("chunk_id").alias("vec_id"), "embedding")
-
     def vectors(self) -> DataFrame:
         """All stored vectors."""
         return self.store.chunks.where("embedding IS NOT NULL").select("chunk_id", "embedding")
 
-    def rebuild_index(self, tables: int = 8, width: float = 1.0) -> retrieval.ApproximateIndex:
-        """An index of all stored vectors, saved with the store in place of an older one."""
-        path = self._index_path()
-        retrieval.ApproximateIndex(self._held(), tables, width).save(path)
-        return retrieval.ApproximateIndex.load(self.store.spark, path)
+    def rebuild_index(self, lists: int | None = None, parts: int = 16) -> InvertedFile:
+        """An index of all stored vectors, fitted anew and saved with the store in place of an older one."""
+        return InvertedFile.build(self.vectors(), self._index_path(), "chunk_id", lists, parts)
 
-    def index(self) -> retrieval.ApproximateIndex | None:
+    def index(self) -> InvertedFile | None:
         """The saved index; None if none was built."""
-        path = self.store.spark._jvm.org.apache.hadoop.fs.Path(f"{self._index_path()}/vectors/_SUCCESS")
-        files = path.getFileSystem(self.store.spark._jsparkSession.sessionState().newHadoopConf())
-        return retrieval.ApproximateIndex.load(self.store.spark, self._index_path()) if files.exists(path) else None
+        found = exists(self.store.spark, f"{self._index_path()}/base")
+        return InvertedFile(self.store.spark, self._index_path(), "chunk_id") if found else None
 
     def _index_path(self) -> str:
         return f"{self.store.path}/index"

@@ -10,6 +10,7 @@ from turnlake.functions import text as text_
 from turnlake.functions import vectors
 from turnlake.functions.text import sentences, token_count
 from turnlake.operators import chunking, judging, metrics, prompting, replay, retrieval
+from turnlake.operators.inverted_file import InvertedFile
 from turnlake.plans import evaluation
 from turnlake.schemas import ROLES, ChunkerConfig
 from turnlake.sources import shared, store, transcripts
@@ -125,6 +126,26 @@ def lsh_topk(spark, sf_dir):
     return retrieval.ApproximateIndex(rows).top_k(rows.where("vec_id % 100 = 0"), 10).select("query_id", "rk", "vec_id", F.round("score", 6).alias("score"))
 
 
+def ann_topk(spark, sf_dir):
+    """Ten nearest vectors by an inverted file whose ef is tuned on the table, with what each query read."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = InvertedFile.build(rows, shared.folder(spark, "index"))
+    hits = index.search(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10, index.tuned(10), counted=True)
+    return hits.select("query_id", "rk", "vec_id", F.round("score", 6).alias("score"), "n_codes", "n_vectors")
+
+
+def ann_upkeep(spark, sf_dir):
+    """An index of the vectors with an even label to which the others are added: each asked vector's own nearest, before and after the lists are rewritten."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    index = InvertedFile.build(rows.where("label % 2 = 0"), shared.folder(spark, "index"))
+    index.add(rows)
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    before = shared.written(index.search(asked, 1))
+    index.compact()
+    after = index.search(asked, 1)
+    return before.withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after"))).select("stage", "query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 def add_idempotent(spark, sf_dir):
     """All vectors added to a store that holds those with an even label."""
     rows = _read(spark, sf_dir, "embeddings")
@@ -290,7 +311,7 @@ def role_adjacency(spark, sf_dir):
 
 def queries() -> dict:
     plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
-    plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, build_prompt, judge_parse, conversation_scores, run_metrics)
+    plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, ann_topk, ann_upkeep, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, build_prompt, judge_parse, conversation_scores, run_metrics)
     plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
     found = {f.__name__: f for f in plain}
     return found | {"parse_txt_roundtrip": _roundtrip(False), "parse_md_roundtrip": _roundtrip(True), "recent_window_4": _window(4), "recent_window_all": _window(0)}

@@ -36,10 +36,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """(the path's file system, the path) as Hadoop has them, so that any store that Spark reads will do."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The paths right below a folder, sorted; none if it is not there."""
+    files, at = _files(spark, path)
+    return sorted(x.getPath().toString() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that written() made; what was computed from them has to be written by then."""
     for df in tables:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if re.search(r"/turnlake-[0-9a-f]{32}$", path):
-                found = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-                found.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
+                delete(df.sparkSession, path)

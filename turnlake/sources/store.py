@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.schemas import CHUNKS, ROLES, TURNS
+from turnlake.sources.shared import exists, written
+
+#: Buckets of stored keys: an append reads those that its own keys fall into.
+BUCKETS = 64
 
 
 def turn_id(conv_id: Column, turn: Column) -> Column:
@@ -25,16 +31,35 @@ def referenced(chunks: DataFrame, turns: DataFrame, key: str = "turn_id") -> tup
 
 
 class Store:
-    """Turns and chunks below a folder; appends only, nothing is changed or deleted."""
+    """Turns and chunks below a folder; appends only, nothing is changed or deleted.
+
+    Each append writes a folder of its own. Beside each table lie its keys by a hash
+    of theirs, so that an append reads the keys that could be its own and not the table.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        for name, schema in (("turns", TURNS), ("chunks", CHUNKS)):
+        for name, key, schema in (("turns", "turn_id", TURNS), ("chunks", "chunk_id", CHUNKS)):
             # an empty part makes the table readable before its first row
             spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}")
+            if not exists(spark, f"{self.path}/{name}_keys"):
+                self._write_keys(self._table(name, schema), name, key)
 
     def _table(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
+
+    @staticmethod
+    def _bucket(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+    def _write_keys(self, rows: DataFrame, name: str, key: str) -> None:
+        rows.select(key, self._bucket(key)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}_keys")
+
+    def _keys(self, buckets: DataFrame, name: str, key: str) -> DataFrame:
+        """The stored keys of these buckets."""
+        found = [r[0] for r in buckets.select("bucket").distinct().collect()]  # at most BUCKETS
+        stored = self.spark.read.schema(f"{key} string, bucket int").parquet(f"{self.path}/{name}_keys")
+        return stored.where(F.col("bucket").isin(found)).select(key)
 
     @property
     def turns(self) -> DataFrame:
@@ -53,15 +78,17 @@ class Store:
 
     def append_chunks(self, chunks: DataFrame) -> DataFrame:
         """Appends chunks that are not there yet and whose turn is; returns them."""
-        return self._append(referenced(chunks, self.turns)[0].select(*CHUNKS.fieldNames()), "chunks", "chunk_id", CHUNKS)
+        chunks = written(chunks.select(*CHUNKS.fieldNames()))
+        return self._append(referenced(chunks, self._keys(chunks.select(self._bucket("turn_id")), "turns", "turn_id"))[0], "chunks", "chunk_id", CHUNKS)
 
     def _append(self, rows: DataFrame, name: str, key: str, schema) -> DataFrame:
-        before = self._table(name, schema)
-        fresh = rows.dropDuplicates([key]).join(before.select(key), key, "left_anti").select(*schema.fieldNames())
-        files = set(before.inputFiles())
-        fresh.write.mode("append").parquet(f"{self.path}/{name}")
-        added = [f for f in self._table(name, schema).inputFiles() if f not in files]
-        return self.spark.read.schema(schema).parquet(*added) if added else self.spark.createDataFrame([], schema)
+        rows = written(rows.dropDuplicates([key]).select(*schema.fieldNames()))
+        fresh = rows.join(self._keys(rows.select(self._bucket(key)), name, key), key, "left_anti").select(*schema.fieldNames())
+        path = f"{self.path}/{name}/batch-{uuid.uuid4().hex}"
+        fresh.write.parquet(path)
+        added = self.spark.read.schema(schema).parquet(path)
+        self._write_keys(added, name, key)
+        return added
 
     def sql(self, text: str, **args) -> DataFrame:
         """Any SQL over the views turns and chunks, with named parameters."""
