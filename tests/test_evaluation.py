@@ -150,6 +150,12 @@ def test_memory(spark, tmp_path):
         new = memory.search(asked, 1, memory.index()).first()
         assert new["text"] == "what is my name" and new["score"] > 0.99
         assert [x.count() for x in memory.ingest(rows)] == [0, 0] and memory.index().entries.count() == 4
+        memory.rebuild_terms()
+        memory.ingest(talk(spark, ("user", "Ada likes zebras"), conv=3))
+        both = {r["chunk_id"]: (r["dense_rk"], r["term_rk"]) for r in memory.candidates(spark.createDataFrame([(1, "zebras")], "query_id long, text string"), 50).collect()}
+        assert len(both) == 5 and sorted(x[1] for x in both.values() if x[1]) == [1]
+    with Memory(spark, str(tmp_path / "v")) as memory:  # without an encoder terms answer
+        assert [r["text"] for r in memory.search(spark.createDataFrame([(1, "the zebras")], "query_id long, text string"), 1).collect()] == ["Ada likes zebras"]
 
 
 def test_stream(spark, tmp_path):

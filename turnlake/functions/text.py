@@ -29,10 +29,25 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def term_tally(text: Column) -> Column:
+    """Array of (term, tf) of a text's terms in order; empty without terms. Terms are sorted, so that equal ones stand together and are counted in one pass."""
+
+    def counted(sorted_: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+        return let(begins, lambda found: F.transform(found, lambda at, k: F.struct(F.get(sorted_, at).alias("term"), (F.coalesce(F.get(found, k + 1), F.size(sorted_)) - at).alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return let(F.array_sort(F.coalesce(terms(text), F.array().cast("array<string>"))), lambda sorted_: F.when(F.size(sorted_) == 0, none).otherwise(counted(sorted_)))
+
+
 def term_weights(text: Column) -> Column:
     """Lexical weights of a text: the share of each of its terms; empty without terms."""
-    words = lambda all_: F.transform(F.array_distinct(all_), lambda t: F.struct(t.alias("key"), (F.size(F.filter(all_, lambda x: x == t)) / F.size(all_)).alias("value")))
-    return let(F.coalesce(terms(text), F.array().cast("array<string>")), lambda all_: F.map_from_entries(words(all_)))
+
+    def shares(tally: Column) -> Column:
+        total = F.aggregate(tally, F.lit(0), lambda n, x: n + x["tf"])
+        return let(total, lambda n: F.map_from_entries(F.transform(tally, lambda x: F.struct(x["term"].alias("key"), (x["tf"] / n).alias("value")))))
+
+    return let(term_tally(text), shares)
 
 
 def sentences(text: Column) -> Column:

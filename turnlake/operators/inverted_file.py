@@ -31,20 +31,19 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.functions.vectors import finite, norm
 from turnlake.operators.retrieval import top_k
+from turnlake.sources.keys import Keys
 from turnlake.sources.shared import children, delete, exists, written
 
 #: Rows that centroids and code books are fitted on (expected number), rounds of fitting, most lists, entries of a code book.
 SAMPLE, ROUNDS, MOST_LISTS, ENTRIES = 20_000, 8, 4096, 256
 #: Codes on a page and queries in a slice, what a task holds at once; queries scored in one step.
 PAGE, SLICE, STEP = 32_768, 256, 32
-#: Buckets of stored numbers.
-BUCKETS = 64
 
 
 def units(vectors) -> np.ndarray:
@@ -149,7 +148,7 @@ class InvertedFile:
         spark.createDataFrame(rows, "part int, entry int, vec array<double>").coalesce(1).write.parquet(f"{path}/model")
         index = cls(spark, path, key)
         index._write_base(index._coded(vectors), 0)
-        index._write_keys(vectors)
+        index._keys.add(vectors)
         return index
 
     @staticmethod
@@ -170,11 +169,9 @@ class InvertedFile:
 
         return vectors.mapInPandas(code, self._schema(vectors, "embedding array<float>, list int, code binary"))
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
-
-    def _write_keys(self, rows: DataFrame) -> None:
-        rows.select(self.key, self._bucket().alias("bucket")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
+    @property
+    def _keys(self) -> Keys:
+        return Keys(self.spark, f"{self.path}/keys", self.key)
 
     def _write_base(self, coded: DataFrame, version: int) -> None:
         # lists follow one another, and a crowded one spans several files
@@ -221,11 +218,9 @@ class InvertedFile:
         path = f"{self.path}/delta/version={version}/batch={batch}"
         if not exists(self.spark, f"{path}/_SUCCESS"):
             fresh = written(self._usable(vectors, self.key))
-            buckets = [r[0] for r in fresh.select(self._bucket().alias("b")).distinct().collect()]  # at most BUCKETS
-            stored = self.spark.read.parquet(f"{self.path}/keys").where(F.col("bucket").isin(buckets))
-            fresh = written(fresh.join(stored.select(self.key), self.key, "left_anti"))
+            fresh = written(self._keys.fresh(fresh))
             self._coded(fresh).write.mode("overwrite").parquet(path)
-            self._write_keys(fresh)
+            self._keys.add(fresh)
         return self.spark.read.parquet(path)
 
     def compact(self) -> None:

@@ -85,7 +85,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None,
         if len(asks) and len(others):
             others = others.sort_values("vec_id")
             ids = others["vec_id"].to_numpy()
-            scores = unit(asks["embedding"]) @ unit(others["embedding"]).T
+            # rounded, so that equal vectors tie wherever they stand in the product
+            scores = np.round(unit(asks["embedding"]) @ unit(others["embedding"]).T, 12)
             for query, score in zip(asks["vec_id"], scores, strict=True):
                 # all that reach the kth score, so that ties go by number
                 floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _TOKENS = r"len(regexp_extract_all({}, '\w+|[^\w\s]'))"
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: " + _STRIP.format("s") + r"), lambda s: s <> '')"
@@ -11,6 +13,22 @@ _SCORED = """SELECT conv_id, turn, user_text, reply FROM (SELECT conv_id, turn,
   WHERE role = 'user' AND next_role = 'assistant' AND reply <> ''"""
 
 
+def _english(text: str) -> str:
+    """The English sentences of a text by the same stages, as nested replacements."""
+    from turnlake.functions import sentences as rules
+
+    def replaced(value: str, stages) -> str:
+        for pattern, by in stages:
+            value = "regexp_replace({}, '{}', '{}', 'g')".format(value, pattern.replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", by).replace("'", "''"))
+        return value
+
+    marked = replaced(replaced(text, rules.HIDE), [(f"({rules.SPANS})", f"{rules.SPAN}$1{rules.SPAN}")])
+    inside = f"array_to_string(list_transform(string_split({marked}, '{rules.SPAN}'), lambda x, i: CASE WHEN i % 2 = 0 THEN translate(x, '.?!', '{rules.STOP}{rules.ASKS}{rules.CRIES}') ELSE x END), '')"
+    cut = f"string_split({replaced(inside, [*rules.SHOW, rules.ENDS])}, chr(10))"
+    shown = _STRIP.format(f"translate(s, '{rules.STOP}{rules.ASKS}{rules.CRIES}{rules.WEAK}{rules.DOTS}{rules.ITEM}', '.?!.….')")
+    return f"list_filter(list_transform({cut}, lambda s: {shown}), lambda s: s <> '')"
+
+
 def _packed(source: str, words: str, limit: int, out: str) -> str:
     """CTEs: words(k, i, w, n) packed greedily into numbered groups."""
     return f"""{words} AS MATERIALIZED ({source}),
@@ -24,12 +42,12 @@ def _clauses(delimiter: str) -> str:
     return f"list_filter(list_transform({cut}, lambda x, i: CASE WHEN {part} = '' THEN '' WHEN i < len({cut}) THEN {part} || '{delimiter.rstrip()}' ELSE {part} END), lambda x: x <> '')"
 
 
-def _parts(limit: int, rows: str) -> str:
-    """CTEs up to part(conv_id, turn, p, s, n): sentences, long ones in parts. rows: SELECT conv_id, turn, text."""
+def _parts(limit: int, rows: str, sentences: str | None = None) -> str:
+    """CTEs up to part(conv_id, turn, p, s, n): sentences, long ones in parts. rows: SELECT conv_id, turn, text; sentences: of text, another rule than the plain one."""
     fits = lambda list_: f"len(list_filter({list_}, lambda x: {_TOKENS.format('x')} > {limit})) = 0"
     words = f"SELECT k, i, w[i] AS w, {_TOKENS.format('w[i]')} AS n FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT k, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS w FROM cut WHERE pieces IS NULL))"
     return f"""base AS MATERIALIZED ({rows}),
-sent AS (SELECT conv_id, turn, q, l[q] AS s FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS q FROM (SELECT conv_id, turn, {_SENTENCES.format("text")} AS l FROM base))),
+sent AS (SELECT conv_id, turn, q, l[q] AS s FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS q FROM (SELECT conv_id, turn, {sentences or _SENTENCES.format("text")} AS l FROM base))),
 cut AS MATERIALIZED (SELECT *, conv_id || '/' || turn || '/' || q AS k, CASE WHEN {_TOKENS.format("s")} <= {limit} THEN [s] WHEN contains(s, '; ') AND {fits(_clauses("; "))} THEN {_clauses("; ")} WHEN contains(s, ', ') AND {fits(_clauses(", "))} THEN {_clauses(", ")} END AS pieces FROM sent),
 {_packed(words, "hard_words", limit, "hard")},
 hard_parts AS (SELECT k, list(w ORDER BY g) AS pieces FROM (SELECT hard.k, g, string_agg(w, ' ' ORDER BY hard.i) AS w FROM hard JOIN hard_words USING (k, i) GROUP BY hard.k, g) GROUP BY k),
@@ -37,10 +55,10 @@ whole AS (SELECT conv_id, turn, q, coalesce(cut.pieces, hard_parts.pieces) AS l
 part AS MATERIALIZED (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY q, j) AS p, l[j] AS s, {_TOKENS.format("l[j]")} AS n FROM (SELECT conv_id, turn, q, l, unnest(range(1, len(l) + 1)) AS j FROM whole))"""
 
 
-def _chunks(limit: int, rows: str) -> str:
+def _chunks(limit: int, rows: str, sentences: str | None = None) -> str:
     """CTEs up to chunks(conv_id, turn, pos, text, start_char, end_char, token_count)."""
     at = lambda what: f"instr(substr(b.text, o.stop + 1), {what})"
-    return f"""{_parts(limit, rows)},
+    return f"""{_parts(limit, rows, sentences)},
 o AS (SELECT conv_id, turn, p, s, instr(b.text, s) - 1 AS start, instr(b.text, s) - 1 + length(s) AS stop FROM part JOIN base b USING (conv_id, turn) WHERE p = 1 UNION ALL
   SELECT conv_id, turn, p, s, start, start + length(s) FROM (SELECT x.conv_id, x.turn, x.p, x.s, CASE WHEN {at("x.s")} > 0 THEN o.stop + {at("x.s")} - 1 WHEN {at("regexp_extract(x.s, '^[^ ]+')")} > 0 THEN o.stop + {at("regexp_extract(x.s, '^[^ ]+')")} - 1 ELSE o.stop END AS start
     FROM o JOIN part x ON x.conv_id = o.conv_id AND x.turn = o.turn AND x.p = o.p + 1 JOIN base b ON b.conv_id = x.conv_id AND b.turn = x.turn)),
@@ -52,6 +70,19 @@ chunks AS (SELECT o.conv_id, o.turn, (g - 1)::INTEGER AS pos, string_agg(o.s, '
 _TALK = "SELECT conv_id, turn, text FROM conversations"
 _TALK_CHUNKS = "WITH RECURSIVE " + _chunks(40, _TALK)
 
+#: CTEs up to bm25(query_id, doc_id, score): all turns against the user's turns of every hundredth conversation.
+_BM25 = f"""d AS MATERIALIZED (SELECT conv_id * 100000 + turn AS doc_id, conv_id, role, {_TERMS.format("text")} AS l FROM conversations),
+facts AS (SELECT count(*) AS n, avg(len(l)) AS mean FROM d),
+tf AS MATERIALIZED (SELECT doc_id, len(l) AS length, term, count(*) AS tf FROM (SELECT doc_id, l, unnest(l) AS term FROM d) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + ((SELECT n FROM facts) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
+asks AS (SELECT DISTINCT doc_id AS query_id, term FROM tf JOIN d USING (doc_id) WHERE conv_id % 100 = 0 AND role = 'user'),
+bm25 AS (SELECT query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT mean FROM facts)))) AS score FROM asks JOIN tf USING (term) JOIN idf USING (term) GROUP BY ALL)"""
+
+
+def _best(scores: str, n: int, key: str = "doc_id") -> str:
+    """The n best rows of each query by score, ties to the smaller key, with rk."""
+    return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {key}) AS rk, {key}, score FROM {scores} QUALIFY rk <= {n}"
+
 
 def _roundtrip() -> str:
     text = _STRIP.format("text")
@@ -153,6 +184,14 @@ SQL = {
     "replay_roles": f"SELECT conv_id, role, count(*) AS n_turns FROM ({_INGESTED}) GROUP BY ALL",
     "recent_window_4": _window("4"),
     "recent_window_all": _window("UNBOUNDED"),
+    "english_segments": f"SELECT conv_id, turn, (i - 1)::INTEGER AS pos, l[i] AS sentence FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, {_english('text')} AS l FROM conversations))",
+    "english_chunks": f"WITH RECURSIVE {_chunks(40, _TALK, _english('text'))} SELECT conv_id, turn, pos, text, start_char, end_char, token_count FROM chunks",
+    "hybrid_candidates": f"""WITH {_BM25},
+v AS MATERIALIZED (SELECT doc_id, conv_id, role, [len(list_filter(p, lambda x: x = i))::DOUBLE FOR i IN range(64)] AS e FROM (SELECT doc_id, conv_id, role, list_transform(l, lambda t: ('0x' || substr(md5(t), 1, 6))::BIGINT % 64) AS p FROM d)),
+near AS (SELECT q.doc_id AS query_id, v.doc_id, CASE WHEN list_sum(q.e) = 0 OR list_sum(v.e) = 0 THEN 0 ELSE list_cosine_similarity(q.e, v.e) END AS score FROM v AS q CROSS JOIN v WHERE q.conv_id % 100 = 0 AND q.role = 'user'),
+one AS ({_best('near', 50)}), two AS ({_best('bm25', 50)})
+SELECT query_id, doc_id, one.rk::INTEGER AS dense_rk, round(one.score, 6) AS dense_score, two.rk::INTEGER AS term_rk, round(two.score, 6) AS term_score FROM one FULL JOIN two USING (query_id, doc_id)""",
+    "bm25_topk": f"WITH {_BM25} SELECT query_id, rk::INTEGER AS rk, doc_id, round(score, 6) AS score FROM ({_best('bm25', 10)})",
     "prior_retrieval": f"WITH {_HITS} SELECT conv_id, turn, rk::INTEGER AS rk, m_turn, round(score, 6) AS score FROM hits",
     "build_prompt": f"""WITH {_HITS},
 found AS (SELECT h.conv_id, h.turn, string_agg('[Memory ' || rk || ']: ' || c.text, chr(10) ORDER BY rk) AS memory FROM hits h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn = h.m_turn GROUP BY ALL),

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import text as text_
 from turnlake.functions import vectors
-from turnlake.functions.text import sentences, token_count
+from turnlake.functions.sentences import english_sentences
+from turnlake.functions.text import sentences, terms, token_count
 from turnlake.operators import chunking, judging, metrics, prompting, replay, retrieval
 from turnlake.operators.inverted_file import InvertedFile
+from turnlake.operators.term_index import TermIndex, hybrid
 from turnlake.plans import evaluation
 from turnlake.schemas import ROLES, ChunkerConfig
 from turnlake.sources import shared, store, transcripts
@@ -76,6 +78,16 @@ def sentence_split(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+def english_segments(spark, sf_dir):
+    """English sentences of every turn: abbreviations, initials, numbers, quotes and lists do not end them."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(english_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def english_chunks(spark, sf_dir):
+    chunks = chunking.chunk(_turns(spark, sf_dir), ChunkerConfig(10, SMALL), splitter=english_sentences)
+    return chunks.select("conv_id", "turn", "pos", "text", "start_char", "end_char", "token_count")
+
+
 def chunk_hardsplit(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(chunking.hard_split(F.col("text"), F.lit(TINY))).alias("pos", "piece"))
 
@@ -181,6 +193,33 @@ def prior_retrieval(spark, sf_dir):
     return hits.select("conv_id", "turn", "rk", "m_turn", F.round("score", 6).alias("score"))
 
 
+def _numbered(spark, sf_dir):
+    """Every turn with a number of its own."""
+    return _turns(spark, sf_dir).select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "conv_id", "role", "text")
+
+
+def _term_hits(spark, sf_dir, k):
+    """BM25 over all turns, asked with the user's turns of every hundredth conversation."""
+    turns = _numbered(spark, sf_dir)
+    index = TermIndex.build(turns, shared.folder(spark, "terms"))
+    return index, turns.where("conv_id % 100 = 0 AND role = 'user'").withColumnRenamed("doc_id", "query_id")
+
+
+def bm25_topk(spark, sf_dir):
+    index, asked = _term_hits(spark, sf_dir, 10)
+    return index.search(asked, 10).select("query_id", "rk", "doc_id", F.round("score", 6).alias("score"))
+
+
+def hybrid_candidates(spark, sf_dir):
+    """Fifty nearest turns by hashed vectors and fifty best by BM25, united: what a reranker gets."""
+    index, asked = _term_hits(spark, sf_dir, 50)
+    vector = vectors.hashed(F.coalesce(terms(F.col("text")), F.array().cast("array<string>"))).alias("embedding")
+    rows = shared.written(_numbered(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "conv_id", "role", vector))
+    near = retrieval.top_k(rows.where("conv_id % 100 = 0 AND role = 'user'"), rows, 50).withColumnRenamed("vec_id", "doc_id")
+    found = hybrid(near, index.search(asked, 50))
+    return found.select("query_id", "doc_id", "dense_rk", F.round("dense_score", 6).alias("dense_score"), "term_rk", F.round("term_score", 6).alias("term_score"))
+
+
 def build_prompt(spark, sf_dir):
     turns = _turns(spark, sf_dir)
     asked = replay.scored_turns(turns)
@@ -310,8 +349,8 @@ def role_adjacency(spark, sf_dir):
 
 
 def queries() -> dict:
-    plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
-    plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, ann_topk, ann_upkeep, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, build_prompt, judge_parse, conversation_scores, run_metrics)
+    plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, english_segments, english_chunks, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
+    plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, ann_topk, ann_upkeep, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, bm25_topk, hybrid_candidates, build_prompt, judge_parse, conversation_scores, run_metrics)
     plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
     found = {f.__name__: f for f in plain}
     return found | {"parse_txt_roundtrip": _roundtrip(False), "parse_md_roundtrip": _roundtrip(True), "recent_window_4": _window(4), "recent_window_all": _window(0)}

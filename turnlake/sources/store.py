@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.schemas import CHUNKS, ROLES, TURNS
+from turnlake.sources.keys import Keys
 from turnlake.sources.shared import exists, written
 
-#: Buckets of stored keys: an append reads those that its own keys fall into.
-BUCKETS = 64
-
 
 def turn_id(conv_id: Column, turn: Column) -> Column:
     """A turn's own number: the same input gets the same one, so a repeated append can be seen."""
@@ -43,23 +41,13 @@ class Store:
             # an empty part makes the table readable before its first row
             spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}")
             if not exists(spark, f"{self.path}/{name}_keys"):
-                self._write_keys(self._table(name, schema), name, key)
+                self._keys(name, key).add(self._table(name, schema))
 
     def _table(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
 
-    @staticmethod
-    def _bucket(key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-    def _write_keys(self, rows: DataFrame, name: str, key: str) -> None:
-        rows.select(key, self._bucket(key)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}_keys")
-
-    def _keys(self, buckets: DataFrame, name: str, key: str) -> DataFrame:
-        """The stored keys of these buckets."""
-        found = [r[0] for r in buckets.select("bucket").distinct().collect()]  # at most BUCKETS
-        stored = self.spark.read.schema(f"{key} string, bucket int").parquet(f"{self.path}/{name}_keys")
-        return stored.where(F.col("bucket").isin(found)).select(key)
+    def _keys(self, name: str, key: str) -> Keys:
+        return Keys(self.spark, f"{self.path}/{name}_keys", key)
 
     @property
     def turns(self) -> DataFrame:
@@ -79,15 +67,16 @@ class Store:
     def append_chunks(self, chunks: DataFrame) -> DataFrame:
         """Appends chunks that are not there yet and whose turn is; returns them."""
         chunks = written(chunks.select(*CHUNKS.fieldNames()))
-        return self._append(referenced(chunks, self._keys(chunks.select(self._bucket("turn_id")), "turns", "turn_id"))[0], "chunks", "chunk_id", CHUNKS)
+        turns = self._keys("turns", "turn_id").near(chunks)
+        return self._append(referenced(chunks, turns)[0], "chunks", "chunk_id", CHUNKS)
 
     def _append(self, rows: DataFrame, name: str, key: str, schema) -> DataFrame:
         rows = written(rows.dropDuplicates([key]).select(*schema.fieldNames()))
-        fresh = rows.join(self._keys(rows.select(self._bucket(key)), name, key), key, "left_anti").select(*schema.fieldNames())
+        keys = self._keys(name, key)
         path = f"{self.path}/{name}/batch-{uuid.uuid4().hex}"
-        fresh.write.parquet(path)
+        keys.fresh(rows).select(*schema.fieldNames()).write.parquet(path)
         added = self.spark.read.schema(schema).parquet(path)
-        self._write_keys(added, name, key)
+        keys.add(added)
         return added
 
     def sql(self, text: str, **args) -> DataFrame:
