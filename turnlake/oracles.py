@@ -83,6 +83,42 @@ def _best(scores: str, n: int, key: str = "doc_id") -> str:
     """The n best rows of each query by score, ties to the smaller key, with rk."""
     return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {key}) AS rk, {key}, score FROM {scores} QUALIFY rk <= {n}"
 
+#: CTEs up to v: every operation with ord, item and verdict, by running windows; ok: the accepted ones.
+_OPS = """p AS (SELECT conv_id, turn, text, length(coalesce(text, '')) AS z FROM conversations),
+q AS (SELECT conv_id, turn, text, 0 AS seq, (z + turn) % 10 AS pick, (z + turn * 5) % 6 AS m FROM p UNION ALL SELECT conv_id, turn, text, 1, (z * 7 + turn * 3) % 10, (z * 3 + turn) % 6 FROM p),
+r AS (SELECT *, CASE WHEN pick < 4 THEN 'create' WHEN pick < 6 THEN 'update' WHEN pick < 8 THEN 'supersede' WHEN pick < 9 THEN 'pin' ELSE 'delete' END AS op FROM q),
+o AS (SELECT conv_id, turn, seq::BIGINT AS seq, turn * 2 + seq AS ord, op, m::BIGINT AS item, CASE WHEN op <> 'supersede' THEN m WHEN turn % 6 = 5 THEN 6 ELSE (m + 1 + turn % 3) % 6 END::BIGINT AS mem_id, concat_ws(':', turn, seq, left(text, 20)) AS content,
+  CASE WHEN op = 'pin' THEN CASE WHEN turn % 2 = 0 THEN 'user_pinned' ELSE 'none' END END AS pin, turn % 10 <> 9 AND coalesce(left(text, 20), '') <> '' AS sourced FROM r),
+c AS (SELECT conv_id, item, min(ord) AS created FROM o WHERE op = 'create' AND sourced GROUP BY ALL),
+g AS (SELECT o.*, c.created, sourced AND NOT (op = 'supersede' AND mem_id = o.item) AS fair, op <> 'supersede' OR coalesce(s.created < ord, false) AS sound, coalesce(c.created < ord, false) AS there
+  FROM o LEFT JOIN c ON c.conv_id = o.conv_id AND c.item = o.item LEFT JOIN c AS s ON s.conv_id = o.conv_id AND s.item = o.mem_id),
+w AS (SELECT *, coalesce(max(CASE WHEN fair AND there AND sound AND op IN ('supersede', 'delete') THEN 1 END) OVER b, 0) AS over_, coalesce(max(CASE WHEN fair AND there AND op = 'delete' THEN 1 END) OVER b, 0) AS gone
+  FROM g WINDOW b AS (PARTITION BY conv_id, item ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS MATERIALIZED (SELECT *, CASE WHEN NOT sourced THEN 'no provenance' WHEN NOT fair THEN 'supersedes itself' WHEN op = 'create' THEN CASE WHEN ord = created THEN 'ok' ELSE 'exists' END WHEN NOT there THEN 'no such item' WHEN NOT sound THEN 'no such successor'
+  WHEN op = 'delete' AND gone = 1 OR op <> 'delete' AND over_ = 1 THEN 'has ended' ELSE 'ok' END AS verdict FROM w),
+ok AS (SELECT * FROM v WHERE verdict = 'ok')"""
+
+
+def _greedy(source: str, budget: int, out: str) -> str:
+    """CTEs up to out(conv_id, turn, used, kept): items(conv_id, turn, i, n) of source tried one by one; kept: the places taken."""
+    return f"""{out}_items AS MATERIALIZED ({source}),
+{out}_fold AS (SELECT conv_id, turn, 0::BIGINT AS i, 0::BIGINT AS used, []::BIGINT[] AS kept FROM {out}_items GROUP BY ALL UNION ALL
+  SELECT f.conv_id, f.turn, x.i, CASE WHEN used + n <= {budget} THEN used + n ELSE used END, CASE WHEN used + n <= {budget} THEN list_append(kept, x.i) ELSE kept END FROM {out}_fold AS f JOIN {out}_items AS x ON x.conv_id = f.conv_id AND x.turn = f.turn AND x.i = f.i + 1),
+{out} AS (SELECT conv_id, turn, max(used) AS used, arg_max(kept, i) AS kept FROM {out}_fold GROUP BY ALL)"""
+
+
+def _context() -> str:
+    tokens = _TOKENS.format("text")
+    header = f"SELECT h.conv_id, h.turn, h.rk AS i, {tokens} AS n, text FROM found AS h JOIN conversations AS t ON t.conv_id = h.conv_id AND t.turn = h.m_turn"
+    recent = f"SELECT s.conv_id, s.turn, row_number() OVER (PARTITION BY s.conv_id, s.turn ORDER BY t.turn DESC) AS i, {tokens} AS n, text FROM asked AS s JOIN conversations AS t ON t.conv_id = s.conv_id AND t.turn < s.turn QUALIFY i <= 8"
+    cut = _SENTENCES.format("t.text")
+    snippets = f"SELECT conv_id, turn, i, {_TOKENS.format('l[i]')} AS n, l[i] AS text FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT h.conv_id, h.turn, {cut} AS l FROM found AS h JOIN conversations AS t ON t.conv_id = h.conv_id AND t.turn = h.m_turn WHERE h.rk = 1))"
+    text = lambda name, order: f"md5(coalesce((SELECT string_agg(x.text, '|' ORDER BY x.i {order}) FROM {name}_items AS x WHERE x.conv_id = s.conv_id AND x.turn = s.turn AND list_contains({name}.kept, x.i)), ''))"
+    return f"""WITH RECURSIVE {_HITS}, found AS (SELECT * FROM ranked WHERE rk <= 5),
+{_greedy(header, 60, "header")}, {_greedy(recent, 90, "recent")}, {_greedy(snippets, 15, "snippets")}
+SELECT s.conv_id, s.turn, coalesce(header.used, 0) AS header_tokens, coalesce(recent.used, 0) AS recent_tokens, coalesce(snippets.used, 0) AS snippets_tokens, {text("header", "")} AS header_md5, {text("recent", "DESC")} AS recent_md5, {text("snippets", "")} AS snippets_md5
+FROM asked AS s LEFT JOIN header USING (conv_id, turn) LEFT JOIN recent USING (conv_id, turn) LEFT JOIN snippets USING (conv_id, turn)"""
+
 
 def _roundtrip() -> str:
     text = _STRIP.format("text")
@@ -191,6 +227,20 @@ v AS MATERIALIZED (SELECT doc_id, conv_id, role, [len(list_filter(p, lambda x: x
 near AS (SELECT q.doc_id AS query_id, v.doc_id, CASE WHEN list_sum(q.e) = 0 OR list_sum(v.e) = 0 THEN 0 ELSE list_cosine_similarity(q.e, v.e) END AS score FROM v AS q CROSS JOIN v WHERE q.conv_id % 100 = 0 AND q.role = 'user'),
 one AS ({_best('near', 50)}), two AS ({_best('bm25', 50)})
 SELECT query_id, doc_id, one.rk::INTEGER AS dense_rk, round(one.score, 6) AS dense_score, two.rk::INTEGER AS term_rk, round(two.score, 6) AS term_score FROM one FULL JOIN two USING (query_id, doc_id)""",
+    "memory_verdicts": f"WITH {_OPS} SELECT conv_id, turn, seq, op, item, verdict FROM v",
+    "memory_state": f"""WITH RECURSIVE {_OPS},
+items AS MATERIALIZED (SELECT conv_id, item AS mem_id, 'Decision' AS kind, arg_max(content, ord) FILTER (op IN ('create', 'update')) AS content, arg_max(pin, ord) FILTER (op = 'pin') AS pin,
+  CASE WHEN bool_or(op = 'delete') THEN 'deleted' WHEN bool_or(op = 'supersede') THEN 'superseded' ELSE 'active' END AS status, min(turn) AS created_at, max(turn) AS changed_at, arg_max(mem_id, ord) FILTER (op = 'supersede') AS successor, count(*) AS version FROM ok GROUP BY ALL),
+walk AS (SELECT conv_id, mem_id, mem_id AS here, successor AS next, 0 AS step FROM items UNION ALL SELECT walk.conv_id, walk.mem_id, items.mem_id, items.successor, step + 1 FROM walk JOIN items ON items.conv_id = walk.conv_id AND items.mem_id = walk.next WHERE step < 20),
+ends AS (SELECT conv_id, mem_id, coalesce(min(here) FILTER (next IS NULL), min(here) FILTER (step > 10)) AS head FROM walk GROUP BY ALL)
+SELECT items.*, head FROM items JOIN ends USING (conv_id, mem_id)""",
+    "memory_as_of": f"""WITH {_OPS},
+s AS (SELECT t.conv_id, t.turn, ok.item, CASE WHEN bool_or(op = 'delete') THEN 'deleted' WHEN bool_or(op = 'supersede') THEN 'superseded' ELSE 'active' END AS status, arg_max(pin, ord) FILTER (op = 'pin') AS pin FROM conversations AS t JOIN ok ON ok.conv_id = t.conv_id AND ok.turn <= t.turn GROUP BY ALL)
+SELECT conv_id, turn, count(*) FILTER (status = 'active') AS n_active, count(*) FILTER (status = 'superseded') AS n_superseded, count(*) FILTER (status = 'deleted') AS n_deleted, count(*) FILTER (status = 'active' AND pin = 'user_pinned') AS n_pinned FROM s GROUP BY ALL""",
+    "memory_quotes": """WITH x AS (SELECT conv_id, turn, text, trim(substr(text, 11, 30), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM conversations),
+y AS (SELECT *, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, regexp_extract(text, '(?i)' || regexp_replace(regexp_replace(said, '([^\\p{L}\\p{N}\\s])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g')) AS hit FROM x)
+SELECT conv_id, turn, altered, CASE WHEN NOT altered AND said <> '' THEN (instr(text, hit) - 1)::INTEGER END AS first, CASE WHEN NOT altered AND said <> '' THEN (instr(text, hit) - 1 + length(hit))::INTEGER END AS last FROM y CROSS JOIN (SELECT unnest([false, true]) AS altered) a""",
+    "context_packing": _context(),
     "bm25_topk": f"WITH {_BM25} SELECT query_id, rk::INTEGER AS rk, doc_id, round(score, 6) AS score FROM ({_best('bm25', 10)})",
     "prior_retrieval": f"WITH {_HITS} SELECT conv_id, turn, rk::INTEGER AS rk, m_turn, round(score, 6) AS score FROM hits",
     "build_prompt": f"""WITH {_HITS},

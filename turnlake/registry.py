@@ -10,7 +10,7 @@ from turnlake.functions import text as text_
 from turnlake.functions import vectors
 from turnlake.functions.sentences import english_sentences
 from turnlake.functions.text import sentences, terms, token_count
-from turnlake.operators import chunking, judging, metrics, prompting, replay, retrieval
+from turnlake.operators import chunking, judging, memory_ops, metrics, packing, prompting, replay, retrieval
 from turnlake.operators.inverted_file import InvertedFile
 from turnlake.operators.term_index import TermIndex, hybrid
 from turnlake.plans import evaluation
@@ -232,6 +232,68 @@ def build_prompt(spark, sf_dir):
     return messages.select("conv_id", "turn", F.size("m").cast("long").alias("n_messages"), joined.alias("prompt"))
 
 
+def _operations(turns):
+    """Two operations on memory items for each turn, of all kinds, made of the turns; every tenth turn's quote is missing."""
+    size, turn = F.length(F.coalesce("text", F.lit(""))), F.col("turn")
+    picks = F.array(*(F.struct(F.lit(seq).alias("seq"), pick.alias("pick"), item.alias("mem_id")) for seq, pick, item in ((0, (size + turn) % 10, (size + turn * 5) % 6), (1, (size * 7 + turn * 3) % 10, (size * 3 + turn) % 6))))
+    rows = turns.select(F.col("conv_id").alias("scope"), turn.alias("at"), "text", F.explode(picks).alias("p")).select("scope", "at", "text", "p.*")
+    op = F.when(F.col("pick") < 4, "create").when(F.col("pick") < 6, "update").when(F.col("pick") < 8, "supersede").when(F.col("pick") < 9, "pin").otherwise("delete")
+    # a sixth of the successors are one that no conversation has
+    successor = F.when(F.col("at") % 6 == 5, F.lit(6)).otherwise((F.col("mem_id") + 1 + F.col("at") % 3) % 6)
+    return rows.select(
+        "scope", "at", F.col("seq").cast("long").alias("seq"), op.alias("op"), F.when(op == "supersede", successor).otherwise(F.col("mem_id")).cast("long").alias("mem_id"),
+        F.lit("Decision").alias("kind"), F.concat_ws(":", F.col("at"), F.col("seq"), F.substring("text", 1, 20)).alias("content"), F.when(op == "pin", F.when(F.col("at") % 2 == 0, "user_pinned").otherwise("none")).alias("pin"),
+        F.when(op == "supersede", F.col("mem_id")).cast("long").alias("old"), F.array("at").alias("turn_ids"), F.when(F.col("at") % 10 != 9, F.substring("text", 1, 20)).alias("quote"),
+    )
+
+
+def memory_verdicts(spark, sf_dir):
+    """What becomes of each operation: ok, or why it is refused."""
+    return memory_ops.judged(_operations(_turns(spark, sf_dir))).select(F.col("scope").alias("conv_id"), F.col("at").alias("turn"), "seq", "op", "item", "verdict")
+
+
+def memory_state(spark, sf_dir):
+    """Every memory item as the whole log leaves it, with the end of its chain of supersession."""
+    items = memory_ops.heads(memory_ops.state(memory_ops.judged(_operations(_turns(spark, sf_dir)))))
+    return items.withColumnRenamed("scope", "conv_id")
+
+
+def memory_as_of(spark, sf_dir):
+    """For every turn how many items were active, pinned, superseded and deleted right after it."""
+    turns = _turns(spark, sf_dir)
+    held = shared.written(memory_ops.versions(memory_ops.judged(_operations(turns))))
+    rows = memory_ops.as_of(held, turns.select(F.col("conv_id").alias("scope"), F.col("turn").alias("at")))
+    counts = [F.count_if(F.col("status") == x).alias(f"n_{x}") for x in ("active", "superseded", "deleted")]
+    return rows.groupBy(F.col("scope").alias("conv_id"), F.col("at").alias("turn")).agg(*counts, F.count_if((F.col("status") == "active") & (F.col("pin") == "user_pinned")).alias("n_pinned"))
+
+
+def memory_quotes(spark, sf_dir):
+    """Where a quote with other capitals and blanks than the text stands in its turn, and one that stands nowhere."""
+    turns = _turns(spark, sf_dir).withColumnRenamed("conv_id", "scope")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    said = F.regexp_replace(F.translate(F.substring("text", 11, 30), letters, letters.upper()), " ", " \n ")
+    log = turns.select("scope", F.array("turn").alias("turn_ids"), F.explode(F.array(said, F.concat(said, F.lit("#")))).alias("quote"), F.col("turn").alias("at"))
+    return memory_ops.quoted(log, turns).select(F.col("scope").alias("conv_id"), F.col("at").alias("turn"), F.col("quote").endswith("#").alias("altered"), "first", "last")
+
+
+def context_packing(spark, sf_dir):
+    """Each scored turn's prompt under small budgets: its hits as header, the turns before it, the sentences of its best hit."""
+    turns = _turns(spark, sf_dir)
+    asked = replay.scored_turns(turns)
+    item = lambda x: F.struct(token_count(x).alias("n"), x.alias("text"))
+    texts = turns.select("conv_id", F.col("turn").alias("m_turn"), F.col("text").alias("hit"))
+    hits = replay.prior_retrieval(asked, replay.ingested(turns), 5).join(texts, ["conv_id", "m_turn"])
+    found = hits.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "hit"))), lambda x: x["hit"]).alias("hits"))
+    rows = asked.select("conv_id", "turn").join(found, ["conv_id", "turn"], "left").join(replay.recent_window(turns, 8), ["conv_id", "turn"])
+    best = sentences(F.get("hits", 0))
+    packed = packing.context(F.transform("hits", item), F.transform("recent", lambda r: item(r["text"])), F.transform(best, item), packing.Budgets(90, 60, 15))
+    rows = rows.select("conv_id", "turn", packed.alias("c"))
+    parts = ("header", "recent", "snippets")
+    size = lambda p: F.coalesce(packing.tokens(F.col(f"c.{p}")), F.lit(0))
+    text = lambda p: F.coalesce(F.md5(F.array_join(F.transform(F.col(f"c.{p}"), lambda x: x["text"]), "|")), F.md5(F.lit("")))
+    return rows.select("conv_id", "turn", *(size(p).alias(f"{p}_tokens") for p in parts), *(text(p).alias(f"{p}_md5") for p in parts))
+
+
 def _answers(turns):
     """Judges' answers of all kinds, made of the turns."""
     kind = F.col("turn") % 6
@@ -351,7 +413,7 @@ def role_adjacency(spark, sf_dir):
 def queries() -> dict:
     plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, english_segments, english_chunks, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
     plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, ann_topk, ann_upkeep, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, bm25_topk, hybrid_candidates, build_prompt, judge_parse, conversation_scores, run_metrics)
-    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
+    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, memory_verdicts, memory_state, memory_as_of, memory_quotes, context_packing, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
     found = {f.__name__: f for f in plain}
     return found | {"parse_txt_roundtrip": _roundtrip(False), "parse_md_roundtrip": _roundtrip(True), "recent_window_4": _window(4), "recent_window_all": _window(0)}
 
