@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,18 +61,30 @@ def test_hits_are_those_of_all_rows(spark, texts, tmp_path, monkeypatch):
     index = TermIndex.build(spark.createDataFrame(list(texts.items()), SCHEMA), str(tmp_path / "i"))
     want = brute(texts, asked, 10, index.mean)
     assert same(hits(index, spark, asked, 10), want)
-    monkeypatch.setattr(term_index, "FIRST", 5)  # fewer postings before there is a floor
+    monkeypatch.setattr(term_index, "SLICE", 7)
     monkeypatch.setattr(term_index, "FEW_ROWS", 0)  # joins that shuffle
     monkeypatch.setattr(term_index, "FEW_TERMS", 0)
     assert same(hits(index, spark, asked, 3), {q: rows[:3] for q, rows in want.items()})
 
 
+@pytest.mark.parametrize("block", [100, 13])
+def test_blocks_do_not_matter(spark, texts, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(term_index, "BLOCK", block)
+    index = TermIndex.build(spark.createDataFrame(list(texts.items()), SCHEMA), str(tmp_path / "i"))
+    asked = {q: texts[q * 13] for q in range(30)} | {100: "the", 101: "same w5"}
+    assert same(hits(index, spark, asked, 10), brute(texts, asked, 10, index.mean))
+
+
 def test_common_terms_are_hardly_read(spark, texts, tmp_path):
     index = TermIndex.build(spark.createDataFrame(list(texts.items()), SCHEMA), str(tmp_path / "i"))
-    asked = spark.createDataFrame([(1, "the w150 w250"), (2, "the w5 w77")], "query_id long, text string")
-    read = {(r["query_id"], r["term"]): r for r in index.reads(asked, 10).collect()}
-    assert read[1, "the"]["df"] == 1350 and read[1, "the"]["read"] == read[2, "the"]["read"] == 0
-    assert all(read[at]["read"] > 0 for at in ((1, "w150"), (1, "w250")))
+    asked = spark.createDataFrame([(1, "the w150 w250"), (2, "w150 w250"), (3, "the")], "query_id long, text string")
+    read = {r["query_id"]: r["n_read"] for r in index.reads(asked, 3).collect()}
+    rare = sum(bool({"w150", "w250"} & set(t.split())) for t in texts.values())
+    assert read[3] > 800 and read[2] <= 2 * rare and read[1] <= 900 + 3 * rare
+    lists = [(9.0, np.arange(5), np.full(5, 9.0)), (0.1, np.arange(10_000), np.full(10_000, 0.1))]
+    places, scores, n = term_index.best(lists, 10_000, 3, 5.0)
+    assert places.tolist() == [0, 1, 2] and scores.tolist() == [9.1] * 3 and n == 10
+    assert term_index.best(lists, 10_000, 3, 9.5)[2] == 0  # the block is skipped
 
 
 def test_added_rows_count_at_once(spark, texts, tmp_path):

@@ -1,36 +1,37 @@
-"""BM25 over a stored inverted index whose postings lie in blocks with bounds.
+"""BM25 over a stored inverted index in blocks of texts, with a bound for each term of a block.
 
-A posting's weight is what BM25 gives it without the term's rarity. The postings of
-a term are dealt into at most LEVELS blocks by their weight, the heaviest first, and
-for each block its size and its greatest and least weight are stored. These bounds
-decide what a query reads:
+Texts are dealt into blocks of bounded size by their hash. A block holds one row for
+each of its terms: which texts have it, with what weight (what BM25 gives without
+the term's rarity), and the greatest of these weights. A block's queries are
+answered from its rows alone:
 
-1. As many of its rarest terms as hold FIRST postings together are read whole. The
-   kth best of the sums, or the kth heaviest posting of some term as the blocks'
-   bounds tell it, is a score that k rows reach: the floor.
+1. A block in which the greatest weights of a query's terms do not add up to the
+   query's floor is skipped. The floor is a score that k texts are known to reach:
+   the kth best of the first block, then what the block itself has shown.
 2. Terms that cannot reach the floor together, the lightest first, are not read: a
-   row that has none of the others is no hit. Of the others those blocks are read
-   from which a row can reach the floor with the best that all other terms could add.
-3. Rows whose sum, with the best that unread blocks could add, reaches the floor are
-   scored exactly by their own terms.
+   text without any of the others is no hit. Of the others all texts are added up.
+3. What may still reach the floor is looked up in the lists of the lightest terms.
 
 So the result is that of scoring all rows, while a term that all rows have costs
-its query nearly nothing.
+hardly anything beside rarer ones. What leaves a block are its k best texts for each
+query; blocks and slices of queries are the tasks, so no term is ever one task.
 
-Rows of a batch with the same text are one text: it has one posting for each of its
-terms, which counts as many times, and its rows are looked up when it is a hit.
+Rows of a batch with the same text are one text, which counts as many times and
+whose rows are looked up when it is a hit.
 
 What is stored below a folder: ``facts`` (the mean length), ``base`` and
-``delta/batch=...``, each with rows, texts, postings and blocks, and the keys by
-hash. add() writes a batch of its own; numbers of rows and the rarity of terms are
-those of all batches at once, the mean length is that of the last build(), so that
-the bounds of stored blocks hold.
+``delta/batch=...``, each with rows, texts and postings, and the keys by hash.
+add() writes a batch of its own; numbers of rows and the rarity of terms are those
+of all batches at once, the mean length is that of the last build(), so that stored
+weights hold.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,12 +42,12 @@ from turnlake.sources.shared import children, delete, exists, written
 
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Blocks of a term at most, and postings that a query may read before it has a floor.
-LEVELS, FIRST = 32, 1000
+#: Texts of a block (expected number) and queries of a slice, what a task holds at once.
+BLOCK, SLICE = 16_384, 512
 #: Rows that may be broadcast, and terms that may be looked up in the files' statistics.
 FEW_ROWS, FEW_TERMS = 100_000, 1000
-#: What sums of doubles may be off by.
-SLACK = 1e-8
+#: What sums of doubles may be off by; scores are compared when rounded to so many digits.
+SLACK, DIGITS = 1e-8, 9
 
 
 def weight(tf: Column, length: Column, mean: float) -> Column:
@@ -62,6 +63,32 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
 
 
+def best(lists: list[tuple[float, np.ndarray, np.ndarray]], n: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places and rounded scores of the k best of n texts, how many postings were read) for a query whose terms have (greatest gain, places, gains) here; below the floor nothing is looked for."""
+    lists = sorted(lists, key=lambda x: x[0])
+    reach = np.cumsum([most for most, _, _ in lists])
+    none = np.zeros(0, np.int64)
+    if not lists or reach[-1] < floor - SLACK:
+        return none, np.zeros(0), 0
+    light = int(np.searchsorted(reach, floor - SLACK))
+    scores, read = np.zeros(n), 0
+    for _, places, gains in lists[light:]:
+        scores[places] += gains
+        read += len(places)
+    # the texts found so far may raise the floor before the light terms are looked up
+    if light and np.count_nonzero(scores) >= k:
+        floor = max(floor, float(np.partition(scores, -k)[-k]))
+    near = np.flatnonzero((scores > 0) & (scores + (reach[light - 1] if light else 0.0) >= floor - SLACK))
+    for _, places, gains in lists[:light]:
+        at = np.minimum(np.searchsorted(places, near), len(places) - 1)
+        met = places[at] == near
+        scores[near[met]] += gains[at[met]]
+        read += int(met.sum())
+    found = np.round(scores[near], DIGITS)
+    order = np.lexsort((near, -found))[:k]
+    return near[order], found[order], read
+
+
 class TermIndex:
     """The index below a folder; key names the column of numbers, of any type that can be sorted."""
 
@@ -78,38 +105,45 @@ class TermIndex:
         """An index of texts (key, text; null keys take no part, of rows with one key one) in place of an older one."""
         spark, path = texts.sparkSession, path.rstrip("/")
         delete(spark, path)
-        rows, held = cls._texts(texts, key, "base")
+        rows, held = cls._texts(texts, key)
         mean = held.agg((F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("mean")).first()["mean"]
         spark.createDataFrame([(max(mean or 1.0, 1e-9),)], "mean double").coalesce(1).write.parquet(f"{path}/facts")
         index = cls(spark, path, key)
-        index._write(rows, held, f"{path}/base")
+        index._write(rows, held, "base")
         index._keys.add(rows)
         return index
 
     @staticmethod
-    def _texts(texts: DataFrame, key: str, batch: str) -> tuple[DataFrame, DataFrame]:
+    def _texts(texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """(key and id of the row's text; id, the text's first key, n rows that have it, its tally and length), both written tables."""
         rows = texts.where(F.col(key).isNotNull()).select(key, F.coalesce("text", F.lit("")).alias("text")).dropDuplicates([key])
-        rows = written(rows.withColumn("id", F.unhex(F.substring(F.sha2(F.concat(F.lit(batch + "|"), "text"), 256), 1, 32))))
+        rows = written(rows.withColumn("id", F.unhex(F.substring(F.sha2("text", 256), 1, 32))))
         held = rows.groupBy("id").agg(F.min(key).alias("first"), F.count("*").alias("n"), F.first("text").alias("text"))
         held = held.select("id", "first", "n", term_tally(F.col("text")).alias("tally"))
         return rows.select(key, "id"), written(held.withColumn("length", F.aggregate("tally", F.lit(0), lambda n, x: n + x["tf"])))
 
-    def _write(self, rows: DataFrame, held: DataFrame, path: str) -> None:
+    def _write(self, rows: DataFrame, held: DataFrame, batch: str) -> None:
+        path = self._path(batch)
+        blocks = max(1, -(-held.count() // BLOCK))
+        # in the order of their first keys, so that of equal scores the first places count
+        place = (F.row_number().over(W.partitionBy("block").orderBy("first")) - 1).cast("int")
+        name = F.concat(F.lit(f"{batch}-"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("string"))
+        held = written(held.withColumn("block", name).withColumn("place", place))
+        weights = held.select("block", "place", "n", "length", F.explode("tally").alias("x"))
+        weights = weights.select("block", "place", "n", F.col("x.term").alias("term"), weight(F.col("x.tf"), F.col("length"), self.mean).alias("w"))
+        lists = weights.groupBy("block", "term").agg(F.sum("n").alias("n"), F.max("w").alias("top"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("held"))
+        lists = lists.select("block", "term", "n", "top", F.col("held.place").alias("places"), F.col("held.w").alias("weights"))
         rows.write.parquet(f"{path}/rows")
-        held.write.parquet(f"{path}/texts")
-        postings = held.select("id", "n", "length", F.explode("tally").alias("x")).select("id", "n", F.col("x.term").alias("term"), weight(F.col("x.tf"), F.col("length"), self.mean).alias("w"))
-        level = F.least(F.lit(LEVELS - 1), F.floor((1 - F.col("w") / (K1 + 1)) * LEVELS)).cast("int")
-        # terms follow one another, and one that very many texts have spans several files
-        postings.withColumn("level", level).repartitionByRange(F.col("term"), F.col("id")).sortWithinPartitions("term", "level").write.parquet(f"{path}/postings")
-        blocks = self.spark.read.parquet(f"{path}/postings").groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("w").alias("top"), F.min("w").alias("low"))
-        blocks.sortWithinPartitions("term").write.parquet(f"{path}/blocks")
+        held.select("block", "place", "id", "first").write.parquet(f"{path}/texts")
+        # terms follow one another, so that files' statistics find them
+        lists.repartitionByRange("term", "block").sortWithinPartitions("term").write.parquet(f"{path}/postings")
 
-    def _parts(self) -> list[str]:
-        return [f"{self.path}/base", *(p for p in children(self.spark, f"{self.path}/delta") if exists(self.spark, f"{p}/blocks/_SUCCESS"))]
+    def _path(self, batch: str) -> str:
+        return f"{self.path}/base" if batch == "base" else f"{self.path}/delta/batch={batch}"
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*(f"{p}/{name}" for p in self._parts()))
+        deltas = [p for p in children(self.spark, f"{self.path}/delta") if exists(self.spark, f"{p}/postings/_SUCCESS")]
+        return self.spark.read.parquet(*(f"{p}/{name}" for p in (f"{self.path}/base", *deltas)))
 
     @property
     def rows(self) -> DataFrame:
@@ -119,78 +153,78 @@ class TermIndex:
     def add(self, texts: DataFrame, batch: str | None = None) -> DataFrame:
         """Indexes the rows that are not there yet and returns them; a batch of the same name is written once."""
         batch = batch or uuid.uuid4().hex
-        path = f"{self.path}/delta/batch={batch}"
-        if not exists(self.spark, f"{path}/blocks/_SUCCESS"):
+        path = self._path(batch)
+        if not exists(self.spark, f"{path}/postings/_SUCCESS"):
             delete(self.spark, path)
             fresh = self._keys.fresh(written(texts.where(F.col(self.key).isNotNull()).select(self.key, "text")))
-            rows, held = self._texts(fresh, self.key, batch)
-            self._write(rows, held, path)
+            rows, held = self._texts(fresh, self.key)
+            self._write(rows, held, batch)
             self._keys.add(rows)
         return self.spark.read.parquet(f"{path}/rows")
 
-    def _asked(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, term, idf, levels (in order), df and sure, a score that k rows reach by this term alone; a written table."""
+    def _found(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, block, place and score of the k best texts of each block, and a row without place with n_read; a written table."""
         own = written(queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")))
-        n = self.rows.count()
-        blocks = self._near(self._table("blocks"), own).join(_few(written(own.select("term").distinct())), "term")
-        blocks = blocks.groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.min("low").alias("low"))
-        found = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.array_sort(F.collect_list(F.struct("level", "n", "top", "low"))).alias("levels"))
-        reach = F.aggregate("levels", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("low")), lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.when(s["n"] < k, x["low"]).otherwise(s["low"]).alias("low")))
-        found = found.withColumn("idf", rarity(F.lit(n), F.col("df"))).withColumn("reach", reach)
-        found = found.withColumn("sure", F.when(F.col("reach.n") >= k, F.col("idf") * F.col("reach.low")).otherwise(0.0)).drop("reach")
-        return written(own.join(_few(written(found)), "term"))
-
-    def _near(self, table: DataFrame, asked: DataFrame) -> DataFrame:
-        """The table's rows of the terms asked for, where these are few enough to be looked up in the files' statistics; else all."""
-        few = asked.select("term").distinct().limit(FEW_TERMS + 1).collect()
-        return table.where(F.col("term").isin([r[0] for r in few])) if len(few) <= FEW_TERMS else table
-
-    def _plan(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, term, idf, floor, until (the last block to read, -1 for none), rest (the most that unread blocks add) and whole_rest, that of all terms; a written table."""
-        asked = self._asked(queries, k)
-        by_df = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, 0)
-        first = asked.withColumn("so_far", F.sum("df").over(by_df)).where(F.col("so_far") <= FIRST).select("query_id", "term", "idf")
-        first = _few(written(first))
-        sums = self._near(self._table("postings"), first).join(first, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("part"))
-        kth = sums.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("part")))).where(F.col("place") == k).select("query_id", F.col("part").alias("kth"))
-        all_ = W.partitionBy("query_id")
-        rows = asked.join(_few(written(kth)), "query_id", "left").withColumn("most", F.col("idf") * F.get("levels", 0)["top"])
-        rows = rows.withColumn("floor", F.greatest(F.coalesce("kth", F.lit(0.0)), F.max("sure").over(all_)) - SLACK).withColumn("total", F.sum("most").over(all_))
-        lighter = F.sum("most").over(all_.orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0))
-        need = F.col("floor") - (F.col("total") - F.col("most")) - SLACK
-        read = F.filter("levels", lambda x: F.col("idf") * x["top"] >= F.col("need"))
-        rows = rows.withColumn("lighter", lighter).withColumn("need", need).withColumn("read", F.when(F.col("lighter") >= F.col("floor"), F.size(read)).otherwise(0))
-        until = F.when(F.col("read") > 0, F.get("levels", F.col("read") - 1)["level"]).otherwise(-1)
-        rest = F.when(F.col("read") < F.size("levels"), F.col("idf") * F.get("levels", F.col("read"))["top"]).otherwise(0.0)
-        read_n = F.aggregate(F.slice("levels", F.lit(1), F.col("read")), F.lit(0).cast("long"), lambda n, x: n + x["n"])
-        rows = rows.select("query_id", "term", "df", "idf", "floor", until.alias("until"), rest.alias("rest"), "read", F.size("levels").alias("blocks"), read_n.alias("n_read"))
-        return written(rows.withColumn("whole_rest", F.sum("rest").over(all_)))
+        wanted = written(own.select("term").distinct())
+        few = wanted.limit(FEW_TERMS + 1).collect()
+        postings = self._table("postings")
+        if len(few) <= FEW_TERMS:
+            postings = postings.where(F.col("term").isin([r[0] for r in few]))
+        postings = postings.join(_few(wanted), "term")
+        dictionary = written(postings.groupBy("term").agg(F.sum("n").alias("df")))
+        n = F.lit(self.rows.count())
+        asked = own.join(_few(dictionary), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", rarity(n, F.col("df")).alias("idf"))).alias("t"))
+        asked = written(asked.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")))
+        slices = max(1, -(-asked.count() // SLICE))
+        blocks = self._table("texts").select("block").distinct()
+        first = blocks.agg(F.min("block")).first()[0]
+        dealt = asked.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
+        lists = postings.select("block", "term", "top", "places", "weights").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        kind = queries.schema["query_id"].dataType.simpleString()
+
+        def answer(lists: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(lists) and len(asked):
+                block = lists["block"].iloc[0]
+                held = {t: (top, p, w) for t, top, p, w in lists[["term", "top", "places", "weights"]].itertuples(index=False)}
+                size = 1 + max(int(p[-1]) for _, p, _ in held.values())
+                for query, words, idfs, floor in asked[["query_id", "terms", "idfs", "floor"]].itertuples(index=False):
+                    mine = [(idf * held[t][0], held[t][1], idf * held[t][2]) for t, idf in sorted(zip(words, idfs, strict=True)) if t in held]
+                    places, scores, read = best(mine, size, k, floor)
+                    out.append(pd.DataFrame({"query_id": query, "block": block, "place": [*places.tolist(), -1], "score": [*scores.tolist(), 0.0], "n_read": [*[0] * len(places), read]}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": asked["query_id"][:0], "block": lists["block"][:0], "place": [], "score": [], "n_read": []})
+
+        def of(lists: DataFrame, dealt: DataFrame) -> DataFrame:
+            groups = [df.groupBy("block", "slice") for df in (lists, dealt)]
+            return written(groups[0].cogroup(groups[1]).applyInPandas(answer, f"query_id {kind}, block string, place int, score double, n_read long"))
+
+        one = of(lists.where(F.col("block") == F.lit(first)), dealt.withColumn("block", F.lit(first)).withColumn("floor", F.lit(0.0)))
+        kth = one.where("place >= 0").groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+        floors = dealt.join(_few(written(kth.select("query_id", F.col("least").alias("floor")))), "query_id", "left").fillna(0.0, ["floor"])
+        # each query goes to each block, as in any search of all rows in blocks
+        rest = _few(written(blocks.where(F.col("block") != F.lit(first))))
+        return one.unionByName(of(lists.where(F.col("block") != F.lit(first)), floors.join(rest)))
 
     def reads(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """query_id, term, df, blocks, read (how many of the term's blocks the query reads) and n_read (how many postings)."""
-        return self._plan(queries, k).select("query_id", "term", "df", "blocks", "read", "n_read")
+        """query_id and n_read, how many postings it read."""
+        return self._found(queries, k).groupBy("query_id").agg(F.sum("n_read").alias("n_read"))
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """query_id, rk (from 1), the key and score of the k best rows for queries (query_id, text); ties go to the smaller key.
 
         Each term of a query counts once; rows without a common term are no hits.
         """
-        key, plan = self.key, self._plan(queries, k)
-        read = _few(written(plan.where("until >= 0").select("query_id", "term", "idf", "until", "rest")))
-        met = self._near(self._table("postings"), read).join(read, "term").where(F.col("level") <= F.col("until"))
-        sums = met.groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("w") - F.col("rest")).alias("part"))
-        floors = _few(written(plan.groupBy("query_id").agg(F.first("floor").alias("floor"), F.first("whole_rest").alias("whole_rest"), F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("asked"))))
-        near = sums.join(floors, "query_id").where(F.col("part") + F.col("whole_rest") >= F.col("floor")).select("query_id", "id")
-        near = _few(written(near))
-        held = self._table("texts").join(near, "id").join(floors.select("query_id", "asked"), "query_id").withColumn("tally", F.map_from_entries("tally"))
-        gain = lambda x: F.coalesce(x["idf"] * weight(F.try_element_at("tally", x["term"]), F.col("length"), self.mean), F.lit(0.0))
-        scored = held.select("query_id", "id", "first", F.aggregate("asked", F.lit(0.0), lambda s, x: s + gain(x)).alias("score"))
-        ranked = lambda by: F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), by))
+        key = self.key
+        met = self._found(queries, k).where("place >= 0").select("query_id", "block", "place", "score")
+        ranked = lambda by: F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), by))
         # the k best texts hold the k best rows, and of a text no more than its k first rows can be among them
-        best = _few(written(scored.withColumn("rk", ranked("first")).where(F.col("rk") <= k).select("query_id", "id", "score")))
-        ids = _few(written(best.select("id").distinct()))
-        rows = self.rows.join(ids, "id").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(key))).where(F.col("place") <= k)
-        return rows.join(best, "id").withColumn("rk", ranked(key)).where(F.col("rk") <= k).select("query_id", "rk", key, "score")
+        best_ = self._table("texts").join(_few(written(met)), ["block", "place"])
+        best_ = _few(written(best_.withColumn("rk", ranked("first")).where(F.col("rk") <= k).select("query_id", "block", "id", "score")))
+        ids = _few(written(best_.select("id").distinct()))
+        # a text may stand in more than one batch: its rows are those of all of them
+        rows = self.rows.join(ids, "id").withColumn("_place", F.row_number().over(W.partitionBy("id").orderBy(key))).where(F.col("_place") <= k)
+        hits = rows.join(best_.groupBy("query_id", "id").agg(F.max("score").alias("score")), "id")
+        return hits.withColumn("rk", ranked(key)).where(F.col("rk") <= k).select("query_id", "rk", key, "score")
 
 
 def hybrid(dense: DataFrame, lexical: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -114,7 +114,7 @@ class Memory:
 
     def term_index(self) -> TermIndex | None:
         """The saved index of terms; None if none was built."""
-        found = exists(self.store.spark, f"{self.store.path}/terms/base/blocks/_SUCCESS")
+        found = exists(self.store.spark, f"{self.store.path}/terms/base/postings/_SUCCESS")
         return TermIndex(self.store.spark, f"{self.store.path}/terms", "chunk_id") if found else None
 
     def _index_path(self) -> str:
