@@ -36,8 +36,8 @@ from .common import drop, small, table, written
 
 #: Cells in a block and queries in a block; what a task holds at once.
 VECTOR_BLOCK, QUERY_BLOCK = 32_768, 8192
-#: Bits of a cell, at most 8.
-BITS = 8
+#: Bits of a cell, at most 8: what is scanned is coarser than the components, of which some 200 values occur.
+BITS = 6
 #: Queries scanned in one step.
 SCAN = 128
 LONG = np.iinfo(np.int64)
