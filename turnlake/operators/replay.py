@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlake.functions.text import terms
+from turnlake.functions.text import term_tally
 from turnlake.functions.vectors import cosine
 
 
@@ -34,8 +34,10 @@ def recent_window(turns: DataFrame, n: int = 4) -> DataFrame:
 
 
 def term_counts(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, term, tf."""
-    return rows.select(*key, F.explode(terms(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf and size, the length of the row's vector of counts; counted within each row, so nothing is shuffled. Keys are unique."""
+    tallied = rows.select(*key, term_tally(F.col(text)).alias("tally"))
+    size = F.sqrt(F.aggregate("tally", F.lit(0).cast("long"), lambda n, x: n + x["tf"] * x["tf"]))
+    return tallied.withColumn("size", size).select(*key, "size", F.explode("tally").alias("x")).select(*key, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "size")
 
 
 def prior_retrieval(queries: DataFrame, memory: DataFrame, k: int, key: tuple[str, ...] = ("turn",), few: bool = False) -> DataFrame:
@@ -49,13 +51,11 @@ def prior_retrieval(queries: DataFrame, memory: DataFrame, k: int, key: tuple[st
     """
     mine = term_counts(queries.select("conv_id", "turn", F.col("user_text").alias("text")), ["conv_id", "turn"])
     mine = F.broadcast(mine) if few else mine
-    theirs = term_counts(memory.select("conv_id", *key, "text"), ["conv_id", *key])
-    size = lambda rows, cols: rows.groupBy(*cols).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("size"))
     names = [f"m_{c}" for c in key]
-    theirs = theirs.select("conv_id", "term", F.col("tf").alias("m_tf"), *(F.col(c).alias(f"m_{c}") for c in key))
-    dots = mine.join(theirs, ["conv_id", "term"]).where(F.col("m_turn") < F.col("turn")).groupBy("conv_id", "turn", *names).agg(F.sum(F.col("tf") * F.col("m_tf")).alias("dot"))
-    sizes = theirs.groupBy("conv_id", *names).agg(F.sqrt(F.sum(F.col("m_tf") * F.col("m_tf"))).alias("m_size"))
-    scored = dots.join(size(mine, ["conv_id", "turn"]), ["conv_id", "turn"]).join(sizes, ["conv_id", *names])
+    theirs = term_counts(memory.select("conv_id", *key, "text"), ["conv_id", *key])
+    theirs = theirs.select("conv_id", "term", F.col("tf").alias("m_tf"), F.col("size").alias("m_size"), *(F.col(c).alias(f"m_{c}") for c in key))
+    met = mine.join(theirs, ["conv_id", "term"]).where(F.col("m_turn") < F.col("turn")).groupBy("conv_id", "turn", *names)
+    scored = met.agg(F.sum(F.col("tf") * F.col("m_tf")).alias("dot"), F.first("size").alias("size"), F.first("m_size").alias("m_size"))
     scored = scored.withColumn("score", F.col("dot") / (F.col("size") * F.col("m_size")))
     order = W.partitionBy("conv_id", "turn").orderBy(F.desc(F.round("score", 9)), *names)
     return scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("conv_id", "turn", "rk", *names, "score")

@@ -237,6 +237,15 @@ SELECT items.*, head FROM items JOIN ends USING (conv_id, mem_id)""",
     "memory_as_of": f"""WITH {_OPS},
 s AS (SELECT t.conv_id, t.turn, ok.item, CASE WHEN bool_or(op = 'delete') THEN 'deleted' WHEN bool_or(op = 'supersede') THEN 'superseded' ELSE 'active' END AS status, arg_max(pin, ord) FILTER (op = 'pin') AS pin FROM conversations AS t JOIN ok ON ok.conv_id = t.conv_id AND ok.turn <= t.turn GROUP BY ALL)
 SELECT conv_id, turn, count(*) FILTER (status = 'active') AS n_active, count(*) FILTER (status = 'superseded') AS n_superseded, count(*) FILTER (status = 'deleted') AS n_deleted, count(*) FILTER (status = 'active' AND pin = 'user_pinned') AS n_pinned FROM s GROUP BY ALL""",
+    "memory_heat": f"""WITH {_OPS},
+h AS (SELECT conv_id % 97 AS user_id, conv_id * 8 + item AS item, (conv_id // 97) * 3 + turn AS hour, sum(CASE op WHEN 'pin' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END) AS w FROM o WHERE op <> 'delete' GROUP BY ALL),
+clock AS (SELECT max((conv_id // 97) * 3 + turn) AS now FROM conversations),
+e AS (SELECT a.user_id, a.item, a.hour, a.w, sum(b.w * pow(0.5, (a.hour - b.hour) / 6.0)) AS after FROM h AS a JOIN h AS b ON b.user_id = a.user_id AND b.item = a.item AND b.hour <= a.hour GROUP BY ALL),
+points AS (SELECT user_id, item, hour * 2 AS at_, round(after - w, 9) AS e FROM e UNION ALL SELECT user_id, item, hour * 2 + 1, round(after, 9) FROM e),
+last_ AS (SELECT user_id, item, arg_max(after, hour) * pow(0.5, ((SELECT now FROM clock) - max(hour)) / 6.0) AS raw, count(*) AS n_accesses FROM e GROUP BY ALL),
+marks AS (SELECT user_id, item, round(raw, 9) AS energy, n_accesses, coalesce(max(at_) FILTER (e >= 0.75), -9) AS hot, coalesce(max(at_) FILTER (e < 0.65), -9) AS not_hot, coalesce(max(at_) FILTER (e < 0.25), -9) AS cold, coalesce(max(at_) FILTER (e >= 0.35), -9) AS not_cold FROM points JOIN last_ USING (user_id, item) GROUP BY ALL),
+states AS (SELECT *, energy >= 0.75 OR energy >= 0.65 AND hot > not_hot AS is_hot, energy < 0.25 OR energy < 0.35 AND not_cold <= cold AS is_cold FROM marks)
+SELECT user_id, item, round(energy, 6) AS energy, n_accesses, CASE WHEN is_hot AND count_if(is_hot) OVER (PARTITION BY user_id ORDER BY energy DESC, item ROWS UNBOUNDED PRECEDING) <= 5 THEN 'HOT' WHEN is_hot THEN 'WARM' WHEN is_cold THEN 'COLD' ELSE 'WARM' END AS tier FROM states""",
     "memory_quotes": """WITH x AS (SELECT conv_id, turn, text, trim(substr(text, 11, 30), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM conversations),
 y AS (SELECT *, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, regexp_extract(text, '(?i)' || regexp_replace(regexp_replace(said, '([^\\p{L}\\p{N}\\s])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g')) AS hit FROM x)
 SELECT conv_id, turn, altered, CASE WHEN NOT altered AND said <> '' THEN (instr(text, hit) - 1)::INTEGER END AS first, CASE WHEN NOT altered AND said <> '' THEN (instr(text, hit) - 1 + length(hit))::INTEGER END AS last FROM y CROSS JOIN (SELECT unnest([false, true]) AS altered) a""",

@@ -55,7 +55,8 @@ def scored_replay(turns: DataFrame, max_tokens: int, ks: list[int], recent_windo
     """
     stored = replay.ingested(turns)
     asked = replay.scored_turns(turns)
-    chunks = chunking.chunk(stored, ChunkerConfig(0, max_tokens))
+    # written, as terms, vectors and texts of the hits are all made of it
+    chunks = written(chunking.chunk(stored, ChunkerConfig(0, max_tokens)))
     if encoder:
         hits = replay.prior_vectors(retrieval.embed(asked, *encoder, text="user_text"), retrieval.embed(chunks, *encoder), max(ks), ("turn", "pos"))
     else:

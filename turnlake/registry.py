@@ -10,7 +10,7 @@ from turnlake.functions import text as text_
 from turnlake.functions import vectors
 from turnlake.functions.sentences import english_sentences
 from turnlake.functions.text import sentences, terms, token_count
-from turnlake.operators import chunking, judging, memory_ops, metrics, packing, prompting, replay, retrieval
+from turnlake.operators import chunking, heat, judging, memory_ops, metrics, packing, prompting, replay, retrieval
 from turnlake.operators.inverted_file import InvertedFile
 from turnlake.operators.term_index import TermIndex, hybrid
 from turnlake.plans import evaluation
@@ -267,6 +267,16 @@ def memory_as_of(spark, sf_dir):
     return rows.groupBy(F.col("scope").alias("conv_id"), F.col("at").alias("turn")).agg(*counts, F.count_if((F.col("status") == "active") & (F.col("pin") == "user_pinned")).alias("n_pinned"))
 
 
+def memory_heat(spark, sf_dir):
+    """Energy and tier of every item under the operations on it; 97 users share the conversations, and each has five hot items at most."""
+    log = _operations(_turns(spark, sf_dir)).where("op <> 'delete'")
+    user, hour = F.col("scope") % 97, F.floor(F.col("scope") / 97) * 3 + F.col("at")
+    item = F.col("scope") * 8 + F.coalesce("old", "mem_id")
+    accesses = log.select(user.alias("scope"), item.alias("item"), hour.alias("at"), F.when(F.col("op") == "pin", 0.5).otherwise(0.3).alias("weight"))
+    now = _turns(spark, sf_dir).agg(F.max(F.floor(F.col("conv_id") / 97) * 3 + F.col("turn")).alias("now")).first()["now"] or 0
+    return heat.tiers(accesses, 6.0, float(now), 5).select(F.col("scope").alias("user_id"), "item", F.round("energy", 6).alias("energy"), "n_accesses", "tier")
+
+
 def memory_quotes(spark, sf_dir):
     """Where a quote with other capitals and blanks than the text stands in its turn, and one that stands nowhere."""
     turns = _turns(spark, sf_dir).withColumnRenamed("conv_id", "scope")
@@ -413,7 +423,7 @@ def role_adjacency(spark, sf_dir):
 def queries() -> dict:
     plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, english_segments, english_chunks, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
     plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, ann_topk, ann_upkeep, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, bm25_topk, hybrid_candidates, build_prompt, judge_parse, conversation_scores, run_metrics)
-    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, memory_verdicts, memory_state, memory_as_of, memory_quotes, context_packing, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
+    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, memory_verdicts, memory_state, memory_as_of, memory_heat, memory_quotes, context_packing, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
     found = {f.__name__: f for f in plain}
     return found | {"parse_txt_roundtrip": _roundtrip(False), "parse_md_roundtrip": _roundtrip(True), "recent_window_4": _window(4), "recent_window_all": _window(0)}
 
