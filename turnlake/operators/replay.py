@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import term_tally
-from turnlake.functions.vectors import cosine
+from turnlake.operators import prior_blocks
 
 
 def scored_turns(turns: DataFrame) -> DataFrame:
@@ -46,11 +46,17 @@ def prior_retrieval(queries: DataFrame, memory: DataFrame, k: int, key: tuple[st
     queries: conv_id, turn, user_text. memory: conv_id, turn, text and the other
     columns of key. Score: cosine of term counts; rows without a common term are
     no hits. Returns conv_id, turn, rk, m_<key>, score; ties go to the earlier row.
+    Blocks of queries meet blocks of memory, so no pairs are shuffled.
     few: the queries have been counted to hold few terms, so they go to the memory,
-    whose terms stay where they are, however common one of them is.
+    whose rows stay where they are.
     """
-    mine = term_counts(queries.select("conv_id", "turn", F.col("user_text").alias("text")), ["conv_id", "turn"])
-    mine = F.broadcast(mine) if few else mine
+    asked = queries.select("conv_id", "turn", F.col("user_text").alias("text"))
+    return _met_by_few(asked, memory, k, key) if few else prior_blocks.by_terms(asked, memory, k, key)
+
+
+def _met_by_few(queries: DataFrame, memory: DataFrame, k: int, key: tuple[str, ...]) -> DataFrame:
+    """prior_retrieval with the queries' terms, counted to be few, broadcast."""
+    mine = F.broadcast(term_counts(queries, ["conv_id", "turn"]))
     names = [f"m_{c}" for c in key]
     theirs = term_counts(memory.select("conv_id", *key, "text"), ["conv_id", *key])
     theirs = theirs.select("conv_id", "term", F.col("tf").alias("m_tf"), F.col("size").alias("m_size"), *(F.col(c).alias(f"m_{c}") for c in key))
@@ -62,16 +68,11 @@ def prior_retrieval(queries: DataFrame, memory: DataFrame, k: int, key: tuple[st
 
 
 def prior_vectors(queries: DataFrame, memory: DataFrame, k: int, key: tuple[str, ...] = ("turn",)) -> DataFrame:
-    """As prior_retrieval, by the cosine of vectors: queries (conv_id, turn, embedding), memory (conv_id, turn, embedding and key).
+    """As prior_retrieval, by the cosine of vectors: queries (conv_id, turn, embedding), memory (conv_id, turn, embedding and key), both best written tables.
 
-    Every earlier row of a conversation is a hit, however far it is.
+    Every earlier row of a conversation with a vector as long as the query's is a hit, however far it is.
     """
-    names = [f"m_{c}" for c in key]
-    theirs = memory.where("embedding IS NOT NULL").select("conv_id", F.col("embedding").alias("m_embedding"), *(F.col(c).alias(f"m_{c}") for c in key))
-    pairs = queries.where("embedding IS NOT NULL").select("conv_id", "turn", "embedding").join(theirs, "conv_id").where(F.col("m_turn") < F.col("turn"))
-    scored = pairs.select("conv_id", "turn", *names, cosine(F.col("embedding"), F.col("m_embedding")).alias("score"))
-    order = W.partitionBy("conv_id", "turn").orderBy(F.desc(F.round("score", 9)), *names)
-    return scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("conv_id", "turn", "rk", *names, "score")
+    return prior_blocks.by_vectors(queries, memory, k, key)
 
 
 def first_conversations(turns: DataFrame, n: int | None, by: str = "conv_id") -> DataFrame:

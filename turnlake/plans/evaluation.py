@@ -58,7 +58,9 @@ def scored_replay(turns: DataFrame, max_tokens: int, ks: list[int], recent_windo
     # written, as terms, vectors and texts of the hits are all made of it
     chunks = written(chunking.chunk(stored, ChunkerConfig(0, max_tokens)))
     if encoder:
-        hits = replay.prior_vectors(retrieval.embed(asked, *encoder, text="user_text"), retrieval.embed(chunks, *encoder), max(ks), ("turn", "pos"))
+        # written, so that each text is encoded once
+        vectors = written(retrieval.embed(asked, *encoder, text="user_text")), written(retrieval.embed(chunks, *encoder))
+        hits = replay.prior_vectors(*vectors, max(ks), ("turn", "pos"))
     else:
         hits = replay.prior_retrieval(asked, chunks, max(ks), ("turn", "pos"))
     texts = chunks.select("conv_id", F.col("turn").alias("m_turn"), F.col("pos").alias("m_pos"), F.col("text").alias("chunk"))
@@ -88,6 +90,8 @@ def run_eval(turns: DataFrame, config: EvalConfig = EvalConfig(), encoder=None,
 def run_sweep(turns: DataFrame, configs: list[EvalConfig], encoder=None, responder: Client | None = None, judge: Client | None = None) -> DataFrame:
     """A row for each configuration in order of its mean score; the first of equal ones is best."""
     spark = turns.sparkSession
+    if len({(c.recent_window, c.max_conversations) for c in configs}) > 1:
+        raise ValueError("the configurations of a sweep differ in chunker and retrieval alone, not in recent_window or max_conversations")
     if configs:
         turns = replay.first_conversations(turns, configs[0].max_conversations)
     ks = {}
