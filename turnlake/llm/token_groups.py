@@ -58,7 +58,7 @@ CLASSES, CROWD = 64, 512
 #: Of so many parts, one more is spare.
 SPARE = 4
 #: Shingles in a block of a large neighbourhood, and aimed at in one search.
-BLOCK = 1_500_000
+BLOCK = 700_000
 #: Rows that a task remembers to know repeated ones; beyond it, it forgets them, and they come twice, which changes nothing.
 KNOWN = 500_000
 
