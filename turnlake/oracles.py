@@ -251,6 +251,9 @@ y AS (SELECT *, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, regexp_ex
 SELECT conv_id, turn, altered, CASE WHEN NOT altered AND said <> '' THEN (instr(text, hit) - 1)::INTEGER END AS first, CASE WHEN NOT altered AND said <> '' THEN (instr(text, hit) - 1 + length(hit))::INTEGER END AS last FROM y CROSS JOIN (SELECT unnest([false, true]) AS altered) a""",
     "context_packing": _context(),
     "bm25_topk": f"WITH {_BM25} SELECT query_id, rk::INTEGER AS rk, doc_id, round(score, 6) AS score FROM ({_best('bm25', 10)})",
+    "online_replay": """WITH t AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS said FROM conversations),
+        w AS (SELECT *, list(said) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS recent, lag(role) OVER o AS before, lag(text) OVER o AS question FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+        SELECT conv_id, turn::BIGINT AS turn, role, coalesce(len(recent), 0)::BIGINT AS n_recent, md5(coalesce(array_to_string(recent, '|'), '')) AS recent_md5, CASE WHEN role = 'assistant' AND text <> '' AND before = 'user' THEN md5(question) END AS asked_md5 FROM w""",
     "prior_retrieval": f"WITH {_HITS} SELECT conv_id, turn, rk::INTEGER AS rk, m_turn, round(score, 6) AS score FROM hits",
     "build_prompt": f"""WITH {_HITS},
 found AS (SELECT h.conv_id, h.turn, string_agg('[Memory ' || rk || ']: ' || c.text, chr(10) ORDER BY rk) AS memory FROM hits h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn = h.m_turn GROUP BY ALL),

@@ -16,7 +16,7 @@ from turnlake.operators.term_index import TermIndex, hybrid
 from turnlake.plans import evaluation
 from turnlake.schemas import ROLES, ChunkerConfig
 from turnlake.sources import shared, store, transcripts
-from turnlake.streaming import ingest
+from turnlake.streaming import ingest, online
 
 #: Chunk sizes that cut the given conversations, whose turns are short, often enough.
 SMALL, TINY = 40, 12
@@ -409,6 +409,17 @@ def stream_chunks(spark, sf_dir):
     return ingest.landed(spark, f"{out}/chunks").select("conv_id", "turn", "pos", "token_count")
 
 
+def online_replay(spark, sf_dir):
+    """What was known before each turn and which question it answers, found turn by turn on a stream of conversations."""
+    path = f"{sf_dir}/conversations.parquet"
+    turns = ingest.read_turns(spark, path, spark.read.parquet(path).schema)
+    out = shared.folder(spark, "online")
+    online.replay_stream(turns, f"{out}/turns", f"{out}/state").awaitTermination()
+    said = F.transform("recent", lambda r: F.concat(r["role"], F.lit(":"), F.coalesce(r["text"], F.lit(""))))
+    rows = spark.read.parquet(f"{out}/turns")
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.size("recent").cast("long").alias("n_recent"), F.md5(F.array_join(said, "|")).alias("recent_md5"), F.md5("asked").alias("asked_md5"))
+
+
 def event_windows(spark, sf_dir):
     found = ingest.activity(_read(spark, sf_dir, "events"))
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n_events", F.round("value", 4).alias("value"))
@@ -423,7 +434,7 @@ def role_adjacency(spark, sf_dir):
 def queries() -> dict:
     plain = (transcript_all, transcript_recent, transcript_count, turn_lookup, role_validation, fk_check, token_counts, sentence_split, english_segments, english_chunks, chunk_hardsplit, chunk_subsplit, chunk_merge, chunk_stats, document_chunks)
     plain += (vector_norms, cosine_topk, hydrate_hits, lsh_topk, ann_topk, ann_upkeep, add_idempotent, label_assignment, scored_turns, replay_roles, prior_retrieval, bm25_topk, hybrid_candidates, build_prompt, judge_parse, conversation_scores, run_metrics)
-    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, memory_verdicts, memory_state, memory_as_of, memory_heat, memory_quotes, context_packing, truncate_results, ingest_counters, stream_chunks, event_windows, role_adjacency)
+    plain += (sweep_leaderboard, best_config, replay_eval, replay_sweep, default_sweep, first_conversations, term_weights, memory_verdicts, memory_state, memory_as_of, memory_heat, memory_quotes, context_packing, truncate_results, ingest_counters, stream_chunks, online_replay, event_windows, role_adjacency)
     found = {f.__name__: f for f in plain}
     return found | {"parse_txt_roundtrip": _roundtrip(False), "parse_md_roundtrip": _roundtrip(True), "recent_window_4": _window(4), "recent_window_all": _window(0)}
 
