@@ -61,3 +61,19 @@ def test_embedding_and_hydration(spark):
     assert {(r["vec_id"], r["role"]) for r in out.collect()} == {(1, "user"), (2, None)}
     with pytest.raises(Exception, match="expected vectors"):
         retrieval.embed(chunks, lambda: lambda texts: [[1.0]] * len(texts), 2).select(F.sum(F.size("embedding"))).collect()
+
+
+def test_scores_are_held_a_slice_at_a_time(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    asks, others = rng.normal(size=(2_000, 8)), rng.normal(size=(4_000, 8))
+    whole = [(i, near.tolist()) for i, near, _ in retrieval._nearest(asks, others, 3, None)]
+    monkeypatch.setattr(retrieval, "AT_ONCE", 50_000)
+    tracemalloc.start()
+    sliced = [(i, near.tolist()) for i, near, _ in retrieval._nearest(asks, others, 3, None)]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sliced == whole == [(i, np.argsort(-(others @ a), kind="stable")[:3].tolist()) for i, a in enumerate(asks)]
+    # all scores at once are 64 MB
+    assert peak < 8_000_000

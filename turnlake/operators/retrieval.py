@@ -16,7 +16,9 @@ from turnlake.functions.vectors import norm
 from turnlake.sources.shared import written
 
 #: Rows of a block of vectors and of queries: a task holds one of each.
-VECTOR_BLOCK, QUERY_BLOCK = 20_000, 2_000
+VECTOR_BLOCK, QUERY_BLOCK = 20_000, 20_000
+#: Scores that a task holds at once, unless a single query needs more.
+AT_ONCE = 2_000_000
 
 
 def embed(chunks: DataFrame, vectors_of, dim: int, text: str = "text") -> DataFrame:
@@ -66,34 +68,68 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None,
     vectors score 0; null vectors take no part; k beyond the number of vectors
     gives them all.
     """
-    scope = [by] if by else []
-    queries = queries.where("embedding IS NOT NULL AND vec_id IS NOT NULL")
-    vectors = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL")
+    there = "embedding IS NOT NULL AND vec_id IS NOT NULL"
+    return _in_blocks(queries.where(there), vectors.where(there), k, [by] if by else [], [], vector_block, query_block)
+
+
+def _unit(arrays) -> np.ndarray:
+    out = np.stack([np.asarray(a, np.float64) for a in arrays])
+    size = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
+def _nearest(asks: np.ndarray, others: np.ndarray, k: int, met) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of a query, places and scores of its k nearest of those that it meets, the first of equal ones) of unit vectors; met: which others a slice of queries meets, None for all."""
+    step = max(1, AT_ONCE // len(others))
+    for at in range(0, len(asks), step):
+        some = slice(at, at + step)
+        # rounded, so that equal vectors tie wherever they stand in the product
+        scores = asks[some] @ others.T
+        np.round(scores, 12, out=scores)
+        there = met(some) if met else None
+        for i, score in enumerate(scores):
+            among = np.flatnonzero(there[i]) if met else None
+            score = score[among] if met else score
+            # all that reach the kth score, so that ties go by number
+            floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+            near = np.flatnonzero(score >= floor)
+            near = near[np.argsort(-score[near], kind="stable")][:k]
+            yield at + i, among[near] if met else near, score[near]
+
+
+def _in_blocks(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str], buckets: list[str], vector_block: int, query_block: int) -> DataFrame:
+    """top_k(); with buckets, a column with an array of numbers, among vectors that have one of them at the same place as the query, repeated rows once."""
     rows, cols = max(1, -(-vectors.count() // vector_block)), max(1, -(-queries.count() // query_block))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    dealt = vectors.select(*scope, "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).alias("v"), each(cols).alias("q"))
-    asked = queries.select(*scope, "vec_id", "embedding", each(rows).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(cols)).alias("q"))
+    dealt = vectors.select(*scope, "vec_id", "embedding", *buckets, F.pmod(F.xxhash64("vec_id"), F.lit(rows)).alias("v"), each(cols).alias("q"))
+    asked = queries.select(*scope, "vec_id", "embedding", *buckets, each(rows).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(cols)).alias("q"))
     kinds = [df.schema["vec_id"].dataType.simpleString() for df in (queries, vectors)]
 
-    def unit(arrays) -> np.ndarray:
-        out = np.stack([np.asarray(a, np.float64) for a in arrays])
-        size = np.sqrt((out * out).sum(1, keepdims=True))
-        return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+    def once(rows: pd.DataFrame) -> pd.DataFrame:
+        """One of the rows with the same vec_id and vector."""
+        return rows[~pd.DataFrame({"id": rows["vec_id"], "v": [np.asarray(a, np.float64).tobytes() for a in rows["embedding"]]}).duplicated().to_numpy()]
 
     def search(others: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        mine, theirs, found, met = asks["vec_id"].to_numpy(), others["vec_id"].to_numpy(), [], None
         if len(asks) and len(others):
-            others = others.sort_values("vec_id")
-            ids = others["vec_id"].to_numpy()
-            # rounded, so that equal vectors tie wherever they stand in the product
-            scores = np.round(unit(asks["embedding"]) @ unit(others["embedding"]).T, 12)
-            for query, score in zip(asks["vec_id"], scores, strict=True):
-                # all that reach the kth score, so that ties go by number
-                floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-                near = np.flatnonzero(score >= floor)
-                near = near[np.argsort(-score[near], kind="stable")][:k]
-                out += [(query, ids[i], score[i]) for i in near]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            if buckets:
+                others, asks = once(others), once(asks)
+                own, held = (np.stack(df[buckets[0]]) for df in (asks, others))
+            order = np.argsort(others["vec_id"].to_numpy(), kind="stable")
+            mine, theirs = asks["vec_id"].to_numpy(), others["vec_id"].to_numpy()[order]
+            if buckets:
+                held = held[order]
+
+                def met(some: slice) -> np.ndarray:
+                    out = np.zeros((len(own[some]), len(held)), bool)
+                    for i in range(held.shape[1]):
+                        out |= own[some, i, None] == held[None, :, i]
+                    return out
+
+            found = list(_nearest(_unit(asks["embedding"]), _unit(others["embedding"].to_numpy()[order]), k, met))
+        at = np.repeat(np.array([i for i, _, _ in found], np.int64), [len(near) for _, near, _ in found])
+        near, score = (np.concatenate([np.zeros(0, t), *(x[i] for x in found)]) for i, t in ((1, np.int64), (2, float)))
+        return pd.DataFrame({"query_id": mine[at], "vec_id": theirs[near], "score": score})
 
     groups = [df.groupBy(*scope, "v", "q") for df in (dealt, asked)]
     found = groups[0].cogroup(groups[1]).applyInPandas(search, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
