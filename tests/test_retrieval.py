@@ -77,3 +77,23 @@ def test_scores_are_held_a_slice_at_a_time(monkeypatch):
     assert sliced == whole == [(i, np.argsort(-(others @ a), kind="stable")[:3].tolist()) for i, a in enumerate(asks)]
     # all scores at once are 64 MB
     assert peak < 8_000_000
+
+
+def test_approximate_search_shuffles_no_pairs(spark, rows):
+    frame, _ = rows
+    usable = frame.unionByName(frame.where("vec_id < 3"))
+    again = usable.unionByName(spark.createDataFrame([(900, [float("nan")] * 16), (901, None), (902, [0.0] * 16)], frame.schema))
+    index = retrieval.ApproximateIndex(again, tables=3, width=0.5)
+    asked = again.where("vec_id < 40 OR vec_id >= 900")
+    hits = index.top_k(asked, 6)
+    assert "SortMergeJoin" not in hits._jdf.queryExecution().toString() and "HashJoin" not in hits._jdf.queryExecution().toString()
+    # MLlib's own join of pairs, which fails on the zero vector
+    pairs = index.model.approxSimilarityJoin(index._unit(usable.where("vec_id < 40")), index._unit(usable), 2.1, "d").select(F.col("datasetA.vec_id").alias("q"), F.col("datasetB.vec_id").alias("v"), (1 - F.col("d") * F.col("d") / 2).alias("s"))
+    theirs = {}
+    for r in pairs.collect():
+        theirs.setdefault(r["q"], []).append((-round(r["s"], 12), r["v"]))
+    mine = {}
+    for h in sorted(hits.collect(), key=lambda h: h["rk"]):
+        mine.setdefault(h["query_id"], []).append((-round(h["score"], 12), h["vec_id"]))
+    assert {q: [v for _, v in got] for q, got in mine.items()} == {q: [v for _, v in sorted(got)[:6]] for q, got in theirs.items()}
+    assert any(len(got) > 6 for got in theirs.values()) and any(len(got) < 300 for got in theirs.values())

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,12 +162,18 @@ class ApproximateIndex:
         return rows.select("vec_id", array_to_vector(unit).alias("unit"))
 
     def top_k(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rk, vec_id, score of the nearest of all vectors that share a bucket with a query."""
-        # no unit vectors are further apart than 2: sharing a bucket is all that counts
-        pairs = self.model.approxSimilarityJoin(self._unit(queries), self.rows, 2.1, "distance")
-        pairs = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("query_id", "rk", "vec_id", "score")
+        """query_id, rk, vec_id, score of the nearest of all vectors that share a bucket with a query.
+
+        Blocks of queries meet blocks of vectors with their buckets beside them, so no
+        pairs are shuffled, however many share one. Rows without a vec_id and vectors
+        with components that are not finite take no part.
+        """
+        return _in_blocks(self._bucketed(self._unit(queries)), self._bucketed(self.rows), k, [], ["buckets"], VECTOR_BLOCK, QUERY_BLOCK)
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        tables = range(self.model.getNumHashTables())
+        buckets = F.array(*(F.get(vector_to_array(F.get("hashes", i)), 0) for i in tables))
+        return self.model.transform(rows.where("vec_id IS NOT NULL")).select("vec_id", vector_to_array("unit").alias("embedding"), buckets.alias("buckets"))
 
     def save(self, path: str) -> None:
         """Writes the projections and the vectors; load() in any session reads them."""
