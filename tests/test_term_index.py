@@ -121,3 +121,27 @@ def test_hybrid_and_reranking(spark):
     facts = both.withColumn("pin", F.col("doc_id") == 7).withColumn("superseded", F.col("doc_id") == 5)
     best = reranked(facts, 2, {"dense_score": 1.0, "pin": 2.0, "superseded": -1.0}).orderBy("rk").collect()
     assert [(r["doc_id"], round(r["score"], 6)) for r in best] == [(7, 2.0), (6, 0.8)]
+
+
+def test_hits_of_many_queries_leave_a_task_as_arrays(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    made = []
+    frame = pd.DataFrame
+    texts = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c") for i in range(60)], "doc_id long, text string")
+    index = term_index.TermIndex.build(texts, f"file://{tmp_path}/many")
+    asked = texts.withColumnRenamed("doc_id", "query_id")
+    # run the step in this process: a frame for each query is what grew with the queries
+    monkeypatch.setattr(term_index.pd, "DataFrame", lambda *a, **kw: made.append(1) or frame(*a, **kw))
+    steps = []
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    run = PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, func, schema: steps.append(func) or run(self, func, schema))
+    index._found(asked, 3)
+    lists = frame({"block": ["x"], "term": ["c"], "top": [1.0], "places": [np.array([0, 1])], "weights": [np.array([1.0, 0.5])]})
+    queries = frame({"query_id": range(50), "terms": [["c"]] * 50, "idfs": [[1.0]] * 50, "floor": [0.0] * 50})
+    made.clear()
+    out = steps[0](lists, queries)
+    assert len(made) <= 1 and len(out) == 150 and out["n_read"].tolist() == [0, 0, 2] * 50
+    assert out["place"].tolist() == [0, 1, -1] * 50 and out["query_id"].tolist() == np.repeat(np.arange(50), 3).tolist()

@@ -43,7 +43,7 @@ from turnlake.sources.shared import children, delete, exists, written
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Texts of a block (expected number) and queries of a slice, what a task holds at once.
-BLOCK, SLICE = 16_384, 512
+BLOCK, SLICE = 16_384, 8_192
 #: Rows that may be broadcast, and terms that may be looked up in the files' statistics.
 FEW_ROWS, FEW_TERMS = 100_000, 1000
 #: What sums of doubles may be off by; scores are compared when rounded to so many digits.
@@ -183,16 +183,23 @@ class TermIndex:
         kind = queries.schema["query_id"].dataType.simpleString()
 
         def answer(lists: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            found, block, size = [], lists["block"].iloc[0] if len(lists) else "", 0
             if len(lists) and len(asked):
-                block = lists["block"].iloc[0]
                 held = {t: (top, p, w) for t, top, p, w in lists[["term", "top", "places", "weights"]].itertuples(index=False)}
                 size = 1 + max(int(p[-1]) for _, p, _ in held.values())
-                for query, words, idfs, floor in asked[["query_id", "terms", "idfs", "floor"]].itertuples(index=False):
+                for words, idfs, floor in asked[["terms", "idfs", "floor"]].itertuples(index=False):
+                    # a term's list is weighed for this query alone, so no more than one query's lists are held twice
                     mine = [(idf * held[t][0], held[t][1], idf * held[t][2]) for t, idf in sorted(zip(words, idfs, strict=True)) if t in held]
-                    places, scores, read = best(mine, size, k, floor)
-                    out.append(pd.DataFrame({"query_id": query, "block": block, "place": [*places.tolist(), -1], "score": [*scores.tolist(), 0.0], "n_read": [*[0] * len(places), read]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": asked["query_id"][:0], "block": lists["block"][:0], "place": [], "score": [], "n_read": []})
+                    found.append(best(mine, size, k, floor))
+            # of each query its hits, then the row that says what it read
+            query = asked["query_id"].to_numpy()[: len(found)]
+            places = [np.append(places, -1).astype(np.int32) for places, _, _ in found]
+            score = [np.append(scores, 0.0) for _, scores, _ in found]
+            read = np.zeros(sum(map(len, places)), np.int64)
+            ends = np.cumsum([len(x) for x in places]).astype(np.int64)
+            read[ends - 1] = [n for _, _, n in found]
+            flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+            return pd.DataFrame({"query_id": np.repeat(query, [len(x) for x in places]), "block": block, "place": flat(places, np.int32), "score": flat(score, float), "n_read": read})
 
         def of(lists: DataFrame, dealt: DataFrame) -> DataFrame:
             groups = [df.groupBy("block", "slice") for df in (lists, dealt)]
