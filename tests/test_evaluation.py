@@ -197,3 +197,20 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     spark.sparkContext.addPyFile(str(tmp_path / "models.py"))
     assert cli.main(["--conversation-dir", str(tmp_path / "t"), "--results-dir", str(tmp_path / "r2"), "--responder-model", "models:talker", "--judge-model", "models:judge"], spark) == 0
     assert "Mean score 3.00" in capsys.readouterr().out
+
+
+def test_a_sweep_replays_what_greater_chunks_do_not_change_once(spark, monkeypatch):
+    long = "Blue birds sing; red ones do not, or so they say. " * 3
+    texts = [[("user", "tell me of birds"), ("assistant", "birds sing"), ("user", "which birds"), ("assistant", "birds sing loudly")]]
+    texts += [[("user", long), ("assistant", long + "indeed"), ("user", "do birds sing"), ("assistant", "so they say; red ones do not")]]
+    texts += [[("user", None), ("assistant", "a b c"), ("user", "a " * 25), ("assistant", "a, b")]]
+    rows = spark.createDataFrame([(c, i, role, text) for c, turns in enumerate(texts) for i, (role, text) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    grid = evaluation.sweep_configs(chunker_grid={"min_tokens": [1], "max_tokens": [30, 8, 60]}, retrieval_grid={"k": [1, 3], "ef_search": [50]})
+    seen = {}
+    chunk = evaluation.chunking.chunk
+    monkeypatch.setattr(evaluation.chunking, "chunk", lambda turns, config: seen.update({config.max_tokens: turns.count()}) or chunk(turns, config))
+    board = {r["config_idx"]: (r["n_scored"], r["mean_score"], r["recall_at_4"]) for r in evaluation.run_sweep(rows, grid).collect()}
+    assert seen == {8: 12, 30: 8, 60: 4}
+    for i, config in enumerate(grid):
+        r = evaluation.run_eval(rows, config)[2].first()
+        assert board[i] == (r["n_scored"], r["mean_score"], r["recall_at_4"])
