@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnlake.sources.shared import drop, written
 
-__all__ = ["drop", "written", "let", "slices", "small", "table", "unused", "word_count", "words"]
+__all__ = ["drop", "written", "let", "slices", "small", "table", "tidy", "unused", "word_count", "words"]
 
 #: Word separators of the quality, mixing and similarity contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +23,22 @@ LOWER = UPPER.lower()
 BROADCAST_ROWS = 100_000
 #: Characters or bytes of text that a task works on at once.
 SLICE = 1 << 21
+#: Whether Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it ends, not when the driver happens to collect its garbage."""
+    own = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

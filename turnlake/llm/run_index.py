@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, slices, table, unused, written
+from .common import drop, slices, small, table, unused, written
 from .shingles import U, mix
 
 LENGTH = 400
@@ -526,7 +526,8 @@ def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, word
 def deduplicated(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """docs with text less its repeated bytes, or of these only runs of more than so many words; all other columns as they are."""
     own = unused(docs, "id", "hash", "spans")
-    spans = repeated_spans(docs.select("doc_id", "text"), length).select(*(F.col(c).alias(name) for c, name in zip(("id", "hash", "spans"), own, strict=True)))
+    # few rows are sent to the texts, so that these stay where they are
+    spans = small(repeated_spans(docs.select("doc_id", "text"), length)).select(*(F.col(c).alias(name) for c, name in zip(("id", "hash", "spans"), own, strict=True)))
 
     @F.pandas_udf("string")
     def kept(raws: pd.Series, spans: pd.Series) -> pd.Series:

@@ -10,6 +10,9 @@ cut for that one too. As long as a set has no more than spare parts that are emp
 or shared by very many, it agrees with a similar one in another part, and these
 can be left out; only sets with more of them meet there, and are linked at once.
 Sets that have no more than spare parts in common with any others have no link.
+Near copies share most of their parts, so what goes on is each list of documents
+that come together, once, with the number of its parts; parts are dealt out a share
+at a time, and a share's shuffle is gone before the next.
 Those who come together compare sketches, how many of their
 shingles fall into each of 64 classes: the differences of these counts add up to
 no more than the number of shingles in which the sets differ. Chains of possible
@@ -35,6 +38,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, slices, small, table, written
+from .common import drop, slices, small, table, tidy, written
 from .links import components
 from .shingles import U, mix, shingle_hashes
 
@@ -57,6 +61,8 @@ BAND = 1.5
 CLASSES, CROWD = 64, 512
 #: Of so many parts, one more is spare.
 SPARE = 4
+#: Shares in which parts are dealt out, a power of two.
+SHARES = 4
 #: Shingles in a block of a large neighbourhood, and aimed at in one search.
 BLOCK = 700_000
 #: Rows that a task remembers to know repeated ones; beyond it, it forgets them, and they come twice, which changes nothing.
@@ -187,23 +193,37 @@ def _possible(need: int, of: int):
     return find
 
 
-def neighbourhoods(described_: DataFrame, need: int = NEED, of: int = OF) -> DataFrame:
-    """node and component of documents that may be linked, directly or in a chain.
+def _met(rows: DataFrame) -> DataFrame:
+    """From rows (signature, node): the lists of nodes under one signature, each with the signatures' band and their number (rows), and the crowded signatures; a written table.
 
     Of a signature CROWD + 1 rows are enough to know that it is crowded, so no more
     of them travel from any task, however many documents have it.
     """
+    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("signature").orderBy("node"))).where(F.col("place") <= CROWD + 1)
+    shared = ranked.withColumn("rows", F.count("*").over(W.partitionBy("signature"))).where("rows > 1")
+    lists = shared.groupBy("signature").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    crowded = F.size("nodes") > CROWD
+    half = F.col("signature").bitwiseAND(1).alias("band")
+    return written(lists.select(F.when(crowded, F.col("signature")).alias("signature"), F.when(~crowded, F.col("nodes")).alias("nodes"), half).groupBy("signature", "nodes", "band").agg(F.count("*").alias("rows")))
+
+
+def neighbourhoods(described_: DataFrame, need: int = NEED, of: int = OF) -> DataFrame:
+    """node and component of documents that may be linked, directly or in a chain."""
     half = F.col("signature").bitwiseAND(1)
     each = described_.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.explode("signatures").alias("s"))
     rows = each.select("node", F.explode("s.parts").alias("signature"))
-    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("signature").orderBy("node"))).where(F.col("place") <= CROWD + 1)
-    shared = written(ranked.withColumn("rows", F.count("*").over(W.partitionBy("signature"))).where("rows > 1").drop("place"))
-    crowded = written(shared.where(F.col("rows") > CROWD).select("signature").distinct())
+    share = F.shiftrightunsigned("signature", 64 - (SHARES.bit_length() - 1)) if SHARES > 1 else F.lit(0)
+    shares = [_met(rows.where(share == k)) for k in range(SHARES)]
+    shared = functools.reduce(DataFrame.unionByName, shares)
+    crowded = written(shared.where("signature IS NOT NULL").select("signature"))
     met = rows.join(small(crowded), "signature").withColumn("band", half)
-    few = shared.where(F.col("rows") <= CROWD).select("signature", "node").withColumn("band", half)
+    few = shared.where("nodes IS NOT NULL").groupBy("nodes", "band").agg(F.sum("rows").alias("rows"))
+    few = written(few.withColumn("signature", F.xxhash64("nodes", "band")))
+    drop(*shares)
+    member = few.select("signature", F.explode("nodes").alias("node"), "band", "rows")
     # how many parts of each document others have too, few or very many, and how many it can do without
     spare = each.groupBy("node", F.col("s.band").bitwiseAND(1).cast("long").alias("band")).agg(F.min("s.spare").alias("spare"))
-    counted = few.groupBy("node", "band").agg(F.count("*").alias("few"), F.lit(0).cast("long").alias("many"))
+    counted = member.groupBy("node", "band").agg(F.sum("rows").alias("few"), F.lit(0).cast("long").alias("many"))
     counted = counted.unionByName(met.groupBy("node", "band").agg(F.lit(0).cast("long").alias("few"), F.count("*").alias("many")))
     counted = counted.groupBy("node", "band").agg(F.sum("few").alias("few"), F.sum("many").alias("many")).join(spare, ["node", "band"])
     # with no more common parts than that, a document is like none; with more crowded ones, it may be like one under these alone
@@ -212,9 +232,10 @@ def neighbourhoods(described_: DataFrame, need: int = NEED, of: int = OF) -> Dat
     first = bound.groupBy("signature").agg(F.min("node").alias("first"))
     at_once = bound.join(first, "signature").select(F.col("first").alias("a"), F.col("node").alias("b"))
     sketches = described_.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").distinct()
-    few = few.join(hopeful.select("node", "band"), ["node", "band"]).select("signature", "node").join(sketches, "node").repartition("signature").sortWithinPartitions("signature", "node")
-    links = written(few.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long").unionByName(at_once).distinct())
-    drop(shared, crowded, hopeful, bound)
+    hoping = hopeful.select("node", "band").join(sketches, "node")
+    met_few = member.select("signature", "node", "band").join(hoping, ["node", "band"]).repartition("signature").sortWithinPartitions("signature", "node")
+    links = written(met_few.select("signature", "node", "n", "sketch").mapInPandas(_possible(need, of), "a long, b long").unionByName(at_once).distinct())
+    drop(few, crowded, hopeful, bound)
     return components(links)
 
 
@@ -286,7 +307,11 @@ def search_block(ids: np.ndarray, sets: list[np.ndarray], need: int = NEED, of:
 
 def similar_links(docs: DataFrame, described_: DataFrame, words: int = WORDS, need: int = NEED, of: int = OF, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all documents whose different sets are similar enough."""
-    near = neighbourhoods(described_, need, of)
+    return links_within(neighbourhoods(described_, need, of), docs, described_, words, need, of, block)
+
+
+def links_within(near: DataFrame, docs: DataFrame, described_: DataFrame, words: int = WORDS, need: int = NEED, of: int = OF, block: int = BLOCK) -> DataFrame:
+    """The links (a, b) in neighbourhoods."""
     sizes = described_.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n"))
     near = written(near.join(sizes, "node"))
     whole = near.groupBy("component").agg(F.sum("n").alias("n"))
@@ -332,9 +357,13 @@ def equal_links(described_: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, words: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
-    rows = described(docs, words, need, of)
-    linked = components(equal_links(rows).unionByName(similar_links(docs, rows, words, need, of)))
-    linked = written(linked.where("node <> component"))
+    with tidy(docs.sparkSession):
+        signed = described(docs, words, need, of)
+        rows = written(signed.drop("signatures"))
+        near = neighbourhoods(signed, need, of)
+        drop(signed)  # parts take as much room as texts
+        linked = components(equal_links(rows).unionByName(links_within(near, docs, rows, words, need, of)))
+        linked = written(linked.where("node <> component"))
     out = rows.select("doc_id", "n_shingles").join(small(linked), F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
