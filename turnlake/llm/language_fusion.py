@@ -130,27 +130,20 @@ def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: f
     n = len(languages)
     place = {x: i for i, x in enumerate(languages)}
 
-    @F.pandas_udf("array<double>")
-    def likelihoods(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        totals = counts[:, :GRAMS].sum(1, dtype=np.float64) + EXTRA * GRAMS
-        logs = np.log(counts + np.float32(EXTRA)) - np.log(totals).astype(np.float32)[:, None]
-        logs[:, GRAMS] = 0
-        for texts, said in batches:
-            out = []
-            for start in range(0, len(texts), 256):  # bounds what is in memory beside the texts
-                grams, begins = _grams(_texts(texts.iloc[start : start + 256]))
-                real = np.add.reduceat((grams < GRAMS).astype(np.int64), begins)
-                sums = np.column_stack([np.add.reduceat(logs[i][grams], begins, dtype=np.float64) for i in range(n)])
-                for row, (lo, hi, name) in enumerate(zip(begins, [*begins[1:], len(grams)], said.iloc[start : start + 256], strict=True)):
-                    if name is not None:  # the text itself is in the counts of its language
-                        own, times = np.unique(grams[lo:hi], return_counts=True)
-                        own, times = own[own < GRAMS], times[own < GRAMS]
-                        at = place[name]
-                        sums[row, at] = times @ np.log(np.maximum(counts[at, own] - times, 0) + EXTRA) - real[row] * np.log(totals[at] - real[row])
-                scale = np.where(real > 0, np.minimum(real, EVIDENCE) / np.maximum(real, 1), 0.0)
-                # the last number says whether there is a letter at all
-                out += np.column_stack([sums * scale[:, None], real > 0]).astype(np.float64).tolist()
-            yield pd.Series(out)
+    def likelihoods(texts: pd.Series, said: pd.Series, logs: np.ndarray, totals: np.ndarray) -> Iterator[np.ndarray]:
+        """For each text the logarithms of its likelihoods, and whether there is a letter at all."""
+        for start in range(0, len(texts), 256):  # bounds what is in memory beside the texts
+            grams, begins = _grams(_texts(texts.iloc[start : start + 256]))
+            real = np.add.reduceat((grams < GRAMS).astype(np.int64), begins)
+            sums = np.column_stack([np.add.reduceat(logs[i][grams], begins, dtype=np.float64) for i in range(n)])
+            for row, (lo, hi, name) in enumerate(zip(begins, [*begins[1:], len(grams)], said.iloc[start : start + 256], strict=True)):
+                if name is not None:  # the text itself is in the counts of its language
+                    own, times = np.unique(grams[lo:hi], return_counts=True)
+                    own, times = own[own < GRAMS], times[own < GRAMS]
+                    at = place[name]
+                    sums[row, at] = times @ np.log(np.maximum(counts[at, own] - times, 0) + EXTRA) - real[row] * np.log(totals[at] - real[row])
+            scale = np.where(real > 0, np.minimum(real, EVIDENCE) / np.maximum(real, 1), 0.0)
+            yield from np.column_stack([sums * scale[:, None], real > 0])
 
     if not n:
         nothing = F.struct(F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
@@ -167,12 +160,16 @@ def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: f
             shares = (held + weight * shares) / (held.sum() + weight)
         return np.log(shares)
 
+    # likelihoods and priors meet in one function, so that no task runs two Python workers
     @F.pandas_udf("lang string, posterior double, text_lang string, kept boolean")
     def judged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        totals = counts[:, :GRAMS].sum(1, dtype=np.float64) + EXTRA * GRAMS
+        logs = np.log(counts + np.float32(EXTRA)) - np.log(totals).astype(np.float32)[:, None]
+        logs[:, GRAMS] = 0
         known: dict = {}
-        for batch in batches:
+        for texts, *batch in batches:
             rows = []
-            for text, said, at, *prior in zip(*batch, strict=True):
+            for text, said, at, *prior in zip(likelihoods(texts, batch[0], logs, totals), *batch, strict=True):
                 if not text[n]:
                     rows.append((None, 0.0, None, False))
                     continue
@@ -191,12 +188,11 @@ def fuse(docs: DataFrame, declared: str = "lang", host: str = "source", least: f
                 rows.append((languages[best], posterior, languages[int(np.argmax(text[:n]))], posterior >= least))
             yield pd.DataFrame(rows, columns=["lang", "posterior", "text_lang", "kept"])
 
-    text, said, *names = unused(docs, "text_", "said", "host", "l", "n", "sl", "sn")
+    said, *names = unused(docs, "said", "host", "l", "n", "sl", "sn")
     scored = docs.withColumn(said, language(F.col(declared)))
-    scored = scored.withColumn(text, likelihoods(F.col("text"), F.col(said)))
     priors = priors.select(*(F.col(c).alias(name) for c, name in zip(("host", "l", "n", "sl", "sn"), names, strict=True)))
     joined = scored.join(small(priors, BROADCAST_ROWS // n), F.col(host).eqNullSafe(F.col(names[0])))
-    return joined.withColumn("lid", judged(*map(F.col, (text, said, *names)))).select(*(c for c in docs.columns if c != "lid"), "lid")
+    return joined.withColumn("lid", judged(*map(F.col, ("text", said, *names)))).select(*(c for c in docs.columns if c != "lid"), "lid")
 
 
 def _one(n: int, at: int | None) -> np.ndarray:

@@ -57,9 +57,9 @@ PASSAGE, WORDS = 250, 50
 #: Bytes of an anchor.
 GRAM = 16
 #: Bytes read at once, and at most (positions in a piece take the lower bits of a number).
-CHUNK, PIECE_BITS = 1 << 19, 24
-#: Bytes in a block of the index.
-BLOCK = 1_500_000
+CHUNK, PIECE_BITS = 1 << 17, 24
+#: Bytes in a block of the index; a search takes some 120 bytes for each.
+BLOCK = 500_000
 #: A key with more different stretches is keyed anew.
 CROWD = 1000
 _MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]

@@ -16,7 +16,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _MULTIPLIERS = [U(x | 1) for x in _RANDOM.integers(0, 2**64, 8, dtype=np.uint64)]
 #: Bytes of text that are hashed at once, if they are of several texts.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
