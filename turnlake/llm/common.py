@@ -25,20 +25,29 @@ BROADCAST_ROWS = 100_000
 SLICE = 1 << 21
 #: Whether Spark removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a side that Spark broadcasts unasked: by the size of its files, and by what a shuffle of it has been seen to hold.
+GUESSED, SEEN = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is run inside go when it ends, not when the driver happens to collect its garbage."""
-    own = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """What is run inside leaves no shuffle files and broadcasts only what has been counted or measured.
+
+    Shuffle files go when a step ends, not when the driver happens to collect its
+    garbage. Files of numbers are a small part of what they hold in the driver's
+    memory, so their size alone lets no side be broadcast.
+    """
+    own = {key: spark.conf.get(key, None) for key in (CLEANUP, GUESSED, SEEN)}
+    for key, value in ((CLEANUP, "true"), (SEEN, own[SEEN] or spark.conf.get(GUESSED)), (GUESSED, "-1")):
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if own is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, own)
+        for key, value in own.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +66,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has been counted to hold few rows; df should be a written table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df with a broadcast hint if it has been counted to hold few rows, else with one against it, however small its files are; df should be a written table."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
 
 
 def slices(batch: pd.DataFrame, column: str = "text", size: int = SLICE) -> Iterator[pd.DataFrame]:
