@@ -5,12 +5,16 @@ what is left of them is coded in parts, a byte for each. A query reads the lists
 its ef nearest centroids: it scores their codes, and of the best ones of all lists
 it reads the vectors themselves and ranks them by their cosine. So ef trades
 recall for codes, and the number of vectors read hardly grows with the table.
+Among vectors that are closer to each other than to their codes, the codes' scores
+tell little. So the angle between a vector and its code is kept, too: a query's angle
+to the code less that one is the least that its angle to the vector can be, and a few
+vectors are read by this bound. It is 0 for vectors of the query's own direction.
 
 What is stored below a folder:
 
 - ``model``: centroids and code books, fitted once on a bounded sample;
-- ``base/version=n``: numbers, lists, codes and vectors, sorted by list, and the
-  lists' sizes beside them;
+- ``base/version=n``: numbers, lists, codes, their angles and vectors, sorted by
+  list, and the lists' sizes beside them; angles are null in what was filed without;
 - ``delta/version=n/batch=...``: what was added since, coded against the same
   centroids; a search reads base and delta alike, so a vector is found as soon as
   add() returns;
@@ -58,10 +62,22 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def reread(n: int, k: int) -> int:
-    """How many vectors a query reads itself: 5 of 100, but between 4 and 20 for each hit that it asks for."""
+    """How many vectors a query reads itself by their codes' scores: 5 of 100, but between 4 and 20 for each hit that it asks for."""
     return min(20 * k, max(4 * k, n // 20))
 
 
+def angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def best(values: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n greatest values, of equal ones those with the smaller keys."""
+    if len(values) <= n:
+        return np.arange(len(values))
+    rows = np.flatnonzero(values >= np.partition(values, -n)[-n])
+    return rows[np.lexsort((keys[rows], -values[rows]))[:n]]
+
+
 class Coder:
     """Centroids (lists x components) and code books (parts x entries x components of a part)."""
 
@@ -165,9 +181,11 @@ class InvertedFile:
             for batch in batches:
                 rows = units(batch["embedding"])
                 lists = coder.lists(rows)
-                yield batch.assign(list=lists.astype(np.int32), code=[c.tobytes() for c in coder.codes(rows, lists)])
+                codes = coder.codes(rows, lists)
+                apart = angles((rows * units(coder.decoded(codes, lists))).sum(1))
+                yield batch.assign(list=lists.astype(np.int32), code=[c.tobytes() for c in codes], angle=apart)
 
-        return vectors.mapInPandas(code, self._schema(vectors, "embedding array<float>, list int, code binary"))
+        return vectors.mapInPandas(code, self._schema(vectors, "embedding array<float>, list int, code binary, angle double"))
 
     @property
     def _keys(self) -> Keys:
@@ -192,12 +210,14 @@ class InvertedFile:
         return [p for p in children(self.spark, f"{self.path}/delta/version={version}") if exists(self.spark, f"{p}/_SUCCESS")]
 
     def _read(self, version: int) -> tuple[DataFrame, DataFrame | None]:
-        base, deltas = self.spark.read.parquet(f"{self.path}/base/version={version}/codes"), self._deltas(version)
-        return base, self.spark.read.schema(base.schema).parquet(*deltas) if deltas else None
+        path, deltas = f"{self.path}/base/version={version}/codes", self._deltas(version)
+        schema = self.spark.read.parquet(path).schema
+        read = self.spark.read.schema(schema if "angle" in schema.names else schema.add("angle", "double"))
+        return read.parquet(path), read.parquet(*deltas) if deltas else None
 
     @property
     def entries(self) -> DataFrame:
-        """All that is filed: key, embedding, list, code."""
+        """All that is filed: key, embedding, list, code, angle."""
         base, delta = self._read(self.version)
         return base if delta is None else base.unionByName(delta)
 
@@ -255,7 +275,7 @@ class InvertedFile:
         queries: query_id, embedding. counted: also n_codes and n_vectors, how many codes and vectors the query read.
         """
         sizes, key, coder = self.sizes(), self.key, self.coder
-        most = reread(int(sizes.sum()), k)
+        most, few = reread(int(sizes.sum()), k), 4 * k
         entries = self.entries
         probes = self._probes(queries, ef, sizes)
         # few queries read few lists: the scan of sorted files skips the others
@@ -265,7 +285,7 @@ class InvertedFile:
         pages = F.broadcast(slices) if slices.count() <= 100_000 else slices
         first = np.concatenate([[0], np.cumsum(sizes)])
         places = self.spark.createDataFrame([(i, int(first[i]) // PAGE, int(first[i + 1] - 1) // PAGE - int(first[i]) // PAGE + 1) for i in range(len(sizes)) if sizes[i]], "list int, low long, n long")  # a row for each list
-        held = near.select(key, "list", "code").join(F.broadcast(places), "list").withColumn("page", F.col("low") + F.pmod(F.xxhash64(key), "n")).join(pages, "page")
+        held = near.select(key, "list", "code", "angle").join(F.broadcast(places), "list").withColumn("page", F.col("low") + F.pmod(F.xxhash64(key), "n")).join(pages, "page")
         held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
         asked = probes.join(pages, "page").withColumn("part", F.pmod(F.xxhash64("query_id"), "slices"))
 
@@ -274,31 +294,36 @@ class InvertedFile:
             if len(codes) and len(asked):
                 there, local = np.unique(codes["list"].to_numpy(), return_inverse=True)
                 data = coder.decoded(np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1), codes["list"].to_numpy())
-                keys = codes[key].to_numpy()
+                keys, apart = codes[key].to_numpy(), codes["angle"].to_numpy(float)
+                size = np.sqrt((data * data).sum(1))
                 for start in range(0, len(asked), STEP):
                     some = asked.iloc[start : start + STEP]
-                    scores = np.round(np.stack(some["unit"]) @ data.T, 9)
-                    for query, lists, row in zip(some["query_id"], some["lists"], scores, strict=True):
+                    scores = np.stack(some["unit"]) @ data.T
+                    # rounded, since an angle next to 0 is known to half the digits of its cosine
+                    bounds = np.round(np.abs(angles(np.divide(scores, size, out=np.zeros_like(scores), where=size > 0)) - apart), 7)
+                    bounds[np.isnan(bounds)] = np.inf
+                    np.round(scores, 9, out=scores)
+                    for query, lists, row, least in zip(some["query_id"], some["lists"], scores, bounds, strict=True):
                         rows = np.flatnonzero(np.isin(there, lists)[local])
-                        if len(rows) > most:  # equal vectors have equal codes: of them the smaller keys are read
-                            rows = rows[row[rows] >= np.partition(row[rows], -most)[-most]]
-                            rows = rows[np.lexsort((keys[rows], -row[rows]))[:most]]
-                        found.append(pd.DataFrame({"query_id": query, key: keys[rows], "rough": row[rows]}))
-            return pd.concat(found) if found else pd.DataFrame({"query_id": asked["query_id"][:0], key: codes[key][:0], "rough": np.zeros(0)})
+                        # equal vectors have equal codes: of them the smaller keys are read
+                        rows = rows[np.union1d(best(row[rows], keys[rows], most), best(-least[rows], keys[rows], few))]
+                        found.append(pd.DataFrame({"query_id": query, key: keys[rows], "rough": row[rows], "least": least[rows]}))
+            return pd.concat(found) if found else pd.DataFrame({"query_id": asked["query_id"][:0], key: codes[key][:0], "rough": np.zeros(0), "least": np.zeros(0)})
 
         kind = queries.schema["query_id"].dataType.simpleString()
         both = lambda df, *columns: df.select("page", "part", *columns).groupBy("page", "part")
-        rough = both(held, key, "list", "code").cogroup(both(asked, "query_id", "unit", "lists")).applyInPandas(score, f"query_id {kind}, {self._schema(entries, 'rough double')}")
-        place = W.partitionBy("query_id").orderBy(F.desc("rough"), key)
-        chosen = written(rough.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("query_id", key))
+        rough = both(held, key, "list", "code", "angle").cogroup(both(asked, "query_id", "unit", "lists")).applyInPandas(score, f"query_id {kind}, {self._schema(entries, 'rough double, least double')}")
+        place = lambda order: F.row_number().over(W.partitionBy("query_id").orderBy(order, key))
+        placed = rough.select("query_id", key, place(F.desc("rough")).alias("by_score"), place(F.col("least")).alias("by_bound"))
+        chosen = written(placed.where((F.col("by_score") <= most) | (F.col("by_bound") <= few)).select("query_id", key))
         facts = probes.groupBy("query_id").agg(F.first("unit").alias("unit"), F.max("n_codes").alias("n_codes")).join(chosen.groupBy("query_id").agg(F.count("*").alias("n_vectors")), "query_id")
         pairs = chosen.join(near.select(key, "embedding"), key).join(facts, "query_id")
         own = F.aggregate(F.zip_with("unit", "embedding", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         size = norm(F.col("embedding"))
         scored = pairs.withColumn("score", F.when(size > 0, own / size).otherwise(0.0))
         order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-        best = scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
-        return best.select("query_id", "rk", key, "score", *(["n_codes", "n_vectors"] if counted else []))
+        ranked = scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+        return ranked.select("query_id", "rk", key, "score", *(["n_codes", "n_vectors"] if counted else []))
 
     def tuned(self, k: int = 10, wanted: float = 0.97, tried: int = 50) -> int:
         """The least ef whose lists hold the wanted share of the exact neighbours of some stored vectors."""
